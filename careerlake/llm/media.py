@@ -13,23 +13,34 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from careerlake.llm import webp
 from careerlake.llm.common import table
 
 BLOCK = 64
+DESCRIBED = (
+    T.StructType()
+    .add("media_bytes", "long")
+    .add("media_sha256", "string")
+    .add("payload_sha256", "string")
+    .add("tail_crc32", "long")
+    .add("width", "integer")
+    .add("height", "integer")
+    .add("feature", "string")
+)
 
 
 def padded(data: bytes) -> bytes:
     return data + bytes(-len(data) % BLOCK if data else BLOCK)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_media(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: webp.encode(padded((t or "").encode())))
 
 
-@F.pandas_udf("media_bytes long, media_sha256 string, payload_sha256 string, tail_crc32 long, width int, height int, feature string")
+@F.pandas_udf(DESCRIBED)
 def describe(media: pd.Series, sizes: pd.Series) -> pd.DataFrame:
     rows = []
     for m, n in zip(media, sizes):
@@ -39,7 +50,7 @@ def describe(media: pd.Series, sizes: pd.Series) -> pd.DataFrame:
         histogram = np.bincount(samples[:n] >> 4, minlength=16)
         feature = f"{width}x{height} mean={samples[:n].mean():.4f} bins={','.join(map(str, histogram.tolist()))}"
         rows.append((len(m), hashlib.sha256(m).hexdigest(), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), width, height, feature))
-    return pd.DataFrame(rows, columns=["media_bytes", "media_sha256", "payload_sha256", "tail_crc32", "width", "height", "feature"])
+    return pd.DataFrame(rows, columns=DESCRIBED.names)
 
 
 def store_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
