@@ -110,13 +110,13 @@ def pattern() -> Column:
     return out.cast("int")
 
 
-def estimate(counts: dict[int, int], rounds: int = 100, floor: float = 0.001) -> dict[int, float]:
+def estimate(counts: dict[int, int], rounds: int = 100, prior: float = 0.8, floor: float = 0.001, ceiling: float = 0.005) -> dict[int, float]:
     """Posterior probability of good by vote pattern.
 
-    Only votes count, not abstentions. A bad text mostly breaks one rule or two, while the others vote for it, so the start takes rules
-    to be seldom wrong on good texts and mostly silent on bad ones. A rule is held to be wrong on a good text at least once in 1 / floor
-    times, and to vote against bad texts no less often than against good ones. Votes for a text mostly say the same, that nothing is wrong
-    with it, so their evidence is averaged; without this, three rules on repetition outweigh any other and alone make up the bad class.
+    Only votes count, not abstentions. What is known of the rules bounds the estimates: a rule is wrong on a good text between floor and
+    ceiling of its votes, and votes against bad texts no less often. Votes for a text mostly say the same, that nothing is wrong with
+    it, so their evidence is averaged. Without these bounds the most likely bad class is that of the three rules on repetition, which
+    agree with each other. The prior share of good texts is a parameter and anchors the classes.
     """
     if not counts:
         return {}
@@ -125,13 +125,12 @@ def estimate(counts: dict[int, int], rounds: int = 100, floor: float = 0.001) ->
     votes = codes[:, None] // 3 ** np.arange(len(RULES)) % 3
     against, favour = (votes == 1).astype(float), (votes == 2).astype(float)
     bad_if_good, bad_if_bad = np.full(len(RULES), 0.005), np.full(len(RULES), 0.25)
-    prior, posterior = 0.5, np.zeros(len(codes))
+    posterior = np.zeros(len(codes))
     for _ in range(rounds):
         logit = np.log(prior / (1 - prior)) + against @ np.log(bad_if_good / bad_if_bad) + favour @ np.log((1 - bad_if_good) / (1 - bad_if_bad)) / np.maximum(favour.sum(1), 1)
         posterior = 1 / (1 + np.exp(-logit.clip(-50, 50)))
         good, bad = weight * posterior, weight * (1 - posterior)
-        prior = float((good.sum() + 1) / (weight.sum() + 2))
-        bad_if_good = np.maximum((good @ against) / (good @ (against + favour) + 1), floor)
+        bad_if_good = ((good @ against) / (good @ (against + favour) + 1)).clip(floor, ceiling)
         bad_if_bad = np.maximum((bad @ against + 1) / (bad @ (against + favour) + 2), bad_if_good)
     return dict(zip(codes.tolist(), posterior.tolist()))
 
