@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from careerlake.llm import bpe, licenses, media, rules, secrets, simhash, token_counts
+from careerlake.llm import bpe, licenses, media, mixing, rules, secrets, simhash, token_counts
 
-MODULES = (bpe, licenses, media, rules, secrets, simhash, token_counts)
+MODULES = (bpe, licenses, media, mixing, rules, secrets, simhash, token_counts)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
