@@ -6,16 +6,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careerlake.llm.common import shared_dir
+from careerlake.llm import bpe, mixing, rules, secrets, simhash
+from careerlake.llm.common import shared_dir, table
 
-STAGES: list = []
+#: Each function takes (spark, docs, sf_dir); all but the last return the columns of documents.
+STAGES = [
+    ("quality-rules", rules.keep_good),
+    ("near-duplicates", simhash.keep_first),
+    ("secrets", secrets.redact_secrets),
+    ("mixing", mixing.sample_mixture),
+    ("byte-bpe", bpe.encode_corpus),
+]
 #: The stages hash, merge byte pairs and iterate, which SQL can't express; tests hold each against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
