@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+from careerlake.plans import documents
+
+MODULES = (documents,)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.SQL.items()}
