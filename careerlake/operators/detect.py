@@ -119,7 +119,7 @@ def format_risk(docs: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
 def age_bias(of_lines: DataFrame, education: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
     """doc_id, kind, detail: birth or age stated; long tenure; graduation years long before the as-of date."""
     birth = of_lines.filter(F.col("line").rlike(dims.BIRTH)).select("doc_id", F.lit("birth").alias("kind"), F.lit("").alias("detail"))
-    years = F.try_to_number(first_match("line", dims.TENURE, 2), F.lit("99999999")).cast("long")
+    years = first_match("line", dims.TENURE, 2).try_cast("long")
     tenure = of_lines.select("doc_id", years.alias("years")).filter(F.col("years") >= conf.long_tenure).select("doc_id", F.lit("tenure").alias("kind"), F.col("years").cast("string").alias("detail"))
     year = F.explode(F.regexp_extract_all("line", F.lit("(^|[^0-9A-Za-z_])((?:19|20)[0-9]{2})(?![0-9A-Za-z_])"), F.lit(2))).alias("detail")
     old = F.lit(int(conf.as_of[:4])) - F.col("detail").cast("int") >= conf.old_graduation
