@@ -32,10 +32,13 @@ from careerlake.llm.common import SLICE, by_text, table
 RANKS = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32768, 2048  # code points
 #: Words kept with their encoding in a Python worker; beyond that the store starts anew.
-KEPT = 400_000
+KEPT = 200_000
 PATTERN = regex.compile(public_tokenizers.PATTERN)
-#: A blank or line feed beside other white space or at an end; where there is none, each of them starts a pre-token, whatever is around.
-CROWDED = re.compile(r"[ \n]\s|\s[ \n]|\A[ \n]|[ \n]\Z")
+
+
+def crowded(text: str) -> bool:
+    """Whether there is other white space than single blanks and line feeds inside; where not, each of these starts a pre-token, whatever is around."""
+    return text.split() != text.replace("\n", " ").split(" ")
 
 
 @lru_cache(maxsize=2)
@@ -91,6 +94,67 @@ def merge_long(parts: list[bytes], rank: dict[bytes, int]) -> list[int]:
     return [rank[p] for p, live in zip(parts, alive) if live]
 
 
+@lru_cache(maxsize=2)
+def pair_table(name: str = RANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted pairs of tokens that merge (left << 32 | right), what they become, and the tokens of the bytes. A token's id is its rank."""
+    rank = ranks(name)
+    if sorted(rank.values()) != list(range(len(rank))):
+        raise ValueError("ids are not ranks")
+    pairs = {a << 32 | b: t for token, t in rank.items() for k in range(1, len(token)) if (a := rank.get(token[:k])) is not None and (b := rank.get(token[k:])) is not None}
+    keys = np.array(sorted(pairs), np.int64)
+    return keys, np.array([pairs[k] for k in keys.tolist()], np.int64), np.array([rank[bytes([b])] for b in range(256)], np.int64)
+
+
+#: Longer pre-tokens are merged one by one.
+SHORT = 24
+NEVER = 1 << 40
+
+
+def merge_many(pieces: list[bytes], name: str = RANKS) -> list[bytes]:
+    """Ids (little-endian, unsigned, 32 bits) of pre-tokens of 1 to SHORT bytes: each step merges one pair of every pre-token."""
+    if not pieces:
+        return []
+    keys, becomes, of_byte = pair_table(name)
+    sizes = np.array([len(p) for p in pieces])
+    wide = int(sizes.max())
+    place = np.arange(wide)
+    ids = np.full((len(pieces), wide), -1, np.int64)
+    ids[place < sizes[:, None]] = of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+    out: list[bytes] = [b""] * len(pieces)
+    rows = np.arange(len(pieces))
+
+    def pair_rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = np.where((a < 0) | (b < 0), -1, a << 32 | np.maximum(b, 0))
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, becomes[at], NEVER)
+
+    rank = np.concatenate([pair_rank(ids[:, :-1], ids[:, 1:]), np.full((len(pieces), 1), NEVER)], 1)
+    while len(rows):
+        at = rank.argmin(1)
+        low = rank[np.arange(len(rows)), at]
+        done = low == NEVER
+        if done.any():
+            count = (ids[done] >= 0).sum(1).tolist()
+            line = ids[done].astype("<u4")
+            for r, n, x in zip(rows[done].tolist(), count, line):
+                out[r] = x[:n].tobytes()
+            go = ~done
+            rows, ids, rank, at, low = rows[go], ids[go], rank[go], at[go], low[go]
+            if not len(rows):
+                break
+        every = np.arange(len(rows))
+        ids[every, at] = low
+        # the right one of the pair goes, and with it its place
+        shift = place[None, : ids.shape[1]] + (place[None, : ids.shape[1]] > at[:, None])
+        ids = np.take_along_axis(np.concatenate([ids, np.full((len(rows), 1), -1)], 1), shift, 1)
+        rank = np.take_along_axis(np.concatenate([rank, np.full((len(rows), 1), NEVER)], 1), shift, 1)
+        after = np.where(at + 1 < ids.shape[1], ids[every, np.minimum(at + 1, ids.shape[1] - 1)], -1)
+        rank[every, at] = pair_rank(ids[every, at], after)
+        inner = np.flatnonzero(at > 0)
+        rank[inner, at[inner] - 1] = pair_rank(ids[inner, at[inner] - 1], ids[inner, at[inner]])
+    return out
+
+
 class Kept(dict):
     """What make gives for a word, within KEPT words of up to 64 characters."""
 
@@ -98,9 +162,12 @@ class Kept(dict):
         super().__init__()
         self.make = make
 
-    def __missing__(self, word: str) -> bytes | int:
-        if len(self) >= KEPT:
+    def room(self, n: int) -> None:
+        if len(self) + n > KEPT:
             self.clear()
+
+    def __missing__(self, word: str) -> bytes | int:
+        self.room(1)
         out = self.make(word)
         if len(word) <= 64:
             self[word] = out
@@ -115,16 +182,57 @@ def stores(name: str = RANKS) -> tuple[Kept, Kept, Kept]:
     def piece(p: str) -> bytes:
         return np.array(merge(p.encode(), rank), "<u4").tobytes()
 
+    pieces = Kept(piece)
+
     def word(w: str) -> bytes:
-        return b"".join(piece(p) for p in PATTERN.findall(w))
+        found = PATTERN.findall(w)
+        return pieces[found[0]] if len(found) == 1 else b"".join(map(pieces.__getitem__, found))
+
+    return Kept(lambda w: word(" " + w)), Kept(word), pieces
+
+
+def learn(texts: list[str], kept: tuple[Kept, Kept, Kept], many: Callable[[list[str]], list], add: Callable[[list], bytes | int]) -> None:
+    """Brings the words of the texts that the stores lack, all at once: pre-tokens by many, words from theirs by add."""
+    spaced, _, pieces = kept
+    new: set[str] = set()
+    for text in texts:
+        if not crowded(text):
+            for line in text.split("\n"):
+                new.update(line.split(" ")[1:])
+    new -= spaced.keys()
+    # words with odd blanks inside are made one by one
+    lacking = [w for w in new if w.isprintable() and len(w) <= 64]
+    if not lacking:
+        return
+    spaced.room(len(lacking))
+    found = PATTERN.findall(" " + " ".join(lacking))
+    made = set(found) - pieces.keys()
+    pieces.room(len(made))
+    made = set(found) - pieces.keys()
+    pieces.update(zip(made, many(list(made))))
+    starts = [k for k, p in enumerate(found) if p[0] == " "]
+    for w, a, b in zip(lacking, starts, [*starts[1:], len(found)]):
+        spaced[w] = pieces[found[a]] if b == a + 1 else add([pieces[p] for p in found[a:b]])
+
+
+def encode_all(texts: list[str], name: str = RANKS) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit numbers."""
+    rank = ranks(name)
+
+    def many(new: list[str]) -> list[bytes]:
+        data = [p.encode() for p in new]
+        short = [p for p in data if len(p) <= SHORT]
+        known = dict(zip(short, merge_many(short, name)))
+        return [known[p] if len(p) <= SHORT else np.array(merge(p, rank), "<u4").tobytes() for p in data]
 
-    return Kept(lambda w: word(" " + w)), Kept(word), Kept(piece)
+    learn(texts, stores(name), many, b"".join)
+    return [encode(t, name) for t in texts]
 
 
 def encode(text: str, name: str = RANKS) -> bytes:
     """Ids of the text as little-endian unsigned 32-bit numbers."""
     spaced, first, pieces = stores(name)
-    if CROWDED.search(text):
+    if crowded(text):
         return b"".join(map(pieces.__getitem__, PATTERN.findall(text)))
     out: list[bytes] = []
     for line in text.split("\n"):
@@ -207,7 +315,7 @@ IDS = pa.schema([("ids", pa.binary())])
 def encode_documents(docs: DataFrame, name: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit numbers) of each row."""
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    short = by_text(texts.filter(F.length("text") <= chunk), IDS, "ids binary", lambda ts: [(encode(t, name),) for t in ts])
+    short = by_text(texts.filter(F.length("text") <= chunk), IDS, "ids binary", lambda ts: [(x,) for x in encode_all(ts, name)])
 
     long = texts.filter(F.length("text") > chunk).select(F.struct(F.monotonically_increasing_id().alias("n"), "doc_id").alias("row"), "text")
 
@@ -235,7 +343,7 @@ def encode_documents(docs: DataFrame, name: str = RANKS, chunk: int = CHUNK, ove
     ends = ends.withColumns({"piece": F.count("start").over(w), "until": F.lead("start").over(w)}).select("row", "chunk", "start", "until", "piece")
 
     until = f"{chunk} + coalesce(until, 0)"  # the overlap holds at least one character after it
-    stitched = chunks.join(ends, ["row", "chunk"]).select(
+    stitched = chunks.join(ends, ["row", "chunk"], "left").select(  # left, as an inner join filters its side for keys and then reads the texts anew
         "row", "chunk", "piece",
         F.expr(f"substring(part, coalesce(start, 0) + 1, CASE WHEN last THEN length(part) ELSE {until} - coalesce(start, 0) END)").alias("part"),
         F.expr(f"CASE WHEN last THEN '' ELSE substring(part, {until} + 1, 1) END").alias("follow"),

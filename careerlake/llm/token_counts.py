@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerlake.llm.bpe import CROWDED, PATTERN, Kept
+from careerlake.llm.bpe import PATTERN, Kept, crowded, learn
 from careerlake.llm.common import by_text, table
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
@@ -84,13 +84,13 @@ class Counter:
     def __init__(self, name: str):
         self.merges = Merges(name)
         count = self.merges.count
-        self.spaced = Kept(lambda w: sum(map(count, PATTERN.findall(" " + w))))
-        self.first = Kept(lambda w: sum(map(count, PATTERN.findall(w))))
         self.pieces = Kept(count)
+        self.spaced = Kept(lambda w: sum(map(self.pieces.__getitem__, PATTERN.findall(" " + w))))
+        self.first = Kept(lambda w: sum(map(self.pieces.__getitem__, PATTERN.findall(w))))
 
     def plain(self, text: str) -> int:
         """Tokens of a text without special ones."""
-        if CROWDED.search(text):
+        if crowded(text):
             return sum(map(self.pieces.__getitem__, PATTERN.findall(text)))
         lines = text.split("\n")
         total = (len(lines) - 1) * self.pieces["\n"]
@@ -106,6 +106,11 @@ class Counter:
             parts = [x for p in parts for x in p.split(s)] if s in text else parts
         return len(parts) - 1 + sum(map(self.plain, parts))
 
+    def all(self, texts: list[str]) -> list[int]:
+        plain = [t for t in texts if not any(s in t for s in self.merges.special)]
+        learn(plain, (self.spaced, self.first, self.pieces), lambda new: list(map(self.merges.count, new)), sum)
+        return list(map(self, texts))
+
 
 @lru_cache(maxsize=2)
 def counter(name: str = VOCABULARY) -> Counter:
@@ -116,7 +121,7 @@ def token_counts(docs: DataFrame, name: str = VOCABULARY, limit: int = LIMIT) ->
     """doc_id, n_bytes, n_tokens, over_limit of each row."""
     source = docs.select("doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"), "text")
     schema = pa.schema([("n_tokens", pa.int64())])
-    counted = by_text(source, schema, "n_tokens long", lambda texts: [(counter(name)(t),) for t in texts], ("doc_id", "n_bytes"))
+    counted = by_text(source, schema, "n_tokens long", lambda texts: [(n,) for n in counter(name).all(texts)], ("doc_id", "n_bytes"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
