@@ -17,8 +17,9 @@ def normal_lines(text: Column) -> Column:
 
 def line_changes(before: Column, after: Column) -> Column:
     """changed, total, pct: lines, repeats included, that the old text doesn't have; deletions don't count."""
-    old, now = normal_lines(before), normal_lines(after)
-    new = F.filter(now, lambda x: ~F.array_contains(old, x))
+    now = normal_lines(after)
+    # the old lines are bound to a variable, else each new line would split the old text anew
+    new = F.flatten(F.transform(F.array(normal_lines(before)), lambda old: F.filter(now, lambda x: ~F.array_contains(old, x))))
     return F.struct(F.size(new).cast("long").alias("changed"), F.size(now).cast("long").alias("total"), percent(F.size(new), F.size(now)).alias("pct"))
 
 

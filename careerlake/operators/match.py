@@ -44,10 +44,9 @@ def variants(spark, skills: dict[str, tuple[str, str]] = dims.SKILLS) -> DataFra
 def grams(text: Column, most: int = 4) -> Column:
     """Distinct runs of one to four words, without the punctuation around words."""
     w = F.filter(F.transform(F.split(squeezed(text), " "), lambda x: F.regexp_replace(x, r"^[^a-z0-9]+|[^a-z0-9+#]+$", "")), lambda x: x != "")
-    runs = w
-    for n in range(2, most + 1):
-        runs = F.concat(runs, run_of(w, n))
-    return F.array_distinct(runs)
+    # the words are bound to a variable, else each run would split the text anew
+    bound = F.transform(F.array(w), lambda x: F.concat(x, *(run_of(x, n) for n in range(2, most + 1))))
+    return F.array_distinct(F.flatten(bound))
 
 
 def run_of(w: Column, n: int) -> Column:
