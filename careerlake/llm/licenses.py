@@ -50,9 +50,9 @@ def blanks(text: Column) -> Column:
 def places(words: Column, phrase: str) -> Column:
     """Numbers of the words where the phrase starts; words as from normal()."""
     n = len(phrase.split())
-    parts = F.split(words, f" {phrase}(?= )")
-    before = F.slice(parts, 1, F.size(parts) - 1)
-    start = F.transform(F.sequence(F.lit(1), F.size(before)), lambda i: F.aggregate(F.slice(before, 1, i), F.lit(0), lambda a, p: a + blanks(p)) + (i - 1) * n)
+    steps = F.transform(F.split(words, f" {phrase}(?= )"), blanks)
+    # bound to a variable, else each place would split the text anew
+    start = F.flatten(F.transform(F.array(steps), lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: F.aggregate(F.slice(b, 1, i), F.lit(0), lambda a, x: a + x) + (i - 1) * n)))
     return F.when(F.contains(words, F.lit(f" {phrase} ")), start).otherwise(F.array().cast("array<int>"))
 
 
