@@ -19,13 +19,11 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from careerlake.llm.common import SLICE, by_text, table
 
@@ -310,12 +308,22 @@ def run_over(df: DataFrame, names: list[str], schema: pa.Schema, ddl: str, fn: C
 
 
 IDS = pa.schema([("ids", pa.binary())])
+CODED = pa.schema([("ids", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+CHECKED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digest(ids: bytes, name: str = RANKS) -> tuple[int, str, str]:
+    """Number of ids, digest of the ids, and digest of the bytes that they decode to."""
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode(ids, name)).hexdigest()
 
 
 def encode_documents(docs: DataFrame, name: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id and ids (binary: little-endian unsigned 32-bit numbers) of each row."""
+    """doc_id, ids (binary: little-endian unsigned 32-bit numbers) and their digests, of each row.
+
+    Texts are encoded and decoded again in one Python task, so that an executor has one worker a core.
+    """
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    short = by_text(texts.filter(F.length("text") <= chunk), IDS, "ids binary", lambda ts: [(x,) for x in encode_all(ts, name)])
+    short = by_text(texts.filter(F.length("text") <= chunk), CODED, f"ids binary, {CHECKED}", lambda ts: [(x, *digest(x, name)) for x in encode_all(ts, name)])
 
     long = texts.filter(F.length("text") > chunk).select(F.struct(F.monotonically_increasing_id().alias("n"), "doc_id").alias("row"), "text")
 
@@ -353,30 +361,17 @@ def encode_documents(docs: DataFrame, name: str = RANKS, chunk: int = CHUNK, ove
     coded = run_over(pieces, ["part", "follow"], IDS, "ids binary", lambda t, c: (encode_part(t, c, name),)).select("row", "piece", "ids")
     rows = coded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("all"))
     joined = F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    return short.unionByName(rows.select("row.doc_id", joined.alias("ids")))
-
-
-CHECKED = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-
-
-def digests(encoded: DataFrame, name: str = RANKS) -> DataFrame:
-    """Number of ids, digest of the ids, and digest of the bytes that they decode to."""
-
-    @F.pandas_udf(CHECKED)
-    def check(ids: pd.Series) -> pd.DataFrame:
-        rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decode(x, name)).hexdigest()) for x in map(bytes, ids)]
-        return pd.DataFrame(rows, columns=CHECKED.names)
-
-    return encoded.withColumn("__c", check("ids")).select("doc_id", "ids", "__c.*")
+    long_ids = rows.select("row.doc_id", joined.alias("ids"))
+    return short.unionByName(run_over(long_ids, ["ids"], pa.schema(list(CODED)[1:]), CHECKED, lambda ids: digest(ids, name)))
 
 
 def encode_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and their digests, of each row of docs."""
-    return digests(encode_documents(docs))
+    return encode_documents(docs)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode_documents(table(spark, sf_dir, "documents"))).drop("ids")
+    return encode_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
 QUERIES = {"op6_byte_bpe": op6_byte_bpe}
