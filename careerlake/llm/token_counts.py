@@ -23,6 +23,9 @@ from careerlake.llm.common import by_text, table
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
 SHIFT = 20
+#: Bits of a place in a pre-token; texts are shorter than 2 ** 31 bytes.
+PLACE = 32
+PLACES = (1 << PLACE) - 1
 
 
 def letters() -> list[str]:
@@ -47,36 +50,39 @@ class Merges:
 
     def count(self, piece: str) -> int:
         """Tokens of a pre-token."""
-        symbols = [self.of_byte[b] for b in piece.encode()]
+        of_byte, becomes, pop, push, rank = self.of_byte, self.becomes, heapq.heappop, heapq.heappush, self.rank.get
+        symbols = [of_byte[b] for b in piece.encode()]
         n = len(symbols)
-        rank, becomes = self.rank, self.becomes
-        current = [rank.get(a << SHIFT | b, -1) for a, b in zip(symbols, symbols[1:])]  # of the pair that starts at a place
-        heap = [r * n + i for i, r in enumerate(current) if r >= 0]
+        # of the pair that starts at a place; the rank stands above the place, so that equal ranks go from left to right
+        current = [rank(a << SHIFT | b, -1) for a, b in zip(symbols, symbols[1:])]
+        heap = [r << PLACE | i for i, r in enumerate(current) if r >= 0]
         if not heap:
             return n
         heapq.heapify(heap)
         current.append(-1)
-        after, before, merges = list(range(1, n + 1)), list(range(-1, n - 1)), 0
+        after, before, merges = [*range(1, n + 1)], [*range(-1, n - 1)], 0
         while heap:
-            r, i = divmod(heapq.heappop(heap), n)
+            x = pop(heap)
+            i, r = x & PLACES, x >> PLACE
             if current[i] != r:
                 continue  # one of the pair has been merged since
-            j = after[i]
-            symbols[i] = becomes[r]
             merges += 1
+            j = after[i]
             k = after[i] = after[j]
-            current[i] = current[j] = -1
+            current[j] = -1
+            s = symbols[i] = becomes[r]
             if k < n:
                 before[k] = i
-                new = rank.get(symbols[i] << SHIFT | symbols[k], -1)
+                new = current[i] = rank(s << SHIFT | symbols[k], -1)
                 if new >= 0:
-                    current[i] = new
-                    heapq.heappush(heap, new * n + i)
+                    push(heap, new << PLACE | i)
+            else:
+                current[i] = -1
             h = before[i]
             if h >= 0:
-                new = current[h] = rank.get(symbols[h] << SHIFT | symbols[i], -1)
+                new = current[h] = rank(symbols[h] << SHIFT | s, -1)
                 if new >= 0:
-                    heapq.heappush(heap, new * n + h)
+                    push(heap, new << PLACE | h)
         return n - merges
 
 
