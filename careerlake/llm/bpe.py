@@ -154,14 +154,14 @@ def merge_many(pieces: list[bytes], name: str = RANKS) -> list[bytes]:
 
 
 class Kept(dict):
-    """What make gives for a word, within KEPT words of up to 64 characters."""
+    """What make gives for a word, within `most` words of up to 64 characters."""
 
-    def __init__(self, make: Callable[[str], bytes | int]):
+    def __init__(self, make: Callable[[str], bytes | int], most: int = KEPT):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def room(self, n: int) -> None:
-        if len(self) + n > KEPT:
+        if len(self) + n > self.most:
             self.clear()
 
     def __missing__(self, word: str) -> bytes | int:

@@ -22,6 +22,8 @@ from careerlake.llm.bpe import PATTERN, Kept, crowded, learn
 from careerlake.llm.common import by_text, table
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
+#: Words kept with their count in a Python worker, at about 200 bytes; counts are small, so more are kept than of encodings.
+KEPT = 600_000
 SHIFT = 20
 #: Bits of a place in a pre-token; texts are shorter than 2 ** 31 bytes.
 PLACE = 32
@@ -90,9 +92,9 @@ class Counter:
     def __init__(self, name: str):
         self.merges = Merges(name)
         count = self.merges.count
-        self.pieces = Kept(count)
-        self.spaced = Kept(lambda w: sum(map(self.pieces.__getitem__, PATTERN.findall(" " + w))))
-        self.first = Kept(lambda w: sum(map(self.pieces.__getitem__, PATTERN.findall(w))))
+        self.pieces = Kept(count, KEPT)
+        self.spaced = Kept(lambda w: sum(map(self.pieces.__getitem__, PATTERN.findall(" " + w))), KEPT)
+        self.first = Kept(lambda w: sum(map(self.pieces.__getitem__, PATTERN.findall(w))), KEPT)
 
     def plain(self, text: str) -> int:
         """Tokens of a text without special ones."""
