@@ -91,7 +91,7 @@ def doc_format_risk(spark, sf_dir):
 
 
 def doc_age_bias(spark, sf_dir):
-    of = lines(docs_of(spark, sf_dir)).filter("line_no < 3")
+    of = lines(docs_of(spark, sf_dir))
     made = F.concat("line", F.expr("case when doc_id % 10 = 0 then ' date of birth 1/2/1970' when doc_id % 10 = 1 then ' age: 45' when doc_id % 10 = 2 then ' with 20+ years of experience' when doc_id % 10 = 3 then ' class of 1998, then 2020' else '' end"))
     of = of.withColumn("line", made)
     return detect.age_bias(of, of)
