@@ -98,11 +98,22 @@ def lexicon_scan(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", F.array_join(match.lexicon_skills(F.col("text"), LEXICON), ",").alias("skills"))
 
 
+def items(spark, sf_dir):
+    """Benchmark items numbered from 0 by id."""
+    return table(spark, sf_dir, "benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("item_no"), "text")
+
+
+def wanted(docs, of_items):
+    """docs with item_no: each document gets the item at the remainder of its id by the number of items."""
+    n = of_items.agg(F.count("*").alias("n_items"))
+    return docs.crossJoin(F.broadcast(n)).withColumn("item_no", F.expr("pmod(doc_id, n_items)")).drop("n_items")  # one row
+
+
 def keyword_coverage(spark, sf_dir):
-    """Skills of a benchmark item that a document has, for the item of the same number."""
-    want = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), match.lexicon_skills(F.col("text"), LEXICON).alias("want"))
-    have = docs_of(spark, sf_dir).select("doc_id", match.lexicon_skills(F.col("text"), LEXICON).alias("have"))
-    out = want.join(have, "doc_id")
+    """Skills of a benchmark item that a document has, for the item that wanted() gives it."""
+    want = items(spark, sf_dir).withColumn("want", match.lexicon_skills(F.col("text"), LEXICON)).drop("text")
+    have = wanted(docs_of(spark, sf_dir).select("doc_id", match.lexicon_skills(F.col("text"), LEXICON).alias("have")), want)
+    out = have.join(F.broadcast(want), "item_no")  # benchmark items
     return out.select("doc_id", match.coverage(F.col("have"), F.col("want")).alias("pct"), F.array_join(F.array_except("want", "have"), ",").alias("missing"))
 
 
@@ -115,10 +126,13 @@ def taxonomy_scan(spark, sf_dir):
 
 
 def jd_tailoring(spark, sf_dir):
+    """Tailoring of each document to the item that wanted() gives it; an item without skills asks for nothing."""
     known = match.variants(spark, TAXONOMY)
-    resume = match.taxonomy_skills(docs_of(spark, sf_dir), known)
-    posting = match.taxonomy_skills(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), known)
-    return match.tailoring(resume, posting)
+    docs, postings = docs_of(spark, sf_dir), items(spark, sf_dir)
+    asked = match.taxonomy_skills(postings.withColumnRenamed("item_no", "doc_id"), known).withColumnRenamed("doc_id", "item_no")
+    posting = wanted(docs.select("doc_id").distinct(), postings).join(F.broadcast(asked), "item_no").select("doc_id", "canonical", "category")  # the items' skills
+    scored = docs.select("doc_id").join(match.tailoring(match.taxonomy_skills(docs, known), posting), "doc_id", "left")
+    return scored.select("doc_id", F.coalesce("hard", F.lit(1.0)).alias("hard"), F.coalesce("soft", F.lit(1.0)).alias("soft"), F.coalesce("missing", F.lit(0)).alias("missing"))
 
 
 def fuzzy_skill_match(spark, sf_dir):

@@ -18,3 +18,13 @@ def test_all_lines_are_read(spark, tmp_path):
     assert query(spark, tmp_path, "doc_completeness") == [(1, 55.0)]
     assert query(spark, tmp_path, "doc_age_bias") == [(1, "birth", "")] * 20
     assert len(query(spark, tmp_path, "bullet_stats")) == 20
+
+
+def test_each_document_gets_an_item(spark, tmp_path):
+    docs = [(k, t, "web") for k, t in [(0, "the and"), (1, "thing"), (2, "nothing at all"), (3, "with the"), (7, "and"), (8, None)]]
+    made = {"documents": (docs, "doc_id long, text string, source string"), "benchmark": ([(5, "the thing and"), (9, "xyz"), (11, "with")], "item_id long, text string")}
+    got = query(spark, tmp_path, "keyword_coverage", **made)
+    # items by remainder: 0 and 3 get "the thing and", 1 and 7 "xyz", 2 and 8 "with"
+    assert sorted(got) == [(0, 67, "thing"), (1, None, ""), (2, 0, "with"), (3, 33, "and,thing"), (7, None, ""), (8, 0, "with")]
+    got = query(spark, tmp_path, "jd_tailoring")
+    assert sorted(got) == [(0, 0.5, 1.0, 1), (1, 1.0, 1.0, 0), (2, 1.0, 0.0, 1), (3, 0.5, 0.0, 2), (7, 1.0, 1.0, 0), (8, 1.0, 0.0, 1)]
