@@ -142,16 +142,19 @@ def contacts(of_lines: DataFrame) -> DataFrame:
 
 
 def spelling(docs: DataFrame, least: int = 20) -> DataFrame:
-    """Lower-case words that occur once and are one letter off a word of the corpus that occurs at least `least` times: doc_id, word, suggestion.
+    """Lower-case words of three letters or more that the corpus has less than `least` times and that are one letter off a word that it has at least that often: doc_id, word, suggestion, once a document.
 
     The dictionary is the corpus's own. Words are paired through the patterns with one letter masked, so there is no cross join; the
     most frequent dictionary word, then the smallest, is suggested.
     """
-    every = docs.select("doc_id", F.explode(F.regexp_extract_all(F.regexp_replace("text", dims.EMAIL, " "), F.lit("(^|[^A-Za-z])([a-z]{5,12})(?![A-Za-z])"), F.lit(2))).alias("word"))
-    counts = every.groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    every = docs.select("doc_id", F.explode(F.regexp_extract_all(F.regexp_replace("text", dims.EMAIL, " "), F.lit("(^|[^A-Za-z])([a-z]{3,})(?![A-Za-z])"), F.lit(2))).alias("word"))
+    each = every.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    counts = each.groupBy("word").agg(F.sum("n").alias("n")).withColumn("letters", F.length("word"))
     cut_out = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.overlay("word", F.lit("*"), i, F.lit(1)))).alias("pattern")
-    rare = counts.filter("n = 1").select("doc_id", "word", cut_out)
-    known = counts.filter(F.col("n") >= least).select("word", "n").select(F.col("word").alias("suggestion"), "n", cut_out)
+    dictionary = counts.filter(F.col("n") >= least)
+    # a word as long as none of the dictionary's has no pattern in common with any
+    rare = counts.filter(F.col("n") < least).join(F.broadcast(dictionary.select("letters").distinct()), "letters", "left_semi").select("word", cut_out)
+    known = dictionary.select(F.col("word").alias("suggestion"), "n", cut_out)
     best = F.min_by("suggestion", F.struct((-F.col("n")).alias("n"), "suggestion"))
-    return rare.join(known, "pattern").groupBy("doc_id", "word").agg(best.alias("suggestion"))
-
+    found = rare.join(known, "pattern").groupBy("word").agg(best.alias("suggestion"))
+    return each.select("doc_id", "word").join(found, "word").select("doc_id", "word", "suggestion")

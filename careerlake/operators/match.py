@@ -44,6 +44,15 @@ def variants(spark, skills: dict[str, tuple[str, str]] = dims.SKILLS) -> DataFra
 def grams(text: Column, most: int = 4) -> Column:
     """Distinct runs of one to four words, without the punctuation around words."""
     w = F.filter(F.transform(F.split(squeezed(text), " "), lambda x: F.regexp_replace(x, r"^[^a-z0-9]+|[^a-z0-9+#]+$", "")), lambda x: x != "")
+    return runs(w, most)
+
+
+def candidates(text: Column, most: int = 3) -> Column:
+    """Distinct runs of one to three words as they stand between blanks, of any length and script."""
+    return runs(F.filter(F.split(squeezed(text), " "), lambda x: x != ""), most)
+
+
+def runs(w: Column, most: int) -> Column:
     # the words are bound to a variable, else each run would split the text anew
     bound = F.transform(F.array(w), lambda x: F.concat(x, *(run_of(x, n) for n in range(2, most + 1))))
     return F.array_distinct(F.flatten(bound))
@@ -79,15 +88,28 @@ def similarity(a: Column, b: Column) -> Column:
     return 100.0 * 2 * lcs(a, b) / F.greatest(F.length(a) + F.length(b), F.lit(1))
 
 
+def in_order(words: Column) -> Column:
+    """The words sorted, with single blanks between."""
+    return F.array_join(F.array_sort(F.split(words, " ")), " ")
+
+
 def fuzzy(words: DataFrame, names: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
-    """word, name of distinct words that are near a name, without being it; only lengths that can reach the threshold are compared.
+    """word, name of distinct runs of words that are near a name in any order of the words, without being it.
 
-    names is a list of a taxonomy's size, so it is broadcast. Of a name's words the nearest, then the smallest, is given.
+    Only pairs whose lengths, and letters that both have, can reach the threshold are compared. names is a list of a taxonomy's size, so
+    it is broadcast. Of a name's words the nearest, then the smallest, is given.
     """
-    lw, ln = F.length("word"), F.length("name")
-    possible = 2 * F.least(lw, ln) * 100 >= conf.fuzzy_at * (lw + ln)
-    near = words.join(F.broadcast(names), possible & (F.col("word") != F.col("name"))).withColumn("score", similarity(F.col("word"), F.col("name")))
-    best = near.filter(F.col("score") >= conf.fuzzy_at).groupBy("doc_id", "name")
+    word, name = F.col("word"), F.col("name")
+    lw, ln = F.length(word), F.length(name)
+    # no common subsequence is longer than the letters of one that the other has
+    shared = lambda a, b: F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
+    reached = lambda most: 2 * most * 100 >= conf.fuzzy_at * (lw + ln)
+    possible = reached(F.least(lw, ln)) & reached(shared(word, name)) & reached(shared(name, word))
+    near = words.join(F.broadcast(names), possible & (word != name)).select("doc_id", "word", "name")
+    # the score rests on the count, else it would be computed for each row before the grouping
+    pairs = near.groupBy("word", "name").agg(F.count("*").alias("n"))
+    scored = pairs.withColumn("score", F.when(F.col("n") > 0, similarity(in_order(word), in_order(name)))).filter(F.col("score") >= conf.fuzzy_at).drop("n")
+    best = near.join(scored, ["word", "name"]).groupBy("doc_id", "name")
     return best.agg(F.min_by(F.struct("word", "score"), F.struct((-F.col("score")).alias("s"), "word")).alias("b")).select("doc_id", "name", "b.word", F.round("b.score", 2).alias("score"))
 
 

@@ -136,9 +136,9 @@ def jd_tailoring(spark, sf_dir):
 
 
 def fuzzy_skill_match(spark, sf_dir):
-    """Words near a name, misspelt ones included."""
+    """Runs of words near a name, misspelt ones included."""
     names = spark.createDataFrame([("thingtion",), ("andering",), ("theresion",)], "name string")
-    each = docs_of(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,14}"), F.lit(0)))).alias("word"))
+    each = docs_of(spark, sf_dir).select("doc_id", F.explode(match.candidates(F.col("text"))).alias("word"))
     return match.fuzzy(each, names)
 
 

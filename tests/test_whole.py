@@ -28,3 +28,23 @@ def test_each_document_gets_an_item(spark, tmp_path):
     assert sorted(got) == [(0, 67, "thing"), (1, None, ""), (2, 0, "with"), (3, 33, "and,thing"), (7, None, ""), (8, 0, "with")]
     got = query(spark, tmp_path, "jd_tailoring")
     assert sorted(got) == [(0, 0.5, 1.0, 1), (1, 1.0, 1.0, 0), (2, 1.0, 0.0, 1), (3, 0.5, 0.0, 2), (7, 1.0, 1.0, 0), (8, 1.0, 0.0, 1)]
+
+
+def test_each_misspelling_of_each_document_is_given(spark, tmp_path):
+    texts = ["house cat internationalising " * 20, "a houze cet", "a houze cet", "houze houze, internationalizing", "Houze zebra no ct"]
+    got = query(spark, tmp_path, "doc_spelling", documents=([(k, t, "web") for k, t in enumerate(texts)], "doc_id long, text string, source string"))
+    assert sorted(got) == [(1, "cet", "cat"), (1, "houze", "house"), (2, "cet", "cat"), (2, "houze", "house"), (3, "houze", "house"), (3, "internationalizing", "internationalising")]
+
+
+def test_fuzzy_matches_are_runs_of_whole_words(spark, tmp_path):
+    texts = ["x thing tion y", "and ering", "thingtionabcdefghijk", "thíngtion", "élanthingtionn", "none"]
+    got = query(spark, tmp_path, "fuzzy_skill_match", documents=([(k, t, "web") for k, t in enumerate(texts)], "doc_id long, text string, source string"))
+    assert sorted(got) == [(0, "thingtion", "thing tion", 94.74), (1, "andering", "and ering", 94.12), (3, "thingtion", "thíngtion", 88.89)]
+
+
+def test_order_of_words_and_length_of_names(spark):
+    from careerlake.operators import match
+
+    words = spark.createDataFrame([(1, "learning machin"), (2, "internationalizing"), (3, "c")], "doc_id long, word string")
+    names = spark.createDataFrame([("machine learning",), ("internationalising",)], "name string")
+    assert sorted(tuple(r) for r in match.fuzzy(words, names).collect()) == [(1, "machine learning", "learning machin", 96.77), (2, "internationalising", "internationalizing", 94.44)]
