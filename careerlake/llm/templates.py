@@ -4,8 +4,7 @@ A page is a row of tokens: tags, told apart by their path, and texts at a path.
 occurrence vector (how often it stands in each page); tokens with equal vectors form an equivalence class. A class that stands once in
 nearly all pages is the template's skeleton; classes that repeat, nested in it, make up its lists. Between the skeleton's tags lie
 slots, whose texts are the page's own, unless the text itself is in the skeleton. Of the slots, those in elements named for something
-else (menus, footers, adverts, comments and so on) go; of the others, those in an article element stay, or where there is none those
-that hold most of the text.
+else (menus, footers, adverts, comments and so on) go; of the others, those in an article element stay, or where there is none all.
 
 Vectors are compared by a fingerprint that adds up over pages, so no host is ever gathered: a host with a third of all pages is as many
 small sums as any. Exact copies of a page count once in the vectors.
@@ -33,8 +32,6 @@ from careerlake.llm.common import SLICE, by_text, cut, table
 SUPPORT, FEW = 0.9, 5
 #: Parts into which a host's tokens are dealt before those without support go.
 SALTS = 64
-#: Slots with at least this share of the largest slot's text are main text, where no element says so.
-MASS = 0.2
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|<[!?][^>]*>|<(?=[/!?a-zA-Z])[^<]*\Z""", re.S | re.I)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -214,24 +211,11 @@ def read_skeleton(skeleton: str) -> tuple[dict[int, int], frozenset[int]]:
 
 
 def main_text(page: str, skeleton: str | None) -> str:
-    order, shared = read_skeleton(skeleton or ";")
-    slot, blocks = -1, []
-    for text, token, aside, main in tokenised(page):
-        if not text:
-            if order.get(token, -1) > slot:
-                slot = order[token]
-        elif not aside:
-            blocks.append((slot, main, token in shared, text))
-    inside = [b for b in blocks if b[1]]
-    if inside:
-        # what repeats on nearly all pages isn't the article's, unless that is all there is
-        return " ".join(b[3] for b in inside if not b[2]) or " ".join(b[3] for b in inside)
-    own = [b for b in blocks if not b[2]] or blocks
-    mass: Counter = Counter()
-    for s, _, _, text in own:
-        mass[s] += len(text)
-    least = MASS * max(mass.values(), default=0)
-    return " ".join(text for s, _, _, text in own if mass[s] >= least)
+    _, shared = read_skeleton(skeleton or ";")
+    blocks = [(main, token in shared, text) for text, token, aside, main in tokenised(page) if text and not aside]
+    kept = [b for b in blocks if b[0]] or blocks
+    # what repeats on nearly all pages isn't the page's own, unless that is all there is
+    return " ".join(b[2] for b in kept if not b[1]) or " ".join(b[2] for b in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
