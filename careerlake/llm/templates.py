@@ -35,7 +35,7 @@ SALTS = 64
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|<[!?][^>]*>|<(?=[/!?a-zA-Z])[^<]*\Z""", re.S | re.I)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+MARK = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -49,16 +49,29 @@ ASIDE_WORDS = frozenset(
     "subscribe subscription toolbar widget complementary contentinfo".split()
 )
 MAIN = frozenset(("article", "main"))
-WORD = re.compile(r"[a-z]+")
+#: Elements that no class makes an aside; those whose id tells what they are about; words of those that may hold articles of their own.
+WHOLE = MAIN | {"html", "body"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ANSWERS = frozenset("comment comments disqus reply replies".split())
+#: Why an element is an aside: it isn't, by its marks, by marks that say it holds answers, by its name.
+NONE, MARKED, ANSWERED, NAMED = range(4)
+
+
+def why(words: frozenset[str]) -> int:
+    found = words & ASIDE_WORDS
+    return NONE if not found else ANSWERED if found & ANSWERS else MARKED
 
 
 @lru_cache(maxsize=20_000)
-def opened(tag: str) -> tuple[str, str, bool, bool]:
-    """Name, name with marks, whether aside, whether main, of a start tag."""
+def opened(tag: str) -> tuple[str, str, int, int, bool]:
+    """Name, name with marks, why it is an aside outside and inside an article, whether main, of a start tag. Words in marks count whole."""
     name = NAME.match(tag)[1].lower()
-    marks = " ".join(m.strip("\"'").lower() for m in MARK.findall(tag))
-    words = WORD.findall(marks)
-    return name, f"{name}.{marks}" if marks else name, name in ASIDE or not ASIDE_WORDS.isdisjoint(words), name in MAIN or "main" in words
+    found = [(k.lower(), m.strip("\"'").lower()) for k, m in MARK.findall(tag)]
+    marks = " ".join(m for _, m in found)
+    words, no_id = (frozenset(w for k, m in found if k != drop for w in m.split()) for drop in ("", "id"))
+    outside = NAMED if name in ASIDE else NONE if name in WHOLE else why(no_id if name in HEADINGS else words)
+    inside = why(no_id) if name == "section" else outside
+    return name, f"{name}.{marks}" if marks else name, outside, inside, name in MAIN or "main" in words
 
 
 @lru_cache(maxsize=50_000)
@@ -68,15 +81,18 @@ def number(token: str) -> int:
 
 def tokenised(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, or '' for a tag; number of the token; whether aside; whether main), in page order; block ends stand as texts ' '."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, aside, main
+    out: list[tuple[str, int, int, bool]] = []
+    stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, True)]  # name, path, aside, main, whether a block
+    # asides by number: the one around, why, whether an article stands before; 0 is none, 1 an element without text
+    asides: list[tuple[int, int, bool]] = [(0, NONE, False), (0, NAMED, False)]
+    articles = False
     held: list[str] = []
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            _, path, aside, main = stack[-1]
+            _, path, aside, main, _ = stack[-1]
             block = path
             out.append((text, number(f"{block}|{text}"), aside, main))
 
@@ -93,7 +109,7 @@ def tokenised(page: str) -> list[tuple[str, int, bool, bool]]:
         found = NAME.match(tag)
         if not found or m[1]:  # a comment, a declaration, or an element without text
             if m[1]:
-                out.append(("", number(f"{stack[-1][1]}>{m[1].lower()}"), True, False))
+                out.append(("", number(f"{stack[-1][1]}>{m[1].lower()}"), 1, False))
             continue
         name = found[1].lower()
         if tag[1] == "/":
@@ -103,7 +119,7 @@ def tokenised(page: str) -> list[tuple[str, int, bool, bool]]:
                 if stack[k][0] == name:
                     if name in INLINE and any(s[0] not in INLINE for s in stack[k + 1 :]):
                         break  # not closed across a block
-                    if name in INLINE and not stack[k][2]:
+                    if not stack[k][4]:
                         del stack[k:]
                     else:
                         close(k)
@@ -112,13 +128,15 @@ def tokenised(page: str) -> list[tuple[str, int, bool, bool]]:
                 if name == "p":
                     flush()
             continue
-        name, marked, aside, main = opened(tag)
+        name, marked, aside, aside_within, main = opened(tag)
+        if stack[-1][3]:
+            aside = aside_within
         if name == "br":
             held.append(" ")
         if name in INLINE and not aside:
             out_path = stack[-1]
             if not tag.endswith("/>"):
-                stack.append((name, out_path[1], out_path[2], out_path[3] or main))
+                stack.append((name, out_path[1], out_path[2], out_path[3] or main, False))
             continue
         if name in VOID:
             if name in ("hr", "img", "input"):
@@ -140,16 +158,30 @@ def tokenised(page: str) -> list[tuple[str, int, bool, bool]]:
                 break
             if stack[k][0] in WITHIN:
                 break
-        _, path, inside, within = stack[-1]
+        _, path, around, within, _ = stack[-1]
         # an article's own header holds its title
-        own = aside and not (name == "header" and within and "." not in marked)
-        out.append(("", number(f"{path}>{marked}"), inside or own, within or main))
+        if aside and not (name == "header" and within and "." not in marked):
+            asides.append((around, aside, articles))
+            around = len(asides) - 1
+        if name in MAIN:
+            # what holds an article isn't an aside for its marks, unless it holds the answers to one before
+            k = around
+            while k:
+                up, reason, after = asides[k]
+                if reason == MARKED or reason == ANSWERED and not after:
+                    asides[k] = (up, NONE, after)
+                k = up
+            articles = True
+        out.append(("", number(f"{path}>{marked}"), around, within or main))
         if not tag.endswith("/>"):
-            stack.append((name, f"{path}>{marked}", inside or own, within or main))
+            stack.append((name, f"{path}>{marked}", around, within or main, True))
     if at < len(page):
         held.append(page[at:])
     flush()
-    return out
+    gone = [False]
+    for up, reason, _ in asides[1:]:
+        gone.append(gone[up] or reason != NONE)
+    return [(text, token, gone[k], main) for text, token, k, main in out]
 
 
 def counted(pages: list[str]) -> list[tuple]:
