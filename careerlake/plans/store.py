@@ -47,8 +47,7 @@ def agreement_rate(spark, sf_dir):
 
 
 def fk_orphans(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").filter("c_custkey % 10 <> 3")
-    return relational.orphans(table(spark, sf_dir, "orders"), customers, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
+    return relational.orphans(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
 def row_scope(spark, sf_dir):
@@ -65,7 +64,7 @@ def college_semi_join(spark, sf_dir):
 
 
 def leaderboard_topk(spark, sf_dir):
-    opted = table(spark, sf_dir, "customer").filter("c_custkey % 4 <> 0")
+    opted = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
     named = opted.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     return relational.top_per_group(named, ["n_name"], [F.desc("c_acctbal"), F.asc("c_custkey")], 3).select("n_name", "c_custkey", "c_acctbal", F.col("rank").cast("long").alias("rank"))
 
@@ -121,8 +120,9 @@ PAY = "CASE WHEN {0} % 5 = 0 THEN 'Competitive' ELSE concat('₹', CAST(floor(pr
 
 
 def job_pay_sort(spark, sf_dir):
+    """All jobs, the best paid first."""
     rows = jobs(spark, sf_dir).withColumn("pay", F.expr(PAY.format("id"))).withColumn("pay_rank", board.pay_rank(F.col("pay")))
-    return rows.orderBy(F.desc("pay_rank"), "id").limit(100).select("id", "pay", "pay_rank")
+    return rows.orderBy(F.desc("pay_rank"), "id").select("id", "pay", "pay_rank")
 
 
 def job_listing(spark, sf_dir):

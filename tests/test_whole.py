@@ -48,3 +48,20 @@ def test_order_of_words_and_length_of_names(spark):
     words = spark.createDataFrame([(1, "learning machin"), (2, "internationalizing"), (3, "c")], "doc_id long, word string")
     names = spark.createDataFrame([("machine learning",), ("internationalising",)], "name string")
     assert sorted(tuple(r) for r in match.fuzzy(words, names).collect()) == [(1, "machine learning", "learning machin", 96.77), (2, "internationalising", "internationalizing", 94.44)]
+
+
+def test_all_jobs_are_sorted(spark, tmp_path):
+    parts = [(k, f"part {k}", "b", "steel", k % 50, 900.0 + k) for k in range(1, 151)]
+    got = query(spark, tmp_path, "job_pay_sort", part=(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"))
+    paid = lambda k: int(f"{900 + k}{k % 90}") if k % 5 else 0
+    assert [(r[0], r[2]) for r in got] == sorted(((k, paid(k)) for k in range(1, 151)), key=lambda x: (-x[1], x[0]))
+
+
+def test_any_customer_can_lead_and_orphans_have_no_customer(spark, tmp_path):
+    made = {
+        "customer": ([(4, 1, 90.0), (5, 1, 80.0), (8, 1, 70.0), (13, 1, 60.0), (12, 2, -5.0)], "c_custkey long, c_nationkey long, c_acctbal double"),
+        "nation": ([(1, "A"), (2, "B")], "n_nationkey long, n_name string"),
+        "orders": ([(1, 4), (2, 13), (3, 99), (4, 12)], "o_orderkey long, o_custkey long"),
+    }
+    assert sorted(query(spark, tmp_path, "leaderboard_topk", **made)) == [("A", 4, 90.0, 1), ("A", 5, 80.0, 2), ("A", 8, 70.0, 3)]
+    assert query(spark, tmp_path, "fk_orphans") == [(3, 99)]
