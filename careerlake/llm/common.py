@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -21,10 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is set (tests)."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster shares, as the session names it; a folder of one machine would not do, so there is no other."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not given:
-        given = tempfile.mkdtemp(prefix="careerlake-checkpoints-")
+        raise ValueError("spark.checkpoint.dir isn't set: name a folder there that driver and executors share")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(given)
     return given
 
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table of columns in the shared folder: smaller than a checkpoint, and read by column."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def by_text(
     df: DataFrame, schema: pa.Schema, ddl: str, fn: Callable[[list[str]], list[tuple]], keep: tuple[str, ...] = ("doc_id",), text: str = "text"
 ) -> DataFrame:

@@ -1,261 +1,328 @@
 """Main text of web pages, by the template that the pages of a host share.
 
-A page is a row of tokens: tags, told apart by their path, and texts at a path. Over the different pages of a host each token has an
-occurrence vector (how often it stands in each page); tokens with equal vectors form an equivalence class. A class that stands once in
-nearly all pages is the template's skeleton; classes that repeat, nested in it, make up its lists. Between the skeleton's tags lie
-slots, whose texts are the page's own, unless the text itself is in the skeleton. Of the slots, those in elements named for something
-else (menus, footers, adverts, comments and so on) go; of the others, those in an article element stay, or where there is none all.
-
-Vectors are compared by a fingerprint that adds up over pages, so no host is ever gathered: a host with a third of all pages is as many
-small sums as any. Exact copies of a page count once in the vectors.
+A page is a row of tokens (pages.py): elements told apart by their path, and texts. Over the different pages of a host each token has an
+occurrence vector (how often it stands in each page); tokens with equal vectors form an equivalence class. A class has support if it
+stands in nearly all pages, and is valid if its tokens come in the same order, round after round, in nearly all of them; of a class that
+isn't, the tokens that stand once a page are classes of their own. Valid classes nest by the paths of their tokens, which gives the
+template: a tree of elements with slots between their starts and ends. The texts that fill a slot tell what it is: in a page's own text
+they differ from page to page, in menus, notices, adverts and footers they are the same few, or links.
+
+The main text is what stands in the smallest element of the template that holds MOST of the characters of such slots, widened while
+that adds nothing but such slots. In it, parts whose text never changes are the template's and go, as does what its name or class says
+to be something else (comments, forms, adverts); nothing else is dropped. Where that element is the whole body, its other parts go by
+their slots. A page that lacks the element, and hosts under FEW pages, too few to compare, go by names of elements and classes alone.
+
+Vectors are fingerprints that add up over pages, so no host is ever gathered: what is collected of a host is its template, at most the
+tokens of a page / SUPPORT. Exact copies of a page count once. The tokens, a tenth of the pages, are stored; the texts are not, but read
+again at the end, which costs less than a second copy of the pages on disk.
 
 Null html counts as empty and gives text ''. A null or odd url counts as host ''. Repeated rows stay, row for row. An empty table
-gives an empty result. Other columns aren't read.
+gives an empty result. Very long pages take time and memory in proportion to their length; broken tags are read once. Ties: of equally
+common orders of a class any decides, as none then has support. Other columns aren't read.
 """
 
 from __future__ import annotations
 
-import html
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerlake.llm.common import SLICE, by_text, cut, table
+from careerlake.llm.common import SLICE, by_text, cut, table, written
+from careerlake.llm.pages import CONTAINER, END, HEADING, NONE, OUTER, PIECE, START, TEXT, Event, tokenised
 
-#: Share of a host's different pages that a skeleton token stands in; pages below which a host has no text of its own in its skeleton.
+#: Share of a host's different pages that a template token stands in; different pages below which a host has no template.
 SUPPORT, FEW = 0.9, 5
-#: Parts into which a host's tokens are dealt before those without support go.
-SALTS = 64
-
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|<[!?][^>]*>|<(?=[/!?a-zA-Z])[^<]*\Z""", re.S | re.I)
-NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-MARK = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-WITHIN = frozenset("ul ol dl table select article section div main body".split())
-#: Elements, and words in class, id or role, that say what isn't main text.
-ASIDE = frozenset("nav header footer aside form button select menu dialog head title input fieldset object canvas audio video".split())
-ASIDE_WORDS = frozenset(
-    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form header login masthead menu menubar modal nav "
-    "navbar navigation newsletter notice notification pager pagination popup promo promoted related reply replies search share sharing sidebar signup skip social sponsor sponsored "
-    "subscribe subscription toolbar widget complementary contentinfo".split()
-)
-MAIN = frozenset(("article", "main"))
-#: Elements that no class makes an aside; those whose id tells what they are about; words of those that may hold articles of their own.
-WHOLE = MAIN | {"html", "body"}
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-ANSWERS = frozenset("comment comments disqus reply replies".split())
-#: Why an element is an aside: it isn't, by its marks, by marks that say it holds answers, by its name.
-NONE, MARKED, ANSWERED, NAMED = range(4)
-
-
-def why(words: frozenset[str]) -> int:
-    found = words & ASIDE_WORDS
-    return NONE if not found else ANSWERED if found & ANSWERS else MARKED
-
-
-@lru_cache(maxsize=20_000)
-def opened(tag: str) -> tuple[str, str, int, int, bool]:
-    """Name, name with marks, why it is an aside outside and inside an article, whether main, of a start tag. Words in marks count whole."""
-    name = NAME.match(tag)[1].lower()
-    found = [(k.lower(), m.strip("\"'").lower()) for k, m in MARK.findall(tag)]
-    marks = " ".join(m for _, m in found)
-    words, no_id = (frozenset(w for k, m in found if k != drop for w in m.split()) for drop in ("", "id"))
-    outside = NAMED if name in ASIDE else NONE if name in WHOLE else why(no_id if name in HEADINGS else words)
-    inside = why(no_id) if name == "section" else outside
-    return name, f"{name}.{marks}" if marks else name, outside, inside, name in MAIN or "main" in words
-
-
-@lru_cache(maxsize=50_000)
-def number(token: str) -> int:
-    return xxhash.xxh64_intdigest(token) >> 1
-
-
-def tokenised(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, or '' for a tag; number of the token; whether aside; whether main), in page order; block ends stand as texts ' '."""
-    out: list[tuple[str, int, int, bool]] = []
-    stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, True)]  # name, path, aside, main, whether a block
-    # asides by number: the one around, why, whether an article stands before; 0 is none, 1 an element without text
-    asides: list[tuple[int, int, bool]] = [(0, NONE, False), (0, NAMED, False)]
-    articles = False
-    held: list[str] = []
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
-        if text:
-            _, path, aside, main, _ = stack[-1]
-            block = path
-            out.append((text, number(f"{block}|{text}"), aside, main))
-
-    def close(k: int) -> None:
-        flush()
-        del stack[k:]
-
-    at = 0
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        tag = m[0]
-        found = NAME.match(tag)
-        if not found or m[1]:  # a comment, a declaration, or an element without text
-            if m[1]:
-                out.append(("", number(f"{stack[-1][1]}>{m[1].lower()}"), 1, False))
-            continue
-        name = found[1].lower()
-        if tag[1] == "/":
-            if name in INLINE and not any(s[0] == name for s in stack[-4:]):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if name in INLINE and any(s[0] not in INLINE for s in stack[k + 1 :]):
-                        break  # not closed across a block
-                    if not stack[k][4]:
-                        del stack[k:]
-                    else:
-                        close(k)
-                    break
-            else:
-                if name == "p":
-                    flush()
-            continue
-        name, marked, aside, aside_within, main = opened(tag)
-        if stack[-1][3]:
-            aside = aside_within
-        if name == "br":
-            held.append(" ")
-        if name in INLINE and not aside:
-            out_path = stack[-1]
-            if not tag.endswith("/>"):
-                stack.append((name, out_path[1], out_path[2], out_path[3] or main, False))
-            continue
-        if name in VOID:
-            if name in ("hr", "img", "input"):
-                flush() if name == "hr" else None
-            continue
-        flush()
-        while len(stack) > 1 and stack[-1][0] in INLINE:  # a block ends what is open in the line
-            stack.pop()
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in WITHIN:
-                    break
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in SAME.get(name, ()):
-                close(k)
-                break
-            if stack[k][0] in WITHIN:
-                break
-        _, path, around, within, _ = stack[-1]
-        # an article's own header holds its title
-        if aside and not (name == "header" and within and "." not in marked):
-            asides.append((around, aside, articles))
-            around = len(asides) - 1
-        if name in MAIN:
-            # what holds an article isn't an aside for its marks, unless it holds the answers to one before
-            k = around
-            while k:
-                up, reason, after = asides[k]
-                if reason == MARKED or reason == ANSWERED and not after:
-                    asides[k] = (up, NONE, after)
-                k = up
-            articles = True
-        out.append(("", number(f"{path}>{marked}"), around, within or main))
-        if not tag.endswith("/>"):
-            stack.append((name, f"{path}>{marked}", around, within or main, True))
-    if at < len(page):
-        held.append(page[at:])
-    flush()
-    gone = [False]
-    for up, reason, _ in asides[1:]:
-        gone.append(gone[up] or reason != NONE)
-    return [(text, token, gone[k], main) for text, token, k, main in out]
-
-
-def counted(pages: list[str]) -> list[tuple]:
-    """Of each page its number, and its tokens with how often they stand and where first."""
-    rows = []
-    for p in pages:
-        tokens, seen, texts = Counter(), {}, set()
-        for k, (text, token, _, _) in enumerate(tokenised(p)):
-            tokens[token] += 1
-            seen.setdefault(token, k)
-            if text:
-                texts.add(token)
-        rows.append((xxhash.xxh64_intdigest(p) >> 1, [{"token": t, "times": n, "at": seen[t], "is_text": t in texts} for t, n in tokens.items()]))
-    return rows
-
-
-TOKEN = pa.struct([("token", pa.int64()), ("times", pa.int32()), ("at", pa.int32()), ("is_text", pa.bool_())])
-COUNTED = pa.schema([("page", pa.int64()), ("tokens", pa.list_(TOKEN))])
-COUNTED_DDL = "page long, tokens array<struct<token:long,times:int,at:int,is_text:boolean>>"
+#: Share of the characters of a host's own texts that the main element holds; texts of a slot, as a share of the slot with most, from which it counts as own.
+MOST, OWN = 0.6, 0.5
+#: Parts into which a host's tokens or pages are dealt.
+SALTS = 32
+#: Bytes of templates that are broadcast; with more, pages are joined with them by shuffles.
+BROADCAST = 32 << 20
+ROOT = 0
+
+COUNTED = pa.struct([("token", pa.int64()), ("times", pa.int32()), ("parent", pa.int64()), ("kind", pa.int32())])
+FILLED = pa.struct([("at", pa.int32()), ("hash", pa.int64()), ("chars", pa.int32()), ("links", pa.int32())])
+RECORD = pa.schema([("page", pa.int64()), ("tokens", pa.list_(pa.int64())), ("starts", pa.list_(COUNTED)), ("texts", pa.list_(FILLED))])
+RECORD_DDL = "page long, tokens array<long>, starts array<struct<token:long,times:int,parent:long,kind:int>>, texts array<struct<at:int,hash:long,chars:int,links:int>>"
+
+
+def text_hash(text: str | bytes) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
+def record(page: str) -> tuple:
+    """A page's hash, its tokens in order (ends negative), how often each starts, and what its texts are, by the number of tokens before them."""
+    tokens, starts, texts = [], {ROOT: [1, -1, OUTER]}, []
+    for e in tokenised(page)[0]:
+        if e.what == TEXT:
+            texts.append({"at": len(tokens), "hash": text_hash(e.text), "chars": len(e.text), "links": e.links})
+        else:
+            tokens.append(e.token if e.what == START else -e.token)
+            if e.what == START:
+                starts.setdefault(e.token, [0, e.parent, e.kind])[0] += 1
+    return text_hash(page), tokens, [{"token": t, "times": n, "parent": p, "kind": k} for t, (n, p, k) in starts.items()], texts
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """host, and the record of each different page of it."""
+    source = pages.select("host", F.coalesce("html", F.lit("")).alias("html"))
+    rows = by_text(source, RECORD, RECORD_DDL, lambda texts: list(map(record, texts)), ("host",), "html")
+    return written(rows.groupBy("host", "page").agg(*(F.first(c).alias(c) for c in ("tokens", "starts", "texts"))))
 
 
 def with_host(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.coalesce(F.lower(F.expr("try_parse_url(url, 'HOST')")), F.lit("")))
 
 
-def classes(pages: DataFrame) -> DataFrame:
-    """host, token, class (number of the equivalence class), n_pages, repeats, place, is_text, host_pages of the tokens with support."""
-    source = pages.select("host", F.coalesce("html", F.lit("")).alias("html"))
-    rows = by_text(source, COUNTED, COUNTED_DDL, counted, ("host",), "html")
-    each = rows.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
-    once = each.groupBy("host", "token", "page").agg(F.max("times").alias("times"), F.max("at").alias("at"), F.max("is_text").alias("is_text"))  # copies of a page are one
-    vectors = once.groupBy("host", "token").agg(
+def supported(rows: DataFrame) -> DataFrame:
+    """host, token, class, once, parent, kind, host_pages of tokens with support, of hosts with FEW pages or more."""
+    each = rows.select("host", "page", F.explode("starts").alias("t")).select("host", "page", "t.*")
+    vectors = each.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page", "times")).alias("vector"),
         F.count("*").alias("n_pages"),
         F.sum("times").alias("times"),
-        F.avg("at").alias("place"),
-        F.max("is_text").alias("is_text"),
+        F.max("parent").alias("parent"),
+        F.max("kind").alias("kind"),
     )
-    # every page has the token of its end, so its count is that of the host's different pages
-    sizes = rows.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_pages"))
+    sizes = vectors.filter(F.col("token") == ROOT).select("host", F.col("n_pages").alias("host_pages")).filter(F.col("host_pages") >= FEW)
     # most tokens of a large host go here, so they are dealt by host and token
     spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    with_size = vectors.withColumn("salt", F.pmod("token", F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"]).filter(F.col("n_pages") >= F.lit(SUPPORT) * F.col("host_pages"))
-    return with_size.select("host", "token", F.xxhash64("vector", "n_pages", "times").alias("class"), "n_pages", (F.col("times") > F.col("n_pages")).alias("repeats"), "place", "is_text", "host_pages")
+    found = vectors.withColumn("salt", F.pmod("token", F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"]).filter(F.col("n_pages") >= F.lit(SUPPORT) * F.col("host_pages"))
+    return found.select("host", "token", F.xxhash64("vector", "n_pages", "times").alias("class"), (F.col("times") == F.col("n_pages")).alias("once"), "parent", "kind", "host_pages")
+
 
+def joined_by_host(rows: DataFrame, per_host: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """rows with the string `template` of their host, or null; hosts are dealt in SALTS parts where the strings are too large to broadcast."""
+    if (per_host.agg(F.sum(F.octet_length("template") + F.octet_length("host"))).first()[0] or 0) <= most:
+        return rows.join(F.broadcast(per_host), "host", "left")
+    salted = per_host.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, ["host", "__salt"], "left").drop("__salt")
 
-def skeletons(found: DataFrame) -> DataFrame:
-    """host, skeleton: its tags in order and its texts, as a string; at most the tokens of a page / SUPPORT, however many pages."""
-    firm = found.filter(~F.col("repeats") & (~F.col("is_text") | (F.col("host_pages") >= FEW)))
-    ordered = firm.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("is_text", "place", "token"))).alias("all"))
-    line = lambda text: F.array_join(F.transform(F.filter("all", lambda t: t["is_text"] if text else ~t["is_text"]), lambda t: t["token"].cast("string")), ",")
-    return ordered.select("host", F.concat(line(False), F.lit(";"), line(True)).alias("skeleton"))
+
+def lines_of(found: DataFrame, *columns: str) -> DataFrame:
+    """host, template: a line of numbers for each row of found."""
+    line = F.concat_ws(" ", *(F.col(c).cast("long").cast("string") for c in columns))
+    return found.groupBy("host").agg(F.concat_ws("\n", F.array_sort(F.collect_list(line))).alias("template"))
 
 
 @lru_cache(maxsize=500)
-def read_skeleton(skeleton: str) -> tuple[dict[int, int], frozenset[int]]:
-    tags, _, texts = skeleton.partition(";")
-    return {int(t): k for k, t in enumerate(x for x in tags.split(",") if x)}, frozenset(int(t) for t in texts.split(",") if t)
+def numbers_of(template: str) -> tuple[tuple[int, ...], ...]:
+    return tuple(tuple(map(int, line.split(" "))) for line in template.split("\n") if line)
 
 
-def main_text(page: str, skeleton: str | None) -> str:
-    _, shared = read_skeleton(skeleton or ";")
-    blocks = [(main, token in shared, text) for text, token, aside, main in tokenised(page) if text and not aside]
-    kept = [b for b in blocks if b[0]] or blocks
-    # what repeats on nearly all pages isn't the page's own, unless that is all there is
-    return " ".join(b[2] for b in kept if not b[1]) or " ".join(b[2] for b in kept)
+def each_page(rows: DataFrame, columns: list[str], schema: pa.Schema, ddl: str, fn: Callable[..., list[tuple]]) -> DataFrame:
+    """host and the rows that fn makes of template and the columns of each row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                part = whole.slice(at, SLICE)
+                made = [(host, *row) for host, template, *rest in zip(*(c.to_pylist() for c in part.columns)) if template for row in fn(template, *rest)]
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(v), type=f.type) for v, f in zip(zip(*made), schema)], schema=schema)
+
+    return rows.select("host", "template", *columns).mapInArrow(run, ddl)
+
+
+def orders(template: str, tokens: list[int]) -> list[tuple[int, int]]:
+    """Of each class of more tokens than one in a page: its order, as a number above 0, or 0 where the page doesn't have them round after round."""
+    class_of = {token: c for token, c in numbers_of(template)}
+    rounds: dict[int, list[int]] = {}
+    for t in tokens:
+        if t in class_of:
+            rounds.setdefault(class_of[t], []).append(t)
+    out = []
+    for c, seen in rounds.items():
+        k = len(set(seen))
+        out.append((c, text_hash(str(seen[:k])) + 1 if len(seen) % k == 0 and seen == seen[:k] * (len(seen) // k) else 0))
+    return out
+
+
+def anchored(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """found with `anchor`: whether the token is of a valid class, or by itself once a page."""
+    sizes = found.groupBy("host", "class").agg(F.count("*").alias("size"))
+    many = found.join(sizes.filter("size > 1"), ["host", "class"], "left_semi")
+    schema = pa.schema([("host", pa.string()), ("class", pa.int64()), ("order", pa.int64())])
+    seen = each_page(joined_by_host(rows.select("host", "tokens"), lines_of(many, "token", "class")), ["tokens"], schema, "host string, class long, order long", orders)
+    counts = seen.groupBy("host", "class", "order").agg(F.count("*").alias("n"))
+    best = counts.groupBy("host", "class").agg(F.max(F.struct("n", "order")).alias("best"), F.sum("n").alias("n"))
+    valid = best.filter((F.col("best.order") != 0) & (F.col("best.n") >= F.lit(SUPPORT) * F.col("n"))).select("host", "class", F.lit(True).alias("valid"))
+    return found.join(valid, ["host", "class"], "left").withColumn("anchor", F.coalesce("valid", F.lit(False)) | F.col("once")).drop("valid")
+
+
+def fillings(template: str, tokens: list[int], texts: list[dict]) -> list[tuple[int, int, int, int]]:
+    """Of each slot with text in a page: the anchor's start or (negative) end before it, hash of its texts, their characters, and those in links."""
+    anchors = {t for (t,) in numbers_of(template)}
+    found: dict[int, list[int]] = {}
+    slot = k = 0
+    for text in texts:
+        while k < text["at"]:
+            if abs(tokens[k]) in anchors:
+                slot = tokens[k]
+            k += 1
+        had = found.setdefault(slot, [0, 0, 0])
+        had[0], had[1], had[2] = text_hash(f"{had[0]} {text['hash']}"), had[1] + text["chars"], had[2] + text["links"]
+    return [(s, *v) for s, v in found.items()]
+
+
+def slots(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """host, slot, texts (different ones), chars, links."""
+    schema = pa.schema([("host", pa.string()), ("slot", pa.int64()), ("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())])
+    each = each_page(joined_by_host(rows.select("host", "tokens", "texts"), lines_of(anchors, "token")), ["tokens", "texts"], schema, "host string, slot long, hash long, chars long, links long", fillings)
+    different = each.groupBy("host", "slot", "hash").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    return different.groupBy("host", "slot").agg(F.count("*").alias("texts"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+
+
+class Slot(NamedTuple):
+    element: int
+    own: bool
+    texts: int
+    chars: int
+
+
+def chosen(nodes: tuple[tuple[int, ...], ...], filled: tuple[tuple[int, ...], ...]) -> str | None:
+    """The main element, and the elements and slots in it that go, and headings outside of it that stay, as lines; None where the slots tell nothing.
+
+    nodes: token, parent, kind, once, anchor of the template; filled: slot, texts, chars, links.
+    """
+    parent, kind = {t: p for t, p, *_ in nodes}, {t: k for t, _, k, *_ in nodes}
+    once, anchors = {t for t, _, _, o, _ in nodes if o}, {t for t, *_, a in nodes if a}
+
+    def line(t: int) -> list[int]:
+        """A token and those around it."""
+        out = []
+        while t in parent:
+            out.append(t)
+            t = parent[t]
+        return out
+
+    most = max((texts for _, texts, _, _ in filled), default=0)
+    if most < 2:
+        return None
+    found: dict[int, Slot] = {}
+    for slot, texts, chars, links in filled:
+        at = slot if slot >= 0 else next((t for t in line(parent[-slot]) if t in anchors), ROOT)
+        found[slot] = Slot(at, texts >= OWN * most and 2 * links <= chars, texts, chars)
+    inside: dict[int, list[int]] = {}
+    for slot, s in found.items():
+        for t in line(s.element):
+            inside.setdefault(t, []).append(slot)
+    mass = {t: sum(found[s].chars for s in all_ if found[s].own) for t, all_ in inside.items()}
+    whole = sum(s.chars for s in found.values() if s.own)
+    may = [t for t in inside if t in once and kind[t] in (CONTAINER, OUTER, PIECE) and mass[t] >= MOST * whole]
+    main = max(may, key=lambda t: (len(line(t)), t), default=ROOT)
+    up = main
+    while kind.get(up) != OUTER and (up := parent.get(up, ROOT)) in inside and kind[up] != OUTER:
+        more = [s for s in inside[up] if s not in inside[main]]
+        if not all(found[s].own for s in more):
+            break
+        if more:
+            main = up
+    outer = kind.get(main, OUTER) == OUTER
+    within = inside.get(main, [])
+    template = lambda s: not s.own if outer else s.texts == 1
+    gone = [t for t in inside if kind[t] == CONTAINER and t != main and main in line(t) and all(template(found[s]) for s in inside[t])]
+    gone_slots = [s for s in within if outer and not found[s].own and kind.get(found[s].element) != HEADING]
+    stay = [] if any(kind.get(found[s].element) == HEADING for s in within) else [found[s].element for s in found if found[s].own and kind.get(found[s].element) == HEADING and s not in within]
+    return "\n".join(" ".join(map(str, x)) for x in ([main], sorted(gone), sorted(gone_slots), sorted(set(stay)), sorted(anchors) if gone_slots else []))
+
+
+def regions(found: DataFrame, filled: DataFrame) -> DataFrame:
+    """host, template: what chosen() says of the host."""
+    nodes = lines_of(found, "token", "parent", "kind", "once", "anchor").withColumnRenamed("template", "nodes")
+    both = nodes.join(lines_of(filled, "slot", "texts", "chars", "links"), "host").select("host", "nodes", "template")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [chosen(numbers_of(n), numbers_of(t)) for n, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["host", "template"])
+
+    return both.mapInArrow(run, "host string, template string").filter("template IS NOT NULL")
+
+
+class Region(NamedTuple):
+    main: int
+    gone: frozenset[int]
+    gone_slots: frozenset[int]
+    headings: frozenset[int]
+    anchors: frozenset[int]
 
-def extract(pages: DataFrame) -> DataFrame:
+
+@lru_cache(maxsize=500)
+def region(template: str) -> Region:
+    main, *rest = ([int(x) for x in line.split(" ") if x] for line in template.split("\n"))
+    return Region(main[0], *map(frozenset, rest))
+
+
+def by_names(events: list[Event], asides: list[tuple[int, int, bool]]) -> list[str]:
+    """Texts outside of asides: those in articles, or where there is none all."""
+    gone = [False]
+    for up, reason, _ in asides[1:]:
+        gone.append(gone[up] or reason != NONE)
+    kept = [(e.main, e.text) for e in events if e.what == TEXT and not gone[e.aside]]
+    return [text for main, text in kept if main] or [text for _, text in kept]
+
+
+def by_template(r: Region, events: list[Event], asides: list[tuple[int, int, bool]]) -> list[str] | None:
+    """Texts in the main element; None where the page hasn't got it."""
+    out, headings, depth, dropped, slot, around, seen = [], [], 0, 0, 0, 0, r.main == ROOT
+    heading = 0
+    if seen:
+        depth = 1
+
+    def aside(k: int) -> bool:
+        """Whether an aside that stands in the main element holds it."""
+        while k and k != around:
+            up, reason, _ = asides[k]
+            if reason != NONE:
+                return True
+            k = up
+        return False
+
+    for e in events:
+        if e.what == TEXT:
+            if depth and not dropped and slot not in r.gone_slots and not aside(e.aside):
+                out.append(e.text)
+            elif heading and not seen:
+                headings.append(e.text)
+            continue
+        step = 1 if e.what == START else -1
+        if e.token == r.main:
+            if step > 0 and not depth:
+                around = e.aside
+            depth, seen = depth + step, True
+        elif e.token in r.gone:
+            dropped += step
+        elif e.token in r.headings:
+            heading += step
+        if e.token in r.anchors:
+            slot = step * e.token
+    return headings + out if seen else None
+
+
+def main_text(page: str, template: str | None) -> str:
+    events, asides = tokenised(page)
+    found = by_template(region(template), events, asides) if template else None
+    return " ".join(by_names(events, asides) if found is None else found)
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, template of the hosts of pages (host, html) with FEW different pages or more."""
+    rows = records(pages)
+    found = cut(anchored(rows, cut(supported(rows))))
+    return cut(regions(found, slots(rows, found.filter("anchor"))))
+
+
+def extract(pages: DataFrame, use_templates: bool = True, broadcast: int = BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars of each row."""
     hosted = with_host(pages.select("page_id", "url", "html"))
-    templates = cut(skeletons(classes(hosted)))
-    # only the pages are large; a host with many is split by adaptive execution
-    joined = hosted.join(templates, "host", "left").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "skeleton")
+    joined = joined_by_host(hosted, templates(hosted), broadcast) if use_templates else hosted.withColumn("template", F.lit(None).cast("string"))
+    joined = joined.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
