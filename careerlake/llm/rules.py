@@ -1,16 +1,20 @@
 """Quality rules under weak supervision.
 
-Rules vote for a text, against it or abstain. Expectation-maximisation over the counts of vote patterns of the whole corpus
-estimates how each rule votes on good and on bad texts; the posterior of each pattern gives the verdict. The patterns are at most
-3 ** len(RULES), whatever the corpus, so their counts may go to the driver.
-
-A null text counts as empty and has no words, so that base_failed holds. Equal texts get equal verdicts; repeated rows stay.
-An empty table gives an empty result. Other columns are not read.
+Rules vote for a text, against it or abstain. Expectation-maximisation over the counts of vote patterns of the whole corpus estimates the
+share of good texts and, of each rule, how often it votes against good and against bad texts; the posterior of each pattern gives the
+verdict, so that rules which agree with the others weigh more than one that stands alone. Texts that fail the base rules have lost
+already and don't take part in the estimate: most of them repeat themselves, and three rules see that, so they would make up the bad
+class by themselves. The patterns are at most 3 ** len(RULES), whatever the corpus, so their counts may go to the driver.
+
+A null text counts as empty and has no words, so that base_failed holds. Equal texts get equal verdicts; repeated rows stay. A
+posterior of exactly 0.5 keeps a text. Very long texts are read whole, in time and memory in proportion to their length; no rule's
+measure falls or rises with length. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from itertools import chain, count
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,16 +24,16 @@ from pyspark.sql import functions as F
 
 from careerlake.llm.common import by_text, cut, table
 
-WINDOW = 8
+WINDOW, BLOCK = 8, 50
 LEAST_WORDS, MOST_REPEATED = 20, 30  # words; hundredths of the words
 STATS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_distinct", "n_capitals", "n_letters", "n_marks",
+    "n_lines", "n_distinct", "n_capitals", "n_letters", "n_marks", "n_local", "n_ascii",
 )
 SCHEMA = pa.schema([(name, pa.int64()) for name in STATS])
 DDL = ", ".join(f"{name} long" for name in STATS)
 
-SYMBOLS, CAPITALS, MARKS = b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?"
+SYMBOLS, CAPITALS, MARKS, VISIBLE = b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?", bytes(range(0x21, 0x7F))
 LETTERS = CAPITALS + CAPITALS.lower()
 
 
@@ -59,14 +63,15 @@ def repeated_words(words: list[list[bytes]]) -> np.ndarray:
 
 
 def text_stats(texts: list[str]) -> list[tuple[int, ...]]:
-    """The numbers STATS of each text."""
+    """The numbers STATS of each text. n_local adds up the different words of each BLOCK words, n_ascii counts the visible ASCII characters."""
     rows, all_words = [], []
     for t in texts:
         data = t.encode()
         words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
         less = lambda drop, data=data: len(data) - len(data.translate(None, drop))
         blanks = less(b" \t\n\x0b\x0c\r")
-        rows.append((len(words), len(t) - blanks, less(SYMBOLS), len(lines) - len(set(lines)), len(lines), len(set(words)), less(CAPITALS), less(LETTERS), less(MARKS)))
+        local = sum(len(set(words[i : i + BLOCK])) for i in range(0, len(words), BLOCK))
+        rows.append((len(words), len(t) - blanks, less(SYMBOLS), len(lines) - len(set(lines)), len(lines), len(set(words)), less(CAPITALS), less(LETTERS), less(MARKS), local, less(VISIBLE)))
         all_words.append(words)
     return [(*r[:4], again, *r[4:]) for r, again in zip(rows, repeated_words(all_words).tolist())]
 
@@ -84,22 +89,24 @@ def rules() -> dict[str, tuple[Column, Column]]:
     n = F.greatest(F.col("n_words"), F.lit(1))
     share = lambda name, of=n: F.col(name) / of
     length, repeats, symbols = share("word_chars"), share("n_repeat_words"), share("n_symbols")
-    twins, variety = share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))), share("n_distinct")
+    twins, variety = share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))), share("n_local")
     loud, marks = share("n_capitals", F.greatest(F.col("n_letters"), F.lit(1))), share("n_marks")
+    letters, latin = share("n_letters", F.greatest(F.col("n_ascii"), F.lit(1))), 2 * F.col("n_ascii") > F.col("word_chars")
     return {
         "enough_words": (n >= 50, n < LEAST_WORDS),
-        "word_length": (length.between(3.5, 7.5), (length < 2.5) | (length > 9.5)),
+        "word_length": (length.between(4, 6.5), (length < 3.5) | (length > 7.2)),
         "few_symbols": (symbols < 0.02, symbols > 0.1),
-        "few_repeats": (repeats < 0.2, repeats > 0.3),
-        "own_lines": ((twins < 0.05) & (F.col("n_lines") > 2), (twins > 0.4) & (F.col("n_lines") > 3)),
-        "varied_words": ((n >= 30) & (variety > 0.4), (n >= 30) & (n <= 5000) & (variety < 0.25)),
-        "calm_case": (loud < 0.1, (loud > 0.3) & (n >= 5)),
+        "few_repeats": (repeats < 0.05, repeats > 0.15),
+        "own_lines": ((twins < 0.05) & (F.col("n_lines") > 2), (twins > 0.3) & (F.col("n_lines") > 3)),
+        "varied_words": ((n >= 30) & (variety > 0.8), (n >= 30) & (variety < 0.6)),
+        "calm_case": (loud < 0.06, (loud > 0.3) & (n >= 5)),
         "few_marks": (marks < 0.05, marks > 0.2),
+        "mostly_letters": (latin & (letters > 0.93), latin & (letters < 0.9)),
     }
 
 
 #: Rules in order; the votes of a text are digits in base 3: 0 abstains, 1 against, 2 for.
-RULES = ("enough_words", "word_length", "few_symbols", "few_repeats", "own_lines", "varied_words", "calm_case", "few_marks")
+RULES = ("enough_words", "word_length", "few_symbols", "few_repeats", "own_lines", "varied_words", "calm_case", "few_marks", "mostly_letters")
 
 
 def pattern() -> Column:
@@ -110,34 +117,59 @@ def pattern() -> Column:
     return out.cast("int")
 
 
-def estimate(counts: dict[int, int], rounds: int = 100, prior: float = 0.8, floor: float = 0.001, ceiling: float = 0.005) -> dict[int, float]:
-    """Posterior probability of good by vote pattern.
+class Belief(NamedTuple):
+    """Beta priors (votes against and for, as counts seen before): of rules on good texts, of rules on bad texts, and of good and bad texts."""
 
-    Only votes count, not abstentions. What is known of the rules bounds the estimates: a rule is wrong on a good text between floor and
-    ceiling of its votes, and votes against bad texts no less often. Votes for a text mostly say the same, that nothing is wrong with
-    it, so their evidence is averaged. Without these bounds the most likely bad class is that of the three rules on repetition, which
-    agree with each other. The prior share of good texts is a parameter and anchors the classes.
-    """
+    good: tuple[float, float] = (1, 19)
+    bad: tuple[float, float] = (2, 2)
+    share: tuple[float, float] = (9, 1)
+
+
+class Model(NamedTuple):
+    """Share of good texts, and of the votes of each rule on good and on bad texts the share against."""
+
+    share: float
+    good: np.ndarray
+    bad: np.ndarray
+
+
+def votes_of(codes: np.ndarray, n_rules: int) -> tuple[np.ndarray, np.ndarray]:
+    """Votes against and for, a row for each pattern."""
+    votes = codes[:, None] // 3 ** np.arange(n_rules) % 3
+    return (votes == 1).astype(float), (votes == 2).astype(float)
+
+
+def believed(model: Model, codes: np.ndarray) -> np.ndarray:
+    """Posterior probability of good by vote pattern; only votes count, not abstentions."""
+    against, favour = votes_of(codes, len(model.good))
+    logit = np.log(model.share / (1 - model.share)) + against @ np.log(model.good / model.bad) + favour @ np.log((1 - model.good) / (1 - model.bad))
+    return 1 / (1 + np.exp(-logit.clip(-500, 500)))
+
+
+def estimate(counts: dict[int, float], n_rules: int = len(RULES), belief: Belief = Belief(), rounds: int = 500, close: float = 1e-10) -> Model:
+    """The likeliest model of the counts of vote patterns, by expectation-maximisation from the means of the priors, which say which class is the good one."""
+    model = Model(belief.share[0] / sum(belief.share), np.full(n_rules, belief.good[0] / sum(belief.good)), np.full(n_rules, belief.bad[0] / sum(belief.bad)))
     if not counts:
-        return {}
+        return model
     codes = np.array(sorted(counts))
     weight = np.array([counts[c] for c in codes.tolist()], float)
-    votes = codes[:, None] // 3 ** np.arange(len(RULES)) % 3
-    against, favour = (votes == 1).astype(float), (votes == 2).astype(float)
-    bad_if_good, bad_if_bad = np.full(len(RULES), 0.005), np.full(len(RULES), 0.25)
-    posterior = np.zeros(len(codes))
+    against, favour = votes_of(codes, n_rules)
+    before = None
     for _ in range(rounds):
-        logit = np.log(prior / (1 - prior)) + against @ np.log(bad_if_good / bad_if_bad) + favour @ np.log((1 - bad_if_good) / (1 - bad_if_bad)) / np.maximum(favour.sum(1), 1)
-        posterior = 1 / (1 + np.exp(-logit.clip(-50, 50)))
-        good, bad = weight * posterior, weight * (1 - posterior)
-        bad_if_good = ((good @ against) / (good @ (against + favour) + 1)).clip(floor, ceiling)
-        bad_if_bad = np.maximum((bad @ against + 1) / (bad @ (against + favour) + 2), bad_if_good)
-    return dict(zip(codes.tolist(), posterior.tolist()))
+        posterior = believed(model, codes)
+        if before is not None and np.abs(posterior - before).max() < close:
+            break
+        before, good, bad = posterior, weight * posterior, weight * (1 - posterior)
+        share = lambda w, prior: (w @ against + prior[0]) / (w @ (against + favour) + sum(prior))
+        model = Model(float((good.sum() + belief.share[0]) / (weight.sum() + sum(belief.share))), share(good, belief.good), share(bad, belief.bad))
+    return model
 
 
 def posteriors(numbers: DataFrame) -> dict[int, float]:
     """By the vote patterns of all rows of stats()."""
-    return estimate({r["votes"]: r["n"] for r in numbers.groupBy(pattern().alias("votes")).agg(F.count("*").alias("n")).collect()})
+    seen = numbers.groupBy(pattern().alias("votes")).agg(F.count("*").alias("n"), F.count_if(~base_failed()).alias("n_left")).collect()
+    model, codes = estimate({r["votes"]: r["n_left"] for r in seen if r["n_left"]}), np.array([r["votes"] for r in seen], int)
+    return dict(zip(codes.tolist(), believed(model, codes).tolist()))
 
 
 def with_posterior(numbers: DataFrame, found: dict[int, float]) -> DataFrame:

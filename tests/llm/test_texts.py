@@ -88,10 +88,74 @@ def test_rule_rows(odd, odd_rows, none):
     assert not any(r["kept"] and r["base_failed"] for r in rules.quality_rules(odd).collect())
 
 
-def test_posterior_sides_with_the_votes():
-    good, bad = sum(2 * 3**k for k in range(8)), sum(3**k for k in range(8))
-    found = rules.estimate({good: 800, bad: 200})
-    assert found[good] > 0.9 and found[bad] < 0.1 and rules.estimate({}) == {}
+def plain_em(votes, rounds):
+    """votes: a list of (votes of each rule: None, False against, True for)."""
+    k = len(votes[0])
+    pi, good, bad = 0.9, [0.05] * k, [0.5] * k
+    for _ in range(rounds):
+        post = []
+        for v in votes:
+            g, b = pi, 1 - pi
+            for x, p, q in zip(v, good, bad):
+                if x is not None:
+                    g, b = g * (1 - p if x else p), b * (1 - q if x else q)
+            post.append(g / (g + b))
+        pi = (sum(post) + 9) / (len(votes) + 10)
+        good = [(sum(p for v, p in zip(votes, post) if v[j] is False) + 1) / (sum(p for v, p in zip(votes, post) if v[j] is not None) + 20) for j in range(k)]
+        bad = [(sum(1 - p for v, p in zip(votes, post) if v[j] is False) + 2) / (sum(1 - p for v, p in zip(votes, post) if v[j] is not None) + 4) for j in range(k)]
+    return pi, good, bad
+
+
+def drawn(r, n, share, good, bad, abstain=0.2):
+    out = []
+    for _ in range(n):
+        is_good = r.random() < share
+        out.append((is_good, [None if r.random() < abstain else r.random() >= (g if is_good else b) for g, b in zip(good, bad)]))
+    return out
+
+
+def coded(votes):
+    counts = {}
+    for v in votes:
+        code = sum((0 if x is None else 2 if x else 1) * 3**j for j, x in enumerate(v))
+        counts[code] = counts.get(code, 0) + 1
+    return counts
+
+
+def test_em_is_brute_force():
+    votes = [v for _, v in drawn(random.Random(1), 300, 0.7, [0.1, 0.2, 0.05, 0.3], [0.8, 0.6, 0.7, 0.5])]
+    for rounds in (1, 2, 7, 30):
+        model, want = rules.estimate(coded(votes), 4, rounds=rounds, close=0), plain_em(votes, rounds)
+        assert np.allclose(model.share, want[0]) and np.allclose(model.good, want[1]) and np.allclose(model.bad, want[2])
+
+
+def test_em_recovers_accuracies_and_beats_all_must_pass():
+    good, bad = [0.02, 0.1, 0.05, 0.2, 0.15, 0.01], [0.7, 0.8, 0.6, 0.5, 0.9, 0.4]
+    texts = drawn(random.Random(2), 40_000, 0.85, good, bad)
+    model = rules.estimate(coded(v for _, v in texts), 6)
+    assert abs(model.share - 0.85) < 0.02 and np.abs(model.good - good).max() < 0.02 and np.abs(model.bad - bad).max() < 0.05
+    codes = np.array([next(iter(coded([v]))) for _, v in texts])
+    kept, truth, pass_all = rules.believed(model, codes) >= 0.5, np.array([g for g, _ in texts]), np.array([False not in v for _, v in texts])
+    assert (kept == truth).mean() > 0.95 > (pass_all == truth).mean() + 0.1
+    assert (kept & ~pass_all).any()
+    # a rule that mostly votes against good texts too counts for nothing, and many abstentions leave the prior
+    assert rules.believed(model, np.array([0]))[0] == pytest.approx(model.share)
+
+
+def test_estimate_of_nothing_is_the_prior():
+    model = rules.estimate({})
+    assert model.share == 0.9 and set(model.good) == {0.05} and set(model.bad) == {0.5}
+
+
+def test_verdicts_agree_with_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = rules.with_posterior(rules.stats(docs), rules.posteriors(rules.stats(docs, ()))).withColumn("base_failed", rules.base_failed())
+    rows = rows.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("NOT base_failed").toPandas()
+    votes = rules.votes_of(rows.votes.to_numpy(), len(rules.RULES))[0].sum(1) == 0
+    kept, good = rows.posterior.to_numpy() >= 0.5, rows.quality.to_numpy() == 1
+    assert (kept == good).mean() >= (votes == good).mean() and (kept & ~votes).any(), ((kept == good).mean(), (votes == good).mean())
+    assert kept[good].mean() > 0.99 and kept[~good].mean() < 0.05
 
 
 # ------------------------------------------------------------ secrets
