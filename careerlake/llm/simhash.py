@@ -4,10 +4,11 @@ Fingerprints within BUDGET differing bits agree in one of three blocks of 21 bit
 turned so that this block stands first, is joined with itself: node pairs start equal below the block, descend together and are
 dropped once they differ in more than BUDGET bits; pairs with few leaves compare these. A node has at most 2 ** STEP children, so no
 group of rows is gathered anywhere, however many fingerprints share a block. Linked fingerprints meet in components by alternating
-star contractions.
+star contractions. Rows meet fingerprints, and fingerprints the roots of their components, in joins that deal common keys out.
 
 A null text counts as empty (fingerprint 0, linked like any other). Null ids don't count for the smallest id of a component; where all
-are null, component_id is null. Repeated rows stay, row for row. An empty table gives an empty result; other columns aren't read.
+are null, component_id is null. Repeated rows stay, row for row. A bit set in exactly half the hashes is 0. A very long text is hashed
+whole, in memory in proportion to its length. An empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from careerlake.llm.common import by_text, cut, table
+from careerlake.llm.common import by_text, cut, dealt_join, table
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 BLOCK, STEP = 21, 6
@@ -117,8 +118,8 @@ def components(links: DataFrame) -> DataFrame:
         way = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
         if not small:
             way = way.unionByName(way.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = way.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        near = way.join(least, "u")
+        least = way.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        near = dealt_join(way, least, ["u"])
         out = near.filter((F.col("v") > F.col("u")) if not small else (F.col("v") != F.col("m"))).select(F.col("v").alias("x"), F.col("m").alias("y"))
         if small:
             out = out.unionByName(least.select(F.col("u").alias("x"), F.col("m").alias("y")))
@@ -130,38 +131,43 @@ def components(links: DataFrame) -> DataFrame:
         if print_ == before or not print_[0]:
             break
         before = print_
-        edges = cut(star(star(edges, False), True))
+        edges = cut(star(cut(star(edges, False)), True))
     leaf = edges.select(F.greatest("x", "y").alias("node"), F.least("x", "y").alias("root"))
     return leaf.unionByName(leaf.select(F.col("root").alias("node"), "root").distinct())
 
 
-def classes(members: DataFrame) -> DataFrame:
-    """fp, root (its component's smallest fingerprint), component_id of each fingerprint of members (doc_id, fp)."""
-    nodes = cut(members.groupBy("fp").agg(F.min("doc_id").alias("low")))
+def classes(nodes: DataFrame) -> DataFrame:
+    """fp, n, root (its component's smallest fingerprint), component_id of each of nodes: fp, n (its rows), low (its smallest id)."""
     roots = components(trie_self_join(nodes.select("fp")))
-    own = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = own.groupBy("root").agg(F.min("low").alias("component_id"))
-    return cut(own.join(low, "root").select("fp", "root", "component_id"))
+    own = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    low = own.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    return cut(dealt_join(own.withColumnRenamed("n", "rows"), low, ["root"]).select("fp", F.col("rows").alias("n"), "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of each row."""
     members = cut(with_fingerprint(docs))
-    out = members.join(classes(members), "fp")
+    nodes = cut(members.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    out = dealt_join(members, classes(nodes).drop("root"), ["fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: that with the smallest id, of repeated rows with this id one; rows without an id come last."""
-    marked = docs.select("doc_id", "text").withColumn("__text_hash", F.xxhash64("text"))
-    members = cut(with_fingerprint(marked, ("doc_id", "__text_hash")))
-    first = members.join(classes(members), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text_hash")).alias("r"))
-    first = first.select(F.col("r.doc_id").alias("__id"), F.col("r.__text_hash").alias("__hash"))
-    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(first["__id"]) & (rows["__text_hash"] == first["__hash"])
-    one = Window.partitionBy("doc_id", "__text_hash").orderBy(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")))
-    kept = rows.join(first, same, "left_semi").withColumn("__n", F.row_number().over(one))
-    return kept.filter("__n = 1").select(*docs.columns)
+    """One row of each component: that with the smallest id, of rows with this id and several texts or repeated ones one; rows without an id come last.
+
+    docs may have any columns besides doc_id and text, whatever their names.
+    """
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    members = with_fingerprint(marked, ("doc_id", "text_hash"))
+    nodes = cut(members.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("low"), F.count("*").alias("n")))
+    first = classes(nodes).groupBy("root").agg(F.first("component_id").alias("r"))  # the same on all rows of a component
+    first = first.select(F.col("r.doc_id").alias("first_id"), F.col("r.text_hash").alias("first_hash"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*rest)) if rest else F.lit(0)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), order.alias("order"))
+    kept = rows.join(first, rows["id"].eqNullSafe(first["first_id"]) & (rows["hash"] == first["first_hash"]), "left_semi")
+    numbered = kept.withColumn("number", F.row_number().over(Window.partitionBy("id", "hash").orderBy("order")))
+    return numbered.filter("number = 1").select("row.*")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

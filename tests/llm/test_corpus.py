@@ -4,10 +4,13 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from careerlake.llm import classifier, mixing, registry, simhash, templates
+from careerlake.llm import classifier, mixing, registry, rules, simhash, templates
+from careerlake.llm.common import dealt_join
 
 
 def plain_fingerprint(text):
@@ -69,9 +72,87 @@ def test_chain_is_one_component(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
 
 
+def test_common_keys_are_dealt_out(spark):
+    rows = [(7, k) for k in range(500)] + [(k % 50, k) for k in range(500)] + [(None, 1)] * 20
+    big = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    want = sorted(map(tuple, big.join(small.drop("n"), "k").collect()))
+    dealt = dealt_join(big, small, ["k"], least=10)
+    assert sorted(map(tuple, dealt.collect())) == want and dealt.columns == ["k", "v", "m"]
+    # half the rows have one key: no task gets them all
+    parts = dealt.filter("k = 7").groupBy(F.spark_partition_id()).count().count()
+    assert parts > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert dealt_join(big.limit(0), small.limit(0), ["k"]).count() == 0
+
+
+def test_a_star_with_half_of_the_links_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "dealt_join", lambda *a: dealt_join(*a, least=10))
+    links = [(0, k) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(100)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(links, "x long, y long")).collect()}
+    assert got == {**{k: 0 for k in range(400)}, **{1000 + k: 1000 for k in range(101)}}
+
+
+def test_half_of_the_rows_are_copies(spark, monkeypatch, sf):
+    monkeypatch.setattr(simhash, "dealt_join", lambda *a: dealt_join(*a, least=10))
+    docs = spark.createDataFrame([(k, "the same words in each of these texts" if k % 2 else f"text {k} " * 9, "a", "b") for k in range(300)] + [(None, None, "a", "b")] * 150, "doc_id long, text string, __text_hash string, __n string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect() if r["doc_id"] is not None}
+    prints = [plain_fingerprint("the same words in each of these texts" if k % 2 else f"text {k} " * 9) for k in range(300)] + [0]
+    want = plain_components(prints, [*range(300), None])
+    assert got == dict(zip(range(300), want))
+    kept = simhash.keep_first(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.count() == len({c for c in plain_components(prints, range(301))})
+    assert {tuple(r)[2:] for r in kept.collect()} == {("a", "b")}
+
+
+def test_first_of_two_columns(spark, sf):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (1, "a b c"), (None, "a b c"), (3, None), (4, "")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_first(spark, docs, sf).collect()), key=repr) == [(1, "a b c"), (3, None)]
+
+
 # ------------------------------------------------------------ classifier
 
 
+def test_ridge_is_the_normal_equations_of_all_rows(spark):
+    draw = np.random.default_rng(3)
+    rows = [(*map(int, draw.integers(1, 300, len(rules.STATS))), int(draw.integers(0, 2))) for _ in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in rules.STATS) + ", quality int").repartition(7)
+    frame = df.toPandas()
+    cosines = classifier.Cosines(*classifier.moments(df))
+    x = classifier.features(frame)
+    assert np.allclose(cosines.mean, x.mean(0)) and np.allclose(cosines.spread, x.std(0))
+    z, y = cosines(frame), frame["quality"].to_numpy(float)
+    want = np.linalg.solve(z.T @ z + classifier.RIDGE * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(classifier.ridge(df, cosines), want)
+    # the cosines approximate a Gaussian kernel
+    s = ((x - x.mean(0)) / x.std(0)).clip(-8, 8)[:60]
+    kernel = np.exp(-((s[:, None] - s[None]) ** 2).sum(2) / (2 * classifier.WIDTH**2))
+    assert np.abs(z[:60, :-1] @ z[:60, :-1].T - kernel).mean() < 0.1
+
+
+def test_pooling_is_the_best_rising_fit():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(r.integers(1, 9))
+        y, w = r.random(n), r.integers(1, 5, n).astype(float)
+        middles, means = classifier.pooled(list(range(n)), y.tolist(), w.tolist())
+        got, at = [], 0
+        for middle, mean in zip(middles, means):  # a block ends where its weighted middle is reached
+            end = next(e for e in range(at + 1, n + 1) if np.isclose(np.average(np.arange(at, e), weights=w[at:e]), middle))
+            got += [mean] * (end - at)
+            at = end
+        assert at == n
+        # of all ways to cut into blocks, that with rising means and the least squares
+        best = None
+        for cut_ in range(1 << (n - 1)):
+            blocks = np.split(np.arange(n), [i + 1 for i in range(n - 1) if cut_ >> i & 1])
+            means = [np.average(y[b], weights=w[b]) for b in blocks]
+            if all(a <= b for a, b in zip(means, means[1:])):
+                fit = np.concatenate([np.full(len(b), m) for b, m in zip(blocks, means)])
+                cost = (w * (y - fit) ** 2).sum()
+                best = (cost, fit) if best is None or cost < best[0] - 1e-12 else best
+        assert np.allclose(got, best[1])
+
+
 def test_held_out_rows_are_ranked(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
