@@ -1,13 +1,14 @@
 """A quality classifier: random Fourier features, ridge regression, isotonic calibration.
 
 Statistics of a text, brought to zero mean and unit variance over all documents, go through COMPONENTS cosines of random projections,
-which approximate a Gaussian kernel. Each partition sums its part of the normal equations; the sums (COMPONENTS + 1 numbers squared,
-whatever the corpus) give ridge weights on the driver. Labelled rows left out of that fit calibrate: in bins of raw scores, pooling
+which approximate a Gaussian kernel. Each partition sums its part of the normal equations, and a sum by entry adds the parts up; the
+totals (COMPONENTS + 2 numbers squared, whatever the corpus) give ridge weights on the driver. Labelled rows left out of that fit calibrate: in bins of raw scores, pooling
 adjacent violators makes the share of good labels rise with the score.
 
 Only statistics of the text enter a score. A null text counts as empty and gets a score like any other. Labels with null quality or
 null id are not used; several labels of an id all count. Without labels of both classes every score is the share of good ones, or 0.5.
-Repeated rows stay, row for row. An empty table gives an empty result. Other columns aren't read.
+Equal texts get equal scores. Very long texts are read whole, in memory in proportion to their length. Repeated rows stay, row for row.
+An empty table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -78,27 +79,26 @@ def moments(numbers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ridge(labelled: DataFrame, cosines: Cosines) -> np.ndarray | None:
-    """Weights that fit quality; partitions send a row of sums for each component."""
+    """Weights that fit quality. Each partition makes one number for each entry of the normal equations, a triangle of them, and Spark adds these up as it does any sum."""
     size = COMPONENTS + 1
+    row, column = np.triu_indices(size + 1)  # the last column is the right side
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, n = np.zeros((size, size + 1)), 0
+        a, n = np.zeros((size + 1, size + 1)), 0
         for f in frames:
-            z = cosines(f)
-            a += z.T @ np.column_stack([z, f["quality"].to_numpy(float)])
+            z = np.column_stack([cosines(f), f["quality"].to_numpy(float)])
+            a += z.T @ z
             n += len(f)
         if n:
-            yield pd.DataFrame({"k": range(size), "part": list(a), "n": n})
+            yield pd.DataFrame({"k": row, "j": column, "v": a[row, column]})
 
-    def add(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [key[0]], "part": [np.sum(np.stack(f["part"].to_list()), 0)], "n": [f["n"].sum()]})
-
-    sums = labelled.mapInPandas(part, "k int, part array<double>, n long").groupBy("k").applyInPandas(add, "k int, part array<double>, n long")
-    rows = sorted(sums.collect(), key=lambda r: r["k"])
-    if not rows:
+    sums = labelled.mapInPandas(part, "k int, j int, v double").groupBy("k", "j").agg(F.sum("v").alias("v")).toPandas()
+    if not len(sums):
         return None
-    a = np.array([r["part"] for r in rows])
-    return np.linalg.solve(a[:, :-1] + RIDGE * np.eye(size), a[:, -1])
+    a = np.zeros((size + 1, size + 1))
+    a[sums["k"], sums["j"]] = sums["v"]
+    a += np.triu(a, 1).T
+    return np.linalg.solve(a[:size, :size] + RIDGE * np.eye(size), a[:size, size])
 
 
 def pooled(x: list[float], y: list[float], n: list[float]) -> tuple[np.ndarray, np.ndarray]:
