@@ -216,8 +216,8 @@ def compiled(trees: list[tuple], anchored: bool) -> Dfa:
 LANES = 12
 
 
-def scan(dfa: Dfa, texts: list[bytes]) -> list[list[tuple[int, int]]]:
-    """Of each text, (end, state) wherever the automaton accepts; one pass over each byte.
+def scan(dfa: Dfa, texts: list[bytes], steady: frozenset[int] = frozenset()) -> list[list[tuple[int, int]]]:
+    """Of each text, (end, state) wherever the automaton accepts, of those in steady the first of several in a row for the same rules; one pass over each byte.
 
     The texts go side by side, a byte of each at a step, longest first, so that a step is three array operations.
     """
@@ -229,6 +229,7 @@ def scan(dfa: Dfa, texts: list[bytes]) -> list[list[tuple[int, int]]]:
     longest = sizes[order]
     state = np.zeros(len(texts), np.int32)
     limit, step = dfa.accepting * dfa.width, dfa.next
+    once = {s * dfa.width: dfa.rules[s - dfa.accepting] for s in steady}
     at = 0
     lanes = len(texts)
     while lanes >= LANES:
@@ -236,12 +237,14 @@ def scan(dfa: Dfa, texts: list[bytes]) -> list[list[tuple[int, int]]]:
         place = first[:lanes] + at
         now = state[:lanes]
         while at < until:
-            now = step[now + data[place]]
+            before, now = now, step[now + data[place]]
             at += 1
             place += 1
             if now.max() >= limit:
                 for k in np.flatnonzero(now >= limit).tolist():
-                    out[order[k]].append((at, int(now[k]) // dfa.width))
+                    rules = once.get(int(now[k]))
+                    if rules is None or rules != once.get(int(before[k])):
+                        out[order[k]].append((at, int(now[k]) // dfa.width))
         state[:lanes] = now
         while lanes and longest[lanes - 1] <= at:
             lanes -= 1
@@ -249,8 +252,8 @@ def scan(dfa: Dfa, texts: list[bytes]) -> list[list[tuple[int, int]]]:
     for k in range(lanes):
         s, found = int(state[k]), out[order[k]]
         for i, c in enumerate(data[first[k] + at : first[k] + longest[k]].tobytes(), at + 1):
-            s = moves[s + c]
-            if s >= limit:
+            before, s = s, moves[s + c]
+            if s >= limit and (s not in once or once[s] != once.get(before)):
                 found.append((i, s // dfa.width))
     return out
 

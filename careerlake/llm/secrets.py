@@ -2,8 +2,9 @@
 
 A rule is a head followed by a run of bytes of one class, taken as far as it goes; runs shorter than the rule's least drop the match,
 which still uses up its bytes. Matches of a kind are leftmost and don't overlap. Spans are of whole matches, in code points, the end
-exclusive. A null text counts as empty and has no secret; repeated rows stay; an empty table gives an empty result; other columns are
-not read, but kept by redact_secrets.
+exclusive. Spans of different kinds may overlap; those with one start come by kind, as listed. A null text counts as empty and has no
+secret; a very long one is scanned whole, in time and memory in proportion to its length; repeated rows stay; an empty table gives an
+empty result; other columns are not read, but kept by redact_secrets.
 """
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ class Scanner(NamedTuple):
     back: tuple[tuple[Dfa, frozenset[int]], ...]
     runs: tuple[frozenset[int], ...]
     seen: tuple[int, ...]  # length of the run at the first event
+    steady: frozenset[int]  # accepting states of which only the first of several in a row tells something
 
 
 @lru_cache(maxsize=4)
@@ -59,7 +61,10 @@ def scanner(rules: tuple[Rule, ...] = BASE + MORE) -> Scanner:
     seen = tuple(1 if r.head else r.least for r in rules)
     trees = [parse(r.head + r.run + f"{{{n}}}") for r, n in zip(rules, seen)]
     back = [compiled([turned(t)], anchored=True) for t in trees]
-    return Scanner(rules, compiled(trees, anchored=False), tuple((d, dead(d)) for d in back), tuple(parse(r.run)[1][0][1] for r in rules), seen)
+    forward = compiled(trees, anchored=False)
+    # a rule without a head accepts at each further byte of a run, which its first match takes whole
+    steady = frozenset(forward.accepting + i for i, found in enumerate(forward.rules) if not any(rules[k].head for k in found))
+    return Scanner(rules, forward, tuple((d, dead(d)) for d in back), tuple(parse(r.run)[1][0][1] for r in rules), seen, steady)
 
 
 def start_of(back: Dfa, gone: frozenset[int], data: bytes, end: int, bound: int) -> int | None:
@@ -74,11 +79,20 @@ def start_of(back: Dfa, gone: frozenset[int], data: bytes, end: int, bound: int)
     return best
 
 
+def code_points(data: bytes, places: set[int]) -> dict[int, int]:
+    """Number of code points before each of the places (bytes at which one starts), counted on from place to place."""
+    out, before, n = {}, 0, 0
+    for i in sorted(places):
+        n += len(data[before:i].decode())
+        out[i], before = n, i
+    return out
+
+
 def spans(scan_with: Scanner, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Of each text, (start, number of the rule, end) in code points, in order."""
     data = [t.encode() for t in texts]
     out = []
-    for text, b, events in zip(texts, data, scan(scan_with.forward, data)):
+    for text, b, events in zip(texts, data, scan(scan_with.forward, data, scan_with.steady)):
         found, past = [], [0] * len(scan_with.rules)
         for end, state in events:
             for k in scan_with.forward.rules[state - scan_with.forward.accepting]:
@@ -94,8 +108,8 @@ def spans(scan_with: Scanner, texts: list[str]) -> list[list[tuple[int, int, int
                 if to - end + scan_with.seen[k] >= scan_with.rules[k].least:
                     found.append((start, k, to))
         if found and len(b) != len(text):
-            at = lambda i, b=b: len(b[:i].decode())
-            found = [(at(s), k, at(e)) for s, k, e in found]
+            at = code_points(b, {i for s, _, e in found for i in (s, e)})
+            found = [(at[s], k, at[e]) for s, k, e in found]
         out.append(sorted(found))
     return out
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from careerlake.llm import bpe, licenses, media, rules, secrets, token_counts, webp
+from careerlake.llm import automaton, bpe, licenses, media, rules, secrets, token_counts, webp
 
 TEXT = st.lists(st.sampled_from([*"abcdeAKIAZ09 \n\t\r=:'\"_-.é数🙂\xa0{}#", "password", "token", "AKIA", "abcdef0123", "<|endoftext|>"]), max_size=120).map("".join)
 
@@ -190,6 +191,16 @@ def test_secret_rows(odd, odd_rows, none):
     assert secrets.secrets(none).count() == 0
 
 
+def test_long_texts_take_time_in_proportion():
+    text = "é password: hunter2hunter2 数 " * 36_000
+    began = time.process_time()
+    found = secrets.spans(secrets.scanner(), [text])[0]
+    assert time.process_time() - began < 6 and len(found) == 36_000 and text[found[-1][0] : found[-1][2]] == "password: hunter2hunter2"
+    run = "x" + "ab12" * 1_000_000
+    assert secrets.spans(secrets.scanner(), [run, *["y"] * 40]) == [[(1, 2, 4_000_001)], *[[]] * 40]
+    assert len(automaton.scan(secrets.scanner().forward, [run.encode()], secrets.scanner().steady)[0]) == 1
+
+
 def test_redacted_texts_hold_no_secret(spark, odd, sf):
     out = secrets.redact_secrets(spark, odd, sf)
     assert out.columns == odd.columns and out.count() == odd.count()
