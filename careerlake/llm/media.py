@@ -1,7 +1,9 @@
 """Texts kept as lossless WebP pictures.
 
 `store_media` makes a media column; `read_media` decodes one and describes what it holds. A null text counts as empty; equal texts
-give equal media. Repeated rows and repeated or null ids stay, row for row; no columns but the named ones are read.
+give equal media. A very long text is one picture, coded and decoded in spans, in memory in proportion to its length; one of over
+16384 ** 2 bytes, more than a picture of the format holds, is an error (ValueError). Repeated rows and repeated or null ids stay, row for
+row; an empty table gives an empty result; no columns but the named ones are read. No choices are made that ties could affect.
 """
 
 from __future__ import annotations

@@ -247,17 +247,49 @@ def shape(n: int) -> tuple[int, int]:
     return width, -(-n // width)
 
 
+def bundled(samples: np.ndarray, width: int, height: int) -> tuple[np.ndarray, list[int], int] | None:
+    """Of at most 16 different samples: pixels that hold 2 to 8 indexes each, the colours, and pixels a row; None where there are more."""
+    colours = np.flatnonzero(np.bincount(samples, minlength=256)).tolist()
+    if len(colours) > 16:
+        return None
+    wide = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+    place = np.zeros(256, np.uint8)
+    place[colours] = np.arange(len(colours))
+    across = -(-width // (1 << wide))
+    rows = np.zeros((height, across << wide), np.uint8)
+    rows[:, :width] = place[samples].reshape(height, width)
+    step = 8 >> wide
+    return (rows.reshape(height, across, 1 << wide) << (np.arange(1 << wide, dtype=np.uint8) * step)).sum(2, dtype=np.uint8).ravel(), colours, across
+
+
+def palette_fields(colours: list[int]) -> list[tuple[int, int]]:
+    """The palette transform with grey colours, each as its difference from the one before."""
+    steps = [(b - a) % 256 for a, b in zip([0, *colours], colours)]
+    out = [(1, 1), (PALETTE, 2), (len(colours) - 1, 8), (0, 1)]
+    grey = huffman([steps.count(v) for v in range(256 + LENGTHS)])
+    alpha = huffman([int(v in (0, 255)) if len(colours) > 1 else int(v == 255) for v in range(256)])
+    for lengths in (grey, grey[:256], grey[:256], alpha, huffman([0] * DISTANCES)):
+        out += write_lengths(lengths)
+    grey_code, alpha_code = canonical(grey), canonical(alpha)
+    for k, v in enumerate(steps):
+        out += [grey_code[v]] * 3 + [alpha_code[0 if k else 255]]
+    return out
+
+
 def encode(payload: bytes) -> bytes:
     """A grey picture of the payload (a positive multiple of 64 bytes), a byte a pixel, in rows.
 
-    Samples stand in green; red and blue equal them by the subtract-green transform. Where the width isn't 64, zero samples fill the last row.
+    Samples stand in green; red and blue equal them by the subtract-green transform, or by a palette where there are few different ones.
+    Where the width isn't 64, zero samples fill the last row.
     """
     width, height = shape(len(payload))
     full = payload + bytes(width * height - len(payload))
+    few = bundled(np.frombuffer(full, np.uint8), width, height)
+    transform = palette_fields(few[1]) if few else [(1, 1), (SUBTRACT_GREEN, 2)]
+    full = few[0].tobytes() if few else full
     data = np.frombuffer(full, np.uint8)
-    back = copies(full)
     pieces, at = [], 0
-    for start, length, distance in back:
+    for start, length, distance in copies(full):
         if start > at:
             pieces.append((at, start, 0))
         for k in range(0, length, 4096):
@@ -281,7 +313,7 @@ def encode(payload: bytes) -> bytes:
             lengths = huffman([int(n > 0) for n in lengths])
     distances = huffman(far.tolist())
     code, bits, fields = tables(lengths)
-    head = [(0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1), *fields]
+    head = [(0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), *transform, (0, 1), (0, 1), (0, 1), *fields]
     for one in (0, 0, 255):  # red, blue, alpha
         head += [(1, 1), (0, 1), (1, 1), (one, 8)]
     head += write_lengths(distances) if (far > 0).sum() != 1 else [(1, 1), (0, 1), (1, 1), (int(far.argmax()), 8)]
@@ -295,7 +327,30 @@ def encode(payload: bytes) -> bytes:
             (s, n, x), (s2, n2, x2) = prefix(b - a), prefix(d + 120)
             values.append(np.array([code[256 + s], x, to[s2][0], x2], np.uint64))
             widths.append(np.array([bits[256 + s], n, to[s2][1], n2], np.int64))
-    return container(pack(np.concatenate(values), np.concatenate(widths)))
+    return container(packed(values, widths))
+
+
+def packed(values: list[np.ndarray], widths: list[np.ndarray]) -> bytes:
+    """pack() over long lists, some words at a time."""
+    out, at, left = [], 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    every_v, every_w = np.concatenate(values), np.concatenate(widths)
+    while at < len(every_v):
+        v, w = every_v[at : at + FIELDS], every_w[at : at + FIELDS]
+        at += FIELDS
+        held = [np.concatenate([left[0], v]), np.concatenate([left[1], w])]
+        n = int(held[1].sum())
+        if at < len(every_v) and n & 7:  # what doesn't fill a byte goes to the next
+            data = pack(*held)
+            left = (np.array([data[-1]], np.uint64), np.array([n & 7], np.int64))
+            out.append(data[:-1])
+        else:
+            out.append(pack(*held))
+            left = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return b"".join(out)
+
+
+#: Fields that are packed together.
+FIELDS = 1 << 18
 
 
 def container(stream: bytes) -> bytes:
@@ -385,76 +440,85 @@ def distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-def chain(step: np.ndarray, levels: int = 6) -> np.ndarray:
-    """0, step[0], step[step[0]] and so on up to the last position, which steps to itself; a few gathers over all instead of a loop."""
-    jumps, end = [step], len(step) - 1
+def doubled(step: np.ndarray, levels: int = 6) -> list[np.ndarray]:
+    """Where 1, 2, 4 and so on steps lead; step has an entry for each position, and one that leads to itself is an end."""
+    jumps = [step]
     for _ in range(levels):
         jumps.append(jumps[-1][jumps[-1]])
-    far, p, anchors = jumps.pop(), 0, []
-    while p < end:
-        anchors.append(p)
-        p = int(far[p])
-    path = np.array(anchors or [0])[:, None]
-    for jump in jumps:
+    return jumps
+
+
+def walk(jumps: list[np.ndarray], at: int) -> np.ndarray:
+    """Positions from `at` on, up to an end, which isn't among them; a few gathers instead of a loop."""
+    *near, far = jumps
+    anchors = [at]
+    while (p := int(far[at])) != at and int(jumps[0][p]) != p:
+        anchors.append(at := p)
+    path = np.array(anchors)[:, None]
+    for jump in near:
         path = np.concatenate([path, jump[path]], 1)
     path = path.ravel()
-    return path[: np.searchsorted(path, end)]
+    ends = jumps[0][path] == path
+    return path[: int(ends.argmax())] if ends.any() else path
+
+
+#: Bytes of a stream whose bits are looked at together.
+SPAN = 1 << 16
 
 
 def grey_pixels(bits: Bits, green: tuple[int, ...], far: tuple[int, ...], width: int, total: int) -> np.ndarray:
     """Green samples where red, blue and alpha take no bits.
 
-    Each bit position gets the position after the symbols that would start there; the chain of these from the first is the text's.
+    Each bit position gets the position after the literals that would start there, and one with a copy is an end; the walk over these
+    from the first is the text's, and goes on behind each copy. A span of the stream is looked at together, so memory doesn't grow with it.
     """
     wide, single = lookup(green)
     if wide == 0:
         return np.full(total, single[0] >> 4, np.uint8)
     depth = 16 if green in TYPICAL else wide
     taken, count, literals = runs(green, depth) if depth == 16 else runs.__wrapped__(green, depth)
-    first, last = bits.p >> 3, len(bits.data)
-    window = np.frombuffer(bits.data[first:] + bytes(4), np.uint8).astype(np.uint32)
-    window = window[:-2] | window[1:-1] << 8 | window[2:] << 16
-    index = (window[: last - first, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << depth) - 1)).ravel()[bits.p & 7 :].astype(np.int64)
-    start, n = bits.p, len(index)
-    step = np.append(np.minimum(np.arange(n) + taken[index], n), n)
-    made = count[index]
-    codes, jump = lookup(far) if any(far) else None, {}
-    for at in np.flatnonzero(made == 0).tolist():
+    taken, codes, whole, out = taken.astype(np.int32), lookup(far) if any(far) else None, 8 * len(bits.data), bytearray()
+    while len(out) < total:
+        start, first = bits.p, bits.p >> 3
+        if start >= whole:
+            raise ValueError("stream ends too early")
+        size = min(SPAN, len(bits.data) - first)
+        window = np.frombuffer(bits.data[first : first + size + 2].ljust(size + 2, b"\0"), np.uint8).astype(np.uint32)
+        window = window[:-2] | window[1:-1] << 8 | window[2:] << 16
+        index = (window[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << depth) - 1)).ravel()[start & 7 :].astype(np.int32)
+        n = len(index)
+        made, here = count[index], np.arange(n, dtype=np.int32)
+        to = here + taken[index]
+        jumps = doubled(np.append(np.where(made > 0, np.minimum(to, n), here), np.int32(n)))
+        at = 0
+        while at < n and len(out) < total:
+            path = walk(jumps, at)
+            if len(path):
+                rows = literals[index[path]]
+                out += rows[np.arange(rows.shape[1]) < made[path][:, None]].tobytes()
+                at = int(to[path[-1]])
+            if at < n and made[at] == 0 and len(out) < total:
+                bits.p = start + at
+                length, back = copy_at(bits, (wide, single), codes, width)
+                from_ = len(out) - back
+                if from_ < 0:
+                    raise ValueError("copy from before the first pixel")
+                out += out[from_ : from_ + length] if back >= length else (bytes(out[from_:]) * (length // back + 1))[:length]
+                at = bits.p - start
         bits.p = start + at
-        s = bits.symbol((wide, single))
-        try:
-            if s < 256:
-                raise ValueError("a literal that the index has cut off")
-            length = extra(bits, s - 256)
-            jump[at] = length, distance(extra(bits, bits.symbol(codes)), width)
-            step[at] = min(bits.p - start, n)
-        except (ValueError, TypeError, IndexError):
-            step[at] = n
-    path = chain(step)
-    got = made[path]
-    rows = literals[index[path]]
-    flat = rows[np.arange(rows.shape[1]) < got[:, None]].tobytes()
-    if not jump:
-        out = flat
-    else:
-        ends, out, at = np.cumsum(got), bytearray(), 0
-        for k in np.flatnonzero(got == 0).tolist():
-            if int(path[k]) not in jump or len(out) + int(ends[k]) - at >= total:
-                break
-            out += flat[at : int(ends[k])]
-            at = int(ends[k])
-            length, back = jump[int(path[k])]
-            from_ = len(out) - back
-            if from_ < 0:
-                raise ValueError("copy from before the first pixel")
-            out += out[from_ : from_ + length] if back >= length else (bytes(out[from_:]) * (length // back + 1))[:length]
-        out += flat[at:]
-    if len(out) < total:
-        raise ValueError("stream ends too early")
-    bits.p = 8 * last
+    bits.p = whole
     return np.frombuffer(bytes(out[:total]), np.uint8)
 
 
+def copy_at(bits: Bits, green: tuple[int, list[int]], far: tuple[int, list[int]] | None, width: int) -> tuple[int, int]:
+    """Length and distance of the copy that starts at the place of bits."""
+    s = bits.symbol(green) - 256
+    if not 0 <= s < LENGTHS or far is None or bits.p > 8 * len(bits.data):
+        raise ValueError("stream ends too early")
+    length = extra(bits, s)
+    return length, distance(extra(bits, bits.symbol(far)), width)
+
+
 def argb_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """Pixels as 32-bit numbers."""
     total = width * height
