@@ -700,8 +700,10 @@ def decode(media: bytes) -> tuple[int, int, np.ndarray]:
         elif kind == CROSS_COLOUR:
             pixels = undo_cross_colour(pixels, full, height, sub, n)
         elif kind == SUBTRACT_GREEN:
-            g = pixels >> 8 & 255
-            pixels = pixels & 0xFF00FF00 | ((pixels >> 16) + g & 255) << 16 | pixels + g & 255
+            for at in range(0, len(pixels), SPAN):
+                p = pixels[at : at + SPAN]
+                g = p >> 8 & 255
+                pixels[at : at + SPAN] = p & 0xFF00FF00 | ((p >> 16) + g & 255) << 16 | p + g & 255
         else:
             pixels = undo_palette(pixels, across, full, height, sub, n)
             across = full
