@@ -1,13 +1,16 @@
 """Licence phrases, and text blocks that contain a licence template, by an exact set-similarity join.
 
-A block is a line of a text. A template is found in a block if at least THRESHOLD of its distinct words stand in it. Only words of
-templates count towards that, so blocks are reduced to these words first. Words are ordered from rare to frequent over all blocks; a
-block that meets the threshold must have one of the first n - ceil(THRESHOLD * n) + 1 words of a template of n words (prefix filter),
-at least ceil(THRESHOLD * n) template words at all (length filter), and enough words left behind the first shared one (positional
-filter). Candidates are then compared exactly.
-
-DataFrame functions only. A null text counts as empty: no words, no labels, score 0. Repeated rows and repeated or null ids stay, row
-for row. An empty table gives an empty result. Other columns aren't read.
+A block is a line of a text, or lines in a row (blank ones aside) as far as they have no more than WIDE times the words of the longest
+template, as notices are wrapped; the latter are compared with templates of LONG distinct words or more, as any few words stand
+somewhere in so many. A template is found in a block if at least THRESHOLD of its distinct words stand in it. Only words of templates
+count towards that, so blocks are reduced to these words first. Words are ordered from rare to frequent over all blocks; a block that
+meets the threshold must have one of the first n - ceil(THRESHOLD * n) + 1 words of a template of n words (prefix filter), at least
+ceil(THRESHOLD * n) template words at all (length filter), and enough words left behind the first shared one (positional filter).
+Candidates are then compared exactly.
+
+DataFrame functions only. A null text counts as empty: no words, no labels, score 0. Words of equal frequency are ordered by
+themselves; that changes no result. A very long text is one row, in time and memory in proportion to its length. Repeated rows and
+repeated or null ids stay, row for row. An empty table gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,18 +25,26 @@ from careerlake.llm.common import ascii_lower, cut, table
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 THRESHOLD = 0.8
-#: Notices in our own shortened wording; a parameter, any bounded number of templates will do.
+#: Words of usual notices, and short ones; a parameter.
 TEMPLATES = {
-    "apache-notice": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
-    "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted provided that conditions are met",
+    "apache-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+    "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by-notice": "this work is licensed under a creative commons attribution 4 0 international license",
     "cc-by-short": "licensed under cc by 4 0",
-    "gpl-notice": "this program is free software you can redistribute it and modify it under the terms of the gnu general public license",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+    "the free software foundation either version 3 of the license or at your option any later version",
     "gpl-short": "released under the gnu general public license",
-    "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+    "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-short": "released under the mit license",
     "reserved": "all rights reserved no part may be reproduced without written permission",
 }
+#: Words of joined lines, as a multiple of those of the longest template; distinct words of templates that are looked for in them.
+WIDE, LONG = 1.5, 12
+#: Rows of the templates' index that are broadcast; more are joined by shuffles.
+INDEX = 100_000
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -48,12 +59,31 @@ def blanks(text: Column) -> Column:
 
 
 def places(words: Column, phrase: str) -> Column:
-    """Numbers of the words where the phrase starts; words as from normal()."""
+    """How often the phrase stands, and the numbers of the words where it does first and last; words as from normal()."""
     n = len(phrase.split())
     steps = F.transform(F.split(words, f" {phrase}(?= )"), blanks)
-    # bound to a variable, else each place would split the text anew
-    start = F.flatten(F.transform(F.array(steps), lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: F.aggregate(F.slice(b, 1, i), F.lit(0), lambda a, x: a + x) + (i - 1) * n)))
-    return F.when(F.contains(words, F.lit(f" {phrase} ")), start).otherwise(F.array().cast("array<int>"))
+    # bound to a variable, else each field would split the text anew
+    found = F.transform(F.array(steps), lambda b: F.struct((F.size(b) - 1).alias("n"), b[0].alias("first"), (F.aggregate(b, F.lit(0), lambda a, x: a + x) - F.element_at(b, -1) + (F.size(b) - 2) * n).alias("last")))
+    return F.when(F.contains(words, F.lit(f" {phrase} ")), found[0])
+
+
+def blocks_of(lower: Column, known: Column, most: int, least: int) -> Column:
+    """Blocks of a text as (wide, tokens): each line with its words of known, and the lines from each on that have `most` words at most, if more than one and at least `least` tokens."""
+    each = F.transform(F.transform(F.split(lower, "\n"), normal), lambda s: F.struct(F.array_intersect(F.split(s, " "), known).alias("tokens"), (blanks(s) - 1).alias("n")))
+
+    def fitting(run: Column) -> Column:
+        """How many of the lines in run, from the first on, have `most` words together."""
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"))
+        return F.aggregate(run, start, lambda a, x: F.when(a["n"] + x["n"] <= most, F.struct((a["n"] + x["n"]).alias("n"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.lit(most + 1).alias("n"), a["k"].alias("k"))), lambda a: a["k"])
+
+    def both(lines: Column) -> Column:
+        narrow = F.transform(lines, lambda x: F.struct(F.lit(False).alias("wide"), x["tokens"].alias("tokens")))
+        runs = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.slice(lines, i, most))
+        tokens = F.transform(runs, lambda r: F.transform(F.array(fitting(r)), lambda k: F.when(k > 1, F.array_distinct(F.flatten(F.transform(F.slice(r, 1, k), lambda x: x["tokens"])))))[0])
+        wide = F.transform(F.filter(tokens, lambda t: F.size(t) >= least), lambda t: F.struct(F.lit(True).alias("wide"), t.alias("tokens")))
+        return F.when(F.size(lines) > 1, F.concat(narrow, wide)).otherwise(narrow)
+
+    return F.transform(F.array(F.filter(each, lambda x: x["n"] > 0)), both)[0]
 
 
 def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -66,12 +96,17 @@ def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, thr
     vocabulary = sorted({w for s in sets.values() for w in s})
     need = {label: math.ceil(round(threshold * len(s), 9)) for label, s in sets.items()}
     known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
+    most = math.ceil(WIDE * max((len(words.split()) for words in texts.values()), default=0))
+    least, least_wide = min(need.values(), default=1), min((need[label] for label, s in sets.items() if len(s) >= LONG), default=len(vocabulary) + 1)
 
     lower = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     words = normal(F.col("__lower"))
-    found = F.array_sort(F.flatten(F.array(*(F.col(f"__p{k}") for k in range(len(PHRASES))))))
-    block_words = F.transform(F.split(F.col("__lower"), "\n"), lambda line: F.array_intersect(F.split(F.regexp_replace(line, NO_WORD, " "), " "), known))
-    least = min(need.values(), default=1)
+    by_phrase = [F.col(f"__p{k}") for k in range(len(PHRASES))]
+    found = F.struct(
+        sum(F.coalesce(p["n"], F.lit(0)) for p in by_phrase).cast("long").alias("n"),
+        F.array_min(F.array(*(p["first"] for p in by_phrase))).cast("long").alias("first"),
+        F.array_max(F.array(*(p["last"] for p in by_phrase))).cast("long").alias("last"),
+    )
     base = (
         docs.select("doc_id", lower.alias("__lower"))
         .withColumn("__words", words)
@@ -81,14 +116,14 @@ def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, thr
             "doc_id",
             (blanks(F.col("__words")) - 1).cast("long").alias("n_words"),
             found.alias("found"),
-            F.array_sort(F.filter(F.array(*(F.when(F.size(f"__p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values()))), lambda x: x.isNotNull())).alias("base"),
-            block_words.alias("blocks"),
+            F.array_sort(F.filter(F.array(*(F.when(p.isNotNull(), F.lit(label)) for p, label in zip(by_phrase, PHRASES.values()))), lambda x: x.isNotNull())).alias("base"),
+            blocks_of(F.col("__lower"), known, most, least_wide).alias("blocks"),
         )
     )
     base = cut(base)
 
     # blocks too short for any template matter only for the frequencies
-    blocks = base.select("row", F.posexplode("blocks").alias("block", "tokens"))
+    blocks = base.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.*")
     frequency = blocks.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # at most a row for each word of the templates
     ranked = {r["word"]: i for i, r in enumerate(frequency.orderBy("n", "word").collect())}
@@ -101,13 +136,15 @@ def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, thr
             prefixes.append((rank[w], label, place, [rank[x] for x in ordered], need[label], len(s)))
     spark = docs.sparkSession
     index = spark.createDataFrame(prefixes, "token int, label string, place int, template array<int>, need int, size int")
+    index = F.broadcast(index) if len(prefixes) <= INDEX else index
     ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair)) if rank else F.create_map().cast("map<string,int>")
 
     long_enough = blocks.filter(F.size("tokens") >= least)
-    ordered = long_enough.select("row", "block", F.array_sort(F.transform("tokens", lambda w: F.element_at(ranks, w))).alias("tokens"))
-    probes = ordered.select("row", "block", "tokens", F.posexplode("tokens").alias("at", "token"))
-    near = probes.join(F.broadcast(index), "token").filter(
-        (F.size("tokens") >= F.col("need"))
+    ordered = long_enough.select("row", "block", "wide", F.array_sort(F.transform("tokens", lambda w: F.element_at(ranks, w))).alias("tokens"))
+    probes = ordered.select("row", "wide", "tokens", F.posexplode("tokens").alias("at", "token"))
+    near = probes.join(index, "token").filter(
+        (~F.col("wide") | (F.col("size") >= LONG))
+        & (F.size("tokens") >= F.col("need"))
         & (1 + F.least(F.size("tokens") - 1 - F.col("at"), F.col("size") - 1 - F.col("place")) >= F.col("need"))  # no earlier word is shared below
         & (F.element_at(F.array_intersect("tokens", "template"), 1) == F.col("token"))
     )
@@ -116,14 +153,14 @@ def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, thr
     by_row = hits.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))  # at most a label for each template
 
     joined = base.drop("blocks").join(by_row, "row", "left")
-    n = F.size("found")
+    n = F.col("found.n")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return joined.select(
         "doc_id",
         "n_words",
-        n.cast("long").alias("n_base"),
-        F.when(n > 0, F.array_min("found")).cast("long").alias("first_word"),
-        F.when(n > 0, F.array_max("found")).cast("long").alias("last_word"),
+        n.alias("n_base"),
+        F.col("found.first").alias("first_word"),
+        F.col("found.last").alias("last_word"),
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
         F.when(n > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
@@ -135,7 +172,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same by comparing every line with every template."""
+    """The same by comparing every block with every template."""
     no_word = NO_WORD.replace("\\\\", "\\")
     places_ = " UNION ALL ".join(
         f"""SELECT row, '{label}' AS label, i - 1 AS spot FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE contains(text, '{phrase.split()[-1]}'))
@@ -143,15 +180,19 @@ def oracle() -> str:
         for phrase, label in PHRASES.items()
     )
     rows = ", ".join(f"('{label}', {sorted(set(t.split()))}, {math.ceil(round(THRESHOLD * len(set(t.split())), 9))})" for label, t in TEMPLATES.items())
+    most = math.ceil(WIDE * max(len(t.split()) for t in TEMPLATES.values()))
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 words AS (SELECT row, doc_id, text, list_filter(regexp_split_to_array(text, '{no_word}'), lambda x: x <> '') AS w FROM docs),
 places AS ({places_}),
 base AS (SELECT row, count(*) AS n, min(spot) AS a, max(spot) AS b, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY row),
 templates(label, t, need) AS (VALUES {rows}),
-lines AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs),
-blocks AS (SELECT row, list_distinct(regexp_split_to_array(line, '{no_word}')) AS w FROM lines),
-hits AS (SELECT row, label, len(list_intersect(w, t)) / len(t) AS share FROM blocks, templates WHERE len(w) >= need AND len(list_intersect(w, t)) >= need),
+split AS (SELECT row, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM docs),
+lines AS (SELECT row, place, list_filter(regexp_split_to_array(line, '{no_word}'), lambda x: x <> '') AS w FROM split),
+counted AS (SELECT *, len(w) AS n, row_number() OVER (PARTITION BY row ORDER BY place) AS i, sum(len(w)) OVER (PARTITION BY row ORDER BY place) AS upto FROM lines WHERE len(w) > 0),
+wide AS (SELECT a.row, list_distinct(flatten(list(b.w))) AS w FROM counted a JOIN counted b ON a.row = b.row AND b.i >= a.i AND b.upto - a.upto + a.n <= {most} GROUP BY a.row, a.i HAVING count(*) > 1),
+blocks AS (SELECT row, false AS wide, list_distinct(w) AS w FROM counted UNION ALL SELECT row, true, w FROM wide),
+hits AS (SELECT row, label, len(list_intersect(w, t)) / len(t) AS share FROM blocks, templates WHERE (NOT wide OR len(t) >= {LONG}) AND len(w) >= need AND len(list_intersect(w, t)) >= need),
 more AS (SELECT row, list(DISTINCT label) AS labels, max(share) AS share FROM hits GROUP BY row)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -220,11 +221,19 @@ def plain_license(text):
         at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
         spots += at
         base |= {label} if at else set()
-    for line in low.split("\n"):
-        have = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
+    lines = [w for line in low.split("\n") if (w := re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))]
+    most = math.ceil(licenses.WIDE * max(len(t.split()) for t in licenses.TEMPLATES.values()))
+    blocks = [(False, w) for w in lines]
+    for i in range(len(lines)):
+        k = i
+        while k < len(lines) and sum(map(len, lines[i : k + 1])) <= most:
+            k += 1
+        if k > i + 1:
+            blocks.append((True, [w for line in lines[i:k] for w in line]))
+    for wide, have in blocks:
         for label, t in licenses.TEMPLATES.items():
-            t = set(t.split())
-            if len(t & have) >= licenses.THRESHOLD * len(t) - 1e-9:
+            t, have = set(t.split()), set(have)
+            if (not wide or len(t) >= licenses.LONG) and len(t & have) >= licenses.THRESHOLD * len(t) - 1e-9:
                 more.add(label)
                 share = max(share, len(t & have) / len(t))
     return len(words), len(spots), min(spots, default=None), max(spots, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if spots else share
@@ -237,10 +246,34 @@ def test_license_rows(spark, odd_rows, none):
         t = r.choice(list(licenses.TEMPLATES.values())).split()
         kept = [w for w in t if r.random() < 0.9]
         r.shuffle(kept)
-        rows.append((1000 + k, " ".join(r.choices(["mit", "license", "cc", "by", "apache", "x"], k=12)) + "\n" + "; ".join(kept)))
+        wrapped = "; ".join(kept) if k % 2 else "".join(w + r.choice([" ", " ", " ", ",\n", "\n\n * "]) for w in kept)
+        rows.append((1000 + k, " ".join(r.choices(["mit", "license", "cc", "by", "apache", "x"], k=12)) + "\n" + wrapped))
     got = by_row(licenses.license_blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert got == sorted(((i, *plain_license(t or "")) for i, t in rows), key=repr)
     assert licenses.license_blocks(none).count() == 0
+    clash = spark.createDataFrame([(*x, "row", 1, "found") for x in rows], "doc_id long, text string, row string, block int, found string")
+    assert by_row(licenses.license_blocks(clash), "doc_id", "labels") == sorted(((i, plain_license(t or "")[5]) for i, t in rows), key=repr)
+
+
+def test_wrapped_notices_are_found(spark):
+    mit = """Copyright (c) 1999 Somebody
+
+    Permission is hereby granted, free of charge, to any person obtaining a copy
+    of this software and associated documentation files (the "Software"), to deal
+    in the Software without restriction, including without limitation the rights
+    to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+    copies of the Software, and to permit persons to whom the Software is
+    furnished to do so, subject to the following conditions:"""
+    bsd = "* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:"
+    docs = spark.createDataFrame([(1, "A text before.\n" + mit), (2, "x " * 500 + "\n" + bsd + "\nmore"), (3, mit.replace("\n", "\n" + "other words between " * 30 + "\n"))], "doc_id long, text string")
+    assert by_row(licenses.license_blocks(docs), "doc_id", "labels") == [(1, "mit-notice"), (2, "bsd-notice"), (3, "")]
+
+
+def test_many_places_take_time_in_proportion(spark):
+    docs = spark.createDataFrame([(1, "x mit license " * 200_000), (2, "gnu general public license, cc by")], "doc_id long, text string")
+    began = time.time()
+    assert by_row(licenses.license_blocks(docs), "doc_id", "n_base", "first_word", "last_word") == [(1, 200_000, 1, 599_998), (2, 2, 0, 4)]
+    assert time.time() - began < 30
 
 
 # ------------------------------------------------------------ byte-level BPE
