@@ -1,11 +1,13 @@
 """Byte-level BPE: encoding in overlapping chunks, and decoding.
 
-A long text is cut into chunks that overlap. Each chunk is split into pre-tokens by itself, in parallel. Where a pre-token boundary of
+A text is cut into chunks that overlap. Each chunk is split into pre-tokens by itself, in parallel. Where a pre-token boundary of
 one chunk is also one of the chunk before, both splits go on alike from there, since the pattern never looks back; at the first such
 boundary in the overlap the chunks are stitched. Where an overlap has none (a pre-token longer than it), the earlier chunk takes the
-text of the later one in. The stitched pieces are then encoded in parallel. Short texts are one chunk each and are not shuffled.
+text of the later one in. The stitched pieces are then encoded in parallel. A text of one chunk has nothing to stitch and is encoded by
+the task that cuts it. Texts are read once.
 
-A null text counts as empty (no tokens). Repeated rows and repeated or null ids stay, row for row. An empty table gives an empty result.
+A null text counts as empty (no tokens). A very long text is many chunks; its ids are put together in one row. Of pairs of equal rank the
+leftmost merges first, as in the library. Repeated rows and repeated or null ids stay, row for row. An empty table gives an empty result.
 Other columns aren't read.
 """
 
@@ -25,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from careerlake.llm.common import SLICE, by_text, table
+from careerlake.llm.common import SLICE, table, written
 
 RANKS = "byte_bpe_50k.tiktoken"
-CHUNK, OVERLAP = 32768, 2048  # code points
+CHUNK, OVERLAP = 8192, 1024  # code points
 #: Words kept with their encoding in a Python worker; beyond that the store starts anew.
 KEPT = 200_000
 PATTERN = regex.compile(public_tokenizers.PATTERN)
@@ -292,6 +294,11 @@ def edge(number: int, last: bool, text: str, chunk: int, overlap: int) -> tuple[
     return [b for b in found if b < overlap and not inside(b)], [b - chunk for b in found if b >= chunk], certain(text, overlap - 1) if number else 0
 
 
+def columns(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
+    """A column for each field of the schema."""
+    return [pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)]
+
+
 def run_over(df: DataFrame, names: list[str], schema: pa.Schema, ddl: str, fn: Callable[..., tuple]) -> DataFrame:
     """The columns of df with those that fn makes of the named ones, row by row within slices of Arrow batches."""
     kept = df.columns
@@ -317,25 +324,30 @@ def digest(ids: bytes, name: str = RANKS) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode(ids, name)).hexdigest()
 
 
-def encode_documents(docs: DataFrame, name: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit numbers) and their digests, of each row.
+def encode_documents(docs: DataFrame, name: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP, with_ids: bool = True) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit numbers; only if asked for) and their digests, of each row.
 
     Texts are encoded and decoded again in one Python task, so that an executor has one worker a core.
     """
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    short = by_text(texts.filter(F.length("text") <= chunk), CODED, f"ids binary, {CHECKED}", lambda ts: [(x, *digest(x, name)) for x in encode_all(ts, name)])
-
-    long = texts.filter(F.length("text") > chunk).select(F.struct(F.monotonically_increasing_id().alias("n"), "doc_id").alias("row"), "text")
+    texts = docs.select(F.struct(F.monotonically_increasing_id().alias("n"), "doc_id").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    found = pa.schema([("chunk", pa.int32()), ("last", pa.bool_()), ("part", pa.string()), *CODED])
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(whole.num_rows):
-                numbers, last, parts = zip(*chunked(whole.column(1)[at].as_py(), chunk, overlap))
-                row = whole.column(0).take(pa.array([at] * len(parts)))
-                yield pa.RecordBatch.from_arrays([row, pa.array(numbers, pa.int32()), pa.array(last), pa.array(parts)], names=["row", "chunk", "last", "part"])
-
-    row_type = long.schema["row"].dataType.simpleString()
-    chunks = long.mapInArrow(cut_up, f"row {row_type}, chunk int, last boolean, part string").repartition("row", "chunk")
+            for at in range(0, whole.num_rows, SLICE):
+                rows, given = whole.column(0).slice(at, SLICE), whole.column(1).slice(at, SLICE).to_pylist()
+                single = [k for k, t in enumerate(given) if len(t) <= chunk]
+                coded = [(x if with_ids else None, *digest(x, name)) for x in encode_all([given[k] for k in single], name)]
+                yield pa.RecordBatch.from_arrays([rows.take(pa.array(single, pa.int32())), *columns([(0, True, None, *c) for c in coded], found)], names=["row", *found.names])
+                for k, t in enumerate(given):
+                    if len(t) > chunk:
+                        cuts = [(*c, None, None, None, None) for c in chunked(t, chunk, overlap)]
+                        yield pa.RecordBatch.from_arrays([rows.take(pa.array([k] * len(cuts), pa.int32())), *columns(cuts, found)], names=["row", *found.names])
+
+    row_type = texts.schema["row"].dataType.simpleString()
+    first = written(texts.mapInArrow(cut_up, f"row {row_type}, chunk int, last boolean, part string, ids binary, {CHECKED}"))
+    short = first.filter("part IS NULL").select("row.doc_id", *CODED.names)
+    chunks = first.filter("part IS NOT NULL").select("row", "chunk", "last", "part").repartition("row", "chunk")
 
     made = pa.schema([("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32())), ("sure", pa.int32())])
     ends = run_over(chunks, ["chunk", "last", "part"], made, "head array<int>, tail array<int>, sure int", lambda k, last, t: edge(k, last, t, chunk, overlap))
@@ -362,7 +374,9 @@ def encode_documents(docs: DataFrame, name: str = RANKS, chunk: int = CHUNK, ove
     rows = coded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("all"))
     joined = F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
     long_ids = rows.select("row.doc_id", joined.alias("ids"))
-    return short.unionByName(run_over(long_ids, ["ids"], pa.schema(list(CODED)[1:]), CHECKED, lambda ids: digest(ids, name)))
+    long = run_over(long_ids, ["ids"], pa.schema(list(CODED)[1:]), CHECKED, lambda ids: digest(ids, name))
+    out = short.unionByName(long)
+    return out if with_ids else out.drop("ids")
 
 
 def encode_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -371,7 +385,7 @@ def encode_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents")).drop("ids")
+    return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 QUERIES = {"op6_byte_bpe": op6_byte_bpe}

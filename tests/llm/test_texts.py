@@ -297,6 +297,11 @@ def test_chunks_resynchronise(spark, tik, odd_rows, chunk, overlap):
     assert got == sorted(want, key=repr)
 
 
+def test_clashing_columns_are_not_read(spark, odd):
+    clash = odd.selectExpr("doc_id", "text", "1 AS row", "2 AS chunk", "'x' AS part", "'y' AS ids", "3 AS n")
+    assert by_row(bpe.encode_documents(clash, with_ids=False), *(names := ("doc_id", "n_tokens", "ids_sha256"))) == by_row(bpe.encode_documents(odd), *names)
+
+
 # ------------------------------------------------------------ token counts
 
 
