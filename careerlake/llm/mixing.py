@@ -2,20 +2,23 @@
 
 Documents fall in cells of source, language and topic. The token weights of the cells are raked in turns to the target marginals of
 each of the three, then each document is sampled with a probability that is its cell's ratio of raked to own tokens, scaled so that the
-expected tokens are the asked fraction, where no probability passes 1. Draws depend on id and seed alone.
+expected tokens are the asked fraction, where no probability passes 1. Draws depend on id and seed alone. Targets are shares of tokens
+by value of a dimension; values without one share the rest by the corpus's own shares to the power EVENNESS, and so do all values of a
+dimension without targets. Targets of values that the corpus lacks are shared out among the others. marginals() says how near they came.
 
 Null sources, languages and texts count as empty; a row with a null id draws as id ''. Repeated ids draw alike; repeated rows stay. Cells
-without tokens keep probability fraction. An empty table gives an empty result. Columns other than doc_id, text, source and lang aren't
-read, but kept by sample_mixture.
+without tokens keep probability fraction. A draw equal to the probability isn't sampled. A very long text counts by its words, in time
+in proportion to its length. An empty table gives an empty result. Columns other than doc_id, text, source and lang aren't read, but kept
+by sample_mixture.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerlake.llm.common import cut, table
+from careerlake.llm.common import cut, dealt_join, table
 
 DIMENSIONS = ("source", "lang", "topic")
 #: The first that holds gives a document's topic; a parameter, as RE2 and Java both read it.
@@ -24,8 +27,10 @@ OTHER = "prose"
 #: Target shares are the corpus's own to this power, so that large sources, languages and topics give way to small ones.
 EVENNESS = 0.5
 ROUNDS, FILLS, FRACTION, SEED = 12, 12, 0.8, 7
-#: Cells that may go to the driver (24 MB); more are raked in Spark.
+#: Cells that may go to the driver (24 MB); more are raked in Spark, by the same steps and to the same weights.
 MOST_CELLS = 200_000
+#: Shares of tokens by dimension and value.
+Targets = dict[str, dict[str, float]]
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -49,16 +54,29 @@ def described(docs: DataFrame, topics: dict[str, str] = TOPICS) -> dict[str, Col
     }
 
 
-def raked(n: np.ndarray, codes: list[np.ndarray], evenness: float, rounds: int) -> np.ndarray:
-    """Cells' token weights after raking; codes number the value of each dimension in each cell."""
-    w, total = n.astype(float), float(n.sum())
-    goals = []
-    for c in codes:
-        share = np.bincount(c, n) ** evenness * (np.bincount(c, n) > 0)
-        goals.append(total * share / share.sum())
+def checked(targets: Targets | None) -> Targets:
+    for dimension, shares in (targets or {}).items():
+        if dimension not in DIMENSIONS or any(not x >= 0 for x in shares.values()) or sum(shares.values()) > 1 + 1e-9:
+            raise ValueError(f"targets of {dimension}: shares of 0 or more, 1 at most together, of {DIMENSIONS}")
+    return targets or {}
+
+
+def goal_shares(own: np.ndarray, given: np.ndarray, evenness: float) -> np.ndarray:
+    """Target shares of values: given (nan: none), else what is left by own tokens to the power evenness; 0 without tokens."""
+    there, named = own > 0, ~np.isnan(given)
+    shares = np.where(there & named, np.nan_to_num(given), 0.0)
+    even = np.where(there & ~named, np.where(there, own, 1.0) ** evenness, 0.0)
+    if even.sum() > 0:
+        shares += even / even.sum() * max(0.0, 1.0 - np.nansum(given))
+    return shares / shares.sum() if shares.sum() > 0 else shares
+
+
+def raked(n: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], rounds: int) -> np.ndarray:
+    """Cells' token weights after raking to goals (tokens by value); codes number the value of each dimension in each cell."""
+    w = n.astype(float)
     for _ in range(rounds):
         for c, goal in zip(codes, goals):
-            now = np.bincount(c, w)
+            now = np.bincount(c, w, len(goal))
             w *= np.divide(goal, now, out=np.zeros_like(now), where=now > 0)[c]
     return w
 
@@ -76,60 +94,105 @@ def filled(n: np.ndarray, w: np.ndarray, fraction: float, fills: int) -> np.ndar
     return np.where(n > 0, np.minimum(1.0, s * ratio), fraction)
 
 
-def cells_of(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("n"))
+KEYS = [f"__{d}" for d in DIMENSIONS]
+CELL = ", ".join(f"{k} string" for k in KEYS) + ", tokens long, docs long, w double, p double"
 
 
-def rake_cells(cells: DataFrame, evenness: float = EVENNESS, fraction: float = FRACTION, most: int = MOST_CELLS, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with raked weight w and probability p; on the driver within `most` cells, else in Spark by the same steps."""
-    names = [f"__{d}" for d in DIMENSIONS]
-    few = cells.limit(most + 1).toPandas()
+def cells_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("docs"))
+
+
+def goals_of(cells: DataFrame, dimension: str, targets: Targets, evenness: float) -> DataFrame:
+    """Value, goal (share of tokens) and n (cells) of a dimension."""
+    key = f"__{dimension}"
+    own = cells.groupBy(key).agg(F.sum("tokens").alias("own"), F.count("*").alias("n"))
+    given = targets.get(dimension, {})
+    share = F.element_at(F.create_map(*(F.lit(x) for pair in given.items() for x in pair)), F.col(key)) if given else F.lit(None).cast("double")
+    own = cut(own.withColumn("given", share.cast("double")).withColumn("even", F.when((F.col("own") > 0) & F.col("given").isNull(), F.pow("own", F.lit(evenness))).otherwise(0.0)))
+    even = own.agg(F.sum("even")).first()[0] or 0.0
+    left = max(0.0, 1.0 - sum(r["given"] for r in own.filter("given IS NOT NULL").select("given").collect()))  # at most a row for each target
+    made = own.withColumn("goal", F.when(F.col("own") > 0, F.coalesce("given", F.lit(0.0)) + (F.col("even") / even * left if even else 0.0)).otherwise(0.0))
+    norm = made.agg(F.sum("goal")).first()[0] or 1.0
+    return made.select(key, (F.col("goal") / norm).alias("goal"), "n")
+
+
+def rake_cells(cells: DataFrame, targets: Targets | None = None, evenness: float = EVENNESS, fraction: float = FRACTION, most: int = MOST_CELLS, rounds: int = ROUNDS) -> tuple[DataFrame, bool]:
+    """Cells with raked weight w and probability p, and whether they are few: on the driver within `most` cells, else in Spark by the same steps."""
+    targets = checked(targets)
+    few = cells.select(*KEYS, "tokens", "docs").limit(most + 1).toPandas()
     if len(few) <= most:
-        few["w"] = raked(few["n"].to_numpy(float), [few[c].astype("category").cat.codes.to_numpy() for c in names], evenness, rounds) if len(few) else 0.0
-        few["p"] = filled(few["n"].to_numpy(float), few["w"].to_numpy(float), fraction, FILLS) if len(few) else 0.0
-        return F.broadcast(cells.sparkSession.createDataFrame(few.astype({"n": "int64", "w": "float64", "p": "float64"}), "__source string, __lang string, __topic string, n long, w double, p double"))
-    out = cut(cells).withColumn("w", F.col("n").cast("double"))
-    total = out.agg(F.sum("n")).first()[0]
-    for name in names:
-        own = out.groupBy(name).agg(F.sum("n").alias("own")).filter("own > 0")
-        own = own.withColumn("own", F.pow("own", F.lit(evenness)))
-        norm = own.agg(F.sum("own")).first()[0] or 1.0
-        out = out.join(own.select(name, (F.col("own") / norm * total).alias(f"goal{name}")), name, "left")
+        n = few["tokens"].to_numpy(float)
+        codes, goals = [], []
+        for d, k in zip(DIMENSIONS, KEYS):
+            kind = few[k].astype("category").cat
+            given = np.array([targets.get(d, {}).get(v, np.nan) for v in kind.categories], float)
+            codes.append(kind.codes.to_numpy())
+            goals.append(n.sum() * goal_shares(np.bincount(codes[-1], n, len(given)), given, evenness))
+        few["w"] = raked(n, codes, goals, rounds) if len(few) else 0.0
+        few["p"] = filled(n, few["w"].to_numpy(float), fraction, FILLS) if len(few) else 0.0
+        return cells.sparkSession.createDataFrame(few.astype({"tokens": "int64", "docs": "int64", "w": "float64", "p": "float64"}), CELL), True
+    out = cut(cells).withColumn("w", F.col("tokens").cast("double"))
+    total = out.agg(F.sum("tokens")).first()[0]
+    for d, key in zip(DIMENSIONS, KEYS):
+        out = dealt_join(out, goals_of(out, d, targets, evenness).withColumnRenamed("goal", f"goal{key}"), [key])
     out = cut(out)
     for _ in range(rounds):
-        for name in names:
-            now = F.sum("w").over(Window.partitionBy(name))
-            out = out.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"goal{name}") / now).otherwise(0.0))
-        out = cut(out)
-    out, s = out.withColumn("ratio", F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(0.0)), fraction
+        for key in KEYS:
+            now = out.groupBy(key).agg(F.sum("w").alias("now"), F.count("*").alias("n"))
+            out = dealt_join(out, now, [key]).withColumn("w", F.when(F.col("now") > 0, F.col("w") * F.col(f"goal{key}") * total / F.col("now")).otherwise(0.0)).drop("now")
+            out = cut(out)
+    out, s = out.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)), fraction
     for _ in range(FILLS):
         full = F.col("ratio") * F.lit(s) >= 1
-        taken, rest = out.agg(F.sum(F.when(full, F.col("n"))), F.sum(F.when(~full, F.col("ratio") * F.col("n")))).first()
+        taken, rest = out.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("ratio") * F.col("tokens")))).first()
         if not rest or rest <= 0:
             break
         s = max(s, (fraction * total - (taken or 0)) / rest)
-    return out.withColumn("p", F.when(F.col("n") > 0, F.least(F.lit(1.0), F.lit(s) * F.col("ratio"))).otherwise(fraction)).select(*names, "n", "w", "p")
+    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(s) * F.col("ratio"))).otherwise(fraction)
+    return cut(out.select(*KEYS, "tokens", "docs", "w", p.alias("p"))), False
+
+
+def with_cells(rows: DataFrame, cells: DataFrame, few: bool) -> DataFrame:
+    """rows (with KEYS) with tokens, w and p of their cell; a cell with many of the rows is dealt out."""
+    if few:
+        return rows.join(F.broadcast(cells.drop("docs")), KEYS)
+    return dealt_join(rows, cells.withColumnRenamed("docs", "n"), KEYS)
+
+
+def marginals(docs: DataFrame, targets: Targets | None = None, fraction: float = FRACTION) -> DataFrame:
+    """dimension, value, and shares of tokens: own, target, raked, and sampled (expected; it departs from raked where probabilities reach 1)."""
+    made = described(docs)
+    cells = cut(cells_of(docs.select(*(c.alias(name) for name, c in made.items()))))
+    out = None
+    done, _ = rake_cells(cells, targets, fraction=fraction)
+    for d, key in zip(DIMENSIONS, KEYS):
+        total, reached, kept = done.agg(F.sum("tokens"), F.sum("w"), F.sum(F.col("tokens") * F.col("p"))).first()
+        share = lambda c, of: (F.sum(c) / F.lit(float(of or 0) or 1.0))
+        one = done.groupBy(key).agg(share("tokens", total).alias("own"), share("w", reached).alias("raked"), share(F.col("tokens") * F.col("p"), kept).alias("sampled"))
+        one = one.join(goals_of(cells, d, checked(targets), EVENNESS).drop("n"), key).select(F.lit(d).alias("dimension"), F.col(key).alias("value"), "own", F.col("goal").alias("target"), "raked", "sampled")
+        out = out.unionByName(one) if out is not None else one
+    return out
 
 
-def mixture(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
+def mixture(docs: DataFrame, fraction: float = FRACTION, targets: Targets | None = None, most: int = MOST_CELLS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight (raked over own tokens), probability, sampled of each row."""
     made = described(docs)
     rows = cut(docs.select("doc_id", *(c.alias(name) for name, c in made.items())))
-    joined = rows.join(rake_cells(cells_of(rows), fraction=fraction), ["__source", "__lang", "__topic"])
+    joined = with_cells(rows, *rake_cells(cells_of(rows), targets, fraction=fraction, most=most))
     return joined.select(
         "doc_id",
         *(F.col(f"__{d}").alias(d) for d in DIMENSIONS),
         F.col("__tokens").alias("n_tokens"),
-        F.round(F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(0.0), 6).alias("weight"),
+        F.round(F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0), 6).alias("weight"),
         F.round("p", 6).alias("probability"),
         (F.col("__draw") < F.col("p")).alias("sampled"),
     )
 
 
-def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that the mixture samples, with the columns of docs."""
+def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, targets: Targets | None = None, most: int = MOST_CELLS) -> DataFrame:
+    """The rows of docs that the mixture samples, with the columns of docs; texts are read twice rather than stored or shuffled, while cells are few."""
     rows = docs.select(F.struct("*").alias("__row"), *(c.alias(name) for name, c in described(docs).items()))
-    joined = rows.join(rake_cells(cells_of(rows)), ["__source", "__lang", "__topic"])
+    joined = with_cells(rows, *rake_cells(cells_of(rows), targets, most=most))
     return joined.filter(F.col("__draw") < F.col("p")).select("__row.*")
 
 

@@ -193,13 +193,73 @@ def test_mixing_of_odd_rows_is_its_sql(spark, odd, odd_rows, none, tmp_path):
     assert mixing.mixture(none).count() == 0
 
 
-def test_raking_in_spark_is_that_on_the_driver(spark, sf):
+TARGETS = {"source": {"web": 0.5, "nowhere": 0.1}, "lang": {"en": 0.4, "de": 0.4, "fr": 0.1, "es": 0.1}}
+
+
+@pytest.mark.parametrize("targets", [None, TARGETS])
+def test_raking_in_spark_is_that_on_the_driver(spark, sf, targets, monkeypatch):
+    monkeypatch.setattr(mixing, "dealt_join", lambda *a: dealt_join(*a, least=2))
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("source", F.lit("hot")))  # half of all rows
     made = mixing.described(docs)
     cells = mixing.cells_of(docs.select(*(c.alias(n) for n, c in made.items())))
-    key = ["__source", "__lang", "__topic"]
-    one, two = (mixing.rake_cells(cells, most=m).toPandas().sort_values(key).reset_index(drop=True) for m in (1000, 0))
-    assert one[key].equals(two[key]) and (one.p - two.p).abs().max() < 1e-9 and (one.w - two.w).abs().max() < 1e-6
+    one, two = (mixing.rake_cells(cells, targets, most=m, rounds=3)[0].toPandas().sort_values(mixing.KEYS).reset_index(drop=True) for m in (1000, 0))
+    assert one[mixing.KEYS].equals(two[mixing.KEYS]) and (one.p - two.p).abs().max() < 1e-9 and (one.w - two.w).abs().max() < 1e-6
+
+
+def test_rows_of_many_cells_are_those_of_few(spark, odd, monkeypatch, sf):
+    monkeypatch.setattr(mixing, "dealt_join", lambda *a: dealt_join(*a, least=2))
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    key = lambda rows: sorted(map(tuple, rows), key=repr)
+    few, many = (mixing.rake_cells(mixing.cells_of(odd.select(*(c.alias(n) for n, c in mixing.described(odd).items()))), most=m, rounds=2)[0] for m in (1000, 0))
+    assert key(few.selectExpr("__source", "__lang", "__topic", "round(p, 9)").collect()) == key(many.selectExpr("__source", "__lang", "__topic", "round(p, 9)").collect())
+    rows = odd.select("doc_id", *(c.alias(n) for n, c in mixing.described(odd).items()))
+    assert key(mixing.with_cells(rows, few, False).select("doc_id", "__tokens").collect()) == key(mixing.with_cells(rows, few, True).select("doc_id", "__tokens").collect())
+
+
+def plain_raking(cells, targets, rounds):
+    """cells: (source, lang, topic) -> tokens."""
+    total = sum(cells.values())
+    goals = []
+    for k, d in enumerate(mixing.DIMENSIONS):
+        own = {}
+        for c, n in cells.items():
+            own[c[k]] = own.get(c[k], 0) + n
+        own = {v: n for v, n in own.items() if n}
+        given = targets.get(d, {})
+        even = {v: n**mixing.EVENNESS for v, n in own.items() if v not in given}
+        left = max(0, 1 - sum(x for v, x in given.items() if v in {c[k] for c in cells}))
+        goal = {v: given[v] if v in given else even[v] / sum(even.values()) * left for v in own}
+        goals.append({v: x / sum(goal.values()) for v, x in goal.items()})
+    w = dict(cells)
+    for _ in range(rounds):
+        for k, goal in enumerate(goals):
+            now = {}
+            for c, x in w.items():
+                now[c[k]] = now.get(c[k], 0) + x
+            w = {c: x * goal.get(c[k], 0) * total / now[c[k]] if now[c[k]] else 0.0 for c, x in w.items()}
+    return w, goals
+
+
+def test_targets_are_met(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    first = docs.select("source").distinct().orderBy("source").first()[0]
+    targets = {"source": {first: 0.5, "nowhere": 0.2}, "lang": {"en": 0.4, "de": 0.3}}
+    cells = mixing.cells_of(docs.select(*(c.alias(n) for n, c in mixing.described(docs).items())))
+    got = mixing.rake_cells(cells, targets)[0].toPandas()
+    want, goals = plain_raking({tuple(r[k] for k in mixing.KEYS): float(r["tokens"]) for r in cells.collect()}, targets, mixing.ROUNDS)
+    assert all(abs(want[tuple(r[k] for k in mixing.KEYS)] - r["w"]) < 1e-6 * (1 + r["w"]) for _, r in got.iterrows())
+    said = {(r["dimension"], r["value"]): r for r in mixing.marginals(docs, targets).collect()}
+    for d, goal in zip(mixing.DIMENSIONS, goals):
+        for v, x in goal.items():
+            assert abs(said[d, v]["target"] - x) < 1e-9 and abs(said[d, v]["raked"] - x) < 0.02
+    assert said["lang", "en"]["target"] == pytest.approx(0.4)
+    rows = mixing.mixture(docs, 0.3, targets).toPandas()
+    assert abs((rows.probability * rows.n_tokens).sum() / rows.n_tokens.sum() - 0.3) < 0.01
+    drawn = rows[rows.sampled].groupby("lang").n_tokens.sum() / rows[rows.sampled].n_tokens.sum()
+    assert abs(drawn["en"] - said["lang", "en"]["sampled"]) < 0.15
+    with pytest.raises(ValueError):
+        mixing.mixture(docs, targets={"lang": {"en": 1.2}})
 
 
 # ------------------------------------------------------------ pages
