@@ -36,44 +36,44 @@ SECTIONS = {
 }
 EXPECTED_ORDER = ("header_block", "summary", "experience", "education", "skills")
 SKILLS = {
-    "Python": ("hard", "python, python3, py"),
-    "JavaScript": ("hard", "javascript, js, es6, ecmascript"),
-    "TypeScript": ("hard", "typescript, ts"),
-    "SQL": ("hard", "sql, structured query language, mysql, postgresql, postgres, tsql"),
-    "Java": ("hard", "java, j2ee, jvm"),
-    "React": ("hard", "react, react.js, reactjs"),
-    "Node.js": ("hard", "node, node.js, nodejs"),
-    "AWS": ("hard", "aws, amazon web services, ec2, s3, lambda"),
-    "Docker": ("hard", "docker, containerization, containers"),
-    "Kubernetes": ("hard", "kubernetes, k8s"),
-    "Git": ("hard", "git, github, gitlab, version control"),
-    "Machine Learning": ("hard", "machine learning, ml, deep learning, neural networks"),
-    "Excel": ("hard", "excel, microsoft excel, spreadsheets, ms excel"),
-    "Tableau": ("hard", "tableau, data visualization"),
-    "Power BI": ("hard", "power bi, powerbi"),
-    "A/B Testing": ("hard", "a/b testing, ab testing, split testing, experimentation"),
-    "Data Analysis": ("hard", "data analysis, data analytics, analytics"),
-    "Product Management": ("hard", "product management, product manager, pm"),
-    "Project Management": ("hard", "project management, pmp, program management"),
-    "Agile": ("hard", "agile, scrum, kanban, sprint planning"),
-    "Jira": ("hard", "jira, atlassian"),
-    "Roadmapping": ("hard", "roadmapping, roadmap planning, product roadmap"),
-    "Figma": ("hard", "figma, wireframing, prototyping"),
-    "Salesforce": ("hard", "salesforce, crm, sfdc"),
-    "SEO": ("hard", "seo, search engine optimization"),
-    "Content Marketing": ("hard", "content marketing, content strategy"),
-    "Google Analytics": ("hard", "google analytics, ga4"),
-    "Negotiation": ("soft", "negotiation, deal-making, contract negotiation"),
-    "Financial Modeling": ("hard", "financial modeling, financial analysis, forecasting"),
-    "QuickBooks": ("hard", "quickbooks, bookkeeping software"),
-    "Leadership": ("soft", "leadership, team leadership, people management"),
-    "Communication": ("soft", "communication, verbal communication, written communication"),
-    "Problem Solving": ("soft", "problem solving, problem-solving, critical thinking"),
-    "Collaboration": ("soft", "collaboration, teamwork, cross-functional collaboration"),
-    "Time Management": ("soft", "time management, prioritization, organization"),
-    "Adaptability": ("soft", "adaptability, flexibility, resilience"),
-    "Mentorship": ("soft", "mentorship, coaching, mentoring"),
-    "Stakeholder Management": ("soft", "stakeholder management, stakeholder engagement"),
+    "Python": ("hard", ("python", "python3", "py")),
+    "JavaScript": ("hard", ("javascript", "js", "es6", "ecmascript")),
+    "TypeScript": ("hard", ("typescript", "ts")),
+    "SQL": ("hard", ("sql", "structured query language", "mysql", "postgresql", "postgres", "tsql")),
+    "Java": ("hard", ("java", "j2ee", "jvm")),
+    "React": ("hard", ("react", "react.js", "reactjs")),
+    "Node.js": ("hard", ("node", "node.js", "nodejs")),
+    "AWS": ("hard", ("aws", "amazon web services", "ec2", "s3", "lambda")),
+    "Docker": ("hard", ("docker", "containerization", "containers")),
+    "Kubernetes": ("hard", ("kubernetes", "k8s")),
+    "Git": ("hard", ("git", "github", "gitlab", "version control")),
+    "Machine Learning": ("hard", ("machine learning", "ml", "deep learning", "neural networks")),
+    "Excel": ("hard", ("excel", "microsoft excel", "spreadsheets", "ms excel")),
+    "Tableau": ("hard", ("tableau", "data visualization")),
+    "Power BI": ("hard", ("power bi", "powerbi")),
+    "A/B Testing": ("hard", ("a/b testing", "ab testing", "split testing", "experimentation")),
+    "Data Analysis": ("hard", ("data analysis", "data analytics", "analytics")),
+    "Product Management": ("hard", ("product management", "product manager", "pm")),
+    "Project Management": ("hard", ("project management", "pmp", "program management")),
+    "Agile": ("hard", ("agile", "scrum", "kanban", "sprint planning")),
+    "Jira": ("hard", ("jira", "atlassian")),
+    "Roadmapping": ("hard", ("roadmapping", "roadmap planning", "product roadmap")),
+    "Figma": ("hard", ("figma", "wireframing", "prototyping")),
+    "Salesforce": ("hard", ("salesforce", "crm", "sfdc")),
+    "SEO": ("hard", ("seo", "search engine optimization")),
+    "Content Marketing": ("hard", ("content marketing", "content strategy")),
+    "Google Analytics": ("hard", ("google analytics", "ga4")),
+    "Negotiation": ("soft", ("negotiation", "deal-making", "contract negotiation")),
+    "Financial Modeling": ("hard", ("financial modeling", "financial analysis", "forecasting")),
+    "QuickBooks": ("hard", ("quickbooks", "bookkeeping software")),
+    "Leadership": ("soft", ("leadership", "team leadership", "people management")),
+    "Communication": ("soft", ("communication", "verbal communication", "written communication")),
+    "Problem Solving": ("soft", ("problem solving", "problem-solving", "critical thinking")),
+    "Collaboration": ("soft", ("collaboration", "teamwork", "cross-functional collaboration")),
+    "Time Management": ("soft", ("time management", "prioritization", "organization")),
+    "Adaptability": ("soft", ("adaptability", "flexibility", "resilience")),
+    "Mentorship": ("soft", ("mentorship", "coaching", "mentoring")),
+    "Stakeholder Management": ("soft", ("stakeholder management", "stakeholder engagement")),
 }
 LEXICON = (
     "python", "java", "javascript", "typescript", "react", "next.js", "node.js", "express", "sql", "postgresql", "mongodb", "redis",

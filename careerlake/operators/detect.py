@@ -27,8 +27,8 @@ def count_if(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
-def any_line(text: str, pattern: str) -> Column:
-    return F.exists(F.split(text, "\n"), lambda x: x.rlike(pattern))
+def matching(pattern: str):
+    return lambda x: x.rlike(pattern)
 
 
 def content_quality(of_lines: DataFrame) -> DataFrame:
@@ -79,41 +79,48 @@ def buzzwords(of_lines: DataFrame, phrases: tuple[str, ...] = dims.BUZZWORDS) ->
     low = F.lower("line")
     pattern = "(" + "|".join(sorted(phrases, key=lambda p: (-len(p), p))) + ")"
     found = F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9_]){pattern}(?![a-z0-9_])"), F.lit(1))
-    evidence = quantified(F.col("line")) | any_of(F.contains(low, F.lit(v)) for v in dims.STRONG_VERBS)
-    return of_lines.select("doc_id", "line_no", evidence.alias("evidence"), F.explode(found).alias("phrase"))
+    return of_lines.select("doc_id", "line_no", evident(F.col("line")).alias("evidence"), F.explode(found).alias("phrase"))
 
 
-def ats_checks(docs: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
-    """Four checks of (doc_id, text, filename, email) and their weighted share; a check that passes weighs as information."""
-    split = F.filter(F.split("text", "\n"), lambda x: x.rlike(dims.URL) & (F.length(x) > conf.long_url))
-    formats = total(any_line("text", p) for p in dims.DATE_FORMATS.values())
-    local = F.split_part("email", F.lit("@"), F.lit(1))
-    checked = docs.select(
-        "doc_id",
-        (~F.col("filename").rlike(dims.MESSY_FILE)).alias("file_ok"),
-        F.coalesce(~local.rlike(dims.UNPROFESSIONAL), F.lit(False)).alias("email_ok"),
-        F.col("email").isNull().alias("no_email"),
-        (F.size(split) == 0).alias("urls_ok"),
-        (formats < 2).alias("dates_ok"),
-    )
+def evident(line: Column) -> Column:
+    """Whether evidence stands in a line: a number, or a strong verb anywhere, even within a word."""
+    return quantified(line) | any_of(F.contains(F.lower(line), F.lit(v)) for v in dims.STRONG_VERBS)
+
+
+def ats_columns(text: Column, filename: Column, email: Column, conf: Conf = DEFAULT) -> dict[str, Column]:
+    """Four checks and their weighted share; a check that passes weighs as information."""
+    of = F.split(text, "\n")
+    split = F.filter(of, lambda x: x.rlike(dims.URL) & (F.length(x) > conf.long_url))
+    formats = total(F.exists(of, matching(p)) for p in dims.DATE_FORMATS.values())
+    file_ok, urls_ok, dates_ok = ~filename.rlike(dims.MESSY_FILE), F.size(split) == 0, formats < 2
+    email_ok = F.coalesce(~F.split_part(email, F.lit("@"), F.lit(1)).rlike(dims.UNPROFESSIONAL), F.lit(False))
     info, warning, blocker = (F.lit(dims.SEVERITY[s]) for s in ("info", "warning", "blocker"))
-    email = F.when(F.col("email_ok"), info).when(F.col("no_email"), blocker).otherwise(warning)
-    dates = F.when(F.col("dates_ok"), info).otherwise(warning)
-    got = F.when(F.col("file_ok"), info).otherwise(0.0) + F.when(F.col("email_ok"), info).otherwise(0.0) + F.when(F.col("urls_ok"), info).otherwise(0.0) + F.when(F.col("dates_ok"), info).otherwise(0.0)
-    return checked.select("doc_id", "file_ok", "email_ok", "urls_ok", "dates_ok", F.round(100 * got / (info + email + info + dates), 1).alias("score"))
+    got = sum((F.when(c, info).otherwise(0.0) for c in (email_ok, urls_ok, dates_ok)), F.when(file_ok, info).otherwise(0.0))
+    weight = info + F.when(email_ok, info).when(email.isNull(), blocker).otherwise(warning) + info + F.when(dates_ok, info).otherwise(warning)
+    return {"file_ok": file_ok, "email_ok": email_ok, "urls_ok": urls_ok, "dates_ok": dates_ok, "score": F.round(100 * got / weight, 1)}
 
 
-def format_risk(docs: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
-    """Columns, table lines, pictures and odd bullets of (doc_id, text, n_columns, n_table_lines, n_images)."""
+def ats_checks(docs: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
+    """ats_columns() of (doc_id, text, filename, email)."""
+    return docs.select("doc_id", *(c.alias(n) for n, c in ats_columns(F.col("text"), F.col("filename"), F.col("email"), conf).items()))
+
+
+def format_columns(text: Column, n_columns: Column, n_table_lines: Column, n_images: Column, conf: Conf = DEFAULT) -> dict[str, Column]:
+    """Columns, table lines, pictures and odd bullets, and their weighted share."""
     pattern = dims.ODD_BULLET["compat" if conf.compat else "fixed"]
-    odd = F.exists(F.split("text", "\n"), lambda x: F.trim(x).rlike(pattern))
-    one, table, image = F.coalesce(F.col("n_columns"), F.lit(1)) < 2, F.col("n_table_lines") == 0, F.col("n_images") == 0
+    odd = F.exists(F.split(text, "\n"), lambda x: F.trim(x).rlike(pattern))
+    one, table, image = F.coalesce(n_columns, F.lit(1)) < 2, n_table_lines == 0, n_images == 0
     info, warning = dims.SEVERITY["info"], dims.SEVERITY["warning"]
     ok = [one, table, image, ~odd]
     weights = [F.when(one, info).otherwise(warning), F.when(table, info).otherwise(warning), F.lit(info), F.lit(info)]
     got = sum((F.when(c, info).otherwise(0.0) for c in ok), F.lit(0.0))
-    score = F.round(100 * got / sum(weights, F.lit(0.0)), 1)
-    return docs.select("doc_id", one.alias("one_column"), table.alias("no_table"), image.alias("no_image"), (~odd).alias("usual_bullets"), score.alias("score"))
+    return {"one_column": one, "no_table": table, "no_image": image, "usual_bullets": ~odd, "score": F.round(100 * got / sum(weights, F.lit(0.0)), 1)}
+
+
+def format_risk(docs: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
+    """format_columns() of (doc_id, text, n_columns, n_table_lines, n_images)."""
+    made = format_columns(F.col("text"), F.col("n_columns"), F.col("n_table_lines"), F.col("n_images"), conf)
+    return docs.select("doc_id", *(c.alias(n) for n, c in made.items()))
 
 
 def age_bias(of_lines: DataFrame, education: DataFrame, conf: Conf = DEFAULT) -> DataFrame:

@@ -32,19 +32,66 @@ def coverage(have: Column, want: Column) -> Column:
     return F.when(F.size(want) > 0, percent(F.size(matched(have, want)), F.size(want)))
 
 
-def variants(spark, skills: dict[str, tuple[str, str]] = dims.SKILLS) -> DataFrame:
-    """variant, canonical, category, ord; a synonym equal to the canonical name counts as synonym."""
-    rows = {}
-    for name, (category, synonyms) in skills.items():
-        for v in (name.lower(), *(s.strip() for s in synonyms.split(","))):
-            rows[v] = (v, name, category, "synonym" if v in [s.strip() for s in synonyms.split(",")] else "exact", len(rows))
-    return spark.createDataFrame(list(rows.values()), "variant string, canonical string, category string, match_type string, ord int")
+Skills = dict[str, tuple[str, tuple[str, ...]]]
 
 
-def grams(text: Column, most: int = 4) -> Column:
-    """Distinct runs of one to four words, without the punctuation around words."""
-    w = F.filter(F.transform(F.split(squeezed(text), " "), lambda x: F.regexp_replace(x, r"^[^a-z0-9]+|[^a-z0-9+#]+$", "")), lambda x: x != "")
-    return runs(w, most)
+def variant_rows(skills: Skills = dims.SKILLS) -> list[tuple[str, str, str, str, int]]:
+    """variant, canonical, category, match_type, order; a synonym equal to the canonical name counts as synonym."""
+    rows: dict[str, tuple[str, str, str, str, int]] = {}
+    for name, (category, synonyms) in skills.items():
+        for v in (name.lower(), *synonyms):
+            at = rows[v][4] if v in rows else len(rows)
+            rows[v] = (v, name, category, "synonym" if v in synonyms else "exact", at)
+    return list(rows.values())
+
+
+def may_share(a: str, b: str) -> bool:
+    """Whether a text can have a and b, each between others than letters and digits, at places that share characters."""
+    for x, y in ((a, b), (b, a)):
+        for at in range(len(x)):
+            n = min(len(x) - at, len(y))
+            begins = x[at : at + n] == y[:n] and not (at and x[at - 1].isalnum())
+            ends = not x[at + n : at + n + 1].isalnum() and not y[n : n + 1].isalnum()
+            if begins and ends:
+                return True
+    return False
+
+
+def passes(terms: list[str]) -> list[list[str]]:
+    """The terms in a few lists, no two of a list being such that their places can share characters: one pattern finds every place of a list's terms."""
+    out: list[list[str]] = []
+    for t in sorted(terms):
+        free = next((one for one in out if not any(may_share(t, o) for o in one)), None)
+        if free is None:
+            out.append([t])
+        else:
+            free.append(t)
+    return out
+
+
+def skills_in(text: Column, skills: Skills = dims.SKILLS) -> Column:
+    """Skills whose variants stand in a text between others than letters and digits: canonical, category, variant (the first listed), match_type.
+
+    A few patterns find all variants in the row: no join.
+    """
+    rows = variant_rows(skills)
+    low = squeezed(F.coalesce(text, F.lit("")))
+    found = [F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])(?:{'|'.join(map(quoted, one))})(?![a-z0-9])"), F.lit(0)) for one in passes([r[0] for r in rows])]
+    number = F.create_map(*(F.lit(x) for r in rows for x in (r[0], r[4])))
+    table = F.array(*(F.struct(F.lit(c).alias("canonical"), F.lit(k).alias("category"), F.lit(v).alias("variant"), F.lit(t).alias("match_type")) for v, c, k, t, _ in sorted(rows, key=lambda r: r[4])))
+    skill = {c: i for i, c in enumerate(skills)}
+    owner = F.array(*(F.lit(skill[r[1]]) for r in sorted(rows, key=lambda r: r[4])))
+    orders = F.array_sort(F.array_distinct(F.transform(F.concat(*found), lambda v: F.element_at(number, v))))
+    # of a skill the variant listed first; variants of a skill are listed in a row, so the one before tells
+    firsts = F.transform(F.array(orders), lambda o: F.filter(o, lambda n, i: (i == 0) | (F.get(owner, F.get(o, i - 1)) != F.get(owner, n))))[0]
+    return F.transform(firsts, lambda n: F.get(table, n))
+
+
+def share_had(asked: Column, had: Column, kind: str) -> Column:
+    """Share, to two places, of the asked skills of a category that are had; 1 where none is asked. Both as from skills_in()."""
+    want = F.transform(F.filter(asked, lambda s: s["category"] == kind), lambda s: s["canonical"])
+    n = F.size(F.array_intersect(want, F.transform(had, lambda s: s["canonical"])))
+    return F.when(F.size(want) > 0, F.round(n / F.size(want), 2)).otherwise(1.0)
 
 
 def candidates(text: Column, most: int = 3) -> Column:
@@ -62,12 +109,6 @@ def run_of(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def taxonomy_skills(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, canonical, category of variants that stand in the texts as whole words: an equi-join on runs of words."""
-    each = texts.select("doc_id", F.explode(grams(F.col("text"))).alias("variant"))
-    return each.join(F.broadcast(known), "variant").groupBy("doc_id", "canonical", "category").agg(F.min_by("variant", "ord").alias("variant"))  # known is a list in code
-
-
 def lcs(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, a row of the table at a time."""
     letters = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
@@ -113,14 +154,6 @@ def fuzzy(words: DataFrame, names: DataFrame, conf: Conf = DEFAULT) -> DataFrame
     return best.agg(F.min_by(F.struct("word", "score"), F.struct((-F.col("score")).alias("s"), "word")).alias("b")).select("doc_id", "name", "b.word", F.round("b.score", 2).alias("score"))
 
 
-def tailoring(resume: DataFrame, posting: DataFrame) -> DataFrame:
-    """Share of a posting's hard and soft skills that a document has; 1 where it names none. Both: doc_id, canonical, category."""
-    had = resume.select("doc_id", "canonical").withColumn("had", F.lit(1))
-    joined = posting.join(had, ["doc_id", "canonical"], "left")
-    share = lambda kind: F.coalesce(F.round(F.avg(F.when(F.col("category") == kind, F.coalesce("had", F.lit(0)))), 2), F.lit(1.0))
-    return joined.groupBy("doc_id").agg(share("hard").alias("hard"), share("soft").alias("soft"), F.count_if(F.col("had").isNull()).alias("missing"))
-
-
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     n = F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), empty).when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(0.0)

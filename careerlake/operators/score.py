@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from careerlake.conf import DEFAULT, Conf
 from careerlake.functions import dims
-from careerlake.operators import detect
-from careerlake.operators.lines import lines
 
 
 def content_score(bullets: Column, quantified: Column, strong: Column, variance: Column, spelling: Column, repeats: Column) -> Column:
-    """40 for numbers, 30 for strong verbs, 10 each for even lengths, spelling and variety; 0 without bullets."""
+    """40 for the share with numbers, 30 for strong verbs, 10 each for even lengths, spelling and variety; 0 without bullets."""
     n = F.greatest(bullets, F.lit(1))
-    made = 40 * (quantified / n) + 30 * (strong / n) + (10 - 10 * F.least(variance / 50, F.lit(1.0))) + (10 - F.least(3 * spelling, F.lit(10))) + (10 - F.least(3 * repeats, F.lit(10)))
+    made = 40 * quantified + 30 * (strong / n) + (10 - 10 * F.least(variance / 50, F.lit(1.0))) + (10 - F.least(3 * spelling, F.lit(10))) + (10 - F.least(3 * repeats, F.lit(10)))
     return F.when(F.coalesce(bullets, F.lit(0)) == 0, 0.0).otherwise(F.round(made, 1))
 
 
@@ -46,18 +43,3 @@ def completeness(found: dict[str, Column], sections: Column) -> Column:
 def composite(scores: dict[str, Column]) -> Column:
     """Each share is rounded before they are added."""
     return F.round(sum((F.round(c * dims.CATEGORY_WEIGHTS[name], 1) for name, c in scores.items()), F.lit(0.0)), 1)
-
-
-def document_scores(docs: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
-    """Three categories that plain text decides, of (doc_id, text, filename, email), and their part of the composite score."""
-    of_lines = lines(docs)
-    quality = detect.content_quality(of_lines)
-    repeats = detect.repetition(docs, conf).groupBy("doc_id").agg(F.count("*").alias("repeats"))
-    unsupported = detect.buzzwords(of_lines).groupBy("doc_id").agg(F.count_if(~F.col("evidence")).alias("unsupported"))
-    ats = detect.ats_checks(docs, conf).select("doc_id", F.col("score").alias("ats_essentials"))
-    joined = ats.join(quality, "doc_id", "left").join(repeats, "doc_id", "left").join(unsupported, "doc_id", "left").fillna(0, ["repeats", "unsupported"])
-    content = content_score(F.col("bullets"), F.col("quantified"), F.col("strong"), F.col("variance"), F.lit(0), F.col("repeats"))
-    flags = red_flags_score(None, detect.length_band(F.coalesce("words", F.lit(0)), conf), F.lit(0), F.col("unsupported"))
-    made = joined.select("doc_id", "ats_essentials", content.alias("content_quality"), flags.alias("recruiter_red_flags"))
-    names = ("ats_essentials", "content_quality", "recruiter_red_flags")
-    return made.withColumn("overall", composite({n: F.col(n) for n in names}))

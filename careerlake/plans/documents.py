@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from careerlake.conf import DEFAULT
 from careerlake.functions import dims
 from careerlake.functions.text import first_match, words
-from careerlake.operators import detect, score
+from careerlake.operators import detect
 from careerlake.operators.lines import lines
 from careerlake.sources.tables import table
 
@@ -101,10 +101,6 @@ def doc_spelling(spark, sf_dir):
     return detect.spelling(docs_of(spark, sf_dir))
 
 
-def composite_score(spark, sf_dir):
-    return score.document_scores(with_file(docs_of(spark, sf_dir)))
-
-
 ATS = rf"""ats AS (SELECT doc_id, file_ok, email_ok, urls_ok, dates_ok,
   round(100 * (CASE WHEN file_ok THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN email_ok THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN urls_ok THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN dates_ok THEN 0.2::DOUBLE ELSE 0 END)
     / (0.2::DOUBLE + CASE WHEN email_ok THEN 0.2::DOUBLE WHEN email IS NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END + 0.2::DOUBLE + CASE WHEN dates_ok THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END), 1) AS score
@@ -124,7 +120,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_content_quality, doc_length_band, doc_repetition, doc_word_variety, doc_repeated_openings, doc_emails, doc_phones, doc_contact,
-        doc_buzzwords, doc_ats_checks, doc_format_risk, doc_age_bias, doc_spelling, composite_score,
+        doc_buzzwords, doc_ats_checks, doc_format_risk, doc_age_bias, doc_spelling,
     )
 }
 SQL = {
@@ -146,21 +142,14 @@ SQL = {
     "doc_format_risk": r"""SELECT doc_id, a AS one_column, b AS no_table, c AS no_image, d AS usual_bullets, round(100 * (0.2::DOUBLE * (a::INT + b::INT + c::INT + d::INT))
           / (CASE WHEN a THEN 0.2::DOUBLE ELSE 0.5 END + CASE WHEN b THEN 0.2::DOUBLE ELSE 0.5 END + 0.2::DOUBLE + 0.2::DOUBLE), 1) AS score
         FROM (SELECT doc_id, 1 + doc_id % 2 < 2 AS a, doc_id % 3 = 0 AS b, doc_id % 5 = 0 AS c, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '{0}'))) = 0 AS d FROM documents)""".replace("{0}", dims.ODD_BULLET["compat"]),
-    "doc_age_bias": rf"""WITH {LINES}, l AS (SELECT doc_id, line || CASE doc_id % 10 WHEN 0 THEN ' date of birth 1/2/1970' WHEN 1 THEN ' age: 45' WHEN 2 THEN ' with 20+ years of experience' WHEN 3 THEN ' class of 1998, then 2020' ELSE '' END AS line FROM lines WHERE line_no < 3)
+    "doc_age_bias": rf"""WITH {LINES}, l AS (SELECT doc_id, line || CASE doc_id % 10 WHEN 0 THEN ' date of birth 1/2/1970' WHEN 1 THEN ' age: 45' WHEN 2 THEN ' with 20+ years of experience' WHEN 3 THEN ' class of 1998, then 2020' ELSE '' END AS line FROM lines)
         SELECT doc_id, 'birth' AS kind, '' AS detail FROM l WHERE regexp_matches(line, '{dims.BIRTH}')
         UNION ALL SELECT doc_id, 'tenure', y FROM (SELECT doc_id, nullif(regexp_extract(line, '{dims.TENURE}', 2), '') AS y FROM l) WHERE try_cast(y AS BIGINT) >= 15
         UNION ALL SELECT doc_id, 'graduation', y FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(line, '([^0-9A-Za-z_])', '\1\1', 'g'), '(^|[^0-9A-Za-z_])((?:19|20)[0-9]{{2}})($|[^0-9A-Za-z_])', 2)) AS y FROM l) WHERE {DEFAULT.as_of[:4]} - y::INT >= 20""",
-    "doc_spelling": rf"""WITH every AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '{dims.EMAIL}', ' ', 'g'), '([^A-Za-z])', '\1\1', 'g'), '(^|[^A-Za-z])([a-z]{{5,12}})($|[^A-Za-z])', 2)) AS word FROM documents),
-        counts AS (SELECT word, count(*) AS n, min(doc_id) AS doc_id FROM every GROUP BY word),
-        patterns AS (SELECT word, n, doc_id, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || '*' || substr(word, i + 1))) AS pattern FROM counts WHERE n = 1 OR n >= 20)
-        SELECT r.doc_id, r.word, arg_min(k.word, (-k.n, k.word)) AS suggestion FROM patterns r JOIN patterns k USING (pattern) WHERE r.n = 1 AND k.n >= 20 GROUP BY r.doc_id, r.word""",
-    "composite_score": f"""WITH {LINES}, {QUALITY}, {ATS}, {BUZZ.format(spaced(dims.BUZZWORDS))}, {LONG},
-        repeats AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, word FROM long GROUP BY ALL HAVING count(*) >= 4) GROUP BY doc_id),
-        unsupported AS (SELECT doc_id, count(*) FILTER (WHERE NOT evidence) AS n FROM buzz GROUP BY doc_id),
-        parts AS (SELECT d.doc_id, a.score AS ats,
-            CASE WHEN q.bullets IS NULL THEN 0 ELSE round(40 * (q.quantified / q.bullets) + 30 * (q.strong / q.bullets) + (10 - 10 * least(q.variance / 50, 1)) + 10 + (10 - least(3 * coalesce(r.n, 0), 10)), 1) END AS content,
-            round(greatest(0, 100 - CASE {BAND.format("coalesce(q.words, 0)")} WHEN 'too_short' THEN 15 WHEN 'too_long' THEN 15 WHEN 'long_but_acceptable' THEN 5 ELSE 0 END - least(5 * coalesce(u.n, 0), 20)), 1) AS flags
-          FROM documents d JOIN ats a USING (doc_id) LEFT JOIN quality q USING (doc_id) LEFT JOIN repeats r USING (doc_id) LEFT JOIN unsupported u USING (doc_id))
-        SELECT doc_id, ats AS ats_essentials, content::DOUBLE AS content_quality, flags::DOUBLE AS recruiter_red_flags, round(round(ats * 0.12::DOUBLE, 1) + round(content::DOUBLE * 0.2::DOUBLE, 1) + round(flags::DOUBLE * 0.15::DOUBLE, 1), 1) AS overall FROM parts""",
+    "doc_spelling": rf"""WITH every AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '{dims.EMAIL}', ' ', 'g'), '([^A-Za-z])', '\1\1', 'g'), '(^|[^A-Za-z])([a-z]{{3,}})($|[^A-Za-z])', 2)) AS word, generate_subscripts(regexp_extract_all(regexp_replace(regexp_replace(text, '{dims.EMAIL}', ' ', 'g'), '([^A-Za-z])', '\1\1', 'g'), '(^|[^A-Za-z])([a-z]{{3,}})($|[^A-Za-z])', 2), 1) AS at FROM documents),
+        counts AS (SELECT word, count(*) AS n FROM every GROUP BY word),
+        patterns AS (SELECT word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || '*' || substr(word, i + 1))) AS pattern FROM counts),
+        best AS (SELECT r.word, arg_min(k.word, (-k.n, k.word)) AS suggestion FROM patterns r JOIN patterns k USING (pattern) WHERE r.n < 20 AND k.n >= 20 GROUP BY r.word)
+        SELECT DISTINCT doc_id, word, suggestion FROM every JOIN best USING (word)""",
 }
 
