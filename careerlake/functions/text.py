@@ -51,3 +51,20 @@ def any_of(conditions) -> Column:
 def total(conditions) -> Column:
     """How many hold."""
     return reduce(lambda a, b: a + b, (c.cast("long") for c in conditions))
+
+
+def one_of(terms) -> str:
+    """A pattern of any of the terms, branching letter by letter, so that few are tried at a place; of two that begin alike the longer first."""
+    tree: dict = {}
+    for t in terms:
+        at = tree
+        for c in t:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def made(node: dict) -> str:
+        parts = [(c if c.isalnum() or c in " _" else f"\\{c}") + made(below) for c, below in sorted(node.items()) if c]
+        body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+        return (body if len(parts) > 1 or not body else f"(?:{body})") + "?" if "" in node and body else body
+
+    return made(tree)

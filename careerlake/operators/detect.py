@@ -11,7 +11,7 @@ from careerlake.functions.text import any_of, first_match, total, words
 
 
 def quantified(line: Column) -> Column:
-    return line.rlike(dims.QUANTIFIED)
+    return line.rlike("[0-9,]") & line.rlike(dims.QUANTIFIED)
 
 
 def strong(line: Column) -> Column:
@@ -90,8 +90,9 @@ def evident(line: Column) -> Column:
 def ats_columns(text: Column, filename: Column, email: Column, conf: Conf = DEFAULT) -> dict[str, Column]:
     """Four checks and their weighted share; a check that passes weighs as information."""
     of = F.split(text, "\n")
-    split = F.filter(of, lambda x: x.rlike(dims.URL) & (F.length(x) > conf.long_url))
-    formats = total(F.exists(of, matching(p)) for p in dims.DATE_FORMATS.values())
+    split = F.filter(of, lambda x: (F.length(x) > conf.long_url) & F.contains(x, F.lit("://")) & x.rlike(dims.URL))
+    dated = F.filter(of, lambda x: x.rlike("[0-9]{4}"))  # every format has a year
+    formats = total(F.exists(dated, matching(p)) for p in dims.DATE_FORMATS.values())
     file_ok, urls_ok, dates_ok = ~filename.rlike(dims.MESSY_FILE), F.size(split) == 0, formats < 2
     email_ok = F.coalesce(~F.split_part(email, F.lit("@"), F.lit(1)).rlike(dims.UNPROFESSIONAL), F.lit(False))
     info, warning, blocker = (F.lit(dims.SEVERITY[s]) for s in ("info", "warning", "blocker"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from careerlake.conf import DEFAULT, Conf
 from careerlake.functions import dims
-from careerlake.functions.text import percent, squeezed, strings
+from careerlake.functions.text import one_of, percent, squeezed
 
 
 def quoted(term: str) -> str:
@@ -76,7 +76,7 @@ def skills_in(text: Column, skills: Skills = dims.SKILLS) -> Column:
     """
     rows = variant_rows(skills)
     low = squeezed(F.coalesce(text, F.lit("")))
-    found = [F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])(?:{'|'.join(map(quoted, one))})(?![a-z0-9])"), F.lit(0)) for one in passes([r[0] for r in rows])]
+    found = [F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])(?:{one_of(one)})(?![a-z0-9])"), F.lit(0)) for one in passes([r[0] for r in rows])]
     number = F.create_map(*(F.lit(x) for r in rows for x in (r[0], r[4])))
     table = F.array(*(F.struct(F.lit(c).alias("canonical"), F.lit(k).alias("category"), F.lit(v).alias("variant"), F.lit(t).alias("match_type")) for v, c, k, t, _ in sorted(rows, key=lambda r: r[4])))
     skill = {c: i for i, c in enumerate(skills)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from careerlake.conf import DEFAULT, Conf
 from careerlake.functions import dims
-from careerlake.functions.text import first_match, strings, total, words
+from careerlake.functions.text import first_match, one_of, strings, total, words
 from careerlake.operators import detect, match, score, structure
 
 #: Fields of a document besides doc_id and text, and in SQL what stands for one that is missing.
@@ -30,13 +30,15 @@ def marks_of(lines: Column) -> Column:
     """Lines that open a section: place, name, how it was told, and 0 if the line is its first, 1 if it is used up."""
 
     def opened(line: Column, i: Column) -> Column:
-        name = structure.heading_of(line)
         first = F.when(structure.header_shaped(line), "other").otherwise("header_block")
-        opens = F.coalesce(name, F.when(i == 0, first))
-        via = F.when(name.isNotNull(), "dictionary").otherwise("positional_heuristic")
-        return F.struct(i.alias("i"), opens.alias("name"), via.alias("via"), F.when(opens == "header_block", 0).otherwise(1).alias("used"))
+        return F.struct(i.alias("i"), structure.heading_of(line).alias("known"), F.when(i == 0, first).alias("first"))
 
-    return F.filter(F.transform(lines, opened), lambda m: m["name"].isNotNull())
+    def told(m: Column) -> Column:
+        via = F.when(m["known"].isNotNull(), "dictionary").otherwise("positional_heuristic")
+        name = F.coalesce(m["known"], m["first"])
+        return F.struct(m["i"].alias("i"), name.alias("name"), via.alias("via"), F.when(name == "header_block", 0).otherwise(1).alias("used"))
+
+    return F.transform(F.filter(F.transform(lines, opened), lambda m: m["known"].isNotNull() | m["first"].isNotNull()), told)
 
 
 def sections_of(lines: Column, marks: Column) -> Column:
@@ -53,7 +55,9 @@ def contact_of(lines: Column) -> Column:
     """The first e-mail, phone, profile and name of the first ten lines, and the share of them found."""
 
     def field(line: Column) -> Column:
-        email, profile, phone = first_match(line, dims.EMAIL), first_match(line, dims.PROFILE), first_match(line, dims.PHONE)
+        # what a pattern needs is looked for first: it is rare, and the patterns are dear
+        email, phone = F.when(F.contains(line, F.lit("@")), first_match(line, dims.EMAIL)), F.when(line.rlike("[0-9]{3}"), first_match(line, dims.PHONE))
+        profile = F.when(F.contains(F.lower(line), F.lit("linkedin")), first_match(line, dims.PROFILE))
         name = F.when(email.isNull() & profile.isNull() & F.size(words(line)).between(1, 4) & ~line.rlike(r"\d"), F.trim(line))
         return F.struct(name.alias("name"), email.alias("email"), F.when(F.length(F.regexp_replace(phone, r"\D", "")) >= 7, F.trim(phone)).alias("phone"), profile.alias("profile"))
 
@@ -67,7 +71,8 @@ def contact_of(lines: Column) -> Column:
 
 def entries_of(lines: Column) -> Column:
     """Entries of an experience section: title, company, location, sure, start_raw, end_raw, header, bullets."""
-    is_head = lambda x: x.rlike(dims.DATE_RANGE) & (F.btrim(F.regexp_extract(x, dims.BULLET, 0), F.lit(" ")) == "")
+    # a range has a year, which few lines have, and is dear to look for
+    is_head = lambda x: x.rlike("[0-9]{4}") & x.rlike(dims.DATE_RANGE) & (F.btrim(F.regexp_extract(x, dims.BULLET, 0), F.lit(" ")) == "")
 
     def made(kept: Column, heads: Column) -> Column:
         def entry(at: Column, k: Column) -> Column:
@@ -88,9 +93,9 @@ def entries_of(lines: Column) -> Column:
 
 
 def variance(n: Column) -> Column:
-    """Of the numbers of an array, over all of them; null for none."""
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    return F.when(F.size(n) > 0, bound(mean(n), lambda m: mean(F.transform(n, lambda x: (x - m) * (x - m)))))
+    """Of the whole numbers of an array, over all of them, from exact sums; null for none."""
+    k = F.size(n).cast("long")
+    return F.when(k > 0, (k * summed(n, lambda x: x * x) - summed(n, lambda x: x) * summed(n, lambda x: x)) / (k * k))
 
 
 def often(found: Column, least: int) -> Column:
@@ -137,10 +142,12 @@ def features(of_parsed: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
     titles = F.filter(F.transform(entries, lambda e: e["title"]), lambda t: t.isNotNull() & (t != ""))
     old = int(conf.as_of[:4]) - conf.old_graduation
     years = lambda x: F.regexp_extract_all(x, F.lit("(^|[^0-9A-Za-z_])((?:19|20)[0-9]{2})(?![0-9A-Za-z_])"), F.lit(2))
-    tenure = lambda x: F.coalesce(first_match(x, dims.TENURE, 2).try_cast("long") >= conf.long_tenure, F.lit(False))
+    # what the patterns need is looked for first: it is rare
+    birth = lambda x: F.lower(x).rlike("birth|dob|age[:\\s]|born") & x.rlike(dims.BIRTH)
+    tenure = lambda x: F.contains(F.lower(x), F.lit("year")) & F.coalesce(first_match(x, dims.TENURE, 2).try_cast("long") >= conf.long_tenure, F.lit(False))
     said = F.when(F.col("summary") != "", F.concat(bullets, F.array("summary"))).otherwise(bullets)
-    pattern = "(?<![a-z0-9_])(" + "|".join(sorted(dims.BUZZWORDS, key=lambda p: (-len(p), p))) + ")(?![a-z0-9_])"
-    out = of_parsed.withColumns({"titles": titles, "ranges": ranges, "long_words": F.array_sort(long_words), "ranks": F.transform(names, lambda n: F.array_position(strings(dims.EXPECTED_ORDER), n)), "lengths": F.transform(bullets, lambda b: F.size(words(b)).cast("double"))})
+    phrases = lambda x: F.size(F.regexp_extract_all(F.lower(x), F.lit(f"(?<![a-z0-9_]){one_of(dims.BUZZWORDS)}(?![a-z0-9_])"), F.lit(0)))
+    out = of_parsed.withColumns({"titles": titles, "ranges": ranges, "long_words": F.array_sort(long_words), "ranks": F.transform(names, lambda n: F.array_position(strings(dims.EXPECTED_ORDER), n)), "lengths": F.transform(bullets, lambda b: F.size(words(b)).cast("long"))})
     out = out.withColumns({"levels": F.filter(F.reverse(F.transform("titles", structure.seniority)), lambda x: x.isNotNull()), "jd": match.posting_title(F.col("posting"))})
     dated = F.filter(entries, lambda e: e["start_raw"].isNotNull() & e["end_raw"].isNotNull())
     months = F.transform(dated, lambda e: F.struct(structure.month_index(e["start_raw"]).alias("start"), structure.month_index(e["end_raw"]).alias("end")))
@@ -158,10 +165,10 @@ def features(of_parsed: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
             "n_repeated": F.size(often(F.col("long_words"), conf.repeated_at)).cast("long"),
             "n_out_of_order": inversions(F.col("ranks")).cast("long"),
             "n_words": F.size(words("text")).cast("long"),
-            "n_unsupported": summed(said, lambda x: F.when(detect.evident(x), 0).otherwise(F.size(F.regexp_extract_all(F.lower(x), F.lit(pattern), F.lit(1))))),
+            "n_unsupported": summed(F.transform(F.filter(F.transform(said, lambda x: F.struct(x.alias("line"), phrases(x).alias("n"))), lambda x: x["n"] > 0), lambda x: F.when(detect.evident(x["line"]), 0).otherwise(x["n"])), lambda n: n),
             "n_gaps": summed(F.transform("dated", gap), lambda g: g),
             "n_overlaps": overlapping(F.col("ranges")),
-            "n_age": summed(lines, lambda x: x.rlike(dims.BIRTH)) + summed(lines, tenure) + summed(F.col("education"), lambda x: F.size(F.filter(years(x), lambda y: y.cast("int") <= old))),
+            "n_age": summed(lines, birth) + summed(lines, tenure) + summed(F.col("education"), lambda x: F.size(F.filter(years(x), lambda y: y.cast("int") <= old))),
             "regression": inversions(F.col("levels")) > 0,
             "n_unsure": summed(entries, lambda e: (e["sure"] < 0.5) & e["header"].isNotNull()),
             "band": detect.length_band(F.size(words("text")), conf),

@@ -8,7 +8,7 @@ from careerlake.conf import DEFAULT
 from careerlake.functions import dims
 from careerlake.operators import match, report, score
 from careerlake.plans.documents import BAND, FIRST, WORDS, spaced
-from careerlake.sources.tables import table
+from careerlake.sources.tables import spread, table
 
 _EXPERIENCE = """'Work Experience', chr(10), CASE doc_id % 3 WHEN 0 THEN 'Senior Engineer, Acme, Pune Jan 2019 - Present' WHEN 1 THEN 'Analyst - Initech 2019 to Current' ELSE 'Self-employed 05/2020 – Now' END, chr(10),
   coalesce(text, ''), chr(10), 'Manager | Clerk ', CASE doc_id % 2 WHEN 0 THEN '03/2015 to 2018' ELSE 'Mar 2016 - Feb. 2019' END, chr(10), '- Led 5 people', chr(10), '• Responsible for results-driven reports, 40% more', chr(10), '- Managed managed managed and managed stock', chr(10),
@@ -25,7 +25,7 @@ FILENAME = "concat(coalesce(source, ''), CASE WHEN doc_id % 7 = 0 THEN '_final f
 
 
 def cvs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     made = docs.select("doc_id", F.expr(CV).alias("text"), F.expr(FILENAME).alias("filename"), F.expr(POSTING).alias("posting"), F.expr("cast(1 + doc_id % 2 as int)").alias("n_columns"), F.expr("cast(doc_id % 3 as int)").alias("n_table_lines"), F.expr("cast(doc_id % 4 as int)").alias("n_images"))
     return made
 
@@ -151,7 +151,7 @@ tailored AS (SELECT a.doc_id, avg((h.canonical IS NOT NULL)::INT) FILTER (WHERE
 OLD = int(DEFAULT.as_of[:4]) - DEFAULT.old_graduation
 FEATURES = rf"""
 quality AS (SELECT doc_id, count(*) AS n_bullets, count(*) FILTER (WHERE regexp_matches(line, '{dims.QUANTIFIED}')) AS n_quantified, count(*) FILTER (WHERE {FIRST} IN {dims.STRONG_VERBS}) AS n_strong,
-  count(*) FILTER (WHERE {" OR ".join(f"starts_with(lower(trim(line)), '{w}')" for w in dims.WEAK_OPENERS)}) AS n_weak, round(var_pop({WORDS.format("line")}), 1) AS variance FROM bul GROUP BY doc_id),
+  count(*) FILTER (WHERE {" OR ".join(f"starts_with(lower(trim(line)), '{w}')" for w in dims.WEAK_OPENERS)}) AS n_weak, round((count(*) * sum({WORDS.format("line")} ** 2)::BIGINT - sum({WORDS.format("line")})::BIGINT * sum({WORDS.format("line")})::BIGINT) / (count(*) * count(*)), 1) AS variance FROM bul GROUP BY doc_id),
 repeated AS (SELECT doc_id, count(*) AS n_repeated FROM (SELECT doc_id, word FROM (SELECT doc_id, unnest(regexp_extract_all(lower(line), '[a-z]{{4,}}')) AS word FROM bul) WHERE word NOT IN {dims.STOP_WORDS} GROUP BY ALL HAVING count(*) >= {DEFAULT.repeated_at}) GROUP BY doc_id),
 ranked AS (SELECT doc_id, name, min(section_no) AS first_at, list_position({list(dims.EXPECTED_ORDER)}, name) AS rank FROM sec WHERE name IN {dims.EXPECTED_ORDER} GROUP BY ALL),
 ordered AS (SELECT doc_id, count(*) FILTER (WHERE rank < before) AS n_out FROM (SELECT *, lag(rank) OVER (PARTITION BY doc_id ORDER BY first_at) AS before FROM ranked) GROUP BY doc_id),

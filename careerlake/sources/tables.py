@@ -11,3 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # workers of a session that began elsewhere find the library, though it isn't installed
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores where its files give fewer tasks than these, as a small table of one row group does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
