@@ -69,7 +69,7 @@ def taxonomy_scan(spark, sf_dir):
     return found.select("doc_id", "s.canonical", "s.category", "s.variant", "s.match_type")
 
 
-def jd_tailoring(spark, sf_dir):
+def skill_tailoring(spark, sf_dir):
     """Tailoring of each document to its posting; one without skills asks for nothing, and without a posting there is no row."""
     made = cvs(spark, sf_dir).filter("posting IS NOT NULL").select("doc_id", match.skills_in(F.col("posting")).alias("asked"), match.skills_in(F.col("text")).alias("had"))
     names = lambda c: F.transform(c, lambda s: s["canonical"])
@@ -208,7 +208,7 @@ SQL = {
     "parse_completeness": f"WITH {PARSED}, {FEATURES} SELECT doc_id, complete AS score, array_to_string(list_filter([{FOUND}], lambda x: x IS NOT NULL), ',') AS found FROM g",
     "bullet_analysis": f"WITH {PARSED}, {FEATURES} SELECT doc_id, n_bullets, CASE WHEN n_bullets > 0 THEN round(n_quantified / n_bullets, 2) END AS quantified, n_weak, n_strong, variance, n_repeated FROM g",
     "taxonomy_scan": f"WITH {PARSED}, {SKILLED} SELECT doc_id, canonical, category, variant, match_type FROM hit WHERE side = 'had'",
-    "jd_tailoring": f"""WITH {PARSED}, {SKILLED} SELECT cv.doc_id, coalesce(round(hard, 2), 1) AS hard, coalesce(round(soft, 2), 1) AS soft, coalesce(missing, 0) AS missing, round(70 * coalesce(round(hard, 2), 1) + 20 * coalesce(round(soft, 2), 1), 1) AS score
+    "skill_tailoring": f"""WITH {PARSED}, {SKILLED} SELECT cv.doc_id, coalesce(round(hard, 2), 1) AS hard, coalesce(round(soft, 2), 1) AS soft, coalesce(missing, 0) AS missing, round(70 * coalesce(round(hard, 2), 1) + 20 * coalesce(round(soft, 2), 1), 1) AS score
         FROM cv LEFT JOIN tailored USING (doc_id) WHERE posting IS NOT NULL""",
     "title_tailoring": f"WITH {PARSED}, {FEATURES} SELECT doc_id, title, wanted, close FROM g WHERE posting IS NOT NULL",
 }

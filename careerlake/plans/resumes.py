@@ -13,6 +13,7 @@ from careerlake.functions import dims
 from careerlake.functions.text import percent, total
 from careerlake.operators import guard, match, structure
 from careerlake.operators.lines import lines
+from careerlake.plans import reports
 from careerlake.plans.documents import LINES, docs_of
 from careerlake.sources.tables import table
 
@@ -31,7 +32,9 @@ def doc_sections(spark, sf_dir):
 
 
 def doc_section_order(spark, sf_dir):
-    return structure.section_order(structure.sections(headed(spark, sf_dir)))
+    """Of documents with headings put in, and of the résumés made of them, whose ids count down from -1."""
+    made = lines(reports.cvs(spark, sf_dir).withColumn("doc_id", -F.col("doc_id") - 1))
+    return structure.section_order(structure.sections(headed(spark, sf_dir).unionByName(made)))
 
 
 def doc_completeness(spark, sf_dir):
@@ -117,6 +120,19 @@ def keyword_coverage(spark, sf_dir):
     return out.select("doc_id", match.coverage(F.col("have"), F.col("want")).alias("pct"), F.array_join(F.array_except("want", "have"), ",").alias("missing"))
 
 
+#: Names that texts of invented words do hold.
+TAXONOMY = {"Articles": ("hard", ("the", "der", "des", "of the")), "Joiners": ("soft", ("and", "and the", "que")), "Thing": ("hard", ("thing", "tion")), "With": ("soft", ("with the", "with"))}
+
+
+def jd_tailoring(spark, sf_dir):
+    """Tailoring of each document to the item that wanted() gives it; an item without skills asks for nothing."""
+    had = wanted(docs_of(spark, sf_dir), items(spark, sf_dir)).select("doc_id", "item_no", match.skills_in(F.col("text"), TAXONOMY).alias("had"))
+    asked = items(spark, sf_dir).select("item_no", match.skills_in(F.col("text"), TAXONOMY).alias("asked"))
+    names = lambda c: F.transform(c, lambda s: s["canonical"])
+    share = lambda kind: match.share_had(F.col("asked"), F.col("had"), kind).alias(kind)
+    return had.join(asked, "item_no").select("doc_id", share("hard"), share("soft"), F.size(F.array_except(names("asked"), names("had"))).cast("long").alias("missing"))
+
+
 def fuzzy_skill_match(spark, sf_dir):
     """Runs of words near a name, misspelt ones included."""
     names = spark.createDataFrame([("thingtion",), ("andering",), ("theresion",)], "name string")
@@ -157,10 +173,12 @@ def keyword_highlight(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", match.highlights(F.col("text"), ("the", "and the", "que")).alias("n"))
 
 
+POSTED = "CASE p_partkey % 4 WHEN 0 THEN concat('About us', chr(10), 'Role: ', p_name, ' maker', chr(10), 'bye') WHEN 1 THEN concat('We are hiring a ', p_name, ', now') WHEN 2 THEN concat(chr(10), ' ', p_name, ' ', chr(10), 'more') ELSE 'one two three four five six seven eight nine' END"
+
+
 def posting_title(spark, sf_dir):
     """Titles of postings made of parts and suppliers."""
-    text = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat('About us\\nRole: ', p_name, ' maker\\nbye') WHEN 1 THEN concat('We are hiring a ', p_name, ', now') WHEN 2 THEN concat('\\n ', p_name, ' \\nmore') ELSE 'one two three four five six seven eight nine' END")
-    return table(spark, sf_dir, "part").select("p_partkey", match.posting_title(text).alias("title"))
+    return table(spark, sf_dir, "part").select("p_partkey", match.posting_title(F.expr(POSTED)).alias("title"))
 
 
 def turns(spark, sf_dir):
@@ -227,13 +245,17 @@ ENTRIES = rf"""o AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (
     year(o_orderdate) * 12 + month(o_orderdate) AS start_m, CASE WHEN o_orderkey % 9 = 0 THEN 119988 ELSE (year(o_orderdate) + o_orderkey % 3) * 12 + o_orderkey % 12 + 1 END AS end_m, o_orderkey, o_orderpriority FROM (SELECT o.*, doc_id % 4 AS o_custkey_kind, q.o_orderpriority FROM o JOIN orders q USING (o_orderkey)))"""
 LEVEL = "greatest(" + ", ".join(f"CASE WHEN regexp_matches(lower(title), '(^|[^a-z0-9_]){k}($|[^a-z0-9_])') THEN {v} END" for k, v in dims.SENIORITY.items()) + ")"
 SCAN = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower({{0}}), '(^|[^a-z0-9+#]){k}($|[^a-z0-9+#])') THEN '{k}' END" for k in LEXICON) + "], lambda x: x IS NOT NULL)"
+TAX = ", ".join(f"('{v}', '{c}', '{k}')" for v, c, k, *_ in match.variant_rows(TAXONOMY))
 LINESET = r"list_filter(list_transform(regexp_split_to_array(coalesce({0}, ''), '\r?\n'), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '')"
 TURNS = "t AS (SELECT conv_id, turn, text AS before, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations), v AS (SELECT * FROM t WHERE after IS NOT NULL)"
 NUMBERS = r"list_distinct(list_transform(regexp_extract_all(regexp_replace({0}, '([^A-Za-z0-9_])', '\1\1', 'g'), '(^|[^A-Za-z0-9_])(\d(?:[\d]|,,|\.\.)*(?:\+\+)?(?:%%)?)', 2), lambda x: regexp_replace(replace(replace(replace(replace(x, ',,', ','), '..', '.'), '++', '+'), '%%', '%'), '[,.]+$', '')))"
 SQL = {
     "doc_sections": f"WITH {LINES}, {SECTIONS} SELECT * FROM sections",
-    "doc_section_order": f"""WITH {LINES}, {SECTIONS}, f AS (SELECT doc_id, canonical_name, min(section_no) AS first_at, list_position({list(dims.EXPECTED_ORDER)}, canonical_name) AS rank FROM sections WHERE canonical_name IN {dims.EXPECTED_ORDER} GROUP BY ALL)
-        SELECT doc_id, earlier, canonical_name AS later FROM (SELECT *, lag(rank) OVER w AS br, lag(canonical_name) OVER w AS earlier FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY first_at)) WHERE rank < br""",
+    "doc_section_order": " UNION ALL ".join(
+        f"""SELECT {doc_id} AS doc_id, earlier, later FROM (WITH {found}, f AS (SELECT doc_id, {name} AS name, min(section_no) AS first_at, list_position({list(dims.EXPECTED_ORDER)}, {name}) AS rank FROM {of} WHERE {name} IN {dims.EXPECTED_ORDER} GROUP BY ALL)
+        SELECT doc_id, earlier, name AS later FROM (SELECT *, lag(rank) OVER w AS br, lag(name) OVER w AS earlier FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY first_at)) WHERE rank < br)"""
+        for doc_id, found, name, of in (("doc_id", f"{LINES}, {SECTIONS}", "canonical_name", "sections"), ("-doc_id - 1", reports.PARSED, "name", "sec"))
+    ),
     "doc_completeness": f"""WITH {LINES}, {SECTIONS} SELECT doc_id, round(100 * ((CASE WHEN bool_or(canonical_name = 'summary') THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN bool_or(canonical_name = 'experience') THEN 0.3::DOUBLE ELSE 0 END
         + CASE WHEN bool_or(canonical_name = 'skills') THEN 0.15::DOUBLE ELSE 0 END) + 0.05::DOUBLE * avg((via = 'dictionary')::INT)), 1) AS score FROM sections GROUP BY doc_id""",
     "experience_entries": f"""WITH {ENTRIES} SELECT doc_id, entry_no, CASE o_custkey_kind WHEN 0 THEN 'Senior Engineer' WHEN 1 THEN 'Manager' WHEN 2 THEN 'Analyst' ELSE 'Freelance' END AS title,
@@ -248,12 +270,18 @@ SQL = {
     "lexicon_scan": f"SELECT doc_id, array_to_string({SCAN.format('text')}, ',') AS skills FROM documents",
     "keyword_coverage": f"""WITH w AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_no, {SCAN.format('text')} AS want FROM benchmark), h AS (SELECT doc_id, ((doc_id % k) + k) % k AS item_no, {SCAN.format('text')} AS have FROM documents, (SELECT count(*) AS k FROM benchmark))
         SELECT doc_id, CASE WHEN len(want) > 0 THEN CAST(floor(100.0 * len(list_filter(want, lambda x: list_contains(have, x))) / len(want) + 0.5) AS BIGINT) END AS pct, array_to_string(list_filter(want, lambda x: NOT list_contains(have, x)), ',') AS missing FROM w JOIN h USING (item_no)""",
+    "jd_tailoring": rf"""WITH tax(v, canonical, category) AS (VALUES {TAX}), t AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', row_number() OVER (ORDER BY item_id) - 1, text FROM benchmark),
+        hit AS (SELECT DISTINCT side, id, canonical, category FROM t, tax WHERE regexp_matches(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'), '(^|[^a-z0-9])' || v || '($|[^a-z0-9])')),
+        w AS (SELECT doc_id, ((doc_id % k) + k) % k AS item_no FROM documents, (SELECT count(*) AS k FROM benchmark)),
+        a AS (SELECT w.doc_id, i.canonical, i.category, h.id IS NOT NULL AS had FROM w JOIN hit i ON i.side = 'i' AND i.id = item_no LEFT JOIN hit h ON h.side = 'd' AND h.id = w.doc_id AND h.canonical = i.canonical),
+        s AS (SELECT doc_id, avg(CASE WHEN category = 'hard' THEN had::INT END) AS hard, avg(CASE WHEN category = 'soft' THEN had::INT END) AS soft, count(*) FILTER (WHERE NOT had) AS missing FROM a GROUP BY doc_id)
+        SELECT doc_id, coalesce(round(hard, 2), 1) AS hard, coalesce(round(soft, 2), 1) AS soft, coalesce(missing, 0) AS missing FROM documents LEFT JOIN s USING (doc_id)""",
     "title_jaccard": """WITH p AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(concat(p_name, ' ', p_type)), '[a-z]+')) AS w FROM part) SELECT a.p_partkey, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 4) AS overlap FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1""",
     "parser_agreement": """WITH c AS (SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 < 2 THEN true END, false) AS same, list_distinct(string_split(lower(concat(replace(c_name, '#', ' '), ' ', c_mktsegment)), ' ')) AS a,
           list_distinct(string_split(lower(concat(replace(c_name, '#', ' '), ' ', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'NONE' END)), ' ')) AS b FROM customer), r AS (SELECT *, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 2) AS rate FROM c)
         SELECT c_custkey, same AS name_agrees, rate AS set_agrees, round((same::INT + rate) / 2, 2) AS overall FROM r""",
     "evidence_search": "SELECT skill, parts FROM (VALUES ('ring'), ('bolt'), ('red'), ('zzz')) s(skill) LEFT JOIN (SELECT skill, array_to_string(list(p_partkey ORDER BY p_partkey), ',') AS parts FROM (SELECT skill, p_partkey FROM part, (VALUES ('ring'), ('bolt'), ('red'), ('zzz')) s(skill) WHERE p_size > 5 AND contains(lower(concat(p_name, ' ', p_type)), skill) QUALIFY row_number() OVER (PARTITION BY skill ORDER BY p_partkey) <= 4) GROUP BY skill) USING (skill)",
-    "posting_title": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' maker' WHEN 1 THEN p_name WHEN 2 THEN p_name END AS title FROM part",
+    "posting_title": f"SELECT p_partkey, {reports.wanted_title('t')} AS title FROM (SELECT p_partkey, {POSTED} AS t FROM part)",
     "line_change_stats": f"""WITH {TURNS}, l AS (SELECT conv_id, turn, {LINESET.format('before')} AS a, {LINESET.format('after')} AS b FROM v), c AS (SELECT *, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS n FROM l)
         SELECT conv_id, turn, CAST(n AS BIGINT) AS changed, CAST(len(b) AS BIGINT) AS total, CASE WHEN len(b) > 0 THEN CAST(floor(100.0 * n / len(b) + 0.5) AS BIGINT) ELSE 0 END AS pct FROM c""",
     "unsupported_additions": f"""WITH {TURNS} SELECT conv_id, turn, array_to_string(list_sort(list_concat(list_transform(list_filter({SCAN.format('after')}, lambda x: NOT list_contains({SCAN.format('before')}, x)), lambda x: concat('skill "', x, '"')),
@@ -262,11 +290,13 @@ SQL = {
     "page_text": r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_extract(html, '(?i)<meta[^>]+name=["'']description["''][^>]+content=["'']([^"'']*)["'']', 1)) AS description,
         trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', ' ', 'gis'), '<style.*?</style>', ' ', 'gis'), '<noscript.*?</noscript>', ' ', 'gis'), '<svg.*?</svg>', ' ', 'gis'), '<[^>]+>', ' ', 'g'),
           '&nbsp;', ' '), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g')) AS text FROM pages""",
-    "public_url": "SELECT page_id, page_id % 8 = 0 AS ok FROM pages",
+    "public_url": rf"""SELECT page_id, coalesce(lower(regexp_extract(f, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) IN ('http', 'https') AND NOT contains(a, '@') AND regexp_extract(a, '^([^:\[\]@]*)(?::(\d*))?$', 2) IN ('', '80', '443') AND contains(h, '.')
+        AND NOT regexp_matches(h, '^[0-9.]+$') AND NOT regexp_matches(h, '(^|\.)(localhost|local|internal|lan|home|corp)$'), false) AS ok
+        FROM (SELECT *, lower(regexp_extract(a, '^([^:\[\]@]*)(?::(\d*))?$', 1)) AS h FROM (SELECT *, regexp_extract(f, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS a FROM (SELECT page_id, CASE WHEN contains(u, '://') THEN u ELSE 'https://' || u END AS f FROM (SELECT page_id, {ODD_URL} AS u FROM pages))))""",
     "agent_steps": """WITH s AS (SELECT user_id AS run_id, event_id AS step, event_type AS tool, CAST(floor(value) AS BIGINT) % 5 AS args, value > 5 AS ok FROM events),
         k AS (SELECT *, CASE WHEN max(ok::INT) OVER (PARTITION BY run_id, tool, args ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN 'duplicate' WHEN ok THEN 'ok' ELSE 'error' END AS kind, row_number() OVER (PARTITION BY run_id ORDER BY step) AS n FROM s)
         SELECT run_id, kind, count(*) AS n FROM k WHERE n <= 40 GROUP BY ALL""",
-    "json_extraction": r"SELECT event_id, nullif(regexp_extract(props, '(?s)\{.*\}'), '') AS json FROM events",
+    "json_extraction": r"""SELECT event_id, nullif(regexp_extract(regexp_replace(regexp_replace('<think>{no}</think> Sure:' || chr(10) || '```json' || chr(10) || props || chr(10) || '``` done', '(?s)<think>.*?</think>', '', 'g'), '```(?:json)?', '', 'g'), '(?s)\{.*\}'), '') AS json FROM events""",
     "bullet_stats": f"WITH {LINES}, c AS (SELECT doc_id, CAST(regexp_matches(line, '{dims.EMAIL}')::INT + regexp_matches(line, '{dims.QUANTIFIED}')::INT + regexp_matches(line, '[A-Z]{{4,}}')::INT AS BIGINT) AS n FROM lines) SELECT doc_id, n AS n_checks, CAST(floor(100.0 * n / 3 + 0.5) AS BIGINT) AS pct FROM c",
     "keyword_highlight": r"SELECT doc_id, CAST(len(regexp_extract_all(regexp_replace(lower(text), '([^a-z0-9_])', '\1\1', 'g'), '(^|[^a-z0-9_])(?:and  the|and\n\nthe_|the|que)($|[^a-z0-9_])')) AS BIGINT) AS n FROM documents",
 }

@@ -50,6 +50,10 @@ def fk_orphans(spark, sf_dir):
     return relational.orphans(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
+def unlabelled_documents(spark, sf_dir):
+    return relational.orphans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "doc_id").select("doc_id")
+
+
 def row_scope(spark, sf_dir):
     return relational.scoped(table(spark, sf_dir, "events"), "user_id", USER).select("event_id", "event_type")
 
@@ -113,7 +117,7 @@ def job_filter(spark, sf_dir):
 
 
 def job_search(spark, sf_dir):
-    return jobs(spark, sf_dir).filter(board.mentions("el", "role", "company")).select("id", "role")
+    return jobs(spark, sf_dir).filter(board.mentions("ring", "role", "company")).select("id", "role")
 
 
 PAY = "CASE WHEN {0} % 5 = 0 THEN 'Competitive' ELSE concat('₹', CAST(floor(price) AS STRING), '–', CAST({0} % 90 AS STRING), ' LPA') END"
@@ -230,7 +234,7 @@ def anonymous_name(spark, sf_dir):
 
 def heat_cards(spark, sf_dir):
     """Postings of a city with any of the skills."""
-    return jobs(spark, sf_dir).filter((F.col("city") == "Pune") & F.arrays_overlap("skills", strings(("STEEL", "TIN")))).select("id")
+    return jobs(spark, sf_dir).filter((F.col("city") == "Pune") & F.arrays_overlap("skills", strings(("ECONOMY", "ring")))).select("id")
 
 
 def price_points(spark, sf_dir):
@@ -253,11 +257,12 @@ SQL = {
     "report_lookup": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey = 33",
     "recent_reports": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
     "agreement_rate": "SELECT p AS parser, count(o_orderkey) AS n, round(avg(o_totalprice), 3) AS mean_rate FROM (VALUES ('urgent', '1-URGENT'), ('unknown', 'unknown')) t(p, q) LEFT JOIN orders ON o_orderpriority = q GROUP BY p",
-    "fk_orphans": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 10 <> 3)",
+    "unlabelled_documents": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
+    "fk_orphans": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)",
     "row_scope": f"SELECT event_id, event_type FROM events WHERE user_id = {USER}",
     "either_party": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey = 5 OR l_suppkey = 5",
     "college_semi_join": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_orderstatus",
-    "leaderboard_topk": "SELECT n_name, c_custkey, c_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 <> 0 QUALIFY rank <= 3",
+    "leaderboard_topk": "SELECT n_name, c_custkey, c_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 QUALIFY rank <= 3",
     "weekly_stats": "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
     "quality_quarantine": "SELECT o_orderkey, b AS broken FROM (SELECT o_orderkey, concat_ws(',', CASE WHEN NOT o_orderstatus IN ('O', 'F') THEN 'status' END, CASE WHEN NOT o_totalprice BETWEEN 1000 AND 400000 THEN 'price' END, CASE WHEN NOT o_custkey > 0 THEN 'customer' END) AS b FROM orders) WHERE b <> ''",
     "daily_activity_dedupe": "SELECT user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY ALL",
@@ -266,8 +271,8 @@ SQL = {
     "cascade_delete": "SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 150) GROUP BY user_id",
     "history_cap": "SELECT user_id, count(*) AS n, min(event_id) AS low, max(event_id) AS high FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50) GROUP BY user_id",
     "job_filter": f"WITH {J} SELECT 'remote' AS facet, id, city, type FROM jobs WHERE type = 'Remote' UNION ALL SELECT 'pune', id, city, type FROM jobs WHERE contains(lower(city), 'pune') AND contains(lower(domain), 'a') AND type = 'Full-Time'",
-    "job_search": f"WITH {J}, {SKILLS} SELECT id, role FROM jobs JOIN sk USING (id) WHERE contains(lower(role), 'el') OR contains(lower(company), 'el') OR len(list_filter(skills, lambda s: contains(lower(s), 'el'))) > 0",
-    "job_pay_sort": rf"WITH {J} SELECT id, pay, coalesce(try_cast(regexp_replace(pay, '\D', '', 'g') AS BIGINT), 0) AS pay_rank FROM (SELECT *, {PAY.format('id').replace('floor(price) AS STRING', 'CAST(floor(price) AS BIGINT) AS VARCHAR').replace('STRING', 'VARCHAR')} AS pay FROM jobs) ORDER BY pay_rank DESC, id LIMIT 100",
+    "job_search": f"WITH {J}, {SKILLS} SELECT id, role FROM jobs JOIN sk USING (id) WHERE contains(lower(role), 'ring') OR contains(lower(company), 'ring') OR len(list_filter(skills, lambda s: contains(lower(s), 'ring'))) > 0",
+    "job_pay_sort": rf"WITH {J} SELECT id, pay, coalesce(try_cast(regexp_replace(pay, '\D', '', 'g') AS BIGINT), 0) AS pay_rank FROM (SELECT *, {PAY.format('id').replace('floor(price) AS STRING', 'CAST(floor(price) AS BIGINT) AS VARCHAR').replace('STRING', 'VARCHAR')} AS pay FROM jobs) ORDER BY pay_rank DESC, id",
     "job_listing": f"""WITH {J} SELECT id, role || CASE WHEN id % 7 = 0 THEN ' intern' WHEN id % 5 = 0 THEN ' (Remote)' ELSE '' END AS role, city,
         CASE WHEN id % 7 = 0 OR contains(lower(role), 'intern') THEN 'Internship' WHEN id % 5 = 0 OR contains(lower(role), 'remote') THEN 'Remote' ELSE 'Full-Time' END AS type,
         CASE WHEN id % 4 = 0 THEN 'Competitive' ELSE concat('₹', CAST(floor(low / 100000 + 0.5) AS BIGINT), '–', CAST(floor(CASE WHEN id % 3 = 0 THEN low * 2 ELSE low * 1.3::DOUBLE END / 100000 + 0.5) AS BIGINT), ' LPA') END AS pay FROM (SELECT *, floor(price) * 1000 AS low FROM jobs)""",
@@ -297,7 +302,7 @@ SQL = {
     "issue_label": """SELECT o_orderkey, CAST(greatest(1, (y - 2025) * 12 + m) AS BIGINT) AS issue_number, concat(CASE WHEN m IN (12, 1, 2) THEN 'Winter' WHEN m <= 5 THEN 'Spring' WHEN m <= 8 THEN 'Summer' ELSE 'Fall' END, ' ’', substr(CAST(y AS VARCHAR), 3, 2)) AS season_year,
         concat(upper(strftime(d, '%b')), '.', y) AS month_year, CAST(quarter(d) AS BIGINT) AS quarter FROM (SELECT o_orderkey, d, year(d) AS y, month(d) AS m FROM (SELECT o_orderkey, CAST(o_orderdate + INTERVAL 360 MONTH AS DATE) AS d FROM orders))""",
     "anonymous_name": f"""SELECT c_custkey, concat({list(dims.ANIMALS)}[CAST(list_reduce(list_concat([0::HUGEINT], list_transform(string_split(c_name, ''), lambda c: ascii(c)::HUGEINT)), lambda a, c: (a * 31 + c) % 4294967296) % 24 AS BIGINT) + 1], ' from ', substr(regexp_split_to_array(c_mktsegment, '\\s|,|\\(')[1], 1, 8)) AS name FROM customer""",
-    "heat_cards": f"WITH {J}, {SKILLS} SELECT id FROM jobs JOIN sk USING (id) WHERE city = 'Pune' AND list_has_any(skills, ['STEEL', 'TIN'])",
+    "heat_cards": f"WITH {J}, {SKILLS} SELECT id FROM jobs JOIN sk USING (id) WHERE city = 'Pune' AND list_has_any(skills, ['ECONOMY', 'ring'])",
     "price_points": "SELECT p_brand, array_to_string(list_transform(range(6), lambda i: CAST(floor(lo + (hi - lo) * i / 5 + 0.5) AS BIGINT)), ' ') AS points FROM (SELECT p_brand, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY p_brand)",
 }
 QUERIES = {name: globals()[name] for name in SQL}
