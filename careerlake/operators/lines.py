@@ -63,3 +63,25 @@ def ocr_lines(tokens: DataFrame) -> DataFrame:
 
 def has_text_layer(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id").agg((F.coalesce(F.sum(F.length(F.trim("text"))), F.lit(0)) > 20).alias("has_text"))
+
+
+def ocr_confidence(of_lines: DataFrame) -> DataFrame:
+    """Mean of the means of a document's lines, to one place; 0 without any."""
+    # in tenths, so that halves are rounded up exactly
+    tenths, n = F.sum(F.round(F.col("mean_confidence") * 10).cast("long")), F.count("mean_confidence")
+    return of_lines.groupBy("doc_id").agg(F.coalesce(F.floor((2 * tenths + n) / (2 * n)) / 10, F.lit(0.0)).alias("confidence"))
+
+
+def routed(layers: DataFrame, from_spans: DataFrame, read: DataFrame) -> DataFrame:
+    """Lines of documents with a text layer from spans, of others as read, with a warning; all: doc_id and place, line."""
+    plain = from_spans.join(layers.filter("has_text").select("doc_id"), "doc_id", "left_semi").withColumn("warning", F.lit(None).cast("string"))
+    return plain.unionByName(read.join(layers.filter("NOT has_text").select("doc_id"), "doc_id", "left_semi").withColumn("warning", F.lit("read by OCR")))
+
+
+def assembled(parts: DataFrame) -> DataFrame:
+    """Lines of (doc_id, spot, source, text): body, tables, then headers and footers; blank ones go; with the number of table lines."""
+    rank = F.when(F.col("source") == "body", 0).when(F.col("source") == "table", 1).otherwise(2)
+    w = Window.partitionBy("doc_id")
+    place = F.row_number().over(w.orderBy(rank, "spot")).cast("long") - 1
+    full = parts.filter(F.trim("text") != "")
+    return full.select("doc_id", place.alias("line_no"), F.trim("text").alias("line"), F.count_if(F.col("source") == "table").over(w).alias("n_table_lines"))

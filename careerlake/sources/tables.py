@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not given:
+        raise ValueError("spark.checkpoint.dir isn't set: name a folder there that driver and executors share")
+    return given
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df on all cores where its files give fewer tasks than these, as a small table of one row group does; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,0 +1 @@
+"""Streaming twins of operators over activity: the same results, kept up as rows arrive."""
