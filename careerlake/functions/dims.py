@@ -98,6 +98,11 @@ RING_SKILLS = {
     "data": ("Python", "SQL", "Pandas", "Spark", "Airflow", "Git", "Statistics", "BigQuery"),
     "cloud": ("AWS", "Docker", "Kubernetes", "Terraform", "Linux", "CI/CD", "Networking", "Git"),
 }
+MARKET_DEFAULTS = {"demand_today": 75, "demand_2027": 82, "demand_2028": 88, "demand_2029": 93, "growth_probability": 85}
+COMPANY_OPTIONS = {"product": "Product-based", "service": "Service-based or consulting", "startup": "Startup", "other": "Something else"}
+#: Least and most characters of the fields of a request.
+REQUEST_LENGTHS = {"resume_text": (80, 15000), "target_role": (2, 80), "city": (2, 60), "username": (0, 39)}
+PHASES = ("intake", "check", "generate", "revise")
 ANIMALS = (
     "Tiger", "Eagle", "Falcon", "Wolf", "Panther", "Cobra", "Lion", "Hawk", "Leopard", "Phoenix", "Dragon", "Bison",
     "Lynx", "Otter", "Rhino", "Jaguar", "Stag", "Owl", "Raven", "Cheetah", "Fox", "Bear", "Mantis", "Shark",

@@ -85,3 +85,8 @@ def pseudonym(user: Column, college: Column) -> Column:
 
 def progress(tasks: DataFrame, group: str, done: Column) -> DataFrame:
     return tasks.groupBy(group).agg(F.count_if(done).alias("done"), F.count("*").alias("total")).withColumn("pct", percent(F.col("done"), F.col("total")))
+
+
+def live_dates(at: Column) -> dict[str, Column]:
+    """A moment as a long date, a short date and a date with time, the day before the month."""
+    return {"long": F.date_format(at, "EEEE, d MMMM yyyy"), "short": F.date_format(at, "dd MMM yyyy"), "timed": F.date_format(at, "EEE, d MMM yyyy, hh:mm a")}

@@ -80,3 +80,46 @@ def intensity(jobs: DataFrame, value: str) -> DataFrame:
     peak = jobs.agg(F.max(value).alias("peak"), F.sum(value).alias("total"))
     out = jobs.crossJoin(F.broadcast(peak))
     return out.withColumn("pct", percent(F.col(value), F.col("peak"))).withColumn("hot", F.col("pct") > 85)
+
+
+def status(kind: Column) -> Column:
+    """Label of a posting by its type."""
+    return F.when(kind == "Internship", "internship").when(kind == "Remote", "remote").otherwise("open")
+
+
+def ticker(jobs: DataFrame, order: list[Column], n: int = 8) -> DataFrame:
+    """Code, label and pay of the first n postings."""
+    return jobs.orderBy(*order).limit(n).select("id", F.upper(F.substring("city", 1, 3)).alias("code"), F.concat_ws(" · ", "company", "role").alias("label"), F.col("pay").alias("info"))
+
+
+def any_pill(active: tuple[str, ...], skills: str = "skills", role: str = "role") -> Column:
+    """Any of the active skills is part of a skill or of the role, in any case; all pass where none is active."""
+    if not active:
+        return F.lit(True)
+    wanted = strings([a.lower() for a in active])
+    return F.exists(wanted, lambda a: F.contains(F.lower(role), a) | F.exists(skills, lambda s: F.contains(F.lower(s), a)))
+
+
+def or_default(value: Column, default: Column) -> Column:
+    """The value, or the default where it is null, zero or empty."""
+    return F.when(value.isNull() | (value.cast("string").isin("", "0", "0.0")), default).otherwise(value)
+
+
+def hour_block(raw: Column) -> Column:
+    """The whole number that a text begins with, 0 without one."""
+    return F.coalesce(F.regexp_extract(raw, r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
+
+
+def job_match(asked: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Skills of asked (job_id, have) beside those of the job of that id: matched and missing; ids that no job has give nothing."""
+    out = asked.join(jobs.select(F.col("id").alias("job_id"), "role", "company", "skills"), "job_id")
+    low = F.transform("have", lambda s: F.lower(s))
+    return out.select("job_id", "role", "company", F.filter("skills", lambda s: F.array_contains(low, F.lower(s))).alias("matched"), F.filter("skills", lambda s: ~F.array_contains(low, F.lower(s))).alias("missing"))
+
+
+def line_points(values: Column, width: int = 120, height: int = 36) -> Column:
+    """Values as x,y points from left to right, the largest on top; in the middle where all are equal."""
+    low, high, n = F.array_min(values), F.array_max(values), F.size(values)
+    x = lambda i: half_up(F.when(n > 1, width * i / (n - 1)).otherwise(0.0))
+    y = lambda v: half_up(F.when(high > low, height - height * (v - low) / (high - low)).otherwise(height / 2))
+    return F.array_join(F.transform(values, lambda v, i: F.concat(x(i).cast("string"), F.lit(","), y(v).cast("string"))), " ")

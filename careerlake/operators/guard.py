@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from careerlake.functions import dims
 from careerlake.functions.text import percent, squeezed
 from careerlake.operators.match import lexicon_skills
 
@@ -89,3 +90,32 @@ def json_in(text: Column) -> Column:
     """The JSON object in a model's answer: thoughts and code fences go, then from the first brace to the last."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
     return F.nullif(F.regexp_extract(plain, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def preselected(kind: Column, sure: Column) -> Column:
+    """The option that stands for a kind of company, unless it is a mere guess."""
+    known = F.create_map(*(F.lit(x) for pair in dims.COMPANY_OPTIONS.items() for x in pair))
+    return F.when(sure != "low", F.try_element_at(known, kind))
+
+
+def request_faults(fields: dict[str, Column], phase: Column) -> Column:
+    """Names of the fields of a request that are too short or too long (the user name may be missing), and `phase` if it is none of the known."""
+    faults = []
+    for name, value in fields.items():
+        least, most = dims.REQUEST_LENGTHS[name]
+        ok = F.length(value).between(least, most)
+        faults.append(F.when(~F.coalesce(ok, F.lit(least == 0)), name))
+    return F.array_compact(F.array(*faults, F.when(~F.coalesce(phase.isin(*dims.PHASES), F.lit(False)), "phase")))
+
+
+def decision(answer: Column) -> dict[str, Column]:
+    """What a model's answer decides: final, tool (with its name), or invalid, which calls for one repair."""
+    made = json_in(answer)
+    tool, final = F.get_json_object(made, "$.tool"), F.get_json_object(made, "$.final")
+    valid = F.try_parse_json(made).isNotNull()
+    kind = F.when(valid & final.isNotNull(), "final").when(valid & (tool != ""), "tool").otherwise("invalid")
+    return {"kind": kind, "tool": F.when(kind == "tool", tool)}
+
+
+def history_line(tool: Column, said: Column, most: int = 200) -> Column:
+    return F.concat(tool, F.lit(": "), clipped(said, most))

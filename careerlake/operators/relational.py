@@ -75,3 +75,12 @@ def invite_code(key: Column) -> Column:
 def display_name(meta: Column, email: Column) -> Column:
     """The name in a JSON object, else what stands before the @."""
     return F.coalesce(F.get_json_object(meta, "$.display_name"), F.split_part(email, F.lit("@"), F.lit(1)))
+
+
+def touched(before: DataFrame, changes: DataFrame, key: str, at: Column) -> DataFrame:
+    """Rows with the values of their change, if any, and then `updated_at`; changes has a row for a key at most."""
+    columns = [c for c in before.columns if c not in (key, "updated_at")]
+    new = changes.select(F.col(key), F.struct(*(F.col(c) if c in changes.columns else F.lit(None).alias(c) for c in columns)).alias("__new"), F.lit(True).alias("__changed"))
+    out = before.join(new, key, "left")
+    stamped = F.when(F.col("__changed"), at).otherwise(F.col("updated_at"))
+    return out.select(key, *(F.coalesce(F.col("__new")[c], F.col(c)).alias(c) for c in columns), stamped.alias("updated_at"))
