@@ -90,3 +90,18 @@ def progress(tasks: DataFrame, group: str, done: Column) -> DataFrame:
 def live_dates(at: Column) -> dict[str, Column]:
     """A moment as a long date, a short date and a date with time, the day before the month."""
     return {"long": F.date_format(at, "EEEE, d MMMM yyyy"), "short": F.date_format(at, "dd MMM yyyy"), "timed": F.date_format(at, "EEE, d MMM yyyy, hh:mm a")}
+
+
+def standing(rows: DataFrame, group: str, value: str, parts: int = 1000) -> DataFrame:
+    """rows with n (rows of the group), below (those of the group with a smaller value), low and high of the group.
+
+    A group's values are cut into parts between low and high: ranks are made within a part, and what stands in the parts before is added,
+    so that a group with many rows isn't one task's.
+    """
+    spans = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    at = F.when(F.col("high") > F.col("low"), F.least(F.lit(parts - 1), F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * parts))).otherwise(0)
+    dealt = rows.join(spans, group).withColumn("__part", at.cast("int"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy(group, "__part").agg(F.count("*").alias("__n")).select(group, "__part", before.alias("__before"))
+    rank = F.rank().over(Window.partitionBy(group, "__part").orderBy(value)) - 1
+    return dealt.withColumn("__rank", rank).join(sizes, [group, "__part"]).withColumn("below", F.col("__rank") + F.col("__before")).drop("__part", "__rank", "__before")

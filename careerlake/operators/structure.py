@@ -116,12 +116,15 @@ def gaps(ranges: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
 
 
 def overlaps(ranges: DataFrame) -> DataFrame:
-    """Pairs of roles of a document that share months; a document's roles are few, so pairs are made within it alone."""
-    known = ranges.filter("start_m IS NOT NULL AND end_m IS NOT NULL")
-    a = known.select("doc_id", F.col("entry_no").alias("a"), F.col("start_m").alias("sa"), F.col("end_m").alias("ea"))
-    b = known.select("doc_id", F.col("entry_no").alias("b"), F.col("start_m").alias("sb"), F.col("end_m").alias("eb"))
-    months = F.least("ea", "eb") - F.greatest("sa", "sb")
-    return a.join(b, "doc_id").filter((F.col("a") < F.col("b")) & (months > 0)).select("doc_id", "a", "b", months.cast("long").alias("months"))
+    """Pairs of roles of a document that share months; a document's roles are few, so its pairs are made in one row."""
+    known = ranges.filter("start_m IS NOT NULL AND end_m IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("entry_no", "start_m", "end_m"))).alias("roles"))
+    shared = lambda x, y: F.least(x["end_m"], y["end_m"]) - F.greatest(x["start_m"], y["start_m"])
+
+    def later(x: Column, i: Column) -> Column:
+        rest = F.filter(F.slice("roles", i + 2, F.size("roles")), lambda y: shared(x, y) > 0)
+        return F.transform(rest, lambda y: F.struct(x["entry_no"].alias("a"), y["entry_no"].alias("b"), shared(x, y).cast("long").alias("months")))
+
+    return known.select("doc_id", F.explode(F.flatten(F.transform("roles", later))).alias("p")).select("doc_id", "p.*")
 
 
 def seniority(title: Column) -> Column:

@@ -172,12 +172,10 @@ def goal_progress(spark, sf_dir):
 
 def peer_percentile(spark, sf_dir):
     """How each customer's balance stands in their nation: share strictly below, place between least and most."""
-    c = table(spark, sf_dir, "customer").filter("c_acctbal <> 0")
-    w = Window.partitionBy("c_nationkey")
-    below = F.rank().over(w.orderBy("c_acctbal")) - 1
-    n, low, high = F.count("*").over(w), F.min("c_acctbal").over(w), F.max("c_acctbal").over(w)
+    c = activity.standing(table(spark, sf_dir, "customer").filter("c_acctbal <> 0"), "c_nationkey", "c_acctbal")
+    low, high = F.col("low"), F.col("high")
     place = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (F.col("c_acctbal") - low) / F.greatest(F.lit(1.0), high - low))), 4)
-    made = c.select("c_custkey", n.alias("n"), percent(below, n).alias("pct_below"), place.alias("place"))
+    made = c.select("c_custkey", "n", percent(F.col("below"), F.col("n")).alias("pct_below"), place.alias("place"))
     return made.filter("n >= 2").drop("n")
 
 
