@@ -31,8 +31,10 @@ from careerlake.llm.common import SLICE, table, written
 
 RANKS = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32768, 2048  # code points
-#: Words kept with their encoding in a Python worker; beyond that the store starts anew.
-KEPT = 200_000
+#: Words kept with their encoding in a Python worker, at about 200 bytes each; beyond that the store starts anew.
+KEPT = 400_000
+#: Characters of texts that are split into words together.
+TOGETHER = 1 << 21
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -41,6 +43,25 @@ def crowded(text: str) -> bool:
     return text.split() != text.replace("\n", " ").split(" ")
 
 
+def split_up(text: str) -> list[list[str]] | None:
+    """The words of each line; None where they aren't pre-tokens by themselves."""
+    return None if crowded(text) else [line.split(" ") for line in text.split("\n")]
+
+
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in groups of at most TOGETHER characters, or one."""
+    group: list[str] = []
+    size = 0
+    for t in texts:
+        if group and size + len(t) > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
+
+
 @lru_cache(maxsize=2)
 def ranks(name: str = RANKS) -> dict[bytes, int]:
     with open(public_tokenizers.path(name), "rb") as f:
@@ -191,14 +212,13 @@ def stores(name: str = RANKS) -> tuple[Kept, Kept, Kept]:
     return Kept(lambda w: word(" " + w)), Kept(word), pieces
 
 
-def learn(texts: list[str], kept: tuple[Kept, Kept, Kept], many: Callable[[list[str]], list], add: Callable[[list], bytes | int]) -> None:
-    """Brings the words of the texts that the stores lack, all at once: pre-tokens by many, words from theirs by add."""
+def learn(split: list[list[list[str]] | None], kept: tuple[Kept, Kept, Kept], many: Callable[[list[str]], list], add: Callable[[list], bytes | int]) -> None:
+    """Brings the words of split texts that the stores lack, all at once: pre-tokens by many, words from theirs by add."""
     spaced, _, pieces = kept
     new: set[str] = set()
-    for text in texts:
-        if not crowded(text):
-            for line in text.split("\n"):
-                new.update(line.split(" ")[1:])
+    for lines in split:
+        for line in lines or ():
+            new.update(line[1:])
     new -= spaced.keys()
     # words with odd blanks inside are made one by one
     lacking = [w for w in new if w.isprintable() and len(w) <= 64]
@@ -225,18 +245,22 @@ def encode_all(texts: list[str], name: str = RANKS) -> list[bytes]:
         known = dict(zip(short, merge_many(short, name)))
         return [known[p] if len(p) <= SHORT else np.array(merge(p, rank), "<u4").tobytes() for p in data]
 
-    learn(texts, stores(name), many, b"".join)
-    return [encode(t, name) for t in texts]
+    out: list[bytes] = []
+    for group in together(texts):
+        split = [split_up(t) for t in group]
+        learn(split, stores(name), many, b"".join)
+        out += [encode(t, name, lines) for t, lines in zip(group, split)]
+    return out
 
 
-def encode(text: str, name: str = RANKS) -> bytes:
-    """Ids of the text as little-endian unsigned 32-bit numbers."""
+def encode(text: str, name: str = RANKS, lines: list[list[str]] | None = None) -> bytes:
+    """Ids of the text as little-endian unsigned 32-bit numbers; lines are those of split_up()."""
     spaced, first, pieces = stores(name)
-    if crowded(text):
+    lines = lines if lines is not None else split_up(text)
+    if lines is None:
         return b"".join(map(pieces.__getitem__, PATTERN.findall(text)))
     out: list[bytes] = []
-    for line in text.split("\n"):
-        at, *more = line.split(" ")
+    for at, *more in lines:
         out += (pieces["\n"], first[at])
         out += map(spaced.__getitem__, more)
     return b"".join(out[1:])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerlake.llm.bpe import PATTERN, Kept, crowded, learn
+from careerlake.llm.bpe import PATTERN, Kept, learn, split_up, together
 from careerlake.llm.common import by_text, table
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
@@ -96,14 +96,13 @@ class Counter:
         self.spaced = Kept(lambda w: sum(map(self.pieces.__getitem__, PATTERN.findall(" " + w))), KEPT)
         self.first = Kept(lambda w: sum(map(self.pieces.__getitem__, PATTERN.findall(w))), KEPT)
 
-    def plain(self, text: str) -> int:
-        """Tokens of a text without special ones."""
-        if crowded(text):
+    def plain(self, text: str, lines: list[list[str]] | None = None) -> int:
+        """Tokens of a text without special ones; lines are those of split_up()."""
+        lines = lines if lines is not None else split_up(text)
+        if lines is None:
             return sum(map(self.pieces.__getitem__, PATTERN.findall(text)))
-        lines = text.split("\n")
         total = (len(lines) - 1) * self.pieces["\n"]
-        for line in lines:
-            at, *more = line.split(" ")
+        for at, *more in lines:
             total += self.first[at] + sum(map(self.spaced.__getitem__, more))
         return total
 
@@ -115,9 +114,13 @@ class Counter:
         return len(parts) - 1 + sum(map(self.plain, parts))
 
     def all(self, texts: list[str]) -> list[int]:
-        plain = [t for t in texts if not any(s in t for s in self.merges.special)]
-        learn(plain, (self.spaced, self.first, self.pieces), lambda new: list(map(self.merges.count, new)), sum)
-        return list(map(self, texts))
+        out: list[int] = []
+        for group in together(texts):
+            special = [any(s in t for s in self.merges.special) for t in group]
+            split = [None if s else split_up(t) for t, s in zip(group, special)]
+            learn(split, (self.spaced, self.first, self.pieces), lambda new: list(map(self.merges.count, new)), sum)
+            out += [self(t) if s else self.plain(t, lines) for t, s, lines in zip(group, special, split)]
+        return out
 
 
 @lru_cache(maxsize=2)
