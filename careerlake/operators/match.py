@@ -32,6 +32,11 @@ def coverage(have: Column, want: Column) -> Column:
     return F.when(F.size(want) > 0, percent(F.size(matched(have, want)), F.size(want)))
 
 
+def quote(text: str) -> str:
+    """A string of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 Skills = dict[str, tuple[str, tuple[str, ...]]]
 
 
@@ -77,10 +82,13 @@ def skills_in(text: Column, skills: Skills = dims.SKILLS) -> Column:
     rows = variant_rows(skills)
     low = squeezed(F.coalesce(text, F.lit("")))
     found = [F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])(?:{one_of(one)})(?![a-z0-9])"), F.lit(0)) for one in passes([r[0] for r in rows])]
-    number = F.create_map(*(F.lit(x) for r in rows for x in (r[0], r[4])))
-    table = F.array(*(F.struct(F.lit(c).alias("canonical"), F.lit(k).alias("category"), F.lit(v).alias("variant"), F.lit(t).alias("match_type")) for v, c, k, t, _ in sorted(rows, key=lambda r: r[4])))
+    # literals as SQL: one call each instead of hundreds
+    listed = sorted(rows, key=lambda r: r[4])
+    number = F.expr(f"map({', '.join(f'{quote(r[0])}, {r[4]}' for r in rows)})")
+    names = ("canonical", "category", "variant", "match_type")
+    table = F.expr(f"array({', '.join('named_struct(' + ', '.join(f'{quote(n)}, {quote(x)}' for n, x in zip(names, (c, k, v, t))) + ')' for v, c, k, t, _ in listed)})")
     skill = {c: i for i, c in enumerate(skills)}
-    owner = F.array(*(F.lit(skill[r[1]]) for r in sorted(rows, key=lambda r: r[4])))
+    owner = F.expr(f"array({', '.join(str(skill[r[1]]) for r in listed)})")
     orders = F.array_sort(F.array_distinct(F.transform(F.concat(*found), lambda v: F.element_at(number, v))))
     # of a skill the variant listed first; variants of a skill are listed in a row, so the one before tells
     firsts = F.transform(F.array(orders), lambda o: F.filter(o, lambda n, i: (i == 0) | (F.get(owner, F.get(o, i - 1)) != F.get(owner, n))))[0]

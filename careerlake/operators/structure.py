@@ -17,10 +17,15 @@ def normal_heading(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(stripped(line)), r"[^\p{L}\p{N}_\s&]", ""), r"\s+", " ")
 
 
+#: Most letters and digits of a known heading; a line with more isn't worth normalising.
+MOST_LETTERS = max(sum(c.isalnum() for c in w) for all_ in dims.SECTIONS.values() for w in all_)
+
+
 def heading_of(line: Column) -> Column:
     """Section that a heading stands for; null of other lines."""
-    known = F.create_map(*(F.lit(x) for name, all_ in dims.SECTIONS.items() for w in all_ for x in (w, name)))
-    return F.try_element_at(known, normal_heading(line))
+    known = F.expr("map(" + ", ".join(f"'{w}', '{name}'" for name, all_ in dims.SECTIONS.items() for w in all_) + ")")
+    longer = line.rlike(rf"^(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]){{{MOST_LETTERS + 1}}}")
+    return F.when(~longer, F.try_element_at(known, normal_heading(line)))
 
 
 def header_shaped(line: Column) -> Column:
@@ -60,7 +65,7 @@ def section_order(of_sections: DataFrame) -> DataFrame:
 def month_index(raw: Column) -> Column:
     """Year * 12 + month of a date in text, OPEN for one still open, null without a year. An unknown month counts as January."""
     named = r"([A-Za-z]+)\.?\s+(\d{4})"
-    known = F.create_map(*(F.lit(x) for i, m in enumerate(dims.MONTHS, 1) for x in (m, i)))
+    known = F.expr("map(" + ", ".join(f"'{m}', {i}" for i, m in enumerate(dims.MONTHS, 1)) + ")")
     month = F.coalesce(F.try_element_at(known, F.substring(F.lower(F.regexp_extract(raw, named, 1)), 1, 3)), F.lit(1))
     number = lambda p, g: F.regexp_extract(raw, p, g).try_cast("int")
     iso, slash, year = r"(\d{4})-(\d{1,2})", r"(\d{1,2})/(\d{4})", r"(\d{4})"
