@@ -3,8 +3,9 @@
 The adjacent pair of lowest rank is popped and merged until none has a rank; the count of a pre-token is its number of bytes less its
 number of merges. Counts of words are kept in each Python worker, within bounds.
 
-A null text counts as empty (0 tokens). Repeated rows and repeated or null ids stay, row for row. An empty table gives an empty result.
-Other columns aren't read.
+A null text counts as empty (0 tokens). A very long text is counted whole, in memory in proportion to its length. Of pairs of equal rank
+the leftmost merges first, as in the library. Repeated rows and repeated or null ids stay, row for row. An empty table gives an empty
+result. Other columns aren't read.
 """
 
 from __future__ import annotations

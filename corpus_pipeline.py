@@ -22,7 +22,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again.
+
+    A null text counts as empty: it has no words, so the quality rules drop it. Rows with a null id stay as long as others do, and count
+    last where one of a group of near-duplicates is chosen. Of repeated rows and of near-duplicates one stays. Very long texts are worked on
+    whole. Columns besides doc_id, text, lang, source and n_chars are kept as they are, whatever their names, up to the last stage, which
+    gives doc_id, ids and their digests. An empty table gives an empty result. Ties: a posterior of 0.5 keeps a text, a draw equal to its
+    probability doesn't.
+    """
     docs = table(spark, sf_dir, "documents")
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
