@@ -111,6 +111,11 @@ def wanted_title(text: str) -> str:
     return f"CASE WHEN {n(a)} BETWEEN 2 AND 8 THEN {a} WHEN {n(b)} BETWEEN 2 AND 8 THEN {b} ELSE {first} END"
 
 
+#: Title, company, location and how sure, from the text t of entries in ent1.
+SPLIT = f"""ent2 AS (SELECT *, {", ".join(f"list_filter(list_transform({how}, lambda x: trim(x)), lambda x: x <> '') AS {n}" for n, how in (("pipe", "string_split(t, '|')"), ("comma", "string_split(t, ',')"), ("dash", "regexp_split_to_array(t, ' - | – | — ')")))}, len(regexp_extract_all(t, ' - | – | — ')) AS dashes FROM ent1),
+ent3 AS (SELECT *, CASE WHEN t = '' THEN 'none' WHEN contains(t, '|') AND len(pipe) >= 2 THEN 'pipe' WHEN contains(t, ',') AND len(comma) >= 2 THEN 'comma' WHEN dashes = 1 AND len(dash) = 2 THEN 'dash' ELSE 'whole' END AS kind FROM ent2),
+ent4 AS (SELECT *, CASE kind WHEN 'whole' THEN t WHEN 'pipe' THEN pipe[1] WHEN 'comma' THEN comma[1] WHEN 'dash' THEN dash[1] END AS title, CASE kind WHEN 'pipe' THEN pipe[2] WHEN 'comma' THEN comma[2] WHEN 'dash' THEN dash[2] END AS company,
+  CASE kind WHEN 'pipe' THEN pipe[3] WHEN 'comma' THEN comma[3] WHEN 'dash' THEN dash[3] END AS location, CASE kind WHEN 'none' THEN 0.0::DOUBLE WHEN 'pipe' THEN 0.9 WHEN 'comma' THEN 0.75 WHEN 'dash' THEN 0.6 ELSE 0.2 END AS sure FROM ent3)"""
 TITLE_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z]+'))"
 PARSED = rf"""
 cv AS (SELECT doc_id, {CV} AS text, {FILENAME} AS filename, {POSTING} AS posting, 1 + doc_id % 2 AS n_columns, doc_id % 3 AS n_table_lines, doc_id % 4 AS n_images FROM documents),
@@ -135,11 +140,8 @@ bul AS (SELECT doc_id, line_no, regexp_replace(line, '{B}', '') AS line FROM e W
 ent0 AS (SELECT doc_id, section_no, k, max(CASE WHEN head THEN line END) AS header, count(*) FILTER (WHERE NOT head) AS n_bullets FROM e GROUP BY ALL),
 ent1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, k) - 1 AS entry_no, trim(trim(trim(trim(trim(coalesce(regexp_replace(header, '{R}', '', 'g'), '')), ','), '|'), '-')) AS t,
   nullif(regexp_extract(header, '{R}', 1), '') AS start_raw, nullif(regexp_extract(header, '{R}', 2), '') AS end_raw FROM ent0),
-ent2 AS (SELECT *, {", ".join(f"list_filter(list_transform({how}, lambda x: trim(x)), lambda x: x <> '') AS {n}" for n, how in (("pipe", "string_split(t, '|')"), ("comma", "string_split(t, ',')"), ("dash", "regexp_split_to_array(t, ' - | – | — ')")))}, len(regexp_extract_all(t, ' - | – | — ')) AS dashes FROM ent1),
-ent3 AS (SELECT *, CASE WHEN t = '' THEN 'none' WHEN contains(t, '|') AND len(pipe) >= 2 THEN 'pipe' WHEN contains(t, ',') AND len(comma) >= 2 THEN 'comma' WHEN dashes = 1 AND len(dash) = 2 THEN 'dash' ELSE 'whole' END AS kind FROM ent2),
-ent AS (SELECT *, CASE kind WHEN 'whole' THEN t WHEN 'pipe' THEN pipe[1] WHEN 'comma' THEN comma[1] WHEN 'dash' THEN dash[1] END AS title, CASE kind WHEN 'pipe' THEN pipe[2] WHEN 'comma' THEN comma[2] WHEN 'dash' THEN dash[2] END AS company,
-  CASE kind WHEN 'pipe' THEN pipe[3] WHEN 'comma' THEN comma[3] WHEN 'dash' THEN dash[3] END AS location, CASE kind WHEN 'none' THEN 0.0::DOUBLE WHEN 'pipe' THEN 0.9 WHEN 'comma' THEN 0.75 WHEN 'dash' THEN 0.6 ELSE 0.2 END AS sure,
-  {month("start_raw")} AS start_m, {month("end_raw")} AS end_m FROM ent3)"""
+{SPLIT},
+ent AS (SELECT *, {month("start_raw")} AS start_m, {month("end_raw")} AS end_m FROM ent4)"""
 EVIDENCE = rf"""(regexp_matches(line, '{dims.QUANTIFIED}') OR {" OR ".join(f"contains(lower(line), '{v}')" for v in dims.STRONG_VERBS)})"""
 TAX = ", ".join(f"('{v}', '{c}', '{k}', '{t}', {i})" for v, c, k, t, i in match.variant_rows())
 SKILLED = rf"""tax(v, canonical, category, match_type, ord) AS (VALUES {TAX}),

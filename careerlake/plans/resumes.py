@@ -239,7 +239,7 @@ SECTIONS = rf"""known(w, name) AS (VALUES {KNOWN}), {H},
   o AS (SELECT *, CASE WHEN name IS NOT NULL THEN name WHEN line_no = 0 AND {SHAPE} THEN 'other' WHEN line_no = 0 THEN 'header_block' END AS opens FROM m),
   p AS (SELECT *, count(opens) OVER w AS section_no, last_value(opens IGNORE NULLS) OVER w AS canonical_name, last_value(CASE WHEN opens IS NOT NULL THEN CASE WHEN name IS NOT NULL THEN 'dictionary' ELSE 'positional_heuristic' END END IGNORE NULLS) OVER w AS via FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
   sections AS (SELECT doc_id, section_no, canonical_name, via, count(*) AS n_lines, CAST(min(line_no) AS BIGINT) AS first_line FROM p WHERE opens IS NULL OR opens = 'header_block' GROUP BY ALL)"""
-R = dims.DATE_RANGE.replace("(?i)", "")
+R2 = dims.DATE_RANGE
 ENTRIES = rf"""o AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS entry_no, o_orderdate, {ENTRY.format("VARCHAR", "strftime(o_orderdate, '%b %Y')", "year(o_orderdate)")} AS header FROM orders),
   e AS (SELECT doc_id, entry_no, o_custkey_kind, header, strftime(o_orderdate, '%b %Y') AS start_raw, CASE WHEN o_orderkey % 9 = 0 THEN 'Present' ELSE concat(o_orderkey % 12 + 1, '/', year(o_orderdate) + o_orderkey % 3) END AS end_raw,
     year(o_orderdate) * 12 + month(o_orderdate) AS start_m, CASE WHEN o_orderkey % 9 = 0 THEN 119988 ELSE (year(o_orderdate) + o_orderkey % 3) * 12 + o_orderkey % 12 + 1 END AS end_m, o_orderkey, o_orderpriority FROM (SELECT o.*, doc_id % 4 AS o_custkey_kind, q.o_orderpriority FROM o JOIN orders q USING (o_orderkey)))"""
@@ -258,9 +258,9 @@ SQL = {
     ),
     "doc_completeness": f"""WITH {LINES}, {SECTIONS} SELECT doc_id, round(100 * ((CASE WHEN bool_or(canonical_name = 'summary') THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN bool_or(canonical_name = 'experience') THEN 0.3::DOUBLE ELSE 0 END
         + CASE WHEN bool_or(canonical_name = 'skills') THEN 0.15::DOUBLE ELSE 0 END) + 0.05::DOUBLE * avg((via = 'dictionary')::INT)), 1) AS score FROM sections GROUP BY doc_id""",
-    "experience_entries": f"""WITH {ENTRIES} SELECT doc_id, entry_no, CASE o_custkey_kind WHEN 0 THEN 'Senior Engineer' WHEN 1 THEN 'Manager' WHEN 2 THEN 'Analyst' ELSE 'Freelance' END AS title,
-        CASE o_custkey_kind WHEN 0 THEN o_orderpriority WHEN 1 THEN concat('Clerk ', doc_id) WHEN 2 THEN 'Acme' END AS company, CASE o_custkey_kind WHEN 0 THEN 'Pune' END AS location,
-        [0.75::DOUBLE, 0.9, 0.6, 0.2][o_custkey_kind + 1] AS sure, start_raw, end_raw, end_raw = 'Present' AS is_current, concat('handled ', o_orderkey) AS bullets FROM e""",
+    "experience_entries": rf"""WITH {ENTRIES}, read AS (SELECT doc_id, entry_no, o_orderkey, header, regexp_extract(header, '{R2}', 1) AS start_raw, regexp_extract(header, '{R2}', 2) AS end_raw FROM e),
+        ent1 AS (SELECT *, trim(trim(trim(trim(trim(regexp_replace(header, '{R2}', '', 'g')), ','), '|'), '-')) AS t FROM read), {reports.SPLIT}
+        SELECT doc_id, entry_no, title, company, location, sure, start_raw, end_raw, regexp_matches(end_raw, '(?i)present|current|now') AS is_current, concat('handled ', o_orderkey) AS bullets FROM ent4""",
     "employment_gaps": f"WITH {ENTRIES} SELECT doc_id, entry_no, CAST(g AS BIGINT) AS gap_months FROM (SELECT *, start_m - lead(CASE WHEN end_m <> 119988 THEN end_m END) OVER (PARTITION BY doc_id ORDER BY entry_no) AS g FROM e) WHERE g >= 3",
     "employment_overlaps": f"WITH {ENTRIES} SELECT a.doc_id, a.entry_no AS a, b.entry_no AS b, CAST(least(a.end_m, b.end_m) - greatest(a.start_m, b.start_m) AS BIGINT) AS months FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.entry_no < b.entry_no AND least(a.end_m, b.end_m) > greatest(a.start_m, b.start_m)",
     "seniority_level": f"SELECT o_orderkey, CAST({LEVEL} AS BIGINT) AS level FROM (SELECT o_orderkey, {TITLE} AS title FROM orders)",
