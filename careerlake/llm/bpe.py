@@ -32,9 +32,9 @@ from careerlake.llm.common import SLICE, table, written
 RANKS = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32768, 2048  # code points
 #: Words kept with their encoding in a Python worker, at about 200 bytes each; beyond that the store starts anew.
-KEPT = 400_000
+KEPT = 200_000
 #: Characters of texts that are split into words together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 19
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 
