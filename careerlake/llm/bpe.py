@@ -34,7 +34,7 @@ CHUNK, OVERLAP = 32768, 2048  # code points
 #: Words kept with their encoding in a Python worker, at about 200 bytes each; beyond that the store starts anew.
 KEPT = 200_000
 #: Characters of texts that are split into words together.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 20
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 
