@@ -68,21 +68,22 @@ def by_text(
 DEALT_SHARE = 1 / 200
 
 
-def dealt_join(big: DataFrame, small: DataFrame, keys: list[str], least: int = 10_000) -> DataFrame:
-    """The inner join of big with small, which has a row for each key and in `n` the rows of big with it; n isn't kept.
+def dealt_join(big: DataFrame, small: DataFrame, keys: list[str], least: int = 10_000, counts: DataFrame | None = None) -> DataFrame:
+    """The inner join of big with small, which has a row for each key; n, the rows of big with a key, is in small (and isn't kept), or with the keys in counts.
 
     Rows of keys with over `least` rows and DEALT_SHARE of all are dealt to as many tasks as there are such shares in them, so that no
     key, however common, is one task's. These keys, at most 1 / DEALT_SHARE, are broadcast to tell them. Null keys find nothing.
     """
-    total, most = small.agg(F.sum("n"), F.max("n")).first()
+    if counts is None:
+        counts, small = small.select(*keys, "n"), small.drop("n")
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
     share = max(int((total or 0) * DEALT_SHARE), least)
     if (most or 0) <= share:
-        return big.join(small.drop("n"), keys)
-    parts = F.ceil(F.col("n") / share).cast("int")
-    hot = small.filter(F.col("n") > share).select(*keys, parts.alias("__parts"))
-    dealt = big.join(F.broadcast(hot), keys, "left")
-    dealt = dealt.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
-    copies = small.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("n")
+        return big.join(small, keys)
+    hot = F.broadcast(counts.filter(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = big.join(hot, keys, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("__parts")
+    copies = small.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return dealt.join(copies, [*keys, "__part"]).drop("__part")
 
 

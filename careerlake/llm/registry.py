@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from careerlake.llm import bpe, classifier, licenses, media, mixing, rules, secrets, simhash, templates, token_counts
+from careerlake.llm import bpe, classifier, divergence, filters, licenses, media, mixing, rules, secrets, simhash, sketches, templates, token_counts
 
-MODULES = (bpe, classifier, licenses, media, mixing, rules, secrets, simhash, templates, token_counts)
+MODULES = (bpe, classifier, divergence, filters, licenses, media, mixing, rules, secrets, simhash, sketches, templates, token_counts)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
