@@ -99,13 +99,14 @@ def compared(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     rows = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast(id_)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     order = written(places(rows))
     counts = order.select(*KEY, "n")
-    rows = rows.withColumn("own", F.array_join(sketch(F.col("text"), fraction), ","))
-    sent = dealt_join(rows, order.drop("n"), KEY, counts=counts).filter(F.md5("text") == F.col("first"))
-    sent = sent.select(*(F.col(f"back.{k}").alias(k) for k in KEY), F.expr("substring(text, 1, int(back.asks))").alias("head"), F.col("own").alias("next"))
+    # both joins read one exchange of the texts; Spark would not see that they are the same with a sketch in them, so it is made behind them
+    own = F.array_join(sketch(F.col("text"), fraction), ",")
+    sent = dealt_join(rows, order.drop("n"), KEY, counts=counts).filter(F.col("first").startswith(F.md5("text")))  # as an equality it would be a join key, and the exchange another
+    sent = sent.select(*(F.col(f"back.{k}").alias(k) for k in KEY), F.expr("substring(text, 1, int(back.asks))").alias("head"), own.alias("next"))
     sent = sent.groupBy(*KEY).agg(F.first("head").alias("head"), F.first("next").alias("next"))  # repeated rows of the one that stands for an id
     both = dealt_join(rows, sent, KEY, counts=counts).withColumn("n_chars", F.length("text")).withColumn("quarter", F.floor(F.col("n_chars") / 4).cast("int"))
     edited = F.concat(F.expr("substring(text, 1, n_chars - quarter)"), F.expr("substring(head, 1, quarter)"))
-    both = both.select(*KEY, "n_chars", "own", "next", edited.alias("edited"))
+    both = both.select(*KEY, "n_chars", own.alias("own"), "next", edited.alias("edited"))
     both = both.select(*KEY, "n_chars", "own", "next", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited"), fraction).alias("after"))
     # '' has no hash, but split() makes one piece of it
     of = lambda c: F.filter(F.split(c, ","), lambda h: h != "")
