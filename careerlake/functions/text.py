@@ -44,6 +44,11 @@ def strings(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def sql_string(text: str) -> str:
+    """A string literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

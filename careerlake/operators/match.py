@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from careerlake.conf import DEFAULT, Conf
 from careerlake.functions import dims
-from careerlake.functions.text import one_of, percent, squeezed
+from careerlake.functions.text import one_of, percent, sql_string, squeezed, strings
+from careerlake.operators import fuzzy as near
 
 
 def quoted(term: str) -> str:
@@ -32,11 +33,6 @@ def coverage(have: Column, want: Column) -> Column:
     return F.when(F.size(want) > 0, percent(F.size(matched(have, want)), F.size(want)))
 
 
-def quote(text: str) -> str:
-    """A string of SQL."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 Skills = dict[str, tuple[str, tuple[str, ...]]]
 
 
@@ -84,9 +80,9 @@ def skills_in(text: Column, skills: Skills = dims.SKILLS) -> Column:
     found = [F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])(?:{one_of(one)})(?![a-z0-9])"), F.lit(0)) for one in passes([r[0] for r in rows])]
     # literals as SQL: one call each instead of hundreds
     listed = sorted(rows, key=lambda r: r[4])
-    number = F.expr(f"map({', '.join(f'{quote(r[0])}, {r[4]}' for r in rows)})")
+    number = F.expr(f"map({', '.join(f'{sql_string(r[0])}, {r[4]}' for r in rows)})")
     names = ("canonical", "category", "variant", "match_type")
-    table = F.expr(f"array({', '.join('named_struct(' + ', '.join(f'{quote(n)}, {quote(x)}' for n, x in zip(names, (c, k, v, t))) + ')' for v, c, k, t, _ in listed)})")
+    table = F.expr(f"array({', '.join('named_struct(' + ', '.join(f'{sql_string(n)}, {sql_string(x)}' for n, x in zip(names, (c, k, v, t))) + ')' for v, c, k, t, _ in listed)})")
     skill = {c: i for i, c in enumerate(skills)}
     owner = F.expr(f"array({', '.join(str(skill[r[1]]) for r in listed)})")
     orders = F.array_sort(F.array_distinct(F.transform(F.concat(*found), lambda v: F.element_at(number, v))))
@@ -95,6 +91,18 @@ def skills_in(text: Column, skills: Skills = dims.SKILLS) -> Column:
     return F.transform(firsts, lambda n: F.get(table, n))
 
 
+def skills_of(text: Column, skills: Skills = dims.SKILLS, conf: Conf = DEFAULT) -> Column:
+    """Skills whose variants stand in a text, then those that it lacks but has a run of words near their name: as skills_in(), with confidence.
+
+    The second tier gives match_type fuzzy, the nearest run as variant, and its similarity as confidence; nothing is joined.
+    """
+    names, kinds = strings(skills), strings(kind for kind, _ in skills.values())
+    close = near.near_names(candidates(F.coalesce(text, F.lit(""))), list(skills), conf)
+    skill = lambda c: F.struct(F.get(names, c["i"]).alias("canonical"), F.get(kinds, c["i"]).alias("category"), c["word"].alias("variant"), F.lit("fuzzy").alias("match_type"), F.round(c["score"] / 100, 2).alias("confidence"))
+    first = F.transform(skills_in(text, skills), lambda s: F.struct(*(s[c].alias(c) for c in ("canonical", "category", "variant", "match_type")), F.lit(1.0).alias("confidence")))
+    return F.transform(F.array(first), lambda f: F.concat(f, F.filter(F.transform(close, skill), lambda s: ~F.exists(f, lambda x: x["canonical"] == s["canonical"]))))[0]
+
+
 def share_had(asked: Column, had: Column, kind: str) -> Column:
     """Share, to two places, of the asked skills of a category that are had; 1 where none is asked. Both as from skills_in()."""
     want = F.transform(F.filter(asked, lambda s: s["category"] == kind), lambda s: s["canonical"])
@@ -117,48 +125,13 @@ def run_of(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, a row of the table at a time."""
-    letters = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
-
-    def row(before: Column, c: Column) -> Column:
-        def cell(acc: Column, x: Column) -> Column:
-            up, corner = F.get(before, F.size(acc)), F.get(before, F.size(acc) - 1)
-            return F.array_append(acc, F.greatest(F.element_at(acc, -1), up, F.when(x == c, corner + 1).otherwise(0)))
-
-        return F.aggregate(letters(b), F.array(F.lit(0)), cell)
-
-    start = F.array_repeat(F.lit(0), (F.length(b) + 1).cast("int"))
-    return F.element_at(F.aggregate(letters(a), start, row), -1)
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """100 * 2 * lcs / length of both."""
-    return 100.0 * 2 * lcs(a, b) / F.greatest(F.length(a) + F.length(b), F.lit(1))
-
-
-def in_order(words: Column) -> Column:
-    """The words sorted, with single blanks between."""
-    return F.array_join(F.array_sort(F.split(words, " ")), " ")
-
-
 def fuzzy(words: DataFrame, names: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
-    """word, name of distinct runs of words that are near a name in any order of the words, without being it.
+    """doc_id, name, word, score: of the runs (doc_id, word) near a name in any order of the words, without being it, the nearest, then the smallest.
 
-    Only pairs whose lengths, and letters that both have, can reach the threshold are compared. names is a list of a taxonomy's size, so
-    it is broadcast. Of a name's words the nearest, then the smallest, is given.
+    Runs are made distinct first, so one that every document has is compared once; see fuzzy.join_names() for how.
     """
-    word, name = F.col("word"), F.col("name")
-    lw, ln = F.length(word), F.length(name)
-    # no common subsequence is longer than the letters of one that the other has
-    shared = lambda a, b: F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
-    reached = lambda most: 2 * most * 100 >= conf.fuzzy_at * (lw + ln)
-    possible = reached(F.least(lw, ln)) & reached(shared(word, name)) & reached(shared(name, word))
-    near = words.join(F.broadcast(names), possible & (word != name)).select("doc_id", "word", "name")
-    # the score rests on the count, else it would be computed for each row before the grouping
-    pairs = near.groupBy("word", "name").agg(F.count("*").alias("n"))
-    scored = pairs.withColumn("score", F.when(F.col("n") > 0, similarity(in_order(word), in_order(name)))).filter(F.col("score") >= conf.fuzzy_at).drop("n")
-    best = near.join(scored, ["word", "name"]).groupBy("doc_id", "name")
+    pairs = near.join_names(words.select("word").distinct(), names, conf).filter("word != name")
+    best = words.join(pairs, "word").groupBy("doc_id", "name")
     return best.agg(F.min_by(F.struct("word", "score"), F.struct((-F.col("score")).alias("s"), "word")).alias("b")).select("doc_id", "name", "b.word", F.round("b.score", 2).alias("score"))
 
 

@@ -184,7 +184,7 @@ def scored(of_features: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
     ats = detect.ats_columns(F.col("text"), F.col("filename"), email, conf)
     layout = detect.format_columns(F.col("text"), F.col("n_columns"), F.col("n_table_lines"), F.col("n_images"), conf)
     out = of_features.withColumns({"ats": F.struct(*(c.alias(n) for n, c in ats.items())), "layout": F.struct(*(c.alias(n) for n, c in layout.items()))})
-    out = out.withColumns({"asked": match.skills_in(F.col("posting")), "had": match.skills_in(F.col("text"))})
+    out = out.withColumns({"asked": match.skills_of(F.col("posting"), conf=conf), "had": match.skills_of(F.col("text"), conf=conf)})
     share = lambda kind: match.share_had(F.col("asked"), F.col("had"), kind)
     fields = {"full_name": F.col("contact.name").isNotNull(), "email": email.isNotNull(), "phone": F.col("contact.phone").isNotNull(), "summary": F.coalesce(F.col("summary") != "", F.lit(False)), "experience": F.size("entries") > 0, "skills": F.size("skills") > 0}
     # as its measure has always been: education is never parsed, so that field is never earned

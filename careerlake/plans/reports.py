@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from careerlake.conf import DEFAULT
 from careerlake.functions import dims
-from careerlake.operators import match, report, score
+from careerlake.operators import fuzzy, match, report, score
 from careerlake.plans.documents import BAND, FIRST, WORDS, spaced
 from careerlake.sources.tables import spread, table
 
@@ -19,8 +19,8 @@ CV = f"""concat(CASE doc_id % 4 WHEN 0 THEN 'Jane Doe' WHEN 1 THEN 'Profile of a
   CASE doc_id % 3 WHEN 0 THEN concat('cool', doc_id, '@example.com') WHEN 1 THEN concat('j.doe@example.org, +91 98765 432', doc_id % 10, doc_id % 7) ELSE 'https://www.linkedin.com/in/jane-doe, call 12-34' END, chr(10),
   CASE WHEN doc_id % 5 > 0 THEN concat('Professional Summary:', chr(10), CASE doc_id % 4 WHEN 0 THEN 'Dynamic team player, passionate' WHEN 1 THEN 'Proven track record: led 12 people' ELSE 'Age: 45, with 20+ years of experience' END, chr(10), 'and a hard worker', chr(10)) ELSE '' END,
   CASE WHEN doc_id % 6 = 0 THEN concat({_EDUCATION}) ELSE '' END, {_EXPERIENCE}, CASE WHEN doc_id % 6 > 1 THEN concat({_EDUCATION}) ELSE '' END,
-  CASE doc_id % 3 WHEN 0 THEN concat('Skills & Tools', chr(10), 'Python; SQL/Java , react.js,', chr(10), 'Google Analytics, team-work;;') WHEN 1 THEN concat('TECHNICAL SKILLS', chr(10), 'k8s, es6. Ms Excel and (Git)', chr(10), 'critical   thinking, mentoring') ELSE 'Hobbies' END)"""
-POSTING = """CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('About us', chr(10), 'Job Title: Senior Engineer', chr(10), 'Python, SQL and teamwork; forecasting') WHEN 2 THEN 'We are looking for a data analyst, who knows google analytics and Tableau' WHEN 3 THEN concat('Lead manager', chr(10), 'Docker/k8s; communication') ELSE 'one two three four five six seven eight nine' END"""
+  CASE doc_id % 3 WHEN 0 THEN concat('Skills & Tools', chr(10), 'Python; SQL/Java , react.js,', chr(10), 'Google Analytics, team-work;;') WHEN 1 THEN concat('TECHNICAL SKILLS', chr(10), 'k8s, es6. Ms Excel and (Git)', chr(10), 'critical   thinking, mentoring', chr(10), 'Tablaeu and salesforces, modeling financial') ELSE 'Hobbies' END)"""
+POSTING = """CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('About us', chr(10), 'Job Title: Senior Engineer', chr(10), 'Python, SQL and teamwork; forecasting') WHEN 2 THEN 'We are looking for a data analyst, who knows google analytics and Tableau' WHEN 3 THEN concat('Lead manager', chr(10), 'Docker/k8s; communication, Colaboration') ELSE 'one two three four five six seven eight nine' END"""
 FILENAME = "concat(coalesce(source, ''), CASE WHEN doc_id % 7 = 0 THEN '_final final' WHEN doc_id % 11 = 0 THEN ' copy of' ELSE '' END, '.pdf')"
 
 
@@ -64,14 +64,14 @@ def bullet_analysis(spark, sf_dir):
 
 
 def taxonomy_scan(spark, sf_dir):
-    """Skills of the whole list in each document: canonical name, category, the variant found, and how."""
-    found = cvs(spark, sf_dir).select("doc_id", F.explode(match.skills_in(F.col("text"))).alias("s"))
-    return found.select("doc_id", "s.canonical", "s.category", "s.variant", "s.match_type")
+    """Skills of the whole list in each document: canonical name, category, the variant or the run near the name, how it was found, and how sure."""
+    found = cvs(spark, sf_dir).select("doc_id", F.explode(match.skills_of(F.col("text"))).alias("s"))
+    return found.select("doc_id", "s.*")
 
 
 def skill_tailoring(spark, sf_dir):
     """Tailoring of each document to its posting; one without skills asks for nothing, and without a posting there is no row."""
-    made = cvs(spark, sf_dir).filter("posting IS NOT NULL").select("doc_id", match.skills_in(F.col("posting")).alias("asked"), match.skills_in(F.col("text")).alias("had"))
+    made = cvs(spark, sf_dir).filter("posting IS NOT NULL").select("doc_id", match.skills_of(F.col("posting")).alias("asked"), match.skills_of(F.col("text")).alias("had"))
     names = lambda c: F.transform(c, lambda s: s["canonical"])
     missing = F.array_except(names("asked"), names("had"))
     return made.select("doc_id", match.share_had(F.col("asked"), F.col("had"), "hard").alias("hard"), match.share_had(F.col("asked"), F.col("had"), "soft").alias("soft"), F.size(missing).cast("long").alias("missing"), score.tailoring_score(match.share_had(F.col("asked"), F.col("had"), "hard"), match.share_had(F.col("asked"), F.col("had"), "soft"), F.lit(False)).alias("score"))
@@ -143,11 +143,31 @@ ent1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, k
 {SPLIT},
 ent AS (SELECT *, {month("start_raw")} AS start_m, {month("end_raw")} AS end_m FROM ent4)"""
 EVIDENCE = rf"""(regexp_matches(line, '{dims.QUANTIFIED}') OR {" OR ".join(f"contains(lower(line), '{v}')" for v in dims.STRONG_VERBS)})"""
+#: Runs of one to three of the words {0}.
+RUNS = "list_concat({0}, list_concat(list_transform(range(1, len({0})), lambda i: ({0})[i] || ' ' || ({0})[i + 1]), list_transform(range(1, len({0}) - 1), lambda i: ({0})[i] || ' ' || ({0})[i + 1] || ' ' || ({0})[i + 2])))"
+
+
+def near_sql(runs: str, names) -> str:
+    """The table scored: run, name, score of runs near a name, by lengths, edit distance, then the longest common subsequence."""
+    at = DEFAULT.fuzzy_at
+    keys = {n: fuzzy.sorted_name(n) for n in names}
+    rows = ", ".join(f"('{n}', '{k}', MAP {fuzzy.masks(k)})" for n, k in keys.items())
+    return rf"""names(name, nkey, places) AS (VALUES {rows}),
+keyed AS MATERIALIZED (SELECT run, regexp_replace(array_to_string(list_sort(string_split(run, ' ')), ' '), '[^\x00-\x7F]', chr(1), 'g') AS rkey FROM (SELECT DISTINCT run FROM {runs})),
+pairs AS (SELECT DISTINCT rkey, name, nkey, places FROM keyed, names WHERE 200 * least(length(rkey), length(nkey)) >= {at} * (length(rkey) + length(nkey)) AND levenshtein(rkey, nkey) <= (length(rkey) + length(nkey)) * {100 - at} // 100),
+lcs AS (SELECT rkey, name, 200.0::DOUBLE * (length(nkey) - bit_count(list_reduce(list_prepend(((1::BIGINT << length(nkey)) - 1)::BIGINT, list_transform(string_split(rkey, ''), lambda c: coalesce(places[c], 0)::BIGINT)), lambda v, u: ((v + (v & u)) | (v - (v & u))) & ((1::BIGINT << length(nkey)) - 1)::BIGINT))) / (length(rkey) + length(nkey)) AS score FROM pairs),
+scored AS (SELECT run, name, score FROM keyed JOIN lcs USING (rkey) WHERE score >= {at})"""
+
+
 TAX = ", ".join(f"('{v}', '{c}', '{k}', '{t}', {i})" for v, c, k, t, i in match.variant_rows())
 SKILLED = rf"""tax(v, canonical, category, match_type, ord) AS (VALUES {TAX}),
 texts AS (SELECT doc_id, 'had' AS side, text FROM cv UNION ALL SELECT doc_id, 'asked', posting FROM cv WHERE posting IS NOT NULL),
 plain AS (SELECT doc_id, side, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS s FROM texts),
-hit AS (SELECT doc_id, side, canonical, category, arg_min(v, ord) AS variant, arg_min(match_type, ord) AS match_type FROM plain, tax WHERE contains(s, v) AND regexp_matches(s, '(^|[^a-z0-9])' || regexp_escape(v) || '($|[^a-z0-9])') GROUP BY ALL),
+hit1 AS (SELECT doc_id, side, canonical, category, arg_min(v, ord) AS variant, arg_min(match_type, ord) AS match_type FROM plain, tax WHERE contains(s, v) AND regexp_matches(s, '(^|[^a-z0-9])' || regexp_escape(v) || '($|[^a-z0-9])') GROUP BY ALL),
+runs AS MATERIALIZED (SELECT DISTINCT doc_id, side, unnest({RUNS.format("string_split(s, ' ')")}) AS run FROM plain WHERE s <> ''),
+{near_sql("runs", dims.SKILLS)},
+hit AS (SELECT *, 1.0::DOUBLE AS confidence FROM hit1 UNION ALL SELECT doc_id, side, canonical, category, variant, 'fuzzy', round(score / 100, 2)
+  FROM (SELECT doc_id, side, name AS canonical, arg_min(run, (-score, run)) AS variant, max(score) AS score FROM runs JOIN scored USING (run) GROUP BY ALL) JOIN (SELECT DISTINCT canonical, category FROM tax) USING (canonical) ANTI JOIN hit1 USING (doc_id, side, canonical)),
 tailored AS (SELECT a.doc_id, avg((h.canonical IS NOT NULL)::INT) FILTER (WHERE a.category = 'hard') AS hard, avg((h.canonical IS NOT NULL)::INT) FILTER (WHERE a.category = 'soft') AS soft, count(*) FILTER (WHERE h.canonical IS NULL) AS missing
   FROM hit a LEFT JOIN hit h ON h.doc_id = a.doc_id AND h.canonical = a.canonical AND h.side = 'had' WHERE a.side = 'asked' GROUP BY a.doc_id)"""
 OLD = int(DEFAULT.as_of[:4]) - DEFAULT.old_graduation
@@ -209,7 +229,7 @@ SQL = {
     "resume_entries": f"WITH {PARSED} SELECT doc_id, entry_no, title, company, location, sure, start_raw, end_raw, n_bullets FROM ent",
     "parse_completeness": f"WITH {PARSED}, {FEATURES} SELECT doc_id, complete AS score, array_to_string(list_filter([{FOUND}], lambda x: x IS NOT NULL), ',') AS found FROM g",
     "bullet_analysis": f"WITH {PARSED}, {FEATURES} SELECT doc_id, n_bullets, CASE WHEN n_bullets > 0 THEN round(n_quantified / n_bullets, 2) END AS quantified, n_weak, n_strong, variance, n_repeated FROM g",
-    "taxonomy_scan": f"WITH {PARSED}, {SKILLED} SELECT doc_id, canonical, category, variant, match_type FROM hit WHERE side = 'had'",
+    "taxonomy_scan": f"WITH {PARSED}, {SKILLED} SELECT doc_id, canonical, category, variant, match_type, confidence FROM hit WHERE side = 'had'",
     "skill_tailoring": f"""WITH {PARSED}, {SKILLED} SELECT cv.doc_id, coalesce(round(hard, 2), 1) AS hard, coalesce(round(soft, 2), 1) AS soft, coalesce(missing, 0) AS missing, round(70 * coalesce(round(hard, 2), 1) + 20 * coalesce(round(soft, 2), 1), 1) AS score
         FROM cv LEFT JOIN tailored USING (doc_id) WHERE posting IS NOT NULL""",
     "title_tailoring": f"WITH {PARSED}, {FEATURES} SELECT doc_id, title, wanted, close FROM g WHERE posting IS NOT NULL",

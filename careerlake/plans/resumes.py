@@ -133,9 +133,12 @@ def jd_tailoring(spark, sf_dir):
     return had.join(asked, "item_no").select("doc_id", share("hard"), share("soft"), F.size(F.array_except(names("asked"), names("had"))).cast("long").alias("missing"))
 
 
+NAMES = (*dims.SKILLS, "thingtion", "andering", "theresion")
+
+
 def fuzzy_skill_match(spark, sf_dir):
-    """Runs of words near a name, misspelt ones included."""
-    names = spark.createDataFrame([("thingtion",), ("andering",), ("theresion",)], "name string")
+    """Runs of words near the name of a skill, or of one that the texts at hand come near to."""
+    names = spark.createDataFrame([(n.lower(),) for n in NAMES], "name string")
     each = docs_of(spark, sf_dir).select("doc_id", F.explode(match.candidates(F.col("text"))).alias("word"))
     return match.fuzzy(each, names)
 
@@ -298,7 +301,8 @@ SQL = {
         SELECT run_id, kind, count(*) AS n FROM k WHERE n <= 40 GROUP BY ALL""",
     "json_extraction": r"""SELECT event_id, nullif(regexp_extract(regexp_replace(regexp_replace('<think>{no}</think> Sure:' || chr(10) || '```json' || chr(10) || props || chr(10) || '``` done', '(?s)<think>.*?</think>', '', 'g'), '```(?:json)?', '', 'g'), '(?s)\{.*\}'), '') AS json FROM events""",
     "bullet_stats": f"WITH {LINES}, c AS (SELECT doc_id, CAST(regexp_matches(line, '{dims.EMAIL}')::INT + regexp_matches(line, '{dims.QUANTIFIED}')::INT + regexp_matches(line, '[A-Z]{{4,}}')::INT AS BIGINT) AS n FROM lines) SELECT doc_id, n AS n_checks, CAST(floor(100.0 * n / 3 + 0.5) AS BIGINT) AS pct FROM c",
+    "fuzzy_skill_match": rf"""WITH plain AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS s FROM documents), runs AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({reports.RUNS.format("string_split(s, ' ')")}) AS run FROM plain WHERE s <> ''),
+        {reports.near_sql("runs", [n.lower() for n in NAMES])} SELECT doc_id, name, arg_min(run, (-score, run)) AS word, round(max(score), 2) AS score FROM runs JOIN scored USING (run) WHERE run <> name GROUP BY doc_id, name""",
     "keyword_highlight": r"SELECT doc_id, CAST(len(regexp_extract_all(regexp_replace(lower(text), '([^a-z0-9_])', '\1\1', 'g'), '(^|[^a-z0-9_])(?:and  the|and\n\nthe_|the|que)($|[^a-z0-9_])')) AS BIGINT) AS n FROM documents",
 }
-#: Without SQL: the longest common subsequence of words isn't something that the other engine has.
-QUERIES = {name: globals()[name] for name in [*SQL, "fuzzy_skill_match"]}
+QUERIES = {name: globals()[name] for name in SQL}
