@@ -1,10 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents fall in cells of source, language and topic. The token weights of the cells are raked in turns to the target marginals of
-each of the three, then each document is sampled with a probability that is its cell's ratio of raked to own tokens, scaled so that the
-expected tokens are the asked fraction, where no probability passes 1. Draws depend on id and seed alone. Targets are shares of tokens
-by value of a dimension; values without one share the rest by the corpus's own shares to the power EVENNESS, and so do all values of a
-dimension without targets. Targets of values that the corpus lacks are shared out among the others. marginals() says how near they came.
+Documents fall in cells of source, language and topic. The tokens to be expected of the cells are raked in turns to the target marginals of
+each of the three, never above the tokens that a cell has, so that a document's probability is its cell's ratio of raked to own tokens and
+what is sampled, not only what is weighed, meets the targets. Draws depend on id and seed alone. A value can't give more tokens than it
+has: the share of the corpus that is sampled is FRACTION, or ROOM of the most that leaves every target in reach, but LEAST where that is
+less. Targets are shares of tokens by value of a dimension; values without one share the rest by the corpus's own shares to the power
+EVENNESS, and so do all values of a dimension without targets. Targets of values that the corpus lacks are shared out among the others.
+marginals() tells own, target and sampled shares, and which targets are out of reach.
 
 Null sources, languages and texts count as empty; a row with a null id draws as id ''. Repeated ids draw alike; repeated rows stay. Cells
 without tokens keep probability fraction. A draw equal to the probability isn't sampled. A very long text counts by its words, in time
@@ -25,8 +27,12 @@ DIMENSIONS = ("source", "lang", "topic")
 TOPICS = {"legal": "(?i)licen[cs]e|copyright", "contact": "@[a-z0-9.-]+[.][a-z]+", "table": " [|] ", "figures": "[0-9]{3,}"}
 OTHER = "prose"
 #: Target shares are the corpus's own to this power, so that large sources, languages and topics give way to small ones.
-EVENNESS = 0.5
-ROUNDS, FILLS, FRACTION, SEED = 12, 12, 0.8, 7
+EVENNESS = 0.9
+ROUNDS, FRACTION, SEED = 12, 0.8, 7
+#: Part of the largest fraction that meets the targets, so that raking gets there within ROUNDS; fraction that is sampled whatever the targets.
+ROOM, LEAST = 0.95, 0.05
+#: Difference of shares up to which a target counts as met.
+NEAR = 0.005
 #: Cells that may go to the driver (24 MB); more are raked in Spark, by the same steps and to the same weights.
 MOST_CELLS = 200_000
 #: Shares of tokens by dimension and value.
@@ -71,27 +77,22 @@ def goal_shares(own: np.ndarray, given: np.ndarray, evenness: float) -> np.ndarr
     return shares / shares.sum() if shares.sum() > 0 else shares
 
 
-def raked(n: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], rounds: int) -> np.ndarray:
-    """Cells' token weights after raking to goals (tokens by value); codes number the value of each dimension in each cell."""
-    w = n.astype(float)
+def reachable(most: float, fraction: float) -> float:
+    """The fraction to be sampled, where `most` is the largest that no value is short of."""
+    return min(fraction, max(ROOM * most, min(LEAST, fraction)))
+
+
+def raked(n: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], fraction: float, rounds: int) -> np.ndarray:
+    """Cells' expected tokens, n at most, after raking to goals (shares by value); codes number the value of each dimension in each cell."""
+    total = n.sum()
+    most = min((float((np.bincount(c, n, len(g))[g > 0] / g[g > 0]).min()) / total for c, g in zip(codes, goals) if total and (g > 0).any()), default=1.0)
+    fraction = reachable(most, fraction)
+    w = fraction * n
     for _ in range(rounds):
         for c, goal in zip(codes, goals):
             now = np.bincount(c, w, len(goal))
-            w *= np.divide(goal, now, out=np.zeros_like(now), where=now > 0)[c]
-    return w
-
-
-def filled(n: np.ndarray, w: np.ndarray, fraction: float, fills: int) -> np.ndarray:
-    """Probabilities min(1, s * w / n) with s such that fraction of the tokens is expected."""
-    ratio = np.divide(w, n, out=np.zeros_like(w), where=n > 0)
-    s, goal = fraction, fraction * n.sum()
-    for _ in range(fills):
-        full = s * ratio >= 1
-        rest = float((ratio * n)[~full].sum())
-        if rest <= 0:
-            break
-        s = max(s, float(goal - n[full].sum()) / rest)
-    return np.where(n > 0, np.minimum(1.0, s * ratio), fraction)
+            w = np.minimum(n, w * np.divide(goal * (fraction * total), now, out=np.zeros_like(now), where=now > 0)[c])
+    return np.where(n > 0, w, 0.0)
 
 
 KEYS = [f"__{d}" for d in DIMENSIONS]
@@ -103,7 +104,7 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 
 def goals_of(cells: DataFrame, dimension: str, targets: Targets, evenness: float) -> DataFrame:
-    """Value, goal (share of tokens) and n (cells) of a dimension."""
+    """Value, goal (share of tokens), own (tokens) and n (cells) of a dimension."""
     key = f"__{dimension}"
     own = cells.groupBy(key).agg(F.sum("tokens").alias("own"), F.count("*").alias("n"))
     given = targets.get(dimension, {})
@@ -113,11 +114,11 @@ def goals_of(cells: DataFrame, dimension: str, targets: Targets, evenness: float
     left = max(0.0, 1.0 - sum(r["given"] for r in own.filter("given IS NOT NULL").select("given").collect()))  # at most a row for each target
     made = own.withColumn("goal", F.when(F.col("own") > 0, F.coalesce("given", F.lit(0.0)) + (F.col("even") / even * left if even else 0.0)).otherwise(0.0))
     norm = made.agg(F.sum("goal")).first()[0] or 1.0
-    return made.select(key, (F.col("goal") / norm).alias("goal"), "n")
+    return made.select(key, (F.col("goal") / norm).alias("goal"), "own", "n")
 
 
 def rake_cells(cells: DataFrame, targets: Targets | None = None, evenness: float = EVENNESS, fraction: float = FRACTION, most: int = MOST_CELLS, rounds: int = ROUNDS) -> tuple[DataFrame, bool]:
-    """Cells with raked weight w and probability p, and whether they are few: on the driver within `most` cells, else in Spark by the same steps."""
+    """Cells with expected tokens w and probability p, and whether they are few: on the driver within `most` cells, else in Spark by the same steps."""
     targets = checked(targets)
     few = cells.select(*KEYS, "tokens", "docs").limit(most + 1).toPandas()
     if len(few) <= most:
@@ -127,28 +128,27 @@ def rake_cells(cells: DataFrame, targets: Targets | None = None, evenness: float
             kind = few[k].astype("category").cat
             given = np.array([targets.get(d, {}).get(v, np.nan) for v in kind.categories], float)
             codes.append(kind.codes.to_numpy())
-            goals.append(n.sum() * goal_shares(np.bincount(codes[-1], n, len(given)), given, evenness))
-        few["w"] = raked(n, codes, goals, rounds) if len(few) else 0.0
-        few["p"] = filled(n, few["w"].to_numpy(float), fraction, FILLS) if len(few) else 0.0
+            goals.append(goal_shares(np.bincount(codes[-1], n, len(given)), given, evenness))
+        w = raked(n, codes, goals, fraction, rounds) if len(few) else n
+        few["w"], few["p"] = w, np.where(n > 0, np.divide(w, n, out=np.zeros_like(w), where=n > 0), fraction)
         return cells.sparkSession.createDataFrame(few.astype({"tokens": "int64", "docs": "int64", "w": "float64", "p": "float64"}), CELL), True
-    out = cut(cells).withColumn("w", F.col("tokens").cast("double"))
-    total = out.agg(F.sum("tokens")).first()[0]
+    out = cut(cells)
+    total = out.agg(F.sum("tokens")).first()[0] or 0
+    reach = 1.0
     for d, key in zip(DIMENSIONS, KEYS):
-        out = dealt_join(out, goals_of(out, d, targets, evenness).withColumnRenamed("goal", f"goal{key}"), [key])
-    out = cut(out)
+        goals = cut(goals_of(out, d, targets, evenness))
+        least = goals.filter("goal > 0").agg(F.min(F.col("own") / F.col("goal"))).first()[0]
+        reach = min(reach, least / total) if least is not None and total else reach
+        out = dealt_join(out, goals.select(key, F.col("goal").alias(f"goal{key}"), "n"), [key])
+    wanted = reachable(reach, fraction)
+    out = cut(out.withColumn("w", F.col("tokens") * F.lit(float(wanted))))
     for _ in range(rounds):
         for key in KEYS:
             now = out.groupBy(key).agg(F.sum("w").alias("now"), F.count("*").alias("n"))
-            out = dealt_join(out, now, [key]).withColumn("w", F.when(F.col("now") > 0, F.col("w") * F.col(f"goal{key}") * total / F.col("now")).otherwise(0.0)).drop("now")
+            step = F.col("w") * F.col(f"goal{key}") * F.lit(float(wanted * total)) / F.col("now")
+            out = dealt_join(out, now, [key]).withColumn("w", F.when(F.col("now") > 0, F.least(F.col("tokens").cast("double"), step)).otherwise(0.0)).drop("now")
             out = cut(out)
-    out, s = out.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)), fraction
-    for _ in range(FILLS):
-        full = F.col("ratio") * F.lit(s) >= 1
-        taken, rest = out.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("ratio") * F.col("tokens")))).first()
-        if not rest or rest <= 0:
-            break
-        s = max(s, (fraction * total - (taken or 0)) / rest)
-    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(s) * F.col("ratio"))).otherwise(fraction)
+    p = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(fraction)
     return cut(out.select(*KEYS, "tokens", "docs", "w", p.alias("p"))), False
 
 
@@ -160,30 +160,33 @@ def with_cells(rows: DataFrame, cells: DataFrame, few: bool) -> DataFrame:
 
 
 def marginals(docs: DataFrame, targets: Targets | None = None, fraction: float = FRACTION) -> DataFrame:
-    """dimension, value, and shares of tokens: own, target, raked, and sampled (expected; it departs from raked where probabilities reach 1)."""
+    """dimension, value, and shares of tokens: own, target, sampled (expected), and whether the target is met within NEAR; one that isn't is out of reach."""
     made = described(docs)
     cells = cut(cells_of(docs.select(*(c.alias(name) for name, c in made.items()))))
     out = None
     done, _ = rake_cells(cells, targets, fraction=fraction)
+    total, kept = done.agg(F.sum("tokens"), F.sum("w")).first()
     for d, key in zip(DIMENSIONS, KEYS):
-        total, reached, kept = done.agg(F.sum("tokens"), F.sum("w"), F.sum(F.col("tokens") * F.col("p"))).first()
         share = lambda c, of: (F.sum(c) / F.lit(float(of or 0) or 1.0))
-        one = done.groupBy(key).agg(share("tokens", total).alias("own"), share("w", reached).alias("raked"), share(F.col("tokens") * F.col("p"), kept).alias("sampled"))
-        one = one.join(goals_of(cells, d, checked(targets), EVENNESS).drop("n"), key).select(F.lit(d).alias("dimension"), F.col(key).alias("value"), "own", F.col("goal").alias("target"), "raked", "sampled")
+        one = done.groupBy(key).agg(share("tokens", total).alias("own"), share("w", kept).alias("sampled"))
+        one = one.join(goals_of(cells, d, checked(targets), EVENNESS).select(key, "goal"), key).select(F.lit(d).alias("dimension"), F.col(key).alias("value"), "own", F.col("goal").alias("target"), "sampled")
         out = out.unionByName(one) if out is not None else one
-    return out
+    return out.withColumn("met", F.abs(F.col("sampled") - F.col("target")) <= NEAR)
 
 
 def mixture(docs: DataFrame, fraction: float = FRACTION, targets: Targets | None = None, most: int = MOST_CELLS) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight (raked over own tokens), probability, sampled of each row."""
+    """doc_id, source, lang, topic, n_tokens, weight (expected over own tokens of the cell, 1 on average over the corpus), probability, sampled of each row."""
     made = described(docs)
     rows = cut(docs.select("doc_id", *(c.alias(name) for name, c in made.items())))
-    joined = with_cells(rows, *rake_cells(cells_of(rows), targets, fraction=fraction, most=most))
+    cells, few = rake_cells(cells_of(rows), targets, fraction=fraction, most=most)
+    tokens, expected = cells.agg(F.sum("tokens"), F.sum("w")).first()
+    scale = float(tokens or 0) / expected if expected else 0.0
+    joined = with_cells(rows, cells, few)
     return joined.select(
         "doc_id",
         *(F.col(f"__{d}").alias(d) for d in DIMENSIONS),
         F.col("__tokens").alias("n_tokens"),
-        F.round(F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0), 6).alias("weight"),
+        F.round(F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens") * F.lit(scale)).otherwise(0.0), 6).alias("weight"),
         F.round("p", 6).alias("probability"),
         (F.col("__draw") < F.col("p")).alias("sampled"),
     )
@@ -206,30 +209,21 @@ def oracle() -> str:
     steps, last = [], "goals"
     for k in range(ROUNDS):
         for d in DIMENSIONS:
-            steps.append(f"w{k}{d} AS (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN w * g_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w) FROM {last})")
+            steps.append(f"w{k}{d} AS (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN least(n, w * g_{d} * f * total / sum(w) OVER (PARTITION BY {d})) ELSE 0 END AS w) FROM {last})")
             last = f"w{k}{d}"
-    fills, before = [], f"(SELECT {FRACTION}::DOUBLE AS s)"
-    for k in range(FILLS):
-        fills.append(
-            f"s{k} AS MATERIALIZED (SELECT CASE WHEN coalesce(sum(CASE WHEN s * r < 1 THEN r * n END), 0) <= 0 THEN max(s) ELSE greatest(max(s), "
-            f"({FRACTION} * sum(n) - coalesce(sum(CASE WHEN s * r >= 1 THEN n END), 0)) / sum(CASE WHEN s * r < 1 THEN r * n END)) END AS s FROM ratios, {before})"
-        )
-        before = f"s{k}"
-    goals = ", ".join(
-        f"CASE WHEN m_{d} > 0 THEN pow(m_{d}, {EVENNESS}) / (SELECT sum(pow(x, {EVENNESS})) FROM (SELECT sum(n) AS x FROM cells GROUP BY {d}) WHERE x > 0) * (SELECT sum(n) FROM cells) ELSE 0 END AS g_{d}"
-        for d in DIMENSIONS
-    )
+    goals = ", ".join(f"CASE WHEN m_{d} > 0 THEN pow(m_{d}, {EVENNESS}) / (SELECT sum(pow(x, {EVENNESS})) FROM (SELECT sum(n) AS x FROM cells GROUP BY {d}) WHERE x > 0) ELSE 0 END AS g_{d}" for d in DIMENSIONS)
+    reach = ", ".join(f"min(CASE WHEN g_{d} > 0 THEN m_{d} / g_{d} / total END)" for d in DIMENSIONS)
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{SEED}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS draw FROM documents),
 rows_ AS MATERIALIZED (SELECT doc_id, source, lang, CASE {cases} ELSE '{OTHER}' END AS topic, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS n, draw FROM docs),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n)::DOUBLE AS n FROM rows_ GROUP BY ALL),
 sums AS (SELECT *, {", ".join(f"sum(n) OVER (PARTITION BY {d}) AS m_{d}" for d in DIMENSIONS)} FROM cells),
-goals AS MATERIALIZED (SELECT source, lang, topic, n, n AS w, {goals} FROM sums),
+shares AS MATERIALIZED (SELECT source, lang, topic, n, {", ".join(f"m_{d}" for d in DIMENSIONS)}, sum(n) OVER () AS total, {goals} FROM sums),
+fraction AS MATERIALIZED (SELECT least({FRACTION}, greatest({ROOM} * coalesce(least({reach}), 1), least({LEAST}, {FRACTION})))::DOUBLE AS f FROM shares),
+goals AS MATERIALIZED (SELECT *, n * f AS w FROM shares, fraction),
 {", ".join(steps)},
-ratios AS MATERIALIZED (SELECT source, lang, topic, n, w, CASE WHEN n > 0 THEN w / n ELSE 0 END AS r FROM {last}),
-{", ".join(fills)},
-found AS (SELECT source, lang, topic, r, CASE WHEN n > 0 THEN least(1.0, s * r) ELSE {FRACTION} END AS p FROM ratios, {before})
+found AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN n > 0 THEN w / n * (SELECT sum(n) / sum(w) FROM {last}) ELSE 0 END AS r, CASE WHEN n > 0 THEN w / n ELSE {FRACTION} END AS p FROM {last})
 SELECT doc_id, source, lang, topic, CAST(n AS BIGINT) AS n_tokens, round(r, 6) AS weight, round(p, 6) AS probability, draw < p AS sampled
 FROM rows_ JOIN found USING (source, lang, topic)"""
 

@@ -85,9 +85,7 @@ def plain_mixture(docs):
     for d in docs:
         cells[cell(d)] = cells.get(cell(d), 0) + len(re.findall(r"[^\x20\x09-\x0D]+", d["text"] or ""))
     w, _ = plain_raking({c: float(n) for c, n in cells.items()}, {}, mixing.ROUNDS)
-    keys = list(cells)
-    p = mixing.filled(np.array([cells[c] for c in keys], float), np.array([w[c] for c in keys]), mixing.FRACTION, mixing.FILLS)
-    p = dict(zip(keys, p))
+    p = {c: w[c] / n if n else mixing.FRACTION for c, n in cells.items()}
     return [d for d in docs if int(hashlib.md5(f"{d['doc_id']}:{mixing.SEED}".encode()).hexdigest()[:8], 16) / 2**32 < p[cell(d)]]
 
 
