@@ -1,19 +1,22 @@
 """Main text of web pages, by the template that the pages of a host share.
 
 A page is a row of tokens (pages.py): elements told apart by their path, and texts. Over the different pages of a host each token has an
-occurrence vector (how often it stands in each page); tokens with equal vectors form an equivalence class. A class has support if it
-stands in nearly all pages, and is valid if its tokens come in the same order, round after round, in nearly all of them; of a class that
-isn't, the tokens that stand once a page are classes of their own. Valid classes nest by the paths of their tokens, which gives the
-template: a tree of elements with slots between their starts and ends. The texts that fill a slot tell what it is: in a page's own text
-they differ from page to page, in menus, notices, adverts and footers they are the same few, or links.
+occurrence vector; tokens with equal vectors form an equivalence class. Pages of one layout share many tokens that other pages lack, so
+classes name the layouts of a host: a page's layout is the class in it with most weight, its tokens times the logarithm of its pages, and
+one template is deduced for each layout. Over the pages of a layout a class (now with how often each token stands in each page) has
+support if it stands in nearly all of them, and is valid if its tokens come in the same order, round after round, in nearly all; of a
+class that isn't, the tokens that stand once a page are classes of their own. Valid classes nest by the paths of their tokens, which
+gives the template: a tree of elements with slots between their starts and ends. The texts that fill a slot tell what it is: in a page's
+own text they differ from page to page, in menus, notices, adverts and footers they are the same few, or links.
 
 The main text is what stands in the smallest element of the template that holds MOST of the characters of such slots, widened while
-that adds nothing but such slots. In it, parts whose text never changes are the template's and go, as does what its name or class says
-to be something else (comments, forms, adverts); nothing else is dropped. Where that element is the whole body, its other parts go by
-their slots. A page that lacks the element, and hosts under FEW pages, too few to compare, go by names of elements and classes alone.
+that adds nothing but such slots. In it goes what its name or class says to be something else (comments, forms, adverts) and, unless it
+is an article element, parts whose text never changes; nothing else is dropped. Where that element is the whole body, its other parts go
+by their slots. A page without a layout that others have, or that lacks the main element, takes the next of the host's templates that fits
+it; only where there is none, as on a host of one page, do names of elements and classes decide alone.
 
-Vectors are fingerprints that add up over pages, so no host is ever gathered: what is collected of a host is its template, at most the
-tokens of a page / SUPPORT. Exact copies of a page count once. The tokens, a tenth of the pages, are stored; the texts are not, but read
+Vectors are fingerprints that add up over pages, so no host is ever gathered: what is collected of a host are its templates, at most the
+tokens of a page / SUPPORT each, and a token for each class. Exact copies of a page count once. The tokens, a tenth of the pages, are stored; the texts are not, but read
 again at the end, which costs less than a second copy of the pages on disk.
 
 Null html counts as empty and gives text ''. A null or odd url counts as host ''. Repeated rows stay, row for row. An empty table
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 from careerlake.llm.common import SLICE, by_text, cut, table, written
 from careerlake.llm.pages import CONTAINER, END, HEADING, NONE, OUTER, PIECE, START, TEXT, Event, tokenised
 
-#: Share of a host's different pages that a template token stands in; different pages below which a host has no template.
-SUPPORT, FEW = 0.9, 5
+#: Share of a layout's different pages that a template token stands in; pages that a layout has at least, as one alone repeats nothing.
+SUPPORT, FEW = 0.9, 2
 #: Share of the characters of a host's own texts that the main element holds; texts of a slot, as a share of the slot with most, from which it counts as own.
 MOST, OWN = 0.6, 0.5
 #: Parts into which a host's tokens or pages are dealt.
@@ -44,6 +47,8 @@ SALTS = 32
 #: Bytes of templates that are broadcast; with more, pages are joined with them by shuffles.
 BROADCAST = 32 << 20
 ROOT = 0
+#: Stands between the templates of a host.
+BETWEEN = "\x1e"
 
 COUNTED = pa.struct([("token", pa.int64()), ("times", pa.int32()), ("parent", pa.int64()), ("kind", pa.int32())])
 FILLED = pa.struct([("at", pa.int32()), ("hash", pa.int64()), ("chars", pa.int32()), ("links", pa.int32())])
@@ -79,6 +84,39 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.coalesce(F.lower(F.expr("try_parse_url(url, 'HOST')")), F.lit("")))
 
 
+def layouts(rows: DataFrame) -> DataFrame:
+    """host, token, weight: of each class of tokens that stand in the same pages of a host, two or more, one token that tells it."""
+    each = rows.select("host", "page", F.explode("starts").alias("t")).select("host", "page", "t.token")
+    vectors = each.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page")).alias("vector"), F.count("*").alias("n_pages")).filter(F.col("n_pages") >= FEW)
+    classes = vectors.groupBy("host", "vector", "n_pages").agg(F.min("token").alias("token"), F.count("*").alias("size"))
+    return classes.select("host", "token", F.round(1000 * F.col("size") * F.log1p("n_pages")).cast("long").alias("weight"))
+
+
+@lru_cache(maxsize=500)
+def weightiest(template: str) -> tuple[int, ...]:
+    return tuple(t for t, w in sorted(numbers_of(template), key=lambda x: (-x[1], x[0])))
+
+
+def ranked_layouts(template: str, tokens: set[int]) -> list[int]:
+    """Layouts of a page with these tokens, by their tokens, the weightiest first; template: token and weight of a host's layouts."""
+    return [t for t in weightiest(template) if t in tokens]
+
+
+def by_layout(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with host and layout, a line each, in place of host; rows of hosts without layouts are left out."""
+    joined = joined_by_host(rows, lines_of(found, "token", "weight")).filter("template IS NOT NULL").select("host", "template", "page", "tokens", "starts", "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                part = whole.slice(at, SLICE)
+                # the page itself is a token of every page, so that none is without
+                sites = [f"{host}\n{(ranked_layouts(t, {ROOT, *tokens}) or [ROOT])[0]}" for host, t, tokens in zip(*(part.column(i).to_pylist() for i in (0, 1, 3)))]
+                yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), *part.columns[2:]], names=["host", "page", "tokens", "starts", "texts"])
+
+    return written(joined.mapInArrow(run, f"host string, {RECORD_DDL}"))
+
+
 def supported(rows: DataFrame) -> DataFrame:
     """host, token, class, once, parent, kind, host_pages of tokens with support, of hosts with FEW pages or more."""
     each = rows.select("host", "page", F.explode("starts").alias("t")).select("host", "page", "t.*")
@@ -207,7 +245,7 @@ def chosen(nodes: tuple[tuple[int, ...], ...], filled: tuple[tuple[int, ...], ..
     found: dict[int, Slot] = {}
     for slot, texts, chars, links in filled:
         at = slot if slot >= 0 else next((t for t in line(parent[-slot]) if t in anchors), ROOT)
-        found[slot] = Slot(at, texts >= OWN * most and 2 * links <= chars, texts, chars)
+        found[slot] = Slot(at, texts >= max(2, OWN * most) and 2 * links <= chars, texts, chars)
     inside: dict[int, list[int]] = {}
     for slot, s in found.items():
         for t in line(s.element):
@@ -226,7 +264,8 @@ def chosen(nodes: tuple[tuple[int, ...], ...], filled: tuple[tuple[int, ...], ..
     outer = kind.get(main, OUTER) == OUTER
     within = inside.get(main, [])
     template = lambda s: not s.own if outer else s.texts == 1
-    gone = [t for t in inside if kind[t] == CONTAINER and t != main and main in line(t) and all(template(found[s]) for s in inside[t])]
+    article = any(kind[t] == PIECE for t in line(main))
+    gone = [t for t in inside if not article and kind[t] == CONTAINER and t != main and main in line(t) and all(template(found[s]) for s in inside[t])]
     gone_slots = [s for s in within if outer and not found[s].own and kind.get(found[s].element) != HEADING]
     stay = [] if any(kind.get(found[s].element) == HEADING for s in within) else [found[s].element for s in found if found[s].own and kind.get(found[s].element) == HEADING and s not in within]
     return "\n".join(" ".join(map(str, x)) for x in ([main], sorted(gone), sorted(gone_slots), sorted(set(stay)), sorted(anchors) if gone_slots else []))
@@ -305,17 +344,35 @@ def by_template(r: Region, events: list[Event], asides: list[tuple[int, int, boo
     return headings + out if seen else None
 
 
+@lru_cache(maxsize=500)
+def known(template: str) -> tuple[tuple[int, int, str], ...]:
+    """Token, weight and region of a host's layouts, the weightiest first."""
+    parts = (p.split("\n", 1) for p in template.split(BETWEEN))
+    return tuple(sorted(((*map(int, head.split(" ")), rest) for head, rest in parts), key=lambda x: (-x[1], x[0])))
+
+
 def main_text(page: str, template: str | None) -> str:
     events, asides = tokenised(page)
-    found = by_template(region(template), events, asides) if template else None
-    return " ".join(by_names(events, asides) if found is None else found)
+    if template:
+        tokens = {ROOT, *(e.token for e in events if e.what == START)}
+        for _, _, rest in sorted(known(template), key=lambda x: x[0] not in tokens):
+            found = by_template(region(rest), events, asides)
+            if found is not None:
+                return " ".join(found)
+    return " ".join(by_names(events, asides))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template of the hosts of pages (host, html) with FEW different pages or more."""
+    """host, template of the hosts of pages (host, html): for each layout its token, its weight and the lines of chosen()."""
     rows = records(pages)
-    found = cut(anchored(rows, cut(supported(rows))))
-    return cut(regions(found, slots(rows, found.filter("anchor"))))
+    kinds = cut(layouts(rows))
+    sites = by_layout(rows, kinds)
+    found = cut(anchored(sites, cut(supported(sites))))
+    chosen_ = regions(found, slots(sites, found.filter("anchor")))
+    of = chosen_.select(F.substring_index("host", "\n", 1).alias("host"), F.substring_index("host", "\n", -1).cast("long").alias("token"), F.col("template").alias("region"))
+    named = of.join(kinds, ["host", "token"])
+    line = F.concat(F.col("token").cast("string"), F.lit(" "), F.col("weight").cast("string"), F.lit("\n"), F.col("region"))
+    return cut(named.groupBy("host").agg(F.concat_ws(BETWEEN, F.array_sort(F.collect_list(line))).alias("template")))
 
 
 def extract(pages: DataFrame, use_templates: bool = True, broadcast: int = BROADCAST) -> DataFrame:

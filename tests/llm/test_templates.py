@@ -1,5 +1,6 @@
 """Template deduction against brute force, and pages that names tell nothing about."""
 
+import math
 import random
 import time
 from collections import Counter, defaultdict
@@ -39,6 +40,65 @@ def test_pages_without_telling_names(spark, broadcast):
     assert all(by_names[k] != t for k, (_, t) in enumerate(made))
 
 
+def other_site(r, k):
+    """Another layout of the same host: links at the end, two columns, nothing of plain_site's classes."""
+    title, parts = words(r, 3), [words(r, r.randint(8, 50)) for _ in range(r.randint(1, 3))]
+    page = f"<html><head><title>{title}</title></head><body><section class=qa><div class=qb>{SITE[2]}</div><div class=qc><p>{SITE[k % 4]}</div></section><section class=qd><div class=qe><h1>{title}</h1>{''.join(f'<p>{p}</p>' for p in parts)}</div>"
+    page += f"<div class=qf><ul><li><a href=/a>first</a><li><a href=/b>second</a></ul></div></section><div class=qg>{SITE[0]}</div><div class=qh>&copy; Company</div></body></html>"
+    return page, " ".join([title, *parts])
+
+
+@pytest.mark.parametrize("n,other", [(20, 10), (20, 3), (8, 2), (40, 20)])
+@pytest.mark.parametrize("broadcast", [templates.BROADCAST, 0])
+def test_each_layout_of_a_host_has_its_template(spark, n, other, broadcast):
+    r = random.Random(n + other)
+    made = [(other_site if k < other else plain_site)(r, k) for k in range(n)]
+    rows = [(k, "https://mixed.example/x", p) for k, (p, _) in enumerate(made)]
+    assert extracted(spark, rows, broadcast=broadcast) == {k: t for k, (_, t) in enumerate(made)}
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_hosts_of_few_pages(spark, n):
+    r = random.Random(n)
+    made = [plain_site(r, k) for k in range(n)]
+    made = [(p.replace(SITE[(k + 1) % 4], SITE[1]).replace(f"<div class=c1>{SITE[k % 4]}", f"<div class=c1>{SITE[2]}"), t) for k, (p, t) in enumerate(made)]  # so few pages can't tell a rotating advert
+    assert extracted(spark, [(k, "https://few.example/", p) for k, (p, _) in enumerate(made)]) == {k: t for k, (_, t) in enumerate(made)}
+
+
+def test_a_page_alone_in_its_layout_takes_another_that_fits(spark):
+    r = random.Random(11)
+    made = [plain_site(r, k) for k in range(12)]
+    page, text = plain_site(r, 12)
+    odd = page.replace("<div class=c1>", "<dl class=ra><dt>a<dd class=rb>b</dl><table class=rc><tr class=rd><td class=re>c</table><ol class=rf><li class=rg>d</ol><div class=c1>")
+    rows = [(k, "https://one.example/", p) for k, (p, _) in enumerate([*made, (odd, text)])]
+    assert extracted(spark, rows) == {k: t for k, (_, t) in enumerate([*made, (odd, text)])}
+
+
+@pytest.mark.parametrize("n", [2, 20])
+def test_constant_parts_of_an_article_stay(spark, n):
+    r = random.Random(12)
+    made = [(f"<body><div class=x>{SITE[0]}</div><article><h1>{(t := words(r, 3))}</h1><div><p>Serves four people.</p></div><p>{(p := words(r, 40))}</p></article><div class=y>{SITE[3]}</div></body>", f"{t} Serves four people. {p}") for _ in range(n)]
+    assert extracted(spark, [(k, "http://cook.example/", p) for k, (p, _) in enumerate(made)]) == {k: t for k, (_, t) in enumerate(made)}
+
+
+def test_layouts_are_those_of_brute_force(spark):
+    r = random.Random(13)
+    rows = [("h", (other_site if k % 3 else plain_site)(r, k)[0]) for k in range(18)] + [("one", "<p>a"), ("two", "<p>a<b>"), ("two", "<p>b")]
+    record = templates.records(spark.createDataFrame(rows, "host string, html string"))
+    got = {(x["host"], x["token"]): x["weight"] for x in templates.layouts(record).collect()}
+    want = {}
+    for host in ("h", "one", "two"):
+        stands = defaultdict(set)
+        for k, html in enumerate(x for h, x in rows if h == host):
+            for t in {templates.ROOT, *(e.token for e in pages.tokenised(html)[0] if e.what == pages.START)}:
+                stands[t].add(k)
+        classes = defaultdict(list)
+        for t, where in stands.items():
+            classes[frozenset(where)].append(t)
+        want |= {(host, min(ts)): round(1000 * len(ts) * math.log1p(len(where))) for where, ts in classes.items() if len(where) >= 2}
+    assert got == want
+
+
 def test_flat_pages_go_by_slots(spark):
     r = random.Random(2)
     rows, want = [], {}
@@ -83,7 +143,7 @@ def test_classes_are_those_of_brute_force(spark):
         shuffled = [f"<div class=m{i}>{words(r, 2)}</div>" for i in range(2)]
         r.shuffle(shuffled)
         rows.append(("h", f"<body><div class=list>{cells}</div>{''.join(shuffled)}<ol>{'<li>x' * r.randint(1, 3)}</ol></body>"))
-    rows += [("small", "<p>a")] * 3
+    rows += [("small", "<p>a")] * 3  # copies: one page, which has no template
     df = spark.createDataFrame(rows, "host string, html string")
     record = templates.records(df)
     found = templates.anchored(record, templates.supported(record)).collect()
