@@ -117,6 +117,7 @@ PROFILE = r"(?i)(https?://)?(www\.)?linkedin\.com/in/[A-Za-z0-9\-_/]+"
 UNPROFESSIONAL = r"(?i)\d{3,}|xoxo|sexy|420|69|cool|swag"
 MESSY_FILE = r"(?i)final[\s_\-]*final|v\d+.*final|copy\s*of|_new_new|resume\d*\(\d+\)|untitled"
 URL = r"https?://\S+"
+LINK = r"https?://\S+|www\.\S+"
 DATE_FORMATS = {
     "month_year": r"(^|[^A-Za-z0-9_])[A-Za-z]{3,9}\.?\s+\d{4}($|[^A-Za-z0-9_])",
     "numeric_slash": r"(^|[^A-Za-z0-9_])\d{1,2}/\d{4}($|[^A-Za-z0-9_])",

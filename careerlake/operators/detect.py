@@ -147,23 +147,3 @@ def contacts(of_lines: DataFrame) -> DataFrame:
     found = made.groupBy("doc_id").agg(*(first(c) for c in ("name", "email", "phone", "profile")))
     share = total(F.col(c).isNotNull() for c in ("name", "email", "phone", "profile")) / 4
     return found.withColumn("confidence", F.round(share, 2))
-
-
-def spelling(docs: DataFrame, least: int = 20) -> DataFrame:
-    """Lower-case words of three letters or more that the corpus has less than `least` times and that are one letter off a word that it has at least that often: doc_id, word, suggestion, once a document.
-
-    The dictionary is the corpus's own. Words are paired through the patterns with one letter masked, so there is no cross join; the
-    most frequent dictionary word, then the smallest, is suggested.
-    """
-    found_words = F.regexp_extract_all(F.regexp_replace("text", dims.EMAIL, " "), F.lit("(^|[^A-Za-z])([a-z]{3,})(?![A-Za-z])"), F.lit(2))
-    of_docs = docs.select("doc_id", found_words.alias("words"))
-    each = of_docs.select("doc_id", F.explode(F.array_distinct("words")).alias("word"))
-    counts = of_docs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).withColumn("letters", F.length("word"))
-    cut_out = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.overlay("word", F.lit("*"), i, F.lit(1)))).alias("pattern")
-    dictionary = counts.filter(F.col("n") >= least)
-    # a word as long as none of the dictionary's has no pattern in common with any
-    rare = counts.filter(F.col("n") < least).join(F.broadcast(dictionary.select("letters").distinct()), "letters", "left_semi").select("word", cut_out)
-    known = dictionary.select(F.col("word").alias("suggestion"), "n", cut_out)
-    best = F.min_by("suggestion", F.struct((-F.col("n")).alias("n"), "suggestion"))
-    found = rare.join(known, "pattern").groupBy("word").agg(best.alias("suggestion"))
-    return each.join(found, "word").select("doc_id", "word", "suggestion")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from careerlake.conf import DEFAULT
 from careerlake.functions import dims
 from careerlake.functions.text import first_match, words
-from careerlake.operators import detect
+from careerlake.operators import detect, spelling
 from careerlake.operators.lines import lines
 from careerlake.sources.tables import table
 
@@ -98,7 +98,8 @@ def doc_age_bias(spark, sf_dir):
 
 
 def doc_spelling(spark, sf_dir):
-    return detect.spelling(docs_of(spark, sf_dir))
+    """Each misspelt word of each document, the word suggested, and in how many lines it stands."""
+    return spelling.misspelt(docs_of(spark, sf_dir).select("doc_id", "text"))
 
 
 ATS = rf"""ats AS (SELECT doc_id, file_ok, email_ok, urls_ok, dates_ok,
@@ -116,6 +117,19 @@ def spaced(phrases) -> str:
     return "|".join(p.replace(" ", "  ") for p in sorted(phrases, key=lambda p: (-len(p), p)))
 
 
+def spelling_sql(of: str) -> str:
+    """The tables suggested (word, suggestion) and misspelt (doc_id, word, suggestion, n) of the lines in `of`, by comparing every word with the whole dictionary."""
+    plain = f"regexp_replace(regexp_replace(coalesce(line, ''), '{dims.EMAIL}', ' ', 'g'), '{dims.LINK}', ' ', 'g')"
+    given = ", ".join(f"('{w}')" for w in spelling.taxonomy_words())
+    return rf"""spelt AS MATERIALIZED (SELECT doc_id, line_no, unnest(regexp_extract_all(regexp_replace({plain}, '([^A-Za-z])', '\1\1', 'g'), '(^|[^A-Za-z])([a-z]{{3,}})($|[^A-Za-z])', 2)) AS word FROM {of}),
+        given(word) AS (VALUES {given}), counted AS MATERIALIZED (SELECT word, count(*) AS n FROM spelt GROUP BY word),
+        dictionary AS MATERIALIZED (SELECT word, max(n) AS n FROM (SELECT * FROM counted WHERE n >= {spelling.LEAST} UNION ALL SELECT word, 0 FROM given) GROUP BY word),
+        near AS MATERIALIZED (SELECT r.word, k.word AS suggestion, k.n, damerau_levenshtein(r.word, k.word) AS d FROM (SELECT word FROM counted WHERE n < {spelling.LEAST} AND word NOT IN (SELECT word FROM given)) r JOIN dictionary k
+          ON length(k.word) BETWEEN length(r.word) - 2 AND length(r.word) + 2 WHERE damerau_levenshtein(r.word, k.word) <= 2),
+        suggested AS (SELECT word, arg_min(suggestion, (d, -n, suggestion)) AS suggestion FROM near GROUP BY word),
+        misspelt AS (SELECT doc_id, word, suggestion, count(DISTINCT (doc_id, line_no)) AS n FROM spelt JOIN suggested USING (word) GROUP BY ALL)"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -146,10 +160,6 @@ SQL = {
         SELECT doc_id, 'birth' AS kind, '' AS detail FROM l WHERE regexp_matches(line, '{dims.BIRTH}')
         UNION ALL SELECT doc_id, 'tenure', y FROM (SELECT doc_id, nullif(regexp_extract(line, '{dims.TENURE}', 2), '') AS y FROM l) WHERE try_cast(y AS BIGINT) >= 15
         UNION ALL SELECT doc_id, 'graduation', y FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(line, '([^0-9A-Za-z_])', '\1\1', 'g'), '(^|[^0-9A-Za-z_])((?:19|20)[0-9]{{2}})($|[^0-9A-Za-z_])', 2)) AS y FROM l) WHERE {DEFAULT.as_of[:4]} - y::INT >= 20""",
-    "doc_spelling": rf"""WITH every AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '{dims.EMAIL}', ' ', 'g'), '([^A-Za-z])', '\1\1', 'g'), '(^|[^A-Za-z])([a-z]{{3,}})($|[^A-Za-z])', 2)) AS word, generate_subscripts(regexp_extract_all(regexp_replace(regexp_replace(text, '{dims.EMAIL}', ' ', 'g'), '([^A-Za-z])', '\1\1', 'g'), '(^|[^A-Za-z])([a-z]{{3,}})($|[^A-Za-z])', 2), 1) AS at FROM documents),
-        counts AS (SELECT word, count(*) AS n FROM every GROUP BY word),
-        patterns AS (SELECT word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || '*' || substr(word, i + 1))) AS pattern FROM counts),
-        best AS (SELECT r.word, arg_min(k.word, (-k.n, k.word)) AS suggestion FROM patterns r JOIN patterns k USING (pattern) WHERE r.n < 20 AND k.n >= 20 GROUP BY r.word)
-        SELECT DISTINCT doc_id, word, suggestion FROM every JOIN best USING (word)""",
+    "doc_spelling": f"WITH {LINES}, {spelling_sql('lines')} SELECT doc_id, word, suggestion, n FROM misspelt",
 }
 

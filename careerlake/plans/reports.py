@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from careerlake.conf import DEFAULT
 from careerlake.functions import dims
-from careerlake.operators import fuzzy, match, report, score
-from careerlake.plans.documents import BAND, FIRST, WORDS, spaced
+from careerlake.operators import fuzzy, match, report, score, spelling
+from careerlake.plans.documents import BAND, FIRST, WORDS, spaced, spelling_sql
 from careerlake.sources.tables import spread, table
 
 _EXPERIENCE = """'Work Experience', chr(10), CASE doc_id % 3 WHEN 0 THEN 'Senior Engineer, Acme, Pune Jan 2019 - Present' WHEN 1 THEN 'Analyst - Initech 2019 to Current' ELSE 'Self-employed 05/2020 – Now' END, chr(10),
@@ -36,6 +36,14 @@ def composite_score(spark, sf_dir):
     return out.select("doc_id", *dims.CATEGORY_WEIGHTS, "overall")
 
 
+def report_spelling(spark, sf_dir):
+    """Reports with misspelt words counted: content score, composite, and warnings. Numbers alone are joined, not texts."""
+    made = cvs(spark, sf_dir)
+    narrow = report.reports(made).select("doc_id", "n_bullets", "n_quantified", "n_strong", "length_variance", "n_repeated", *dims.CATEGORY_WEIGHTS, "warnings")
+    out = spelling.respelt(narrow, spelling.misspelt(made.select("doc_id", "text")))
+    return out.select("doc_id", "misspelt", "content_quality", "overall", F.array_join("warnings", ",").alias("warnings"))
+
+
 def report_warnings(spark, sf_dir):
     return report.reports(cvs(spark, sf_dir)).select("doc_id", F.array_join("warnings", ",").alias("warnings"))
 
@@ -222,6 +230,9 @@ OVERALL = " + ".join(f"round({c} * {w}::DOUBLE, 1)" for c, w in dims.CATEGORY_WE
 FOUND = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in (("full_name", "name IS NOT NULL"), ("email", "email IS NOT NULL"), ("phone", "phone IS NOT NULL"), ("summary", "summary <> ''"), ("experience", "has_entry"), ("skills", "n_skills > 0"), ("sections", "share >= 0.8")))
 SQL = {
     "composite_score": f"WITH {PARSED}, {SKILLED}, {FEATURES}, {SCORES} SELECT doc_id, {', '.join(dims.CATEGORY_WEIGHTS)}, round({OVERALL}, 1) AS overall FROM s",
+    "report_spelling": f"""WITH {PARSED}, {SKILLED}, {FEATURES}, {spelling_sql("lines")}, wrong AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS misspelt FROM misspelt GROUP BY doc_id),
+        {SCORES.replace("+ 10 + (10 - least(3 * n_repeated", "+ (10 - least(3 * coalesce(misspelt, 0), 10)) + (10 - least(3 * n_repeated").replace("FROM g LEFT JOIN", "FROM g LEFT JOIN wrong USING (doc_id) LEFT JOIN").replace("SELECT g.*,", "SELECT g.*, wrong.misspelt,")}
+        SELECT doc_id, coalesce(misspelt, 0) AS misspelt, content_quality, round({OVERALL}, 1) AS overall, array_to_string(list_filter([{', '.join([*WARNED[:3], COUNTED("misspelt", "misspelt"), *WARNED[3:]])}], lambda x: x IS NOT NULL), ',') AS warnings FROM s""",
     "report_warnings": f"WITH {PARSED}, {FEATURES} SELECT doc_id, array_to_string(list_filter([{', '.join(WARNED)}], lambda x: x IS NOT NULL), ',') AS warnings FROM g",
     "resume_fields": f"""WITH {PARSED}, counts AS (SELECT doc_id, count(*) AS n_entries, CAST(sum(n_bullets) AS BIGINT) AS n_bullets FROM ent GROUP BY doc_id)
         SELECT cv.doc_id, name, email, phone, profile, round(((name IS NOT NULL)::INT + (email IS NOT NULL)::INT + (phone IS NOT NULL)::INT + (profile IS NOT NULL)::INT) / 4, 2) AS confidence, summary, coalesce(skills, '') AS skills, coalesce(education, '') AS education, coalesce(n_entries, 0) AS n_entries, coalesce(n_bullets, 0) AS n_bullets

@@ -33,7 +33,8 @@ def test_each_document_gets_an_item(spark, tmp_path):
 def test_each_misspelling_of_each_document_is_given(spark, tmp_path):
     texts = ["house cat internationalising " * 20, "a houze cet", "a houze cet", "houze houze, internationalizing", "Houze zebra no ct"]
     got = query(spark, tmp_path, "doc_spelling", documents=([(k, t, "web") for k, t in enumerate(texts)], "doc_id long, text string, source string"))
-    assert sorted(got) == [(1, "cet", "cat"), (1, "houze", "house"), (2, "cet", "cat"), (2, "houze", "house"), (3, "houze", "house"), (3, "internationalizing", "internationalising")]
+    assert sorted(g[:3] for g in got) == [(1, "cet", "cat"), (1, "houze", "house"), (2, "cet", "cat"), (2, "houze", "house"), (3, "houze", "house"), (3, "internationalizing", "internationalising")]
+    assert {g[3] for g in got} == {1}  # lines with the word
 
 
 def test_fuzzy_matches_are_runs_of_whole_words(spark, tmp_path):
