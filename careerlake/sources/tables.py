@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends the library's code, once a session, to where Python tasks run, so that it need not be installed there.
+
+    Spark serves the archive from the driver, as it does any file of addPyFile(); executors never look for the driver's path.
+    """
+    context, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_careerlake", None) is None:
+        archive = f"{tempfile.mkdtemp(prefix='careerlake-')}/careerlake.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(top.rglob("*.py")):
+                z.write(file, file.relative_to(top.parent))
+        context.addPyFile(archive)
+        context._careerlake = archive
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # workers of a session that began elsewhere find the library, though it isn't installed
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared(spark: SparkSession) -> str:

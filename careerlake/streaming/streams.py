@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from careerlake.sources.tables import shared
+from careerlake.sources.tables import shared, ship
 
 LATE = "1 day"
 FRAME_END, PREFIX = "\n\n", "data: "
@@ -23,7 +23,7 @@ FRAME_END, PREFIX = "\n\n", "data: "
 
 def arriving(spark: SparkSession, folder: str, files: str, ddl: str, at_once: int | None = None) -> DataFrame:
     """Rows of Parquet files as they come to a folder; at_once: files in a batch."""
-    reader = spark.readStream.schema(ddl).option("pathGlobFilter", files)
+    reader = ship(spark).readStream.schema(ddl).option("pathGlobFilter", files)
     return (reader.option("maxFilesPerTrigger", at_once) if at_once else reader).parquet(folder)
 
 
@@ -74,6 +74,7 @@ def streaks(events: DataFrame, user: str = "user_id") -> DataFrame:
         state.update((last, streak, longest))
         yield pd.DataFrame(rows, columns=["user_id", "day", "streak", "longest", "action", "milestone"]).astype({"milestone": "Int64"})
 
+    ship(events.sparkSession)
     days = events.select(F.col(user).alias("user_id"), F.to_date("ts").alias("day"))
     out = "user_id long, day date, streak long, longest long, action string, milestone long"
     return days.groupBy("user_id").applyInPandasWithState(step, out, "last int, streak long, longest long", "append", GroupStateTimeout.NoTimeout)
@@ -94,4 +95,5 @@ def frames(chunks: DataFrame) -> DataFrame:
         state.update((held, n, total))
         yield pd.DataFrame(rows, columns=["conn", "frame_no", "data", "total"])
 
+    ship(chunks.sparkSession)
     return chunks.groupBy("conn").applyInPandasWithState(step, "conn long, frame_no long, data string, total long", "held string, n long, total long", "append", GroupStateTimeout.NoTimeout)
