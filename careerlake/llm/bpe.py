@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from careerlake.llm.common import SLICE, table, written
+from careerlake.llm.common import SLICE, ship, table, written
 
 RANKS = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32768, 2048  # code points
@@ -353,6 +353,7 @@ def encode_documents(docs: DataFrame, name: str = RANKS, chunk: int = CHUNK, ove
 
     Texts are encoded and decoded again in one Python task, so that an executor has one worker a core.
     """
+    ship(docs.sparkSession)
     texts = docs.select(F.struct(F.monotonically_increasing_id().alias("n"), "doc_id").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = pa.schema([("chunk", pa.int32()), ("last", pa.bool_()), ("part", pa.string()), *CODED])
 

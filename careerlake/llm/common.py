@@ -4,20 +4,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from careerlake.sources.tables import ship
+
 #: Rows that a Python task holds as objects at a time; Arrow batches are cut to this.
 SLICE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # workers of a session that began elsewhere find the library, though it isn't installed
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +49,7 @@ def by_text(
 
     schema and ddl describe the made columns. Partitions are those of df: no shuffle.
     """
+    ship(df.sparkSession)
     source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from careerlake.llm.common import cut, dealt_join, table, written
+from careerlake.llm.common import cut, dealt_join, ship, table, written
 
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Bytes of texts that are cut at a time, but for a longer single text.
@@ -130,6 +130,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             for part in slices_of(batch):
                 yield counted(part)
 
+    ship(docs.sparkSession)
     source = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
     return source.mapInArrow(run, COUNTS_DDL).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 

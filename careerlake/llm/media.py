@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careerlake.llm import webp
-from careerlake.llm.common import table
+from careerlake.llm.common import ship, table
 
 BLOCK = 64
 DESCRIBED = (
@@ -57,6 +57,7 @@ def describe(media: pd.Series, sizes: pd.Series) -> pd.DataFrame:
 
 def store_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """df with n_bytes, payload_bytes and the picture of each text; these names replace columns of theirs."""
+    ship(df.sparkSession)
     n = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
     size = F.greatest(F.lit(BLOCK), F.ceil(n / BLOCK) * BLOCK).cast("long")
     return df.withColumns({media: to_media(F.coalesce(F.col(text), F.lit(""))), "n_bytes": n, "payload_bytes": size})
@@ -64,6 +65,7 @@ def store_media(df: DataFrame, text: str = "text", media: str = "media") -> Data
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     """doc_id, sizes, checks of the payload as read back, and features of the picture."""
+    ship(df.sparkSession)
     found = df.select("doc_id", "n_bytes", "payload_bytes", describe(F.col(media), F.col("payload_bytes")).alias("__m"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "__m.*")
 

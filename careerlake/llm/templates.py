@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerlake.llm.common import SLICE, by_text, cut, table, written
+from careerlake.llm.common import SLICE, by_text, cut, ship, table, written
 from careerlake.llm.pages import CONTAINER, END, HEADING, NONE, OUTER, PIECE, START, TEXT, Event, tokenised
 
 #: Share of a layout's different pages that a template token stands in; pages that a layout has at least, as one alone repeats nothing.
@@ -377,6 +377,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, use_templates: bool = True, broadcast: int = BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars of each row."""
+    ship(pages.sparkSession)
     hosted = with_host(pages.select("page_id", "url", "html"))
     joined = joined_by_host(hosted, templates(hosted), broadcast) if use_templates else hosted.withColumn("template", F.lit(None).cast("string"))
     joined = joined.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "template")
