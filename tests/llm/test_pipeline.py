@@ -122,4 +122,4 @@ def test_stages_keep_columns(spark, request, rows, sf):
 
 def test_each_operator_has_a_query():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 11)} and set(registry.QUERIES) | {"pipeline"} <= names
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 14)} and set(registry.QUERIES) | {"pipeline"} <= names
