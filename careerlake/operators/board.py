@@ -117,9 +117,18 @@ def job_match(asked: DataFrame, jobs: DataFrame) -> DataFrame:
     return out.select("job_id", "role", "company", F.filter("skills", lambda s: F.array_contains(low, F.lower(s))).alias("matched"), F.filter("skills", lambda s: ~F.array_contains(low, F.lower(s))).alias("missing"))
 
 
+#: Room above and below the line, in units of the values.
+PADDING = 5
+
+
+def demand_points(today: Column, next_: Column, second: Column, third: Column) -> Column:
+    """Six numbers of a demand: today, soon after (5 % more), the next year, half way to the second, the second and the third."""
+    return F.array(*(c.cast("double") for c in (today, half_up(1.05 * today), next_, half_up((next_ + second) / 2), second, third)))
+
+
 def line_points(values: Column, width: int = 120, height: int = 36) -> Column:
-    """Values as x,y points from left to right, the largest on top; in the middle where all are equal."""
-    low, high, n = F.array_min(values), F.array_max(values), F.size(values)
-    x = lambda i: half_up(F.when(n > 1, width * i / (n - 1)).otherwise(0.0))
-    y = lambda v: half_up(F.when(high > low, height - height * (v - low) / (high - low)).otherwise(height / 2))
-    return F.array_join(F.transform(values, lambda v, i: F.concat(x(i).cast("string"), F.lit(","), y(v).cast("string"))), " ")
+    """Values as x,y points with one decimal from left to right, the largest on top, PADDING above and below."""
+    low, high, n = F.array_min(values) - PADDING, F.array_max(values) + PADDING, F.size(values)
+    tenth = lambda c: F.format_string("%.1f", F.floor(c * 10 + 0.5) / 10)
+    x = lambda i: F.when(n > 1, width * i / (n - 1)).otherwise(0.0)
+    return F.array_join(F.transform(values, lambda v, i: F.concat(tenth(x(i)), F.lit(","), tenth(height - height * (v - low) / (high - low)))), " ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from careerlake.functions import dims
@@ -140,17 +141,19 @@ def live_dates(spark, sf_dir):
 
 
 def goal_tasks(spark, sf_dir):
-    """Tasks of a goal by hour, with how many are done."""
-    rows = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select("o_orderpriority", (F.col("o_orderkey") % 24).alias("hour"), "o_orderkey", (F.col("o_orderstatus") == "F").alias("done"))
-    tasks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hour", "o_orderkey"))), lambda t: t["o_orderkey"].cast("string")), ",")
-    return rows.groupBy("o_orderpriority").agg(F.count_if("done").alias("done"), F.count("*").alias("total"), tasks.alias("tasks"))
+    """Tasks of each goal (orders of a customer) in their place by hour, with how many of the goal are done: a row for each task."""
+    goal = Window.partitionBy("o_custkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 24).alias("hour"), (F.col("o_orderstatus") == "F").alias("done"))
+    place = F.row_number().over(goal.orderBy("hour", "o_orderkey")).cast("long")
+    return rows.select("o_custkey", "o_orderkey", "hour", "done", place.alias("place"), F.count_if("done").over(goal).alias("n_done"), F.count("*").over(goal).alias("n_tasks"))
 
 
 def sparkline(spark, sf_dir):
-    """Prices of a brand's first six parts as points of a line in 120 by 36."""
+    """Demand of a brand, from the sizes of its first four parts, as points of a line in 120 by 36."""
     rows = table(spark, sf_dir, "part")
-    six = relational.top_per_group(rows, ["p_brand"], [F.asc("p_partkey")], 6).groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_retailprice"))).alias("six"))
-    return six.select("p_brand", board.line_points(F.transform("six", lambda x: x["p_retailprice"])).alias("points"))
+    four = relational.top_per_group(rows, ["p_brand"], [F.asc("p_partkey")], 4).groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("four"))
+    demand = board.demand_points(*(F.get("four", F.lit(k))["p_size"] for k in range(4)))
+    return four.filter(F.size("four") == 4).select("p_brand", board.line_points(demand).alias("points"))
 
 
 def first_gaps(spark, sf_dir):
@@ -191,9 +194,11 @@ SQL = {
         SELECT user_id, array_to_string(list_transform(range(6, -1, -1), lambda k: CASE WHEN (DATE '{AS_OF}' - CAST(k AS INT)) <= last AND last - (DATE '{AS_OF}' - CAST(k AS INT)) < streak THEN '1' ELSE '0' END), '') AS flags FROM s""",
     "live_dates": """WITH t AS (SELECT o_orderkey, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) + to_minutes(CAST(o_orderkey % 60 AS INT)) AS at_ FROM orders)
         SELECT o_orderkey, strftime(at_, '%A, %-d %B %Y') AS long, strftime(at_, '%d %b %Y') AS short, strftime(at_, '%a, %-d %b %Y, %I:%M %p') AS timed FROM t""",
-    "goal_tasks": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) AS total, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey % 24, o_orderkey) AS tasks FROM orders WHERE o_totalprice > 300000 GROUP BY o_orderpriority",
-    "sparkline": """WITH s AS (SELECT p_brand, list(p_retailprice ORDER BY p_partkey) AS v FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 6) GROUP BY p_brand), r AS (SELECT *, list_min(v) AS lo, list_max(v) AS hi FROM s)
-        SELECT p_brand, array_to_string(list_transform(v, lambda x, i: CAST(CAST(floor(CASE WHEN len(v) > 1 THEN 120 * (i - 1) / (len(v) - 1) ELSE 0 END + 0.5) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(floor(CASE WHEN hi > lo THEN 36 - 36 * (x - lo) / (hi - lo) ELSE 18 END + 0.5) AS BIGINT) AS VARCHAR)), ' ') AS points FROM r""",
+    "goal_tasks": """SELECT o_custkey, o_orderkey, o_orderkey % 24 AS hour, o_orderstatus = 'F' AS done, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 24, o_orderkey) AS place,
+        count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS n_done, count(*) OVER (PARTITION BY o_custkey) AS n_tasks FROM orders""",
+    "sparkline": """WITH f AS (SELECT p_brand, list(p_size ORDER BY p_partkey) AS z FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 4) GROUP BY p_brand HAVING count(*) = 4),
+        d AS (SELECT p_brand, [z[1], floor(1.05::DOUBLE * z[1] + 0.5), z[2], floor((z[2] + z[3]) / 2 + 0.5), z[3], z[4]]::DOUBLE[] AS v FROM f), r AS (SELECT *, list_min(v) - 5 AS lo, list_max(v) + 5 AS hi FROM d)
+        SELECT p_brand, array_to_string(list_transform(range(0, 6), lambda i: printf('%.1f', floor(120 * i / 5 * 10 + 0.5) / 10) || ',' || printf('%.1f', floor((36 - 36 * (v[i + 1] - lo) / (hi - lo)) * 10 + 0.5) / 10)), ' ') AS points FROM r""",
     "first_gaps": "SELECT user_id, array_to_string(list_filter(list_transform(range(1, 13), lambda i: CASE WHEN (i * 7 + event_id) % 3 > 0 THEN 's' || i END), lambda x: x IS NOT NULL)[1:6], ',') AS gaps FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 }
 QUERIES = {name: globals()[name] for name in SQL}

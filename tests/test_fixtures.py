@@ -108,3 +108,10 @@ def test_decisions_and_defaults(spark):
     assert [kind(t) for t in ('{"tool": "x"}', '```json\n{"final": {}}\n```', '{"tool": ""}', '{"tool": "x"', "none")] == ["tool", "final", "invalid", "invalid", "invalid"]
     assert [value(spark, board.hour_block(F.col("t")), t=t) for t in (" 7 h", "-3", "x", "", "12.5")] == [7, -3, 0, 0, 12]
     assert value(spark, structure.month_index(F.col("t")), t="Sept. 2019") == 2019 * 12 + 9
+
+
+def test_a_line_has_room_above_and_below(spark):
+    demand = board.demand_points(*(F.lit(x) for x in (75, 82, 88, 93)))
+    assert value(spark, demand) == [75, 79, 82, 85, 88, 93]
+    assert value(spark, board.line_points(demand)) == "0.0,29.6 24.0,24.4 48.0,20.6 72.0,16.7 96.0,12.9 120.0,6.4"
+    assert value(spark, board.line_points(F.array(F.lit(3.0), F.lit(3.0)))) == "0.0,18.0 120.0,18.0"
