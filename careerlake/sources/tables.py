@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -37,6 +38,13 @@ def shared(spark: SparkSession) -> str:
     return given
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once, as a table in the shared folder; survives lost executors."""
+    path = f"{shared(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df on all cores where its files give fewer tasks than these, as a small table of one row group does; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
