@@ -27,7 +27,8 @@ def stream_latest(spark, sf_dir):
 
 
 def stream_streaks(spark, sf_dir):
-    out = streams.run(streams.streaks(events(spark, sf_dir)))
+    """States of all days, the last written of each."""
+    out = streams.newest(streams.run(streams.streaks(events(spark, sf_dir))), "user_id", "day")
     return out.select("user_id", F.col("day").cast("string").alias("day"), "streak", "longest", "action", "milestone")
 
 

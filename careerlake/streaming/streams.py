@@ -6,6 +6,8 @@ the newest one may be dropped by once_a_day(), the only one that forgets. States
 
 from __future__ import annotations
 
+import datetime as dt
+import heapq
 import json
 import uuid
 from collections.abc import Iterator
@@ -51,33 +53,58 @@ def latest(events: DataFrame, key: str, tie: str, columns: list[str]) -> DataFra
     return events.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("ts", tie)).alias("r")).select(key, "r.*")
 
 
-def newest(written: DataFrame, key: str) -> DataFrame:
-    """Of the rows that update mode wrote the last of each key."""
-    columns = [c for c in written.columns if c not in (key, "batch")]
-    return written.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(key, "r.*")
+def newest(written: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows that update mode or corrections wrote the last of each key."""
+    columns = [c for c in written.columns if c not in (*keys, "batch")]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(*keys, "r.*")
+
+
+Runs = list[tuple[int, int]]
+
+
+def merged(runs: Runs, days: list[int]) -> Runs:
+    """Runs of days with more days, both in order: days that touch a run lengthen it, and one between two joins them."""
+    out: Runs = []
+    for a, b in heapq.merge(runs, ((d, d) for d in days)):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def states(runs: Runs, since: int) -> dict[int, tuple[int, int, str]]:
+    """streak, longest, action after each day of the runs from `since` on."""
+    out, longest = {}, 0
+    for k, (a, b) in enumerate(runs):
+        for d in range(max(a, since), b + 1):
+            out[d] = (d - a + 1, max(longest, d - a + 1), "reset" if k and d == a else "incremented")
+        longest = max(longest, b - a + 1)
+    return out
 
 
 def streaks(events: DataFrame, user: str = "user_id") -> DataFrame:
-    """The state after each day of a user: streak, longest, action, milestone. Days come in order; one that came before the last is passed over."""
+    """The state after each day of a user: streak, longest, action, milestone. Days may come in any order.
+
+    A day that comes late changes the days after it, so a day may be written again in a later batch: newest(..., "user_id", "day") gives what
+    holds. Only days whose state changes are written, so days in order are written once. What is kept of a user are the first and last days
+    of the runs, not the days. Rows without a time are passed over; no user is a user as well.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, streak, longest = state.get if state.exists else (None, 0, 0)
-        rows = []
-        for day in sorted({d for f in frames for d in f["day"]}):
-            number = day.toordinal()
-            if last is not None and number <= last:
-                continue
-            gap = None if last is None else number - last
-            streak = streak + 1 if gap == 1 else 1
-            last, longest = number, max(longest, streak)
-            rows.append((key[0], day, streak, longest, "reset" if gap is not None and gap > 1 else "incremented", streak if streak in (3, 7, 30) else None))
-        state.update((last, streak, longest))
+        before: Runs = list(zip(*state.get)) if state.exists else []
+        days = sorted({d.toordinal() for f in frames for d in f["day"]})
+        after, rows = merged(before, days), []
+        if after != before:
+            old = states(before, days[0])
+            rows = [(key[0], dt.date.fromordinal(d), *s, s[0] if s[0] in (3, 7, 30) else None) for d, s in states(after, days[0]).items() if old.get(d) != s]
+            state.update(([a for a, _ in after], [b for _, b in after]))
         yield pd.DataFrame(rows, columns=["user_id", "day", "streak", "longest", "action", "milestone"]).astype({"milestone": "Int64"})
 
     ship(events.sparkSession)
-    days = events.select(F.col(user).alias("user_id"), F.to_date("ts").alias("day"))
+    days = events.select(F.col(user).alias("user_id"), F.to_date("ts").alias("day")).filter("day IS NOT NULL")
     out = "user_id long, day date, streak long, longest long, action string, milestone long"
-    return days.groupBy("user_id").applyInPandasWithState(step, out, "last int, streak long, longest long", "append", GroupStateTimeout.NoTimeout)
+    return days.groupBy("user_id").applyInPandasWithState(step, out, "firsts array<int>, lasts array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def frames(chunks: DataFrame) -> DataFrame:

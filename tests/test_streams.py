@@ -1,6 +1,7 @@
 """Streams in several batches against their batch twins, and what they do with late rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,42 @@ def test_streaks_over_batches(spark, stream):
     assert key(got) == key(want) and got.select("batch").distinct().count() == 3
 
 
+STATE = ("user_id", "day", "streak", "longest", "action", "milestone")
+
+
+def states_of(df):
+    return sorted(map(tuple, df.select(*STATE).collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_streaks_in_any_order_of_days(spark, stream, seed):
+    r = random.Random(seed)
+    rows = [(k, at(r.randrange(40), r.randrange(12)), r.choice([7, 8, None]), "a") for k in range(70)] + [(99, None, 7, "a")]
+    r.shuffle(rows)
+    batches = [rows[k::7] for k in range(7)]
+    got = streams.run(streams.streaks(stream(batches)))
+    days = spark.createDataFrame(rows, DDL).filter("ts IS NOT NULL").select("user_id", F.to_date("ts").alias("day")).distinct()
+    assert states_of(streams.newest(got, "user_id", "day")) == states_of(activity.streak_states(days))
+
+
+def test_late_day_joins_two_runs_and_corrects_them(stream):
+    batches = [[(1, at(0), 7, "a"), (2, at(1), 7, "a"), (3, at(3), 7, "a"), (4, at(4), 7, "a"), (5, at(9), 7, "a")], [(6, at(2), 7, "a"), (7, at(0), 7, "a")], [(8, at(2), 7, "a")]]
+    written = streams.run(streams.streaks(stream(batches)))
+    day = lambda n: at(n).date()
+    assert set(states_of(written.filter("batch = 1"))) == {
+        (7, day(2), 3, 3, "incremented", 3), (7, day(3), 4, 4, "incremented", None), (7, day(4), 5, 5, "incremented", None), (7, day(9), 1, 5, "reset", None),
+    }
+    assert written.filter("batch = 2").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_runs_of_days(seed):
+    r = random.Random(seed)
+    have, more = {r.randrange(30) for _ in range(r.randrange(20))}, {r.randrange(30) for _ in range(r.randrange(9))}
+    runs = streams.merged(streams.merged([], sorted(have)), sorted(more))
+    assert [d for a, b in runs for d in range(a, b + 1)] == sorted(have | more) and all(b + 1 < c for (_, b), (c, _) in zip(runs, runs[1:]))
+
+
 def test_latest_is_kept_up(stream):
     batches = [[(1, at(0), 7, "a"), (2, at(0), 8, "b")], [(3, at(2), 7, "c")], [(4, at(1), 7, "d"), (5, at(2), 7, "e")]]
     out = streams.run(streams.latest(stream(batches), "user_id", "event_id", ["event_id", "event_type"]), "update")
