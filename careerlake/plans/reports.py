@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from careerlake.conf import DEFAULT
 from careerlake.functions import dims
-from careerlake.operators import fuzzy, match, report, score, spelling
+from careerlake.operators import fuzzy, match, report, score, spelling, taxonomy
 from careerlake.plans.documents import BAND, FIRST, WORDS, spaced, spelling_sql
 from careerlake.sources.tables import spread, table
 
@@ -77,6 +77,23 @@ def taxonomy_scan(spark, sf_dir):
     return found.select("doc_id", "s.*")
 
 
+#: Labels made of the benchmark's passages: each run of four words, and as its other name its last three.
+LABELS = """SELECT DISTINCT concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]) AS canonical, concat_ws(' ', w[i + 1], w[i + 2], w[i + 3]) AS other
+  FROM (SELECT w, explode(sequence(0, size(w) - 4)) AS i FROM (SELECT filter(split(lower(text), '\\\\s+'), x -> x <> '') AS w FROM benchmark) WHERE size(w) > 3)"""
+
+
+def large_taxonomy(spark, sf_dir):
+    """canonical, category, synonyms: the listed skills, and labels of passages, which grow in number with the benchmark."""
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
+    listed = spark.createDataFrame([(name, kind, list(others)) for name, (kind, others) in dims.SKILLS.items()], "canonical string, category string, synonyms array<string>")
+    return listed.unionByName(spark.sql(LABELS).select("canonical", F.lit("passage").alias("category"), F.array("other").alias("synonyms")))
+
+
+def taxonomy_labels(spark, sf_dir):
+    """Skills in each document of a taxonomy that is a table."""
+    return taxonomy.skills(cvs(spark, sf_dir).select("doc_id", "text"), large_taxonomy(spark, sf_dir))
+
+
 def skill_tailoring(spark, sf_dir):
     """Tailoring of each document to its posting; one without skills asks for nothing, and without a posting there is no row."""
     made = cvs(spark, sf_dir).filter("posting IS NOT NULL").select("doc_id", match.skills_of(F.col("posting")).alias("asked"), match.skills_of(F.col("text")).alias("had"))
@@ -241,6 +258,14 @@ SQL = {
     "parse_completeness": f"WITH {PARSED}, {FEATURES} SELECT doc_id, complete AS score, array_to_string(list_filter([{FOUND}], lambda x: x IS NOT NULL), ',') AS found FROM g",
     "bullet_analysis": f"WITH {PARSED}, {FEATURES} SELECT doc_id, n_bullets, CASE WHEN n_bullets > 0 THEN round(n_quantified / n_bullets, 2) END AS quantified, n_weak, n_strong, variance, n_repeated FROM g",
     "taxonomy_scan": f"WITH {PARSED}, {SKILLED} SELECT doc_id, canonical, category, variant, match_type, confidence FROM hit WHERE side = 'had'",
+    "taxonomy_labels": rf"""WITH {PARSED}, words AS (SELECT list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
+        named AS (SELECT DISTINCT array_to_string(w[i:i + 3], ' ') AS canonical, array_to_string(w[i + 1:i + 3], ' ') AS other FROM (SELECT w, unnest(range(1, len(w) - 2)) AS i FROM words)),
+        every(v, canonical, category, match_type, place) AS (SELECT * FROM (VALUES {TAX}) UNION ALL SELECT canonical, canonical, 'passage', 'exact', 0 FROM named UNION ALL SELECT other, canonical, 'passage', 'synonym', 1 FROM named),
+        tax AS (SELECT v, arg_max({{'c': canonical, 'k': category, 't': match_type, 'p': place}}, (canonical, -place)) AS o FROM every GROUP BY v),
+        plain AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS s FROM cv),
+        held AS MATERIALIZED (SELECT doc_id, s, v, o FROM plain, tax WHERE contains(s, v))
+        SELECT doc_id, o.c AS canonical, any_value(o.k) AS category, arg_min(v, o.p) AS variant, arg_min(o.t, o.p) AS match_type
+        FROM held WHERE regexp_matches(s, '(^|[^a-z0-9])' || regexp_escape(v) || '($|[^a-z0-9])') GROUP BY doc_id, o.c""",
     "skill_tailoring": f"""WITH {PARSED}, {SKILLED} SELECT cv.doc_id, coalesce(round(hard, 2), 1) AS hard, coalesce(round(soft, 2), 1) AS soft, coalesce(missing, 0) AS missing, round(70 * coalesce(round(hard, 2), 1) + 20 * coalesce(round(soft, 2), 1), 1) AS score
         FROM cv LEFT JOIN tailored USING (doc_id) WHERE posting IS NOT NULL""",
     "title_tailoring": f"WITH {PARSED}, {FEATURES} SELECT doc_id, title, wanted, close FROM g WHERE posting IS NOT NULL",
