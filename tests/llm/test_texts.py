@@ -49,6 +49,24 @@ def test_media_round_trip(data):
     assert samples[: len(payload)].tobytes() == payload and width * height == len(samples)
 
 
+def test_media_of_several_pictures(spark):
+    draw = random.Random(4)
+    texts = ["", "a", "é" * 32, "b" * 63, "c" * 64, "d" * 65, "x" * 1000, " ".join(draw.choice(["cat", "Zürich", "1"]) for _ in range(900))]
+    for text in texts:
+        payload = media.padded(text.encode())
+        for most in (64, 128, 640):
+            one, many = media.described(media.pictures(payload), len(payload)), media.described(media.pictures(payload, most), len(payload))
+            assert len(list(media.files(media.pictures(payload, most)))) == -(-len(payload) // most)
+            assert one[2:4] == many[2:4] == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])) and one[6].split(" ", 1)[1] == many[6].split(" ", 1)[1]
+    with pytest.raises(ValueError):
+        media.described(media.pictures(media.padded(b"a" * 100), 64)[:-2], 128)
+    with pytest.raises(ValueError):
+        media.described(media.pictures(media.padded(b"a")), 128)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    digests = [by_row(media.read_media(media.store_media(docs, **kw)), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") for kw in ({}, {"most": 64})]
+    assert digests[0] == digests[1]
+
+
 def test_media_rows(odd, odd_rows):
     got = by_row(media.read_media(media.store_media(odd.select("doc_id", "text"))), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
     want = []
