@@ -1,7 +1,8 @@
 """Skills of a taxonomy that is a table, of any size: labels are joined with the words of texts, not written into the plan.
 
-A label stands in a text where neither a letter a-z nor a digit touches it, as in match.skills_in(). Its key is the rarest of its tokens
-(runs of a-z and 0-9, or one other character), so a block of a text is compared with few labels: those whose key it has.
+A label stands in a text where neither a letter a-z nor a digit touches it, as in match.skills_in(). Its key is the rarest of its pairs of
+runs of a-z and 0-9, with what stands between them, or of its runs and other characters where it has no pair. So a block of a text is compared
+with few labels: those whose key it has.
 """
 
 from __future__ import annotations
@@ -20,13 +21,18 @@ BLOCK = 4096
 SLICE = 32 << 20
 
 _RUN = "(?<![a-z0-9])[a-z0-9]++"
-#: Runs at the very ends of a block may be cut, so only what has something on both sides counts there.
+#: Runs at the very ends of a block may be cut, so only what has something on both sides counts.
 _INNER = "(?<=[^a-z0-9])[a-z0-9]++(?=[^a-z0-9])"
+_PAIR = "(?<=[^a-z0-9])(?=([a-z0-9]++[^a-z0-9]++[a-z0-9]++)[^a-z0-9])"
 _MARKED = "\u0001$0\u0002"
 
 
-def tokens(text: Column, run: str = _RUN) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"{run}|[^a-z0-9 ]"), F.lit(0)))
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"{_INNER}|[^a-z0-9 ]"), F.lit(0))
+
+
+def pairs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_PAIR), F.lit(1))
 
 
 def variants(taxonomy: DataFrame) -> DataFrame:
@@ -44,8 +50,9 @@ def variants(taxonomy: DataFrame) -> DataFrame:
 
 
 def keyed(listed: DataFrame) -> DataFrame:
-    """Variants with their key: the token that fewest variants have, then the longest, then the smallest."""
-    each = listed.select("variant", F.explode(tokens(F.col("variant"))).alias("token"))
+    """Variants with their key: the pair, or token where there is none, that fewest variants have, then the longest, then the smallest."""
+    whole = F.concat(F.lit(" "), "variant", F.lit(" "))
+    each = listed.select("variant", F.explode(F.array_distinct(F.when(F.size(pairs(whole)) > 0, pairs(whole)).otherwise(tokens(whole)))).alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("n"))
     key = each.join(common, "token").groupBy("variant").agg(F.min_by("token", F.struct("n", (-F.length("token")).alias("l"), "token")).alias("key"))
     return listed.join(key, "variant")
@@ -68,13 +75,12 @@ def skills(docs: DataFrame, taxonomy: DataFrame, block: int = BLOCK, at_once: in
     n_bytes = F.sum(F.octet_length("variant") * 2 + F.octet_length("canonical") + F.octet_length(F.coalesce("category", F.lit(""))) + 64)
     size, longest = known.agg(n_bytes, F.max(F.length("variant"))).first()
     passes, longest = -(-(size or 1) // at_once), longest or 0
-    alone = F.col("variant").rlike("^[a-z0-9]+$")
     edged = F.col("variant").rlike("^[^a-z0-9]|[^a-z0-9]$")
     whole = F.concat(F.lit("(?<=[^a-z0-9])"), F.regexp_replace("variant", "[^a-z0-9 ]", r"\\$0"), F.lit("(?=[^a-z0-9])"))
-    labels = known.withColumns({"alone": alone, "edged": edged, "marked": F.regexp_replace("variant", _RUN, _MARKED), "pattern": F.when(edged, whole)})
+    labels = known.withColumns({"alone": (F.col("variant") == F.col("key")) & ~edged, "edged": edged, "marked": F.regexp_replace("variant", _RUN, _MARKED), "pattern": F.when(edged, whole)})
 
     pieces = docs.select("doc_id", F.explode(blocks(squeezed("text"), max(block, longest + 2), longest)).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.regexp_replace("piece", _INNER, _MARKED).alias("told"), tokens(F.col("piece"), _INNER).alias("keys"))
+    pieces = pieces.select("doc_id", "piece", F.regexp_replace("piece", _INNER, _MARKED).alias("told"), F.array_distinct(F.concat(tokens(F.col("piece")), pairs(F.col("piece")))).alias("keys"))
     each = pieces.select("doc_id", "piece", "told", F.explode("keys").alias("key"))
     stands = F.col("alone") | (F.contains("told", "marked") & (~F.col("edged") | F.expr("piece RLIKE pattern")))
     found = [
