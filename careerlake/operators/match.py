@@ -162,3 +162,42 @@ def highlights(text: Column, terms: tuple[str, ...]) -> Column:
     """How often the terms stand in a text as whole words, the longest first."""
     pattern = "|".join(quoted(t) for t in sorted(terms, key=lambda t: (-len(t), t)))
     return F.regexp_count(F.lower(text), F.lit(f"(?<![a-z0-9_])(?:{pattern})(?![a-z0-9_])")).cast("long")
+
+
+def tagged_terms(present: tuple[str, ...], missing: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Terms with their class, p or m, the longest first; of one that is both, p; blank ones go."""
+    every = sorted([(t.lower(), "p") for t in present if t] + [(t.lower(), "m") for t in missing if t], key=lambda x: -len(x[0]))
+    classes: dict[str, str] = {}
+    for t, k in every:
+        classes.setdefault(t, k)
+    return list(classes.items())
+
+
+def segments(text: Column, present: tuple[str, ...], missing: tuple[str, ...]) -> Column:
+    """A text cut into (t, k): k is p where t is a present term, m a missing one, n what stands between; joined they are the text.
+
+    Terms are looked for from the left, longer ones first, in any case of a-z, between word boundaries (a-z, 0-9 and _ are of words): an end of
+    a term that isn't of a word has to touch a word. A null or empty text is one empty piece of class n. All is in the row.
+    """
+    classes = tagged_terms(present, missing)
+    whole = F.array(F.struct(F.coalesce(text, F.lit("")).alias("t"), F.lit("n").alias("k")))
+    if not classes:
+        return whole
+    word = "[A-Za-z0-9_]"
+    of_word = lambda c: c == "_" or (c.isascii() and c.isalnum())
+    ends = lambda t: f"(?<{'!' if of_word(t[0]) else '='}{word}){quoted_ascii(t)}(?{'!' if of_word(t[-1]) else '='}{word})"
+    pattern = F.lit(f"(?i)(?:{'|'.join(ends(t) for t, _ in classes)})")
+    kind = F.create_map(*(F.lit(x) for pair in classes for x in pair))
+    hits, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+
+    def woven(h: Column, b: Column) -> Column:
+        pair = lambda g, i: F.array(F.struct(g.alias("t"), F.lit("n").alias("k")), F.struct(F.get(h, i).alias("t"), F.element_at(kind, F.lower(F.get(h, i))).alias("k")))
+        return F.filter(F.flatten(F.transform(b, pair)), lambda s: F.coalesce(s["t"], F.lit("")) != "")
+
+    bound = F.array(F.struct(hits.alias("h"), between.alias("b")))
+    return F.when(F.coalesce(text, F.lit("")) == "", whole).otherwise(F.transform(bound, lambda x: woven(x["h"], x["b"]))[0])
+
+
+def quoted_ascii(term: str) -> str:
+    """A term as a pattern of itself."""
+    return "".join(f"\\{c}" if c.isascii() and not c.isalnum() and c not in " _" else c for c in term)

@@ -176,6 +176,17 @@ def keyword_highlight(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", match.highlights(F.col("text"), ("the", "and the", "que")).alias("n"))
 
 
+PRESENT, MISSING = ("the", "and the", "que", "der"), ("of", "de", "que", "of the")
+
+
+def highlight_segments(spark, sf_dir):
+    """Terms present and missing marked in each text: how many pieces of each class, and the digest of the text with terms in brackets."""
+    parts = docs_of(spark, sf_dir).select("doc_id", match.segments(F.col("text"), PRESENT, MISSING).alias("s"))
+    n = lambda k: F.size(F.filter("s", lambda x: x["k"] == k)).cast("long")
+    marked = F.array_join(F.transform("s", lambda x: F.when(x["k"] == "n", x["t"]).when(x["k"] == "p", F.concat(F.lit("["), x["t"], F.lit("|]"))).otherwise(F.concat(F.lit("[|"), x["t"], F.lit("]")))), "")
+    return parts.select("doc_id", n("p").alias("n_present"), n("m").alias("n_missing"), F.md5(marked).alias("marked_md5"))
+
+
 POSTED = "CASE p_partkey % 4 WHEN 0 THEN concat('About us', chr(10), 'Role: ', p_name, ' maker', chr(10), 'bye') WHEN 1 THEN concat('We are hiring a ', p_name, ', now') WHEN 2 THEN concat(chr(10), ' ', p_name, ' ', chr(10), 'more') ELSE 'one two three four five six seven eight nine' END"
 
 
@@ -253,6 +264,9 @@ LINESET = r"list_filter(list_transform(regexp_split_to_array(coalesce({0}, ''),
 TURNS = "t AS (SELECT conv_id, turn, text AS before, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations), v AS (SELECT * FROM t WHERE after IS NOT NULL)"
 NUMBERS = r"list_distinct(list_transform(regexp_extract_all(regexp_replace({0}, '([^A-Za-z0-9_])', '\1\1', 'g'), '(^|[^A-Za-z0-9_])(\d(?:[\d]|,,|\.\.)*(?:\+\+)?(?:%%)?)', 2), lambda x: regexp_replace(replace(replace(replace(replace(x, ',,', ','), '..', '.'), '++', '+'), '%%', '%'), '[,.]+$', '')))"
 SQL = {
+    "highlight_segments": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), h AS (SELECT *, list_transform(regexp_extract_all(text, '(?i)\b(and the|of the|the|que|der|of|de)\b'), lambda x: lower(x)) AS hits FROM t)
+        SELECT doc_id, len(list_filter(hits, lambda x: x IN ('the', 'and the', 'que', 'der'))) AS n_present, len(list_filter(hits, lambda x: x IN ('of', 'de', 'of the'))) AS n_missing,
+          md5(regexp_replace(text, '(?i)\b(?:(and the|the|que|der)|(of the|of|de))\b', '[\1|\2]', 'g')) AS marked_md5 FROM h""",
     "doc_sections": f"WITH {LINES}, {SECTIONS} SELECT * FROM sections",
     "doc_section_order": " UNION ALL ".join(
         f"""SELECT {doc_id} AS doc_id, earlier, later FROM (WITH {found}, f AS (SELECT doc_id, {name} AS name, min(section_no) AS first_at, list_position({list(dims.EXPECTED_ORDER)}, {name}) AS rank FROM {of} WHERE {name} IN {dims.EXPECTED_ORDER} GROUP BY ALL)
