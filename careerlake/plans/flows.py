@@ -37,7 +37,7 @@ def stream_frames(spark, sf_dir):
     frame = F.concat(F.lit(streams.PREFIX), "props", F.lit(streams.FRAME_END))
     at = (F.pmod("event_id", F.length(frame)) + 1).cast("int")
     cut = F.explode(F.array(F.struct((F.col("event_id") * 2).alias("seq"), F.substring(frame, F.lit(1), at).alias("chunk")), F.struct((F.col("event_id") * 2 + 1).alias("seq"), F.substring(frame, at + 1, F.length(frame)).alias("chunk"))))
-    chunks = events(spark, sf_dir).filter("props IS NOT NULL").select(F.col("user_id").alias("conn"), cut.alias("c")).select("conn", "c.*")
+    chunks = events(spark, sf_dir).filter("props IS NOT NULL").select(F.col("user_id").alias("conn"), "ts", cut.alias("c")).select("conn", "ts", "c.*")
     return streams.run(streams.frames(chunks)).drop("batch")
 
 

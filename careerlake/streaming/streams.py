@@ -1,7 +1,7 @@
 """Streams of events: once a day, latest by key, streak states, frames put together from chunks.
 
 Each takes a streaming DataFrame; run() drives one to its end and gives what it wrote. Event time is `ts`; a row more than LATE behind
-the newest one may be dropped by once_a_day(), the only one that forgets. States are a few numbers a key, and the text of an unended frame.
+the newest one may be dropped by once_a_day() and frames(), which alone forget. States are a few numbers a key, and the text of an unended frame.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from careerlake.sources.tables import shared, ship
 
 LATE = "1 day"
+#: After so long a connection counts as abandoned.
+IDLE = dt.timedelta(hours=1)
 FRAME_END, PREFIX = "\n\n", "data: "
 
 
@@ -107,20 +110,63 @@ def streaks(events: DataFrame, user: str = "user_id") -> DataFrame:
     return days.groupBy("user_id").applyInPandasWithState(step, out, "firsts array<int>, lasts array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
-def frames(chunks: DataFrame) -> DataFrame:
-    """Whole frames of (conn, seq, chunk): conn, frame_no, data, total (of `k` in the frames so far). What has no end yet waits for its rest."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, n, total = state.get if state.exists else ("", 0, 0)
-        rows = []
-        for chunk in pd.concat(list(parts)).sort_values("seq")["chunk"]:
-            *done, held = (held + chunk).split(FRAME_END)
-            for frame in done:
-                data = frame.removeprefix(PREFIX)
-                n, total = n + 1, total + int(json.loads(data).get("k", 0))
-                rows.append((key[0], n, data, total))
-        state.update((held, n, total))
-        yield pd.DataFrame(rows, columns=["conn", "frame_no", "data", "total"])
 
-    ship(chunks.sparkSession)
-    return chunks.groupBy("conn").applyInPandasWithState(step, "conn long, frame_no long, data string, total long", "held string, n long, total long", "append", GroupStateTimeout.NoTimeout)
+def frames(chunks: DataFrame, idle: dt.timedelta = IDLE, late: str = LATE) -> DataFrame:
+    """Whole frames of (conn, seq, ts, chunk): conn, frame_no, data, total (of `k` in the frames so far). What has no end yet waits for its rest.
+
+    A connection of which nothing newer than `idle` before the watermark (`late` behind the newest chunk) has come is closed by a timer: its
+    counts and what it holds of an unended frame are forgotten, and nothing is written of them. A chunk that comes after that begins a
+    connection anew, with frame 1. Chunks older than the watermark are passed over; empty and null chunks and those without a time or a number add nothing.
+    No connection is one as well. Pieces of an unended frame are a list in the state, which is added to and not written anew at each
+    chunk. The session's state store is set to RocksDB, which timers and lists need; states then lie on disk, not in the heap.
+    """
+    millis, end, prefix = int(idle.total_seconds() * 1000), FRAME_END, PREFIX
+
+    # made here, so that it is sent by value: the worker that asks it for its states has no library yet
+    class Frames(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.counts = handle.getValueState("counts", "n long, total long, seen long, tail string")
+            self.held = handle.getListState("held", "chunk string")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+            n, total, seen, tail = self.counts.get() if self.counts.exists() else (0, 0, None, "")
+            before, new, out = seen, [], []
+            for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+                seen = r.at if seen is None else max(seen, r.at)
+                new.append((r.chunk,))
+                if end not in tail + r.chunk:
+                    tail = (tail + r.chunk)[1 - len(end) :]
+                    continue
+                *done, tail = "".join(c for (c,) in [*self.held.get(), *new]).split(end)
+                self.held.clear()
+                for frame in done:
+                    data = frame.removeprefix(prefix)
+                    n, total = n + 1, total + int(json.loads(data).get("k", 0))
+                    out.append((key[0], n, data, total))
+                new = [(tail,)] if tail else []
+                tail = tail[1 - len(end) :]
+            if new:
+                self.held.appendList(new)
+            self.counts.update((n, total, seen, tail))
+            if seen != before:
+                if before is not None:
+                    self.handle.deleteTimer(before + millis)
+                self.handle.registerTimer(seen + millis)
+            yield pd.DataFrame(out, columns=["conn", "frame_no", "data", "total"])
+
+        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.counts.clear()
+            self.held.clear()
+            yield pd.DataFrame([], columns=["conn", "frame_no", "data", "total"])
+
+        def close(self) -> None:
+            pass
+
+    spark = ship(chunks.sparkSession)
+    if "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = chunks.withWatermark("ts", late).filter("chunk <> '' AND seq IS NOT NULL AND ts IS NOT NULL").select("conn", "seq", "ts", F.unix_millis("ts").alias("at"), "chunk")
+    return rows.groupBy("conn").transformWithStateInPandas(Frames(), "conn long, frame_no long, data string, total long", "append", "eventTime")

@@ -1,6 +1,7 @@
 """Streams in several batches against their batch twins, and what they do with late rows."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -84,13 +85,53 @@ def test_one_a_day(stream):
     assert sorted((r["user_id"], r["event_type"], r["day"].day) for r in out.collect()) == [(7, "a", 1), (7, "a", 2), (7, "b", 2)]
 
 
+CHUNKS = "conn long, seq long, ts timestamp, chunk string"
+
+
 def test_frames_across_batches(stream):
-    ddl = "conn long, seq long, chunk string"
-    batches = [[(1, 0, 'data: {"k": 1}\n'), (1, 1, '\ndata: {"k"'), (2, 0, 'data: {"k": 5}\n\n')], [(1, 2, ": 2}\n\nda")], [(1, 3, 'ta: {"k": 3}\n\n'), (2, 1, "data: {")]]
-    out = streams.run(streams.frames(stream(batches, ddl)))
+    batches = [[(1, 0, at(0), 'data: {"k": 1}\n'), (1, 1, at(0), '\ndata: {"k"'), (2, 0, at(0), 'data: {"k": 5}\n\n')], [(1, 2, at(0), ": 2}\n\nda")], [(1, 3, at(0), 'ta: {"k": 3}\n\n'), (2, 1, at(0), "data: {")]]
+    out = streams.run(streams.frames(stream(batches, CHUNKS)))
     assert sorted(map(tuple, out.drop("batch").collect())) == [(1, 1, '{"k": 1}', 1), (1, 2, '{"k": 2}', 3), (1, 3, '{"k": 3}', 6), (2, 1, '{"k": 5}', 5)]
 
 
+def test_odd_chunks(stream):
+    end = '{"k": 1}\n'
+    batches = [[(None, 0, at(0), "data: "), (None, 1, at(0), None), (None, 2, at(0), ""), (None, 3, at(0), end)], [(None, None, at(0), "x"), (None, 9, None, "y"), (None, 4, at(0), "\n")], [(None, 5, at(0), end + "\n" + end + "\n\n" * 0)]]
+    assert [tuple(r)[:4] for r in streams.run(streams.frames(stream(batches, CHUNKS))).orderBy("frame_no").collect()] == [(None, 1, '{"k": 1}', 1), (None, 2, '{"k": 1}', 2)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_frames_cut_anywhere(stream, seed):
+    r = random.Random(seed)
+    frames = {c: [{"k": r.randrange(9), "pad": "x" * r.randrange(20)} for _ in range(12)] for c in (1, 2)}
+    pieces = []
+    for c, whole in frames.items():
+        text, seq = "".join(f"data: {json.dumps(f)}\n\n" for f in whole), 0
+        while text:
+            n = r.randrange(1, 15)
+            pieces.append((c, seq, at(0, seq % 3), text[:n]))
+            text, seq = text[n:], seq + 1
+    pieces.sort(key=lambda p: p[1])
+    batches = [pieces[k : k + 30] for k in range(0, len(pieces), 30)]
+    for b in batches:
+        r.shuffle(b)
+    got = streams.run(streams.frames(stream(batches, CHUNKS))).orderBy("conn", "frame_no").collect()
+    want = [(c, i + 1, json.dumps(f), sum(g["k"] for g in whole[: i + 1])) for c, whole in frames.items() for i, f in enumerate(whole)]
+    assert [tuple(g)[:4] for g in got] == want
+
+
+def test_abandoned_connections_are_closed(spark, stream):
+    """Each day another connection speaks and never ends its frame: states stay as many as a watermark's span has, and connection 0 begins anew."""
+    open_ = [[(c, 0, at(3 * c), 'data: {"k": 1}\n\ndata: {"k"')] for c in range(6)]
+    last = [[(0, 1, at(18), 'data: {"k": 7}\n\n'), (5, 1, at(17), ": 4}\n\n")]]
+    path = f"{streams.shared(spark)}/open-{random.randrange(10**9)}"
+    query = streams.frames(stream(open_ + last, CHUNKS)).writeStream.outputMode("append").format("memory").queryName("open_frames").trigger(availableNow=True)
+    query.option("checkpointLocation", path).start().awaitTermination()
+    assert sorted(map(tuple, spark.table("open_frames").collect())) == [(0, 1, '{"k": 1}', 1), (0, 1, '{"k": 7}', 7)] + [(c, 1, '{"k": 1}', 1) for c in range(1, 6)] + [(5, 2, '{"k": 4}', 5)]
+    left = lambda var, **o: sorted(r["conn"] for r in spark.read.format("statestore").options(stateVarName=var, **o).load(path).select("key.conn").collect())
+    assert left("counts") == [0, 5] and left("held", flattenCollectionTypes="true") == []
+
+
 def test_two_columns_are_read_one_after_the_other(spark):
     left = [(1, 0, 50.0, 100.0 + 20 * k, f"L{k}") for k in range(5)]
     right = [(1, 0, 320.0, 100.0 + 20 * k, f"R{k}") for k in range(5)]
