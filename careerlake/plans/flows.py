@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from careerlake.operators import lines
-from careerlake.sources.tables import table
+from careerlake.sources.files import new_path
+from careerlake.sources.keyed import KeyedTable
+from careerlake.sources.tables import shared, table
 from careerlake.streaming import streams
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -26,6 +28,13 @@ def stream_latest(spark, sf_dir):
     return streams.newest(out, "user_id")
 
 
+def stream_change_feed(spark, sf_dir):
+    """The newest entry of each user and type, kept as a table; an error of a value under 2 deletes its entry."""
+    kept = KeyedTable(spark, new_path(shared(spark), "keyed"), EVENTS, ("user_id", "event_type"), ("ts", "event_id"))
+    gone = (F.col("event_type") == "error") & (F.col("value") < 2)
+    return streams.into(events(spark, sf_dir), kept, gone).read().select("user_id", "event_type", "event_id", "value")
+
+
 def stream_streaks(spark, sf_dir):
     """States of all days, the last written of each."""
     out = streams.newest(streams.run(streams.streaks(events(spark, sf_dir))), "user_id", "day")
@@ -125,6 +134,7 @@ LAYER = "layer AS (SELECT l_orderkey AS doc_id, sum(length(trim('  ' || l_return
 SQL = {
     "stream_dedupe": "SELECT DISTINCT user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events",
     "stream_latest": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "stream_change_feed": "SELECT user_id, event_type, event_id, value FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1) WHERE NOT coalesce(event_type = 'error' AND value < 2, false)",
     "stream_streaks": """WITH days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), g AS (SELECT *, day - lag(day) OVER (PARTITION BY user_id ORDER BY day) AS gap FROM days),
         r AS (SELECT *, sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY day) AS run FROM g), s AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY day) AS streak FROM r)
         SELECT user_id, CAST(day AS VARCHAR) AS day, streak, max(streak) OVER (PARTITION BY user_id ORDER BY day) AS longest, CASE WHEN gap > 1 THEN 'reset' ELSE 'incremented' END AS action, CASE WHEN streak IN (3, 7, 30) THEN streak END AS milestone FROM s""",

@@ -13,11 +13,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from careerlake.sources.keyed import KeyedTable
 from careerlake.sources.tables import shared, ship
 
 LATE = "1 day"
@@ -45,6 +46,17 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch long").parquet(f"{path}/out")
 
 
+def into(stream: DataFrame, kept: KeyedTable, gone: Column | None = None, merge_after: int = 20) -> KeyedTable:
+    """Takes the stream's rows into a table of the newest row of each key until no row is left; rows where `gone` holds delete their key.
+
+    Where the stream goes on is kept beside the table, so that a batch run again after a failure has its old number, which the table knows.
+    """
+    ship(stream.sparkSession)
+    query = stream.writeStream.option("checkpointLocation", f"{kept.path}/state").trigger(availableNow=True).foreachBatch(kept.taker(gone, merge_after)).start()
+    query.awaitTermination()
+    return kept
+
+
 def once_a_day(events: DataFrame, keys: list[str]) -> DataFrame:
     """The first row to arrive of each key and day."""
     day = F.to_date("ts").alias("day")
