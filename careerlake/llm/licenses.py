@@ -1,12 +1,11 @@
 """Licence phrases, and text blocks that contain a licence template, by an exact set-similarity join.
 
-A block is a line of a text, or lines in a row (blank ones aside) as far as they have no more than WIDE times the words of the longest
-template, as notices are wrapped; the latter are compared with templates of LONG distinct words or more, as any few words stand
-somewhere in so many. A template is found in a block if at least THRESHOLD of its distinct words stand in it. Only words of templates
-count towards that, so blocks are reduced to these words first. Words are ordered from rare to frequent over all blocks; a block that
-meets the threshold must have one of the first n - ceil(THRESHOLD * n) + 1 words of a template of n words (prefix filter), at least
-ceil(THRESHOLD * n) template words at all (length filter), and enough words left behind the first shared one (positional filter).
-Candidates are then compared exactly.
+A block is any run of words of a text, wherever lines end, of at most WIDE times the words of the template it is compared with. A template
+is found in a block if at least THRESHOLD of its distinct words stand in it. Only words of templates count towards that, so texts are
+reduced to these words and their places first. Words are ordered from rare to frequent over all texts; a block that meets the threshold
+has one of the first n - ceil(THRESHOLD * n) + 1 words of a template of n words (prefix filter), so only what stands around such a word
+is looked at, for blocks of which it is the rarest word shared. There must be ceil(THRESHOLD * n) words of the template within reach
+(length filter), none of them before it in the order (positional filter). Blocks of the candidates are then counted exactly.
 
 DataFrame functions only. A null text counts as empty: no words, no labels, score 0. Words of equal frequency are ordered by
 themselves; that changes no result. A very long text is one row, in time and memory in proportion to its length. Repeated rows and
@@ -41,8 +40,10 @@ TEMPLATES = {
     "mit-short": "released under the mit license",
     "reserved": "all rights reserved no part may be reproduced without written permission",
 }
-#: Words of joined lines, as a multiple of those of the longest template; distinct words of templates that are looked for in them.
-WIDE, LONG = 1.5, 12
+#: Words of a block, as a multiple of those of the template.
+WIDE = 1.5
+#: Words of templates in a row that are looked through at a time, besides what they overlap.
+STEP = 256
 #: Rows of the templates' index that are broadcast; more are joined by shuffles.
 INDEX = 100_000
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -67,23 +68,33 @@ def places(words: Column, phrase: str) -> Column:
     return F.when(F.contains(words, F.lit(f" {phrase} ")), found[0])
 
 
-def blocks_of(lower: Column, known: Column, most: int, least: int) -> Column:
-    """Blocks of a text as (wide, tokens): each line with its words of known, and the lines from each on that have `most` words at most, if more than one and at least `least` tokens."""
-    each = F.transform(F.transform(F.split(lower, "\n"), normal), lambda s: F.struct(F.array_intersect(F.split(s, " "), known).alias("tokens"), (blanks(s) - 1).alias("n")))
+def pieces(known: Column, reach: int, least: int) -> Column:
+    """known (place, word) in pieces of STEP, each as the words that are its own and these with `reach` more on both sides, if `least` of them are distinct."""
+    begins = F.when(F.size(known) > 0, F.sequence(F.lit(1), F.size(known), F.lit(STEP)))
 
-    def fitting(run: Column) -> Column:
-        """How many of the lines in run, from the first on, have `most` words together."""
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"))
-        return F.aggregate(run, start, lambda a, x: F.when(a["n"] + x["n"] <= most, F.struct((a["n"] + x["n"]).alias("n"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.lit(most + 1).alias("n"), a["k"].alias("k"))), lambda a: a["k"])
+    def piece(b: Column) -> Column:
+        low = F.greatest(F.lit(1), b - reach)
+        return F.struct(F.slice(known, b, STEP).alias("own"), F.slice(known, low, b + STEP + reach - low).alias("wide"))
 
-    def both(lines: Column) -> Column:
-        narrow = F.transform(lines, lambda x: F.struct(F.lit(False).alias("wide"), x["tokens"].alias("tokens")))
-        runs = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.slice(lines, i, most))
-        tokens = F.transform(runs, lambda r: F.transform(F.array(fitting(r)), lambda k: F.when(k > 1, F.array_distinct(F.flatten(F.transform(F.slice(r, 1, k), lambda x: x["tokens"])))))[0])
-        wide = F.transform(F.filter(tokens, lambda t: F.size(t) >= least), lambda t: F.struct(F.lit(True).alias("wide"), t.alias("tokens")))
-        return F.when(F.size(lines) > 1, F.concat(narrow, wide)).otherwise(narrow)
+    return F.filter(F.transform(begins, piece), lambda p: F.size(F.array_distinct(F.transform(p["wide"], lambda y: y["word"]))) >= least)
 
-    return F.transform(F.array(F.filter(each, lambda x: x["n"] > 0)), both)[0]
+
+def around(own: Column, wide: Column, anchors: list[str], reach: int, least: int) -> Column:
+    """For each of the words of `anchors` in own: its place, itself, and what of wide is less than `reach` words away, if `least` distinct words are."""
+
+    def near(x: Column) -> Column:
+        return F.filter(wide, lambda y: F.abs(y["place"] - x["place"]) < reach)
+
+    # tested first, so that no more is held than is wanted
+    spots = F.filter(own, lambda x: x["word"].isin(anchors) & (F.size(F.array_distinct(F.transform(near(x), lambda y: y["word"]))) >= least))
+    return F.transform(spots, lambda x: F.struct(x["place"].alias("at"), x["word"].alias("token"), near(x).alias("near")))
+
+
+def fullest(near: Column, at: Column, width: Column) -> Column:
+    """Most distinct words of near in any block of `width` words that holds place `at`; blocks begin at one of near."""
+    starts = F.filter(near, lambda s: (s["place"] <= at) & (s["place"] > at - width))
+    count = lambda s: F.size(F.array_distinct(F.transform(F.filter(near, lambda x: (x["place"] >= s["place"]) & (x["place"] < s["place"] + width)), lambda x: x["word"])))
+    return F.array_max(F.transform(starts, count))
 
 
 def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -95,9 +106,7 @@ def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, thr
     sets = {label: sorted(set(words.split())) for label, words in texts.items()}
     vocabulary = sorted({w for s in sets.values() for w in s})
     need = {label: math.ceil(round(threshold * len(s), 9)) for label, s in sets.items()}
-    known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    most = math.ceil(WIDE * max((len(words.split()) for words in texts.values()), default=0))
-    least, least_wide = min(need.values(), default=1), min((need[label] for label, s in sets.items() if len(s) >= LONG), default=len(vocabulary) + 1)
+    width = {label: math.ceil(WIDE * len(words.split())) for label, words in texts.items()}
 
     lower = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     words = normal(F.col("__lower"))
@@ -117,42 +126,35 @@ def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, thr
             (blanks(F.col("__words")) - 1).cast("long").alias("n_words"),
             found.alias("found"),
             F.array_sort(F.filter(F.array(*(F.when(p.isNotNull(), F.lit(label)) for p, label in zip(by_phrase, PHRASES.values()))), lambda x: x.isNotNull())).alias("base"),
-            blocks_of(F.col("__lower"), known, most, least_wide).alias("blocks"),
+            F.filter(F.transform(F.split(F.col("__words"), " "), lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda x: x["word"].isin(vocabulary)).alias("known"),
         )
     )
     base = cut(base)
 
-    # blocks too short for any template matter only for the frequencies
-    blocks = base.select("row", F.posexplode("blocks").alias("block", "b")).select("row", "block", "b.*")
-    frequency = blocks.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    frequency = base.select(F.explode("known.word").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # at most a row for each word of the templates
     ranked = {r["word"]: i for i, r in enumerate(frequency.orderBy("n", "word").collect())}
-    order = sorted(vocabulary, key=lambda w: (ranked.get(w, -1), w))
-    rank = {w: i for i, w in enumerate(order)}
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (ranked.get(w, -1), w)))}
     prefixes = []
     for label, s in sets.items():
         ordered = sorted(s, key=rank.__getitem__)
         for place, w in enumerate(ordered[: len(s) - need[label] + 1]):
-            prefixes.append((rank[w], label, place, [rank[x] for x in ordered], need[label], len(s)))
+            prefixes.append((w, label, ordered[place:], need[label], len(s), width[label]))
     spark = docs.sparkSession
-    index = spark.createDataFrame(prefixes, "token int, label string, place int, template array<int>, need int, size int")
+    index = spark.createDataFrame(prefixes, "token string, label string, rest array<string>, need int, size int, width int")
     index = F.broadcast(index) if len(prefixes) <= INDEX else index
-    ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair)) if rank else F.create_map().cast("map<string,int>")
-
-    long_enough = blocks.filter(F.size("tokens") >= least)
-    ordered = long_enough.select("row", "block", "wide", F.array_sort(F.transform("tokens", lambda w: F.element_at(ranks, w))).alias("tokens"))
-    probes = ordered.select("row", "wide", "tokens", F.posexplode("tokens").alias("at", "token"))
-    near = probes.join(index, "token").filter(
-        (~F.col("wide") | (F.col("size") >= LONG))
-        & (F.size("tokens") >= F.col("need"))
-        & (1 + F.least(F.size("tokens") - 1 - F.col("at"), F.col("size") - 1 - F.col("place")) >= F.col("need"))  # no earlier word is shared below
-        & (F.element_at(F.array_intersect("tokens", "template"), 1) == F.col("token"))
-    )
-    shared = F.size(F.array_intersect("tokens", "template"))
-    hits = near.filter(shared >= F.col("need")).select("row", "label", (shared / F.col("size")).alias("share"))
+
+    anchors, reach, least = sorted({p[0] for p in prefixes}), max(width.values(), default=1), min(need.values(), default=1)
+    parts = base.select("row", F.explode(pieces(F.col("known"), reach, least)).alias("p"))
+    probes = parts.select("row", F.explode(around(F.col("p.own"), F.col("p.wide"), anchors, reach, least)).alias("r")).select("row", "r.*")
+    near = F.filter("near", lambda x: (F.abs(x["place"] - F.col("at")) < F.col("width")) & F.array_contains("rest", x["word"]))
+    close = probes.join(index, "token").select("row", "label", "need", "size", "width", "at", near.alias("near"))
+    close = close.filter(F.size(F.array_distinct("near.word")) >= F.col("need"))
+    shared = fullest(F.col("near"), F.col("at"), F.col("width"))
+    hits = close.select("row", "label", "need", "size", shared.alias("shared")).filter("shared >= need").select("row", "label", (F.col("shared") / F.col("size")).alias("share"))
     by_row = hits.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))  # at most a label for each template
 
-    joined = base.drop("blocks").join(by_row, "row", "left")
+    joined = base.drop("known").join(by_row, "row", "left")
     n = F.col("found.n")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return joined.select(
@@ -172,27 +174,22 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same by comparing every block with every template."""
+    """The same by comparing every block that begins with a word of a template with it."""
     no_word = NO_WORD.replace("\\\\", "\\")
     places_ = " UNION ALL ".join(
         f"""SELECT row, '{label}' AS label, i - 1 AS spot FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE contains(text, '{phrase.split()[-1]}'))
         WHERE {' AND '.join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))}"""
         for phrase, label in PHRASES.items()
     )
-    rows = ", ".join(f"('{label}', {sorted(set(t.split()))}, {math.ceil(round(THRESHOLD * len(set(t.split())), 9))})" for label, t in TEMPLATES.items())
-    most = math.ceil(WIDE * max(len(t.split()) for t in TEMPLATES.values()))
+    rows = ", ".join(f"('{label}', {sorted(set(t.split()))}, {math.ceil(round(THRESHOLD * len(set(t.split())), 9))}, {math.ceil(WIDE * len(t.split()))})" for label, t in TEMPLATES.items())
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 words AS (SELECT row, doc_id, text, list_filter(regexp_split_to_array(text, '{no_word}'), lambda x: x <> '') AS w FROM docs),
 places AS ({places_}),
 base AS (SELECT row, count(*) AS n, min(spot) AS a, max(spot) AS b, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY row),
-templates(label, t, need) AS (VALUES {rows}),
-split AS (SELECT row, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM docs),
-lines AS (SELECT row, place, list_filter(regexp_split_to_array(line, '{no_word}'), lambda x: x <> '') AS w FROM split),
-counted AS (SELECT *, len(w) AS n, row_number() OVER (PARTITION BY row ORDER BY place) AS i, sum(len(w)) OVER (PARTITION BY row ORDER BY place) AS upto FROM lines WHERE len(w) > 0),
-wide AS (SELECT a.row, list_distinct(flatten(list(b.w))) AS w FROM counted a JOIN counted b ON a.row = b.row AND b.i >= a.i AND b.upto - a.upto + a.n <= {most} GROUP BY a.row, a.i HAVING count(*) > 1),
-blocks AS (SELECT row, false AS wide, list_distinct(w) AS w FROM counted UNION ALL SELECT row, true, w FROM wide),
-hits AS (SELECT row, label, len(list_intersect(w, t)) / len(t) AS share FROM blocks, templates WHERE (NOT wide OR len(t) >= {LONG}) AND len(w) >= need AND len(list_intersect(w, t)) >= need),
+templates(label, t, need, width) AS (VALUES {rows}),
+starts AS (SELECT row, label, t, need, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(t, w[i]))) AS i, width FROM words, templates WHERE len(list_intersect(w, t)) >= need),
+hits AS (SELECT row, label, n / len(t) AS share FROM (SELECT row, label, t, need, len(list_intersect(w[i:i + width - 1], t)) AS n FROM starts JOIN words USING (row)) WHERE n >= need),
 more AS (SELECT row, list(DISTINCT label) AS labels, max(share) AS share FROM hits GROUP BY row)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,

@@ -239,21 +239,13 @@ def plain_license(text):
         at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
         spots += at
         base |= {label} if at else set()
-    lines = [w for line in low.split("\n") if (w := re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))]
-    most = math.ceil(licenses.WIDE * max(len(t.split()) for t in licenses.TEMPLATES.values()))
-    blocks = [(False, w) for w in lines]
-    for i in range(len(lines)):
-        k = i
-        while k < len(lines) and sum(map(len, lines[i : k + 1])) <= most:
-            k += 1
-        if k > i + 1:
-            blocks.append((True, [w for line in lines[i:k] for w in line]))
-    for wide, have in blocks:
-        for label, t in licenses.TEMPLATES.items():
-            t, have = set(t.split()), set(have)
-            if (not wide or len(t) >= licenses.LONG) and len(t & have) >= licenses.THRESHOLD * len(t) - 1e-9:
+    for label, t in licenses.TEMPLATES.items():
+        width, t = math.ceil(licenses.WIDE * len(t.split())), set(t.split())
+        for i in range(len(words)):
+            n = len(t & set(words[i : i + width]))
+            if n >= licenses.THRESHOLD * len(t) - 1e-9:
                 more.add(label)
-                share = max(share, len(t & have) / len(t))
+                share = max(share, n / len(t))
     return len(words), len(spots), min(spots, default=None), max(spots, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if spots else share
 
 
@@ -265,7 +257,8 @@ def test_license_rows(spark, odd_rows, none):
         kept = [w for w in t if r.random() < 0.9]
         r.shuffle(kept)
         wrapped = "; ".join(kept) if k % 2 else "".join(w + r.choice([" ", " ", " ", ",\n", "\n\n * "]) for w in kept)
-        rows.append((1000 + k, " ".join(r.choices(["mit", "license", "cc", "by", "apache", "x"], k=12)) + "\n" + wrapped))
+        before = r.choices(["mit", "license", "cc", "by", "apache", "x", "the", "software", "rights", "released"], k=r.choice([12, 300]))
+        rows.append((1000 + k, " ".join(before) + r.choice(["\n", " "]) + wrapped + " " + " ".join(r.choices(["under", "gnu", "x"], k=20))))
     got = by_row(licenses.license_blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     assert got == sorted(((i, *plain_license(t or "")) for i, t in rows), key=repr)
     assert licenses.license_blocks(none).count() == 0
@@ -287,6 +280,13 @@ def test_wrapped_notices_are_found(spark):
     assert by_row(licenses.license_blocks(docs), "doc_id", "labels") == [(1, "mit-notice"), (2, "bsd-notice"), (3, "")]
 
 
+def test_blocks_begin_and_end_within_lines(spark):
+    mit, reserved = licenses.TEMPLATES["mit-notice"].split(), "All rights reserved. No part may be\nreproduced without written permission."
+    late = " ".join(f"w{i}" for i in range(200)) + " " + " ".join(mit[:30]) + "\n" + " ".join(mit[30:])
+    docs = spark.createDataFrame([(1, reserved), (2, late), (3, late + " and more words\n\n" + reserved), (4, "the software is free " * 300)], "doc_id long, text string")
+    assert by_row(licenses.license_blocks(docs), "doc_id", "labels", "score") == [(1, "reserved", 1.0), (2, "mit-notice", 1.0), (3, "mit-notice,reserved", 1.0), (4, "", 0.0)]
+
+
 def test_many_places_take_time_in_proportion(spark):
     docs = spark.createDataFrame([(1, "x mit license " * 200_000), (2, "gnu general public license, cc by")], "doc_id long, text string")
     began = time.time()
