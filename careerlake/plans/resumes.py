@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from careerlake.functions import dims
 from careerlake.functions.text import percent, total
-from careerlake.operators import guard, match, structure
+from careerlake.operators import evidence, guard, match, structure
 from careerlake.operators.lines import lines
 from careerlake.plans import reports
 from careerlake.plans.documents import LINES, docs_of
@@ -165,11 +165,22 @@ def parser_agreement(spark, sf_dir):
 def evidence_search(spark, sf_dir):
     """For each skill the first four parts that mention it."""
     skills = spark.createDataFrame([(s,) for s in ("ring", "bolt", "red", "zzz")], "skill string")
-    part = table(spark, sf_dir, "part").filter("p_size > 5").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("said"))
-    found = part.join(F.broadcast(skills), F.contains("said", F.col("skill")))  # four skills
-    w = Window.partitionBy("skill").orderBy("p_partkey")
-    top = found.withColumn("n", F.row_number().over(w)).filter("n <= 4").groupBy("skill").agg(F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("parts"))
-    return skills.join(top, "skill", "left")
+    part = table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("place"), evidence.said(F.col("p_name"), F.col("p_type")).alias("said"))
+    return evidence.evidence(part, skills).select("skill", F.when(F.size("names") > 0, F.array_join("names", ",")).alias("parts"))
+
+
+def evidence_terms(spark, sf_dir):
+    """For each two words in a row of the benchmark the first four turns that have them, and whether any has."""
+    split = F.split(F.lower("text"), " ")
+    two = F.transform(F.sequence(F.lit(1), F.size(split) - 1), lambda i: F.array_join(F.slice(split, i, 2), " "))
+    skills = table(spark, sf_dir, "benchmark").filter(F.size(split) > 1).select(F.explode(two).alias("skill"))
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("place"), evidence.said(F.col("role"), F.col("text")).alias("said"))
+    return evidence.evidence(turns, skills).select("skill", F.array_join("names", ",").alias("turns"), (F.size("names") > 0).alias("shown"))
+
+
+def evidence_languages(spark, sf_dir):
+    """Documents of each language; the empty one isn't one."""
+    return evidence.languages(table(spark, sf_dir, "documents").select("lang"), "lang")
 
 
 def keyword_highlight(spark, sf_dir):
@@ -298,6 +309,11 @@ SQL = {
           list_distinct(string_split(lower(concat(replace(c_name, '#', ' '), ' ', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'NONE' END)), ' ')) AS b FROM customer), r AS (SELECT *, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 2) AS rate FROM c)
         SELECT c_custkey, same AS name_agrees, rate AS set_agrees, round((same::INT + rate) / 2, 2) AS overall FROM r""",
     "evidence_search": "SELECT skill, parts FROM (VALUES ('ring'), ('bolt'), ('red'), ('zzz')) s(skill) LEFT JOIN (SELECT skill, array_to_string(list(p_partkey ORDER BY p_partkey), ',') AS parts FROM (SELECT skill, p_partkey FROM part, (VALUES ('ring'), ('bolt'), ('red'), ('zzz')) s(skill) WHERE p_size > 5 AND contains(lower(concat(p_name, ' ', p_type)), skill) QUALIFY row_number() OVER (PARTITION BY skill ORDER BY p_partkey) <= 4) GROUP BY skill) USING (skill)",
+    "evidence_terms": """WITH w AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark), s AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS skill FROM w),
+        t AS (SELECT concat_ws('-', conv_id, turn) AS id, conv_id, lower(concat_ws(' ', nullif(role, ''), nullif(text, ''))) AS said FROM conversations),
+        h AS (SELECT skill, id, row_number() OVER (PARTITION BY skill ORDER BY conv_id, id) AS n FROM s JOIN t ON contains(said, skill)),
+        k AS (SELECT skill, string_agg(id, ',' ORDER BY n) AS turns FROM h WHERE n <= 4 GROUP BY skill) SELECT skill, coalesce(turns, '') AS turns, turns IS NOT NULL AS shown FROM s LEFT JOIN k USING (skill)""",
+    "evidence_languages": "SELECT lang AS language, count(*) AS n FROM documents WHERE lang <> '' GROUP BY lang",
     "posting_title": f"SELECT p_partkey, {reports.wanted_title('t')} AS title FROM (SELECT p_partkey, {POSTED} AS t FROM part)",
     "line_change_stats": f"""WITH {TURNS}, l AS (SELECT conv_id, turn, {LINESET.format('before')} AS a, {LINESET.format('after')} AS b FROM v), c AS (SELECT *, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS n FROM l)
         SELECT conv_id, turn, CAST(n AS BIGINT) AS changed, CAST(len(b) AS BIGINT) AS total, CASE WHEN len(b) > 0 THEN CAST(floor(100.0 * n / len(b) + 0.5) AS BIGINT) ELSE 0 END AS pct FROM c""",
