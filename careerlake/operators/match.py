@@ -158,6 +158,19 @@ def same(a: Column, b: Column) -> Column:
     return F.coalesce(F.lower(F.trim(a)) == F.lower(F.trim(b)), F.lit(False))
 
 
+def set_agreement(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays to two decimals: values but for case and blanks around, null and empty ones aside; 1 where neither has any."""
+    plain = lambda x: F.array_distinct(F.transform(F.filter(F.coalesce(x, F.array().cast("array<string>")), lambda v: v != ""), lambda v: F.lower(F.trim(v))))
+    return F.round(jaccard(plain(a), plain(b), 1.0), 2)
+
+
+def agreement(scalars: dict[str, tuple[Column, Column]], sets: dict[str, tuple[Column, Column]]) -> dict[str, Column]:
+    """By field whether two readings agree, or how far; overall, the mean of all to two decimals."""
+    each = {n: same(*pair) for n, pair in scalars.items()} | {n: set_agreement(*pair) for n, pair in sets.items()}
+    mean = sum((c.cast("double") for c in each.values()), F.lit(0.0)) / len(each)
+    return each | {"overall": F.round(mean, 2)}
+
+
 def highlights(text: Column, terms: tuple[str, ...]) -> Column:
     """How often the terms stand in a text as whole words, the longest first."""
     pattern = "|".join(quoted(t) for t in sorted(terms, key=lambda t: (-len(t), t)))

@@ -162,6 +162,21 @@ def parser_agreement(spark, sf_dir):
     return c.select("c_custkey", scalar.alias("name_agrees"), rate.alias("set_agrees"), F.round((scalar.cast("double") + rate) / 2, 2).alias("overall"))
 
 
+#: Two readings of each order: the second lacks, changes or respells fields by the order's number.
+READINGS = """SELECT o_orderkey, concat('Buyer ', o_custkey) AS name, concat('b', o_custkey, '@x.org') AS email, CASE WHEN o_orderkey % 9 > 0 THEN concat('+1 ', o_custkey) END AS phone,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat(' BUYER ', o_custkey, ' ') WHEN o_orderkey % 3 = 1 THEN concat('Buyer ', o_custkey) END AS name2, concat('B', o_custkey + CAST(o_orderkey % 4 = 0 AS INT), '@X.org') AS email2, CASE WHEN o_orderkey % 9 > 1 THEN concat('+1 ', o_custkey) END AS phone2,
+  {a} o_orderpriority, o_orderstatus, '', 'Spark'{z} AS skills, {a} upper(o_orderpriority), ' spark ', CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END{z} AS skills2, {a} concat('t', o_orderkey % 5), concat('t', o_custkey % 5){z} AS titles, {a} concat('T', o_orderkey % 3), CAST(NULL AS {s}){z} AS titles2,
+  {a} CASE WHEN o_orderkey % 4 > 0 THEN 'Acme' END{z} AS companies, {a} CASE WHEN o_orderkey % 4 > 1 THEN 'acme' END, CASE WHEN o_orderkey % 4 = 3 THEN 'Other' END{z} AS companies2 FROM orders"""
+
+
+def six_field_agreement(spark, sf_dir):
+    """How far two readings agree in name, email, phone, skills, titles and companies, and over all six."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    pair = lambda *names: {n: (F.col(n), F.col(f"{n}2")) for n in names}
+    agreed = match.agreement(pair("name", "email", "phone"), pair("skills", "titles", "companies"))
+    return spark.sql(READINGS.format(a="array(", z=")", s="STRING")).select("o_orderkey", *(c.alias(f"{n}_agreement") for n, c in agreed.items()))
+
+
 def evidence_search(spark, sf_dir):
     """For each skill the first four parts that mention it."""
     skills = spark.createDataFrame([(s,) for s in ("ring", "bolt", "red", "zzz")], "skill string")
@@ -309,6 +324,10 @@ SQL = {
           list_distinct(string_split(lower(concat(replace(c_name, '#', ' '), ' ', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'NONE' END)), ' ')) AS b FROM customer), r AS (SELECT *, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 2) AS rate FROM c)
         SELECT c_custkey, same AS name_agrees, rate AS set_agrees, round((same::INT + rate) / 2, 2) AS overall FROM r""",
     "evidence_search": "SELECT skill, parts FROM (VALUES ('ring'), ('bolt'), ('red'), ('zzz')) s(skill) LEFT JOIN (SELECT skill, array_to_string(list(p_partkey ORDER BY p_partkey), ',') AS parts FROM (SELECT skill, p_partkey FROM part, (VALUES ('ring'), ('bolt'), ('red'), ('zzz')) s(skill) WHERE p_size > 5 AND contains(lower(concat(p_name, ' ', p_type)), skill) QUALIFY row_number() OVER (PARTITION BY skill ORDER BY p_partkey) <= 4) GROUP BY skill) USING (skill)",
+    "six_field_agreement": f"""WITH r AS ({READINGS.format(a='[', z=']', s='VARCHAR')}), p AS (SELECT *, {', '.join(f"list_distinct(list_transform(list_filter({n}, lambda v: v <> ''), lambda v: lower(trim(v)))) AS {n}_" for n in ('skills', 'skills2', 'titles', 'titles2', 'companies', 'companies2'))} FROM r),
+        j AS (SELECT o_orderkey, {', '.join(f"coalesce(lower(trim({n})) = lower(trim({n}2)), false) AS {n}_agreement" for n in ('name', 'email', 'phone'))},
+          {', '.join(f"CASE WHEN len({n}_) + len({n}2_) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect({n}_, {n}2_)) / len(list_distinct(list_concat({n}_, {n}2_))), 2) END AS {n}_agreement" for n in ('skills', 'titles', 'companies'))} FROM p)
+        SELECT *, round((name_agreement::INT + email_agreement::INT + phone_agreement::INT + skills_agreement + titles_agreement + companies_agreement) / 6, 2) AS overall_agreement FROM j""",
     "evidence_terms": """WITH w AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark), s AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS skill FROM w),
         t AS (SELECT concat_ws('-', conv_id, turn) AS id, conv_id, lower(concat_ws(' ', nullif(role, ''), nullif(text, ''))) AS said FROM conversations),
         h AS (SELECT skill, id, row_number() OVER (PARTITION BY skill ORDER BY conv_id, id) AS n FROM s JOIN t ON contains(said, skill)),
