@@ -2,19 +2,24 @@
 
 Two strings of n and m letters score 200 * lcs / (n + m), so at a threshold they are d = (1 - threshold / 100) * (n + m) insertions and
 deletions apart at most. Cut a name into d + 1 segments: one of them is untouched by d edits, and stands in the run at most d letters
-off its place. Only runs that hold such a segment are compared. In a row of text the index is a map by length, so nothing is joined; for
-names by the thousand it is a table, joined by segment, length and place.
+off its place. Only runs that hold such a segment are compared. In an array of runs the index is a map by length, so nothing is joined; for names by the
+thousand it is a table, joined by segment, length and place. In whole texts runs aren't made at all until sums over their words say that
+they may be near; see near_in().
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careerlake.conf import DEFAULT, Conf
 from careerlake.functions.text import sql_string
+from careerlake.sources.tables import ship
 
 #: Letters of a name that a bit vector of 64 bits takes; longer names are compared a row of the table at a time.
 BITS = 62
@@ -120,6 +125,111 @@ def near_names(runs: Column, names: list[str], conf: Conf = DEFAULT) -> Column:
     return found
 
 
+#: Different words whose subsequences a task remembers at a time, and words of a text that are looked at together.
+WORDS, AT_ONCE = 100_000, 20_000
+FOUND = pa.list_(pa.struct([("i", pa.int32()), ("word", pa.string()), ("score", pa.float64())]))
+
+
+class Margins:
+    """How near each word of a text may bring a run to each name: 200 * lcs - at * letters, which add up over the words of a run to a bound.
+
+    The common subsequence of a run and a name is at most the sum of those of its words, and a blank between two words. All names lie in
+    one bit vector, each with a bit above it that takes its carry.
+    """
+
+    def __init__(self, names: list[str], at: int, most: int, but_equal: bool):
+        keys = [sorted_name(n) for n in names]
+        self.at, self.most, self.n = at, most, [len(k) for k in keys]
+        self.own = [n.lower() if but_equal else None for n in names]
+        starts = np.cumsum([0, *(n + 1 for n in self.n)])
+        self.all, self.bits = 0, int(starts[-1])
+        self.places: dict[str, int] = {}
+        for key, start in zip(keys, starts.tolist()):
+            self.all |= ((1 << len(key)) - 1) << start
+            for c, bits in masks(key).items():
+                self.places[c] = self.places.get(c, 0) | bits << start
+        self.starts, self.longest = starts[:-1], max(lengths(max(self.n), at))
+        n, blanks = np.array(self.n), np.array([k.count(" ") for k in keys])
+        self.least = [(at * (n + k) - 200 * np.minimum(k, blanks)).astype(np.int32) for k in range(most)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.margins = np.zeros((0, len(self.n)), np.int32)
+
+    def common(self, words: list[str]) -> np.ndarray:
+        """Lengths of the longest common subsequences of words and names."""
+        left = []
+        for w in words:
+            v = self.all
+            for c in w:
+                hit = v & self.places.get(c, 0)
+                v = ((v + hit) | (v - hit)) & self.all
+            left.append(v.to_bytes(self.bits // 8 + 1, "little"))
+        bits = np.unpackbits(np.frombuffer(b"".join(left), np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+        return np.array(self.n) - np.add.reduceat(bits[:, : self.bits], self.starts, axis=1, dtype=np.int32)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Margins of the words, a row each; those of words longer than any near run are out of reach."""
+        if len(self.known) > WORDS:
+            self.forget()
+        new = list({w for w in words if w not in self.known})
+        if new:
+            spelt = [w.decode() for w in new]
+            fit = [len(w) <= self.longest for w in spelt]
+            made = np.full((len(new), len(self.n)), -1_000_000, np.int32)
+            if any(fit):
+                short = [w for w, ok in zip(spelt, fit) if ok]
+                made[np.array(fit)] = 200 * self.common(short) - self.at * np.array([len(w) for w in short])[:, None]
+            first = len(self.known)
+            self.known.update(zip(new, range(first, first + len(new))))
+            # doubled when full, so that rows aren't copied at each text
+            if first + len(new) > len(self.margins):
+                self.margins = np.concatenate([self.margins[:first], made, np.zeros_like(self.margins)])
+            else:
+                self.margins[first : first + len(new)] = made
+        return self.margins[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+
+    def near(self, text: bytes) -> list[dict]:
+        """Of each name that a run of words is near the nearest run, then the smallest."""
+        words, runs = text.split(), set()
+        for start in range(0, len(words), AT_ONCE):
+            some = words[start : start + AT_ONCE + self.most - 1]
+            margin = self.of(some)
+            added = margin
+            for k in range(min(self.most, len(some))):
+                added = margin if k == 0 else added[:-1] + margin[k:]
+                runs |= {tuple(some[i : i + k + 1]) for i in np.flatnonzero((added >= self.least[k]).any(axis=1))}
+        best: dict[int, tuple[float, str]] = {}
+        if runs:
+            spelt = [(b" ".join(r).decode(), b" ".join(sorted(r)).decode()) for r in runs]
+            for (run, key), row in zip(spelt, self.common([key for _, key in spelt]).tolist()):
+                for i, lcs in enumerate(row):
+                    score = 200.0 * lcs / (self.n[i] + len(key))
+                    if score >= self.at and run != self.own[i]:
+                        best[i] = min(best.get(i, (0.0, "")), (-score, run))
+        return [{"i": i, "word": word, "score": -lost} for i, (lost, word) in sorted(best.items())]
+
+
+def near_in(text: Column, names: list[str], conf: Conf = DEFAULT, most: int = 3, but_equal: bool = False) -> Column:
+    """near_names() of the runs of one to `most` words of a text in any case; but_equal: a run that is the name itself doesn't count.
+
+    A text is read once, in batches of rows; only runs whose words' margins allow it are put together and compared.
+    """
+    at = checked(conf)
+    if not names or any(not n.split() for n in names):
+        raise ValueError("names of a letter or more")
+    ship(SparkSession.active())
+
+    @F.arrow_udf("array<struct<i: int, word: string, score: double>>")
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        margins = Margins(names, at, most, but_equal)
+        for some in texts:
+            yield pa.array([margins.near(t.as_py()) for t in some], FOUND)
+
+    return found(F.lower(F.coalesce(text, F.lit(""))).cast("binary"))
+
+
 def join_names(runs: DataFrame, names: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
     """word, name, score of distinct runs (column word) near a name (column name), for names by the thousand: the index is joined by segment, length and place.
 

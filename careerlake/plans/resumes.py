@@ -138,9 +138,7 @@ NAMES = (*dims.SKILLS, "thingtion", "andering", "theresion")
 
 def fuzzy_skill_match(spark, sf_dir):
     """Runs of words near the name of a skill, or of one that the texts at hand come near to."""
-    names = spark.createDataFrame([(n.lower(),) for n in NAMES], "name string")
-    each = docs_of(spark, sf_dir).select("doc_id", F.explode(match.candidates(F.col("text"))).alias("word"))
-    return match.fuzzy(each, names)
+    return match.fuzzy_in(docs_of(spark, sf_dir), [n.lower() for n in NAMES])
 
 
 def title_jaccard(spark, sf_dir):

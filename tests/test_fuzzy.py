@@ -1,6 +1,8 @@
 """Near matches of names against brute force."""
 
+import functools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +84,42 @@ def test_names_too_long_for_a_row_and_low_thresholds_are_refused(spark):
         fuzzy.near_names(F.array(), ["x" * 63])
     with pytest.raises(ValueError):
         fuzzy.near_names(F.array(), ["git"], Conf(fuzzy_at=60))
+
+
+@pytest.mark.parametrize("at", [75, 85, 100])
+def test_runs_near_in_a_whole_text_are_those_of_brute_force(spark, at):
+    r = random.Random(at + 1)
+    names = [*dims.SKILLS, "naïve bayes", "x" * 70 + " long name of more letters than bits"]
+    odd = ["", None, "a", " git\t\nGIT  gits", "modeling\x0bfinancial", "naive bayes naïve bayes", "x" * 69 + "y long name", "y" * 300 + " pythn", " ".join(names)]
+    texts = [r.choice([" ", "  ", "\n"]).join(altered(r, r.choice(names)) for _ in range(r.randint(1, 6))) for _ in range(30)] + odd
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    got = df.select("k", fuzzy.near_in(F.col("t"), names, Conf(fuzzy_at=at)).alias("all"), fuzzy.near_in(F.col("t"), names, Conf(fuzzy_at=at), but_equal=True).alias("other")).collect()
+    key = lambda x: " ".join(sorted(x.split(" ")))
+    score = functools.cache(lambda a, b: 200 * plain_lcs(key(a), key(b)) / (len(a) + len(b)))
+    for k, *found in got:
+        words = [w for w in re.split("[ \t\n\x0b\f\r]+", (texts[k] or "").lower()) if w]
+        runs = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+        for of, but in zip(found, (False, True)):
+            want = {}
+            for i, name in enumerate(names):
+                best = min(((-score(c, name.lower()), c) for c in runs if not (but and c == name.lower())), default=(0, ""))
+                if -best[0] >= at:
+                    want[i] = (best[1], round(-best[0], 9))
+            assert {x["i"]: (x["word"], round(x["score"], 9)) for x in of} == want, texts[k]
+
+
+def test_texts_are_looked_at_in_pieces_and_words_forgotten(spark, monkeypatch):
+    whole = fuzzy.Margins(list(dims.SKILLS), 85, 3, False)
+    r = random.Random(5)
+    texts = [" ".join(altered(r, r.choice(list(dims.SKILLS))).lower() for _ in range(40)).encode() for _ in range(20)]
+    want = [whole.near(t) for t in texts]
+    monkeypatch.setattr(fuzzy, "AT_ONCE", 2)
+    monkeypatch.setattr(fuzzy, "WORDS", 10)
+    few = fuzzy.Margins(list(dims.SKILLS), 85, 3, False)
+    assert [few.near(t) for t in texts] == want
+
+
+def test_fuzzy_skills_of_texts_shuffle_nothing(spark):
+    from careerlake.plans import resumes
+
+    assert "Exchange" not in resumes.fuzzy_skill_match(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
