@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from careerlake.functions import dims
 from careerlake.functions.text import percent, total
-from careerlake.operators import evidence, guard, match, structure
+from careerlake.operators import detect, evidence, guard, match, structure
 from careerlake.operators.lines import lines
 from careerlake.plans import reports
 from careerlake.plans.documents import LINES, docs_of
@@ -265,7 +265,7 @@ def json_extraction(spark, sf_dir):
 def bullet_stats(spark, sf_dir):
     """Checks that hold over each line of texts."""
     row = lines(docs_of(spark, sf_dir))
-    checks = [F.col("line").rlike(p) for p in (dims.EMAIL, dims.QUANTIFIED, "[A-Z]{4,}")]
+    checks = [detect.has_email(F.col("line")), detect.quantified(F.col("line")), F.col("line").rlike("[A-Z]{4}")]
     return row.select("doc_id", total(checks).alias("n_checks"), percent(total(checks), F.lit(3)).alias("pct"))
 
 
