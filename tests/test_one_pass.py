@@ -46,3 +46,16 @@ def test_texts_are_read_a_few_times_not_once_a_term(spark):
     assert "RLIKE" not in plan(resumes.lexicon_scan(spark, folder)) and plan(resumes.lexicon_scan(spark, folder)).count("regexp_extract_all") <= 2
     assert "RLIKE" not in plan(resumes.keyword_coverage(spark, folder))
     assert "RLIKE" not in plan(resumes.seniority_regression(spark, folder))
+
+
+def test_dates_of_a_header_are_read_a_few_times(spark):
+    from careerlake.plans import reports
+
+    times = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Present|Current|Now")
+    assert times(reports.resume_entries(spark, "/root/testdata/sf0.001")) <= 8
+    assert times(reports.bullet_analysis(spark, "/root/testdata/sf0.001")) <= 8
+
+
+def test_roles_are_not_filtered_before_they_are_gathered(spark):
+    plan = resumes.employment_overlaps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?i)present|current|now" not in "".join(x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Filter"))
