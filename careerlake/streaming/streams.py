@@ -144,24 +144,29 @@ def frames(chunks: DataFrame, idle: dt.timedelta = IDLE, late: str = LATE) -> Da
             self.held = handle.getListState("held", "chunk string")
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-            n, total, seen, tail = self.counts.get() if self.counts.exists() else (0, 0, None, "")
+            n, total, seen, tail = self.counts.get() or (0, 0, None, "")
             before, new, out = seen, [], []
+            waiting = bool(tail)
             for r in pd.concat(list(rows)).sort_values("seq").itertuples():
                 seen = r.at if seen is None else max(seen, r.at)
-                new.append((r.chunk,))
+                new.append(r.chunk)
                 if end not in tail + r.chunk:
                     tail = (tail + r.chunk)[1 - len(end) :]
                     continue
-                *done, tail = "".join(c for (c,) in [*self.held.get(), *new]).split(end)
-                self.held.clear()
+                if waiting:
+                    # the state is asked once a batch, at the first end of a frame, and not at each
+                    new = [*(c for (c,) in self.held.get()), *new]
+                    self.held.clear()
+                    waiting = False
+                *done, tail = "".join(new).split(end)
                 for frame in done:
                     data = frame.removeprefix(prefix)
                     n, total = n + 1, total + int(json.loads(data).get("k", 0))
                     out.append((key[0], n, data, total))
-                new = [(tail,)] if tail else []
+                new = [tail] if tail else []
                 tail = tail[1 - len(end) :]
             if new:
-                self.held.appendList(new)
+                self.held.appendList([(c,) for c in new])
             self.counts.update((n, total, seen, tail))
             if seen != before:
                 if before is not None:
