@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,43 +14,64 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
 
 
-def page_columns(spans: DataFrame, pages: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
-    """doc_id, page, n_columns, split_at: a page has two columns if the widest gap between left edges is wide enough and enough lies right of it."""
-    w = Window.partitionBy("doc_id", "page").orderBy("x0")
-    gaps = spans.withColumn("before", F.lag("x0").over(w)).withColumn("gap", F.col("x0") - F.col("before"))
+def split_pages(spans: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
+    """Spans with `split_at` of their page, null where it has one column: windows of a page, so that spans by document are neither joined nor shuffled again."""
+    page = Window.partitionBy("doc_id", "page")
+    gaps = spans.withColumn("before", F.lag("x0").over(page.orderBy("x0"))).withColumn("gap", F.col("x0") - F.col("before"))
     wide = F.col("gap") >= conf.column_gap
     # of equal gaps the leftmost
     split = F.max_by(F.when(wide, (F.col("x0") + F.col("before")) / 2), F.when(wide, F.struct("gap", (-F.col("x0")).alias("left"))))
-    found = gaps.groupBy("doc_id", "page").agg(F.count("*").alias("n"), split.alias("split_at"))
-    right = spans.join(found, ["doc_id", "page"]).groupBy("doc_id", "page").agg(F.avg((F.col("x0") >= F.col("split_at")).cast("double")).alias("share"))
-    two = (F.col("split_at").isNotNull()) & (F.col("share") >= conf.column_share)
-    out = pages.select("doc_id", "page").join(found, ["doc_id", "page"], "left").join(right, ["doc_id", "page"], "left")
-    return out.select("doc_id", "page", F.when(F.col("n").isNull(), 0).when(two, 2).otherwise(1).cast("long").alias("n_columns"), F.when(two, F.col("split_at")).alias("split_at"))
+    found = gaps.withColumn("mid", split.over(page)).withColumn("share", F.avg((F.col("x0") >= F.col("mid")).cast("double")).over(page))
+    # a page without a number, or of no document, isn't told from others, so it has no columns
+    two = F.col("mid").isNotNull() & (F.col("share") >= conf.column_share) & F.col("doc_id").isNotNull() & F.col("page").isNotNull()
+    return found.select(*spans.columns, F.when(two, F.col("mid")).alias("split_at"))
 
 
-def reading_order(spans: DataFrame, columns: DataFrame) -> DataFrame:
-    """Spans with `place`: by page, column, rounded height, left edge."""
+def page_columns(spans: DataFrame, pages: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
+    """doc_id, page, n_columns, split_at: a page has two columns if the widest gap between left edges is wide enough and enough lies right of it."""
+    found = split_pages(spans, conf).groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.max("split_at").alias("split_at"))
+    out = pages.select("doc_id", "page").join(found, ["doc_id", "page"], "left")
+    return out.select("doc_id", "page", F.when(F.col("n").isNull(), 0).when(F.col("split_at").isNotNull(), 2).otherwise(1).cast("long").alias("n_columns"), "split_at")
+
+
+def placed(split: DataFrame) -> DataFrame:
+    """Spans with split_at, with `column` and `place`: by page, column, rounded height, left edge."""
     column = F.when(F.col("split_at").isNotNull() & (F.col("x0") >= F.col("split_at")), 1).otherwise(0)
-    out = spans.join(columns.select("doc_id", "page", "split_at"), ["doc_id", "page"], "left").withColumn("column", column)
     order = Window.partitionBy("doc_id").orderBy("page", "column", F.bround("y0"), "x0", "text")
-    return out.withColumn("place", F.row_number().over(order))
+    return split.withColumn("column", column).withColumn("place", F.row_number().over(order))
+
+
+def reading_order(spans: DataFrame, columns: DataFrame) -> DataFrame:
+    """Spans placed by the columns given for their pages."""
+    return placed(spans.join(columns.select("doc_id", "page", "split_at"), ["doc_id", "page"], "left"))
 
 
 def span_lines(ordered: DataFrame, conf: Conf = DEFAULT) -> DataFrame:
-    """Lines of spans in reading order: one ends where a span is too far from the height of the line's first span, so drift doesn't add up."""
-    spans = F.array_sort(F.collect_list(F.struct("place", "x0", "y0", "text")))
-    grouped = ordered.groupBy("doc_id").agg(spans.alias("spans"))
-    start = F.expr("cast(array() as array<struct<y:double,parts:array<struct<x0:double,place:int,text:string>>>>)")
-
-    def step(acc, s):
-        part = F.struct(s["x0"].cast("double").alias("x0"), s["place"].alias("place"), s["text"].alias("text"))
-        last = F.try_element_at(acc, F.lit(-1))
-        new = F.array_append(acc, F.struct(s["y0"].cast("double").alias("y"), F.array(part).alias("parts")))
-        more = F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(last["y"].alias("y"), F.array_append(last["parts"], part).alias("parts")))
-        return F.when((F.size(acc) == 0) | (F.abs(s["y0"] - last["y"]) > conf.same_line), new).otherwise(more)
-
-    found = grouped.select("doc_id", F.posexplode(F.aggregate("spans", start, step)).alias("line_no", "l"))
-    return found.select("doc_id", "line_no", F.array_join(F.transform(F.array_sort("l.parts"), lambda p: p["text"]), " ").alias("line"))
+    """Lines of spans in reading order: one ends where a span is too far from the height of the line's first span, so drift doesn't add up.
+
+    Where lines begin hangs on where the one before began, so heights alone go through a Python task; each is looked at once.
+    """
+    far = conf.same_line
+
+    @F.arrow_udf("array<int>")
+    def starts(heights: pa.Array) -> pa.Array:
+        out = []
+        for ys in heights.to_pylist():
+            at, first = [], None
+            for k, y in enumerate(ys):
+                # an unknown height stays in its line; one that isn't a number is far from any
+                if k == 0 or (y is not None and first is not None and not abs(y - first) <= far):
+                    first = y
+                    at.append(k)
+            out.append(at)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    spans = F.array_sort(F.collect_list(F.struct("place", F.col("x0").cast("double").alias("x0"), F.col("y0").cast("double").alias("y0"), "text")))
+    grouped = ordered.groupBy("doc_id").agg(spans.alias("spans")).withColumn("starts", starts(F.col("spans.y0")))
+    of_line = lambda at, k: F.slice("spans", at + 1, F.coalesce(F.get("starts", k + 1), F.size("spans")) - at)
+    parts = lambda line: F.array_sort(F.transform(line, lambda s: F.struct(s["x0"].alias("x0"), s["place"].alias("place"), s["text"].alias("text"))))
+    found = grouped.select("doc_id", F.posexplode(F.transform("starts", lambda at, k: parts(of_line(at, k)))).alias("line_no", "l"))
+    return found.select("doc_id", "line_no", F.array_join("l.text", " ").alias("line"))
 
 
 def ocr_lines(tokens: DataFrame) -> DataFrame:

@@ -56,9 +56,9 @@ SPANS = """SELECT l_suppkey AS doc_id, l_linenumber % 3 AS page, CAST(CASE WHEN
 
 
 def spans(spark, sf_dir):
-    """Different spans, as repeated ones have no order."""
+    """Different spans, as repeated ones have no order; by document, so that what follows needs no other shuffle."""
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(SPANS).distinct()
+    return spark.sql(SPANS).repartition("doc_id").distinct()
 
 
 def page_columns(spark, sf_dir):
@@ -72,8 +72,7 @@ def max_columns(spark, sf_dir):
 
 
 def ordered(spark, sf_dir):
-    s = spans(spark, sf_dir)
-    return lines.reading_order(s, lines.page_columns(s, s.select("doc_id", "page").distinct()))
+    return lines.placed(lines.split_pages(spans(spark, sf_dir)))
 
 
 def reading_order(spark, sf_dir):

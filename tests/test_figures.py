@@ -1,11 +1,20 @@
 """How often or how much is done, where results alone don't show it."""
 
+import time
+
 import pandas as pd
 from pyspark.sql.group import GroupedData
 
+from careerlake.conf import DEFAULT
+from careerlake.operators import lines
+from careerlake.plans import flows
 from careerlake.streaming import streams
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 class Counted:
     """A state or handle that counts what is asked of it."""
 
@@ -35,3 +44,21 @@ def test_states_are_asked_once_a_batch_and_not_at_each_frame(spark, monkeypatch,
     out = pd.concat(frames.handleInputRows((1,), iter([pd.DataFrame(chunks, columns=["conn", "seq", "at", "chunk"])]), None))
     assert out["frame_no"].tolist() == list(range(4, 54)) and out["total"].tolist()[-2:] == [59, 60]
     assert frames.held.asked == ["get", "clear", "appendList"] and len(frames.counts.asked) <= 3
+
+
+def test_spans_are_shuffled_once_and_heights_looked_at_once(spark):
+    made = flows.span_lines(spark, "/root/testdata/sf0.001")
+    assert plan(made).count("Exchange") == 1 and "array_append" not in plan(made)
+
+
+def test_lines_of_a_long_document_and_odd_heights(spark):
+    """20,000 spans that drift by one; before, each added span copied all lines before it."""
+    far, n = DEFAULT.same_line, 20_000
+    rows = [(1, k, 0.0, float(k), str(k)) for k in range(n)]
+    odd = [(2, 0, 0.0, 1.0, "a"), (2, 1, 0.0, None, "b"), (2, 2, 0.0, 2.0, "c"), (2, 3, 0.0, float("nan"), "d"), (2, 4, 0.0, 9e9, "e"), (3, 0, 0.0, None, "f"), (3, 1, 0.0, 9e9, "g")]
+    began = time.monotonic()
+    got = lines.span_lines(spark.createDataFrame(rows + odd, "doc_id long, place int, x0 double, y0 double, text string")).orderBy("doc_id", "line_no").collect()
+    step = int(far) + 1
+    assert [r["line"] for r in got if r["doc_id"] == 1] == [" ".join(map(str, range(k, min(k + step, n)))) for k in range(0, n, step)]
+    assert [r["line"] for r in got if r["doc_id"] > 1] == ["a b c", "d", "e", "f g"]
+    assert time.monotonic() - began < 30
