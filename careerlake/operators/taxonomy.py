@@ -7,13 +7,16 @@ with few labels: those whose key it has.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerlake.functions.text import squeezed
-from careerlake.sources.tables import stored
+from careerlake.sources.tables import ship, stored
 
 #: Characters of a text that are searched at a time; a block of a longer label is as long as that.
 BLOCK = 4096
@@ -35,6 +38,29 @@ def pairs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_PAIR), F.lit(1))
 
 
+_PARTS, _RUNS = re.compile("[a-z0-9]+|[^a-z0-9]+"), re.compile("[a-z0-9]+")
+
+
+def keys_in(text: str, known: frozenset[str]) -> set[str]:
+    """Of the known keys those that a text has among its tokens() and pairs()."""
+    parts = _PARTS.findall(text)
+    # parts are by turns runs and what stands between; a run at the very start or end doesn't count
+    at = 2 if parts and _RUNS.match(text) else 1
+    runs, between = parts[at:-1:2], parts[at + 1 : -1 : 2]
+    others = set("".join(set(parts[at - 1 :: 2]))) - {" "}
+    return known.intersection(runs) | known.intersection(map("".join, zip(runs, between, runs[1:]))) | known.intersection(others)
+
+
+def keys_found(piece: Column, known: Broadcast) -> Column:
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        keys = known.value
+        return pa.array([sorted(keys_in(t, keys)) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    # else Spark runs it twice, once for a filter of its own by the keys' number
+    return found.asNondeterministic()(piece)
+
+
 def variants(taxonomy: DataFrame) -> DataFrame:
     """variant, canonical, category, match_type, place of (canonical, category, synonyms).
 
@@ -69,7 +95,7 @@ def skills(docs: DataFrame, taxonomy: DataFrame, block: int = BLOCK, at_once: in
     """doc_id, canonical, category, variant, match_type: a row for each skill of the taxonomy with a variant in a text, with the first of its variants.
 
     `docs` has doc_id and text; a null or empty text has no skills; rows with one id, or none, count as one document. An empty taxonomy
-    gives no rows. Texts aren't shuffled: labels are broadcast, at most `at_once` bytes of them in a pass; what is shuffled are ids and labels found.
+    gives no rows. Texts aren't shuffled: labels, and their keys, are broadcast, at most `at_once` bytes of them in a pass; what is shuffled are ids and labels found.
     """
     known = stored(keyed(variants(taxonomy)))
     n_bytes = F.sum(F.octet_length("variant") * 2 + F.octet_length("canonical") + F.octet_length(F.coalesce("category", F.lit(""))) + 64)
@@ -79,13 +105,17 @@ def skills(docs: DataFrame, taxonomy: DataFrame, block: int = BLOCK, at_once: in
     whole = F.concat(F.lit("(?<=[^a-z0-9])"), F.regexp_replace("variant", "[^a-z0-9 ]", r"\\$0"), F.lit("(?=[^a-z0-9])"))
     labels = known.withColumns({"alone": (F.col("variant") == F.col("key")) & ~edged, "edged": edged, "marked": F.regexp_replace("variant", _RUN, _MARKED), "pattern": F.when(edged, whole)})
 
+    spark = ship(docs.sparkSession)
     pieces = docs.select("doc_id", F.explode(blocks(squeezed("text"), max(block, longest + 2), longest)).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.regexp_replace("piece", _INNER, _MARKED).alias("told"), F.array_distinct(F.concat(tokens(F.col("piece")), pairs(F.col("piece")))).alias("keys"))
-    each = pieces.select("doc_id", "piece", "told", F.explode("keys").alias("key"))
     stands = F.col("alone") | (F.contains("told", "marked") & (~F.col("edged") | F.expr("piece RLIKE pattern")))
-    found = [
-        each.join(F.broadcast(labels.filter(F.pmod(F.xxhash64("variant"), F.lit(passes)) == k)), "key").filter(stands).select("doc_id", "canonical", "place", "category", "variant", "match_type")
-        for k in range(passes)
-    ]
+    found = []
+    for k in range(passes):
+        now = labels.filter(F.pmod(F.xxhash64("variant"), F.lit(passes)) == k)
+        # a small Python task keeps the keys of labels, as few of a text's tokens and pairs are; only these become rows
+        known_keys = spark.sparkContext.broadcast(frozenset(r["key"] for r in now.select("key").distinct().collect()))
+        having = pieces.withColumn("keys", keys_found(F.col("piece"), known_keys))
+        told = having.select("doc_id", "piece", F.when(F.size("keys") > 0, F.regexp_replace("piece", _INNER, _MARKED)).alias("told"), "keys")
+        each = told.select("doc_id", "piece", "told", F.explode("keys").alias("key"))
+        found.append(each.join(F.broadcast(now), "key").filter(stands).select("doc_id", "canonical", "place", "category", "variant", "match_type"))
     first = reduce(DataFrame.unionByName, found).groupBy("doc_id", "canonical").agg(F.min(F.struct("place", "variant", "category", "match_type")).alias("f"))
     return first.select("doc_id", "canonical", "f.category", "f.variant", "f.match_type")

@@ -1,12 +1,14 @@
 """How often or how much is done, where results alone don't show it."""
 
+import random
 import time
 
 import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql.group import GroupedData
 
 from careerlake.conf import DEFAULT
-from careerlake.operators import lines
+from careerlake.operators import lines, taxonomy
 from careerlake.plans import flows
 from careerlake.streaming import streams
 
@@ -62,3 +64,17 @@ def test_lines_of_a_long_document_and_odd_heights(spark):
     assert [r["line"] for r in got if r["doc_id"] == 1] == [" ".join(map(str, range(k, min(k + step, n)))) for k in range(0, n, step)]
     assert [r["line"] for r in got if r["doc_id"] > 1] == ["a b c", "d", "e", "f g"]
     assert time.monotonic() - began < 30
+
+
+def test_keys_of_labels_are_kept_before_they_become_rows(spark):
+    r = random.Random(3)
+    texts = ["", " ", "a", "a b", " a ", "\U0001f600 c++", *("".join(r.choice("ab1  .+\u00e9\U0001f600\n") for _ in range(r.randrange(60))) for _ in range(400))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.concat(taxonomy.tokens(F.col("t")), taxonomy.pairs(F.col("t"))).alias("k")).collect()
+    every = frozenset(k for row in rows for k in row["k"])
+    some = frozenset(sorted(every)[::2])
+    assert len(every) > 100 and all(taxonomy.keys_in(row["t"], every) == set(row["k"]) and taxonomy.keys_in(row["t"], some) == some & set(row["k"]) for row in rows)
+    docs = spark.createDataFrame([(1, "x C++ y"), (2, None), (3, "data  science.")], "doc_id long, text string")
+    known = spark.createDataFrame([("c++", "k", []), ("data science", "k", [])], "canonical string, category string, synonyms array<string>")
+    made = taxonomy.skills(docs, known)
+    assert plan(made).count("ArrowEvalPython") == 1
+    assert sorted((x["doc_id"], x["canonical"]) for x in made.collect()) == [(1, "c++"), (3, "data science")]
