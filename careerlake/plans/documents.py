@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from careerlake.conf import DEFAULT
 from careerlake.functions import dims
-from careerlake.functions.text import first_match, words
+from careerlake.functions.text import first_match, word_count
 from careerlake.operators import detect, spelling
 from careerlake.operators.lines import lines
 from careerlake.sources.tables import table
@@ -37,8 +37,8 @@ QUALITY = rf"""quality AS (SELECT doc_id, count(*) AS bullets, count(*) FILTER (
 
 
 def doc_length_band(spark, sf_dir):
-    n = F.size(words(F.coalesce("text", F.lit("")))).cast("long")
-    return docs_of(spark, sf_dir).select("doc_id", n.alias("n_words"), detect.length_band(n).alias("band"))
+    counted = docs_of(spark, sf_dir).select("doc_id", word_count(F.coalesce("text", F.lit(""))).cast("long").alias("n_words"))
+    return counted.withColumn("band", detect.length_band(F.col("n_words")))
 
 
 BAND = "CASE WHEN {0} < 150 THEN 'too_short' WHEN {0} <= 700 THEN 'ideal' WHEN {0} <= 1100 THEN 'long_but_acceptable' ELSE 'too_long' END"

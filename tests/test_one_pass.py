@@ -59,3 +59,47 @@ def test_dates_of_a_header_are_read_a_few_times(spark):
 def test_roles_are_not_filtered_before_they_are_gathered(spark):
     plan = resumes.employment_overlaps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "(?i)present|current|now" not in "".join(x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Filter"))
+
+
+def test_warnings_read_a_text_a_few_times_and_only_what_they_need(spark):
+    from careerlake.plans import reports
+
+    plan = reports.report_warnings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") <= 1 and plan.count("split(btrim(text") <= 1  # lines and words, once each
+    assert "array_sort" not in plan
+    assert plan.count("[A-Za-z]{3,9}") == 1 and plan.count("(?i)present|current|now") <= 2
+    assert dims.PHONE not in plan and dims.URL not in plan  # of other queries
+
+
+ROUND = ["\n", " ", "\t", "\r", "\v", " " * 110, "Skills", "SKILLS & tools", "s.k.i.l.l.s", "awards", "K", "İ", "é", "_", "-", "•", "▪", "May 2019", "x2012", "2019-05", "12/2010", "2010-1", "March\r2012", "abc", "1", "", "." * 110]
+
+
+def test_steps_of_the_report_give_what_they_gave_line_by_line(spark):
+    from careerlake.functions.text import few_words, word_count, words
+    from careerlake.operators import report
+
+    r = random.Random(5)
+    made = ["", " ", "\t\n", " " * 130 + "Skills", "Skills" + " " * 130] + ["".join(r.choice(ROUND) for _ in range(r.randint(1, 6))) for _ in range(2000)]
+    t, of = F.col("t"), F.split("t", "\n")
+    known = F.create_map(*(F.lit(x) for name, all_ in dims.SECTIONS.items() for w in all_ for x in (w, name)))
+    each = sum((F.exists(of, lambda x: x.rlike(p)).cast("long") for p in dims.DATE_FORMATS.values()), F.lit(0))  # noqa: B023
+    same = {
+        "words": word_count(t) == F.size(words(t)),
+        "few": few_words(t, 4) == F.size(words(t)).between(1, 4),
+        "dates": detect.n_date_formats(of) == each,
+        "bullets": F.ltrim(t, F.lit(report.BULLETS)) == F.regexp_replace(t, dims.BULLET, ""),
+        "heading": structure.heading_of(t).eqNullSafe(F.try_element_at(known, structure.normal_heading(t))),
+    }
+    got = spark.createDataFrame([(x,) for x in made], "t string").select("t", *(c.alias(n) for n, c in same.items()))
+    assert [x for x in got.collect() if not all(x[n] for n in same)] == []
+
+
+def test_buzzwords_are_counted_in_lines_without_evidence(spark):
+    from careerlake.operators import report
+
+    phrases = list(dims.BUZZWORDS)
+    lines = [p.upper() for p in phrases] + [f"x{p}" for p in phrases] + [f"{p}_" for p in phrases] + [f"{p} 5%" for p in phrases] + [f"a {p}, {p}" for p in phrases]
+    rows = [(i, f"Experience\nBoss 2019 - 2020\n{x}\nnothing") for i, x in enumerate(lines)]
+    found = report.features(report.parsed(spark.createDataFrame(rows, "doc_id long, text string"))).select("doc_id", "n_unsupported").collect()
+    n = len(phrases)
+    assert [r["n_unsupported"] for r in sorted(found)] == [1] * n + [0] * 3 * n + [2] * n
