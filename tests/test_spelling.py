@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from careerlake.operators import nearest, spelling
+from careerlake.plans import reports
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,20 +76,37 @@ def test_pieces_of_rare_words_are_not_shuffled(spark):
     assert sum("rightHint=(strategy=broadcast)" in p for p in seen) == 2
 
 
-def test_misspelt_words_by_the_ten_thousand_are_not_broadcast(spark):
-    """60,000 misspelt words; before, up to 2,000,000 were sent through the driver."""
+def misspellings():
+    """A word, and 60,000 that are two letters off it."""
     word = "internationalization"
     places = itertools.islice(((i, j, a, b) for i, j in itertools.combinations(range(20), 2) for a in LETTERS for b in LETTERS if a != word[i] and b != word[j]), 60_000)
-    wrong = [word[:i] + a + word[i + 1 : j] + b + word[j + 1 :] for i, j, a, b in places]
+    return word, [word[:i] + a + word[i + 1 : j] + b + word[j + 1 :] for i, j, a, b in places]
+
+
+def joins(df):
+    return re.findall(r"(SortMergeJoin|BroadcastHashJoin) [^\n]*\], (\w+)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_misspelt_words_by_the_ten_thousand_are_not_broadcast(spark):
+    """60,000 misspelt words; before, up to 2,000,000 were sent through the driver."""
+    word, wrong = misspellings()
     docs = spark.createDataFrame([(1, f"{word} " * 20), (2, " ".join(wrong)), (3, wrong[7])], "doc_id long, text string")
     made = spelling.misspelt(docs, [])
-    plan = made._jdf.queryExecution().executedPlan().toString()
-    joins = re.findall(r"(SortMergeJoin|BroadcastHashJoin) [^\n]*\], (\w+)", plan)
-    assert joins == [("SortMergeJoin", "Inner"), ("BroadcastHashJoin", "LeftAnti")]
+    assert joins(made) == [("SortMergeJoin", "Inner"), ("BroadcastHashJoin", "LeftAnti")]
     got = made.groupBy("doc_id", "suggestion").agg(F.count("*").alias("n"), F.sum("n").alias("lines")).collect()
     assert sorted(map(tuple, got)) == [(2, word, 60_000, 60_000), (3, word, 1, 1)]
 
 
+def test_reports_with_misspelt_words_by_the_ten_thousand_are_not_made_through_the_driver(spark, tmp_path):
+    word, wrong = misspellings()
+    docs = spark.createDataFrame([(1, f"{word} " * 20, "web"), (2, " ".join(wrong[:30_000]) + "\n" + " ".join(wrong[20_000:]), "web"), (6, None, None)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    made = reports.report_spelling(spark, str(tmp_path)).select("doc_id", "misspelt")
+    assert ("SortMergeJoin", "Inner") in joins(made) and ("BroadcastHashJoin", "Inner") not in joins(made)
+    found = {r["doc_id"]: r["misspelt"] for r in made.collect()}
+    assert found.keys() == {1, 2, 6} and found[2] - 70_000 in range(30) and found[1] < 30 and found[6] < 30
+
+
 def test_pieces_of_words_are_not_made_and_parts_of_a_dictionary_give_the_same(spark, monkeypatch):
     r = random.Random(2)
     base = ["".join(r.choices("abcde", k=r.randint(3, 7))) for _ in range(50)]
